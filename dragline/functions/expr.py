@@ -34,6 +34,15 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    Large Column expressions repeat their inputs; binding one through a
+    one-element ``transform`` keeps the plan small and the work single.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(key: Column, table: Mapping, default=None) -> Column:
     """A constant mapping as one CASE expression (stays inside code generation)."""
     out = None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dragline.functions.expr import let
+
 # fixed values ---------------------------------------------------------------
 WORD = r"(?U)\b[a-zA-Z]+\b"
 PARTICIPLES = r"(?:\w+ed|bought|sold|made|put|set|held|taken|given|sent|shown)"
@@ -63,16 +65,19 @@ def plain_text(html: Column, variant: str = "statement") -> Column:
 def dollar_amounts(text: Column, context: int = 50) -> Column:
     """ARRAY<STRUCT<amount, context>>: every $ amount with its surroundings."""
     amount = r"\$\s*([\d,]+(?:\.\d+)?)"
-    values = F.regexp_extract_all(text, F.lit(amount), F.lit(1))
-    found = F.regexp_extract_all(text, F.lit(amount), F.lit(0))
-    between = F.split(text, amount)
-    at = lambda i: F.concat(
-        F.right(F.get(between, i), F.lit(context)), F.get(found, i), F.left(F.get(between, i + 1), F.lit(context))
-    )
-    rows = F.transform(
-        values, lambda v, i: F.struct(F.replace(v, F.lit(","), F.lit("")).try_cast("double").alias("amount"), at(i).alias("context"))
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(amount), F.lit(1)).alias("values"),
+        F.regexp_extract_all(text, F.lit(amount), F.lit(0)).alias("found"), F.split(text, amount).alias("between"),
     )
-    return F.filter(rows, lambda r: r["amount"].isNotNull())
+
+    def rows(p: Column) -> Column:
+        at = lambda i: F.concat(
+            F.right(F.get(p["between"], i), F.lit(context)), F.get(p["found"], i), F.left(F.get(p["between"], i + 1), F.lit(context))
+        )
+        return F.transform(p["values"], lambda v, i: F.struct(
+            F.replace(v, F.lit(","), F.lit("")).try_cast("double").alias("amount"), at(i).alias("context")))
+
+    return F.filter(let(parts, rows), lambda r: r["amount"].isNotNull())
 
 
 def from_first(text: Column, pattern: str) -> Column:
@@ -87,11 +92,17 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...], skip:
     the document; nothing is cut to a fixed length.  Null when nothing starts.
     """
     rest = F.coalesce(*[from_first(text, p) for p in starts])
-    tail = F.substring(rest, F.lit(skip + 1), F.length(rest))
-    cut = F.coalesce(*[
-        F.when(tail.rlike(f"(?i){p}"), F.length(F.regexp_extract(tail, rf"(?i)^([\s\S]*?)(?:{p})", 1))) for p in ends
-    ], F.length(tail))
-    return F.concat(F.substring(rest, 1, skip), F.substring(tail, F.lit(1), cut))
+
+    def cut(r: Column) -> Column:
+        def end(tail: Column) -> Column:
+            hits = [
+                F.when(tail.rlike(f"(?i){p}"), F.length(F.regexp_extract(tail, rf"(?i)^([\s\S]*?)(?:{p})", 1))) for p in ends
+            ]
+            return F.substring(tail, F.lit(1), F.coalesce(*hits, F.length(tail)))
+
+        return F.concat(F.substring(r, 1, skip), let(F.substring(r, F.lit(skip + 1), F.length(r)), end))
+
+    return let(rest, cut)
 
 
 # -- tables in markup ----------------------------------------------------------
@@ -105,16 +116,16 @@ def table_rows(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr>|</table>|$)"), F.lit(0))
 
 
-def row_cells(row: Column, heads: bool = True, glue: str = "") -> Column:
-    """Cell texts; tags inside a cell vanish together with the blanks around them (or leave ``glue``)."""
+def row_cells(row: Column, *, heads: bool = True) -> Column:
+    """Cell texts; tags inside a cell vanish together with the blanks around them."""
     kind = "[dh]" if heads else "d"
     raw = F.regexp_extract_all(row, F.lit(rf"(?is)<t{kind}\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]>|</tr>|$)"), F.lit(1))
 
     def clean(c: Column) -> Column:
-        c = F.regexp_replace(c, r"\s*<[^>]+>\s*" if glue == "" else r"<[^>]+>", glue)
+        c = F.regexp_replace(c, r"\s*<[^>]+>\s*", "")
         for e, ch in {"&nbsp;": " ", "&#160;": " ", "&amp;": "&", "&mdash;": "—", "&#8212;": "—"}.items():
             c = F.replace(c, F.lit(e), F.lit(ch))
-        return strip(F.replace(c, F.lit(" "), F.lit(" ")))
+        return strip(F.translate(c, "\u00a0", " "))
 
     return F.transform(raw, clean)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dragline.functions import text as X
+from dragline.functions.expr import let
 
 # fixed values ---------------------------------------------------------------
 COMMISSION_STARTS = (
@@ -104,7 +105,7 @@ def after_boundary(html: Column) -> Column:
     else the introductory phrase, else everything."""
     middle = F.floor(F.length(html) / 2).cast("int")
     late = X.from_first(F.substring(html, middle + 2, F.length(html)), BOUNDARY)
-    last = F.nullif(F.regexp_extract(html, rf"(?i)[\s\S]*((?:{BOUNDARY})[\s\S]*)", 1), F.lit(""))
+    last = F.nullif(F.regexp_extract(html, rf"(?i)^[\s\S]*((?:{BOUNDARY})[\s\S]*)", 1), F.lit(""))
     return F.coalesce(late, last, X.from_first(html, BOUNDARY_PHRASE), html)
 
 
@@ -118,7 +119,7 @@ def _has_any(text: Column, words) -> Column:
 def _tables(docs: DataFrame, key: str, part: Column) -> DataFrame:
     """(key, table number, row arrays) for the tables of one section."""
     return docs.select(key, F.posexplode(X.tables(part)).alias("table", "_t")).select(
-        key, "table", F.transform(X.table_rows(F.col("_t")), X.row_cells).alias("rows")
+        key, "table", F.transform(X.table_rows(F.col("_t")), lambda r: X.row_cells(r)).alias("rows")
     ).filter(F.size("rows") >= 2)
 
 
@@ -222,16 +223,19 @@ def board_approval(html: Column) -> Column:
     return X.plain_text(X.section(html, BOARD_STARTS, BOARD_ENDS), "report")
 
 
-def _flags(part: Column, table: dict[str, tuple[str, ...]], extra: dict[str, Column] | None = None) -> Column:
+def _flags(part: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """STRUCT of booleans from a cleaned section, null when it is missing or under 100 characters."""
-    text = F.lower(X.plain_text(part))
-    hits = []
-    for name, patterns in table.items():
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | text.rlike(p)
-        hits.append(hit.alias(name))
-    return F.when(F.length(text) >= 100, F.struct(*hits, *[c.alias(n) for n, c in (extra or {}).items()]))
+
+    def judge(text: Column) -> Column:
+        hits = []
+        for name, patterns in table.items():
+            hit = F.lit(False)
+            for p in patterns:
+                hit = hit | text.rlike(p)
+            hits.append(hit.alias(name))
+        return F.when(F.length(text) >= 100, F.struct(*hits))
+
+    return let(F.lower(X.plain_text(part)), judge)
 
 
 def pay_flags(html: Column) -> Column:

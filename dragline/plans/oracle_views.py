@@ -113,4 +113,6 @@ v_event AS (
 
 
 def with_views(*parts: str, body: str) -> str:
-    return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body.strip()
+    body = body.strip()
+    more = "" if not body.startswith(",") else body  # a body may begin with further views
+    return "WITH " + ",".join(p.strip() for p in parts) + "\n" + (more or body)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dragline.functions.expr import let
 from dragline.operators.holdings import is_derivative
 
 _S = T.StringType()
@@ -53,7 +54,7 @@ def text(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return text(c).try_cast("double")
+    return F.trim(c).try_cast("double")
 
 
 def yes(c: Column) -> Column:
@@ -64,60 +65,58 @@ def parse_holdings_form(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """One row per readable document: keys of ``docs`` plus header fields and the raw positions.
 
     A document whose own series id differs from ``docs.series_id`` is dropped;
-    one without a series id is taken at its word.
+    one without a series id is taken at its word.  The document is parsed once,
+    inside the generator, which leaves out what cannot be used; a filter on
+    parsed fields would make Spark parse it again.
     """
     body = F.from_xml(F.col(xml), HOLDINGS_FORM, {"mode": "PERMISSIVE"})
-    own = text(F.col("_f.formData.genInfo.seriesId"))
-    gen = "_f.formData.genInfo"
-    return (
-        docs.withColumn("_f", body)
-        .filter(F.col("_f.formData").isNotNull() & (own.isNull() | (own == F.col("series_id").cast("string"))))
-        .select(
-            *[c for c in docs.columns if c != xml],
-            F.coalesce(text(F.col(f"{gen}.repPdDate")), text(F.col(f"{gen}.repPdEnd"))).try_cast("date").alias("period_end"),
-            number(F.col("_f.formData.fundInfo.netAssets")).alias("net_assets"),
-            F.col("_f.formData.invstOrSecs.invstOrSec").alias("positions"),
-        )
-    )
 
+    def usable(f: Column) -> Column:
+        gen = f["formData"]["genInfo"]
+        own = F.coalesce(F.trim(gen["seriesId"]), F.lit(""))
+        row = F.struct(
+            F.coalesce(text(gen["repPdDate"]), text(gen["repPdEnd"])).try_cast("date").alias("period_end"),
+            number(f["formData"]["fundInfo"]["netAssets"]).alias("net_assets"),
+            f["formData"]["invstOrSecs"]["invstOrSec"].alias("positions"),
+        )
+        return F.when(f["formData"].isNotNull() & own.isin("", F.col("series_id").cast("string")), F.array(row))
 
-def _of_instrument(d: Column, pick) -> Column:
-    return F.coalesce(*[F.when(d[i].isNotNull(), pick(i, d[i])) for i in INSTRUMENTS])
+    return docs.select(*[c for c in docs.columns if c != xml], F.inline(let(body, usable)))
 
 
 def holdings_of(form: DataFrame) -> DataFrame:
-    """Positions as rows; nameless ones are left out; derivative fields only for derivatives."""
+    """Positions as rows; nameless ones are left out; derivative fields only for derivatives.
+
+    Every typed subtree has the same fields, so the first one present is picked
+    once, as a struct, and read from there.
+    """
     keys = [c for c in form.columns if c not in ("positions", "net_assets", "period_end")]
-    h = form.select(*keys, F.explode("positions").alias("h")).filter(text(F.col("h.name")).isNotNull())
     d = F.col("h.derivativeInfo")
-    cat = text(F.col("h.assetCat"))
-    deriv = is_derivative(cat)
-    party = lambda s, f: F.coalesce(
-        text(F.get(s["counterpartyInfo"], F.lit(0))[f]), text(F.get(s["counterparties"], F.lit(0))[f]), text(s[f])
+    named = F.filter("positions", lambda p: F.trim(p["name"]) != "")
+    rows = form.select(*keys, F.explode(named).alias("h")).select(
+        *keys, "h", F.trim("h.name").alias("name"), text(F.col("h.assetCat")).alias("asset_category"),
+        F.coalesce(*[d[i] for i in INSTRUMENTS]).alias("s"),
+        F.coalesce(*[F.when(d[i].isNotNull(), F.lit(i)) for i in INSTRUMENTS]).alias("kind"),
     )
-
-    def notional(i: str, s: Column) -> Column:
-        if i == "fwdDeriv":
-            return F.when(text(s["curSold"]) == "USD", F.abs(number(s["amtCurSold"])))
-        return F.when(F.coalesce(text(s["curCd"]), F.lit("USD")) == "USD", F.abs(number(s["notionalAmt"])))
-
-    kind = F.coalesce(*[F.when(d[i].isNotNull(), F.lit(i)) for i in INSTRUMENTS])
-    # the first typed subtree decides, even where its own field is missing
-    first = lambda pick: F.coalesce(
-        *[F.when(kind == i, pick(i, d[i])) for i in INSTRUMENTS]
+    deriv = is_derivative(F.col("asset_category"))
+    s = F.when(deriv, F.col("s"))
+    rows = rows.withColumn("s", s).withColumn("kind", F.when(deriv, F.col("kind")))
+    s, kind = F.col("s"), F.col("kind")
+    party = lambda f: F.coalesce(
+        F.trim(F.get(s["counterpartyInfo"], F.lit(0))[f]), F.trim(F.get(s["counterparties"], F.lit(0))[f]), F.trim(s[f])
+    )
+    face = F.when(kind == "fwdDeriv", F.when(F.trim(s["curSold"]) == "USD", s["amtCurSold"])).when(
+        F.coalesce(F.trim(s["curCd"]), F.lit("")).isin("", "USD"), s["notionalAmt"]
     )
-    return h.select(
-        *keys,
-        F.trim("h.name").alias("name"), text(F.col("h.cusip")).alias("cusip"),
+    return rows.select(
+        *keys, "name", text(F.col("h.cusip")).alias("cusip"),
         F.nullif(F.col("h.identifiers.isin._value"), F.lit("")).alias("isin"),
         number(F.col("h.balance")).alias("balance"), number(F.col("h.valUSD")).alias("value_usd"),
-        number(F.col("h.pctVal")).alias("pct_of_net_assets"), cat.alias("asset_category"),
+        number(F.col("h.pctVal")).alias("pct_of_net_assets"), "asset_category",
         text(F.col("h.issuerCat")).alias("issuer_category"), text(F.col("h.invCountry")).alias("country"),
-        F.when(deriv, kind).alias("instrument_type"),
-        F.when(deriv, first(notional)).alias("notional_usd"),
-        F.when(deriv, first(lambda i, s: party(s, "counterpartyName"))).alias("counterparty_name"),
-        F.when(deriv, first(lambda i, s: party(s, "counterpartyLei"))).alias("counterparty_lei"),
-        F.when(deriv, first(lambda i, s: number(s["unrealizedAppr"]))).alias("unrealized_usd"),
+        kind.alias("instrument_type"), F.abs(number(face)).alias("notional_usd"),
+        party("counterpartyName").alias("counterparty_name"), party("counterpartyLei").alias("counterparty_lei"),
+        number(s["unrealizedAppr"]).alias("unrealized_usd"),
     )
 
 
@@ -207,16 +206,19 @@ def parse_census_form(docs: DataFrame, xml: str = "xml") -> DataFrame:
         "formData"]["managementInvestmentQuestionSeriesInfo"]["managementInvestmentQuestion"]
     period = F.regexp_extract(F.col(xml), r"<(?:\w+:)?reportCalendarOrQuarter>\s*([0-9-]+)", 1)
     keep = [c for c in docs.columns if c not in (xml, "series_id")]
-    rows = (
-        docs.withColumn("_all", sections)
-        .select(*docs.columns, F.size("_all").alias("_n"), F.explode("_all").alias("s"))
-    )
-    sid = text(F.col("s.mgmtInvSeriesId"))
-    if "series_id" in docs.columns:
-        wanted = F.col("series_id").cast("string")
-        rows = rows.filter((sid == wanted) | (sid.isNull() & (F.col("_n") == 1)))
-        sid = wanted
-    return rows.select(*keep, F.coalesce(sid, F.lit("")).alias("series_id"), period.try_cast("date").alias("period_end"), "s")
+    wanted = F.col("series_id").cast("string") if "series_id" in docs.columns else None
+
+    def matching(all_sections: Column) -> Column:
+        def own(s: Column) -> Column:
+            return F.coalesce(F.trim(s["mgmtInvSeriesId"]), F.lit(""))
+
+        kept = all_sections
+        if wanted is not None:
+            kept = F.filter(kept, lambda s: (own(s) == wanted) | ((own(s) == "") & (F.size(all_sections) == 1)))
+        return F.transform(kept, lambda s: F.struct(
+            (wanted if wanted is not None else own(s)).alias("series_id"), s.alias("s")))
+
+    return docs.select(*keep, period.try_cast("date").alias("period_end"), F.inline(let(sections, matching)))
 
 
 def census_fund(sections: DataFrame) -> DataFrame:
