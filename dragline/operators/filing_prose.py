@@ -117,10 +117,13 @@ def _has_any(text: Column, words) -> Column:
 
 
 def _tables(docs: DataFrame, key: str, part: Column) -> DataFrame:
-    """(key, table number, row arrays) for the tables of one section."""
-    return docs.select(key, F.posexplode(X.tables(part)).alias("table", "_t")).select(
-        key, "table", F.transform(X.table_rows(F.col("_t")), lambda r: X.row_cells(r)).alias("rows")
-    ).filter(F.size("rows") >= 2)
+    """(key, table number, rows of cells) for the tables of a section that have at least two rows.
+
+    Arrays are cut down before they are exploded: a filter behind the generator
+    would be pushed below it and parse every document twice.
+    """
+    parsed = F.transform(X.tables(part), lambda t: F.transform(X.table_rows(t), lambda r: X.row_cells(r)))
+    return docs.select(key, F.posexplode(F.filter(parsed, lambda rows: F.size(rows) >= 2)).alias("table", "rows"))
 
 
 def _amount(c: Column, report: bool) -> Column:
@@ -140,8 +143,8 @@ def commission_tables(docs: DataFrame, key: str, part: Column, report: bool = Fa
     years = F.sort_array(F.array_distinct(F.filter(
         F.transform(F.flatten(F.slice("rows", 1, 3)), lambda c: F.regexp_extract(c, r"20\d{2}", 0).try_cast("int")),
         lambda y: y.isNotNull())), asc=False)
-    data = rows.withColumn("years", years).filter(F.size("years") > 0).select(
-        key, "table", "years", F.posexplode("rows").alias("row", "cells")
+    data = rows.withColumn("years", years).select(
+        key, "table", "years", F.posexplode(F.when(F.size("years") > 0, F.col("rows"))).alias("row", "cells")
     )
     name = F.get("cells", F.lit(0))
     skip = REPORT_SKIP if report else COMMISSION_SKIP
@@ -152,7 +155,7 @@ def commission_tables(docs: DataFrame, key: str, part: Column, report: bool = Fa
     kept = data.filter(
         (F.coalesce(name, F.lit("")) != "") & ~name.rlike(r"^[\$\d,\.\s]+$") & ~_has_any(name, skip)
     ).select(key, "table", "row", name.alias("fund_name"), "years", amounts.alias("amounts"))
-    return kept.filter(F.size("amounts") > 0).select(
+    return kept.select(
         key, "table", "row", "fund_name",
         F.explode(F.slice(F.arrays_zip("years", "amounts"), 1, F.least(F.size("years"), F.size("amounts")))).alias("z"),
     ).select(key, "table", "row", "fund_name", F.col("z.years").alias("year"), F.col("z.amounts").alias("amount"))
@@ -191,13 +194,17 @@ def broker_rows(docs: DataFrame, key: str, part: Column) -> DataFrame:
 def commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
     """Year-column tables; where they give nothing, or nothing of 1,000 dollars, broker rows instead."""
     part = X.section(after_boundary(F.col(html)), COMMISSION_STARTS, COMMISSION_ENDS)
-    source = docs.select(key, part.alias("_part")).filter(F.col("_part").isNotNull())
+    source = docs.select(key, part.alias("_part"))
     wide = commission_tables(source, key, F.col("_part")).groupBy(key, "fund_name", "year").agg(
         F.max_by("amount", F.struct("table", "row")).alias("amount")
     )
-    trusted = wide.groupBy(key).agg(F.max("amount").alias("_top")).filter(F.col("_top") >= 1000).select(key)
-    return wide.join(trusted, key, "left_semi").unionByName(
-        broker_rows(source, key, F.col("_part")).join(trusted, key, "left_anti")
+    both = wide.withColumn("_wide", F.lit(True)).unionByName(
+        broker_rows(source, key, F.col("_part")).withColumn("_wide", F.lit(False))
+    )
+    # a document's own rows only
+    top = F.max(F.when(F.col("_wide"), F.col("amount"))).over(Window.partitionBy(key))
+    return both.withColumn("_top", top).filter(F.col("_wide") == F.coalesce(F.col("_top") >= 1000, F.lit(False))).select(
+        key, "fund_name", "year", "amount"
     )
 
 

@@ -525,7 +525,7 @@ def _fee_docs(v: FundViews) -> DataFrame:
 _FEECOLS = "management_fee, twelve_b1_fee, other_expenses, acquired_fund_fees, total_annual_expenses, net_expenses"
 
 
-@query(with_views(V_FEE, body=f"""SELECT accession_no, CASE WHEN management_fee IS NULL THEN NULL WHEN class_id < 100 AND total_annual_expenses IS NULL AND net_expenses IS NULL THEN 'cells' ELSE 'table' END AS layout, {_FEECOLS}, CAST(NULL AS DOUBLE) AS fee_waiver,
+@query(with_views(V_FEE, body=f"""SELECT accession_no, CASE WHEN management_fee IS NULL THEN NULL WHEN class_id < 100 AND total_annual_expenses IS NULL AND net_expenses IS NULL THEN 'cells' ELSE 'table' END AS layout, {_FEECOLS.replace("net_expenses", "CASE WHEN management_fee IS NOT NULL THEN net_expenses END AS net_expenses")}, CAST(NULL AS DOUBLE) AS fee_waiver,
   portfolio_turnover, CASE WHEN management_fee IS NOT NULL THEN max_sales_load END AS max_sales_load FROM v_fee"""))
 def fee_tables(v):
     return fees.table_fees(_fee_docs(v), "accession_no", "html", "ticker")
@@ -746,9 +746,10 @@ def statement_boundary(v):
 
 
 def _commission_docs(v):
-    """A statement per order line: a year-column table, or one row per broker."""
-    return v.holding().selectExpr(
-        "monotonically_increasing_id() as doc", "series_id", "period", "linenumber", "partkey", "orderkey", "value_usd",
+    """A statement per (fund, order, line): a year-column table, or one row per broker."""
+    li = v.table("lineitem").groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber")).agg(F.count("*").alias("copies"))
+    return li.selectExpr(
+        "struct(series_id, orderkey, linenumber) as doc", "copies",
         """concat('<p>intro</p>>Statement of Additional Information< The aggregate brokerage commissions paid are as follows ', if(linenumber <= 4,
           concat('<table><tr><td>Fund(s)</td><td>FY 2022</td><td>FY 2023</td></tr><tr><td>Series <b>P', series_id, '</b></td><td>$</td><td>', format_number(orderkey + 5000, 0), '</td><td>$ ', linenumber * 1000, '.50</td></tr><tr><td>Total</td><td>9</td><td>9999</td></tr></table>'),
           concat('<table><tr><td>Fund</td><td>Year</td><td>Name</td><td></td><td>Paid</td></tr><tr><td>Series P', series_id, '</td><td>2023</td><td>B1</td><td>$</td><td>', format_number(orderkey + 200, 0), '</td></tr><tr><td></td><td></td><td>B2</td><td>$</td><td>300</td></tr><tr><td></td><td>2022</td><td>B1</td><td>$</td><td>50</td></tr><tr><td></td><td></td><td>B3</td><td>$</td><td>700</td></tr></table>')),
@@ -761,9 +762,8 @@ SELECT fund_name, year, count(*) AS rows, CAST(sum(CAST(amount AS DECIMAL(28,2))
   SELECT 'SeriesP' || series_id AS fund_name, 2023 AS year, orderkey + 5000.0 AS amount FROM v_holding WHERE linenumber <= 4 UNION ALL SELECT 'SeriesP' || series_id, 2022, linenumber * 1000 + 0.5 FROM v_holding WHERE linenumber <= 4
   UNION ALL SELECT 'Series P' || series_id, 2023, CASE WHEN orderkey >= 800 THEN orderkey + 200 ELSE orderkey + 500 END FROM v_holding WHERE linenumber > 4 UNION ALL SELECT 'Series P' || series_id, 2022, 700 FROM v_holding WHERE linenumber > 4 AND orderkey < 800) q GROUP BY 1, 2"""))
 def statement_commissions(v):
-    docs = _commission_docs(v).drop("doc").withColumn("doc", F.struct("series_id", "period", "orderkey", "linenumber", "partkey", "value_usd"))
-    n = docs.groupBy("doc", "html").agg(F.count("*").alias("copies"))
-    c = filing_prose.commissions(n, "doc", "html").join(n.select("doc", "copies"), "doc")
+    docs = _commission_docs(v)
+    c = filing_prose.commissions(docs, "doc", "html").join(docs.select("doc", "copies"), "doc")
     return c.groupBy("fund_name", "year").agg(F.sum("copies").alias("rows"), dbl(F.sum(F.col("amount").cast("decimal(28,2)") * F.col("copies"))).alias("amount"))
 
 

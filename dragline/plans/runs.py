@@ -161,7 +161,7 @@ def snapshot_documents(v):
     )
 
 
-@query(with_views(*P.HOLD, P.V_FUNDPOS, body=f"SELECT parent AS series_id, period, 'FND' || child AS child_ticker, {R('CAST(weight AS DOUBLE)', 8)} AS weight FROM v_edge JOIN v_header h ON h.series_id = child AND h.period = v_edge.period"))
+@query(with_views(*P.HOLD, P.V_FUNDPOS, body=f"SELECT parent AS series_id, v_edge.period, 'FND' || child AS child_ticker, {R('CAST(weight AS DOUBLE)', 8)} AS weight FROM v_edge JOIN v_header h ON h.series_id = child AND h.period = v_edge.period"))
 def snapshot_children(v):
     h = P._header(v, v.holding()).select(*KEYS, F.concat(F.lit("FND"), F.col("series_id").cast("string")).alias("ticker"))
     return sinks.with_children(h, P._edges(v))
@@ -246,7 +246,7 @@ def streamed_harvest(v):
 def streamed_snapshots(v):
     root = workspace(v.spark)
     docs = _Streamed(v, "events").table("events").select(
-        F.col("user_id").alias("ticker"), F.col("ts").alias("filed"), quarter_label(F.col("ts")).alias("quarter"), "value")
+        F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("filed"), quarter_label(F.col("ts")).alias("quarter"), "value")
     jobs.start_snapshots(docs, f"{root}/docs", f"{root}/ck").awaitTermination()
     return v.spark.read.parquet(f"{root}/docs").groupBy("ticker", F.col("quarter").cast("string").alias("quarter")).agg(F.count("*").alias("documents"))
 

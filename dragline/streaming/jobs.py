@@ -48,7 +48,7 @@ def lookup_board(lookups: DataFrame, late: str = "31 days") -> DataFrame:
     Runs in update mode; final rows equal ``ranking.board`` over the same lookups.
     """
     ok = lookups.filter(F.col("hidden_low_bps").isNotNull() & F.col("hidden_high_bps").isNotNull())
-    once = ok.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = ok.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     body = F.struct("hidden_low_bps", "hidden_high_bps", "expense_ratio_bps", "turnover_pct", "dollar_low", "dollar_high", "ts")
     last = once.groupBy("ticker").agg(
         F.count("*").alias("lookup_count"), F.max_by(body, F.struct("ts", "event_id")).alias("b")
