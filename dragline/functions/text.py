@@ -80,9 +80,14 @@ def dollar_amounts(text: Column, context: int = 50) -> Column:
     return F.filter(let(parts, rows), lambda r: r["amount"].isNotNull())
 
 
+def first_match(text: Column, pattern: str, group: int = 1) -> Column:
+    """First match or null, with a single evaluation of the pattern."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def from_first(text: Column, pattern: str) -> Column:
     """The text from the first match of ``pattern`` on; null when it does not occur."""
-    return F.nullif(F.regexp_extract(text, rf"(?i)(?:{pattern})[\s\S]*", 0), F.lit(""))
+    return first_match(text, rf"(?i)(?:{pattern})[\s\S]*", 0)
 
 
 def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...], skip: int = 1000) -> Column:
@@ -91,7 +96,9 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...], skip:
     Patterns are tried in order.  Without an end the section runs to the end of
     the document; nothing is cut to a fixed length.  Null when nothing starts.
     """
-    rest = F.coalesce(*[from_first(text, p) for p in starts])
+
+    def begin(t: Column) -> Column:
+        return F.coalesce(*[from_first(t, p) for p in starts])
 
     def cut(r: Column) -> Column:
         def end(tail: Column) -> Column:
@@ -102,7 +109,7 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...], skip:
 
         return F.concat(F.substring(r, 1, skip), let(F.substring(r, F.lit(skip + 1), F.length(r)), end))
 
-    return let(rest, cut)
+    return let(let(text, begin), cut)
 
 
 # -- tables in markup ----------------------------------------------------------

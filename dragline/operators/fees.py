@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dragline.functions import text as X
-from dragline.functions.expr import rnd
+from dragline.functions.expr import let, rnd
 from dragline.operators.history import synthetic_total
 
 # fixed values ---------------------------------------------------------------
@@ -33,7 +33,7 @@ FEE_FIELDS = (
 )
 ANCHORS = ("annual fund operating expense", "annual operating expense", "fee table")
 REGION = (500, 8000)  # characters before and after the anchor that make up a fee table
-CLASS_WORDS = ("investor", "class i ", "class i ", "class a")
+CLASS_WORDS = ("investor", "class i ", "class i\u00a0", "class a")
 TURNOVER = r"(?is)(?:portfolio\s+turnover|turnover\s+rate).*?(\d+)\s*%"
 LOAD = r"(?is)maximum\s+(?:initial\s+)?sales\s+(?:charge|load).*?(\d+\.?\d*)\s*%"
 CONCEPTS = {
@@ -79,18 +79,19 @@ PROSE_TURNOVER = r"(?i)fund's portfolio turnover rate was\s+([\d.]+)\s*%"
 _PCT = r"(\d+\.?\d*)\s*%"
 
 
-def _found(x: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
+_found = X.first_match
 
 
 def percent_in(text: Column) -> Column:
     """First n%; else a bare number below 100; words and dashes for "none" give null."""
-    t = F.trim(text)
-    bare = _found(t, r"(\d+\.?\d*)").try_cast("double")
-    return F.when(
-        ~F.lower(t).isin("", "none", "n/a", "—", "–", "-"),
-        F.coalesce(_found(t, _PCT).try_cast("double"), F.when(bare < 100, bare)),
-    )
+
+    def read(t: Column) -> Column:
+        bare = let(_found(t, r"(\d+\.?\d*)").try_cast("double"), lambda b: F.when(b < 100, b))
+        return F.when(
+            ~F.lower(t).isin("", "none", "n/a", "—", "–", "-"), F.coalesce(_found(t, _PCT).try_cast("double"), bare)
+        )
+
+    return let(F.trim(text), read)
 
 
 def scaled_percent(fraction: Column) -> tuple[Column, Column]:
@@ -101,11 +102,14 @@ def scaled_percent(fraction: Column) -> tuple[Column, Column]:
 
 def fee_field(label: Column) -> Column:
     """Fee field named by a row label.  Net totals ("... after waiver") are tested before gross ones."""
-    low = F.lower(X.squeeze(F.translate(label, " ", " ")))
-    out = F.when(low.contains(NET_LABEL), "net_expenses")
-    for words, field in LABELS.items():
-        out = out.when(low.contains(words), field)
-    return out
+
+    def named(low: Column) -> Column:
+        out = F.when(low.contains(NET_LABEL), "net_expenses")
+        for words, field in LABELS.items():
+            out = out.when(low.contains(words), field)
+        return out
+
+    return let(F.lower(X.squeeze(F.translate(label, "\u00a0", " "))), named)
 
 
 def _last_values(pairs: Column) -> list[Column]:
@@ -140,9 +144,14 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
 
     The last row of a field wins.  Turnover and sales load are read from the text of the whole document.
     """
-    at = F.coalesce(*[F.nullif(F.locate(a, F.lower(F.col(html))), F.lit(0)) for a in ANCHORS])
-    start = F.greatest(at - REGION[0], F.lit(1))
-    region = F.substring(F.col(html), start, at - start + REGION[1])
+    spot = let(F.lower(F.col(html)), lambda low: F.coalesce(*[
+        F.when(low.contains(a), F.locate(a, low)) for a in ANCHORS]))
+
+    def around(at: Column) -> Column:
+        start = F.greatest(at - REGION[0], F.lit(1))
+        return F.substring(F.col(html), start, at - start + REGION[1])
+
+    region = let(spot, around)
     cells = lambda x: F.transform(X.table_rows(x), lambda r: X.row_cells(r, heads=False))
     d = docs.select(
         key, F.col(ticker).alias("_ticker"), F.col(html).alias("_html"), F.coalesce(cells(region), F.array().cast("array<array<string>>")).alias("_near"),

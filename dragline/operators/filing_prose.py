@@ -105,7 +105,7 @@ def after_boundary(html: Column) -> Column:
     else the introductory phrase, else everything."""
     middle = F.floor(F.length(html) / 2).cast("int")
     late = X.from_first(F.substring(html, middle + 2, F.length(html)), BOUNDARY)
-    last = F.nullif(F.regexp_extract(html, rf"(?i)^[\s\S]*((?:{BOUNDARY})[\s\S]*)", 1), F.lit(""))
+    last = X.first_match(html, rf"(?i)^[\s\S]*((?:{BOUNDARY})[\s\S]*)")
     return F.coalesce(late, last, X.from_first(html, BOUNDARY_PHRASE), html)
 
 

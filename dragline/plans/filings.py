@@ -760,7 +760,7 @@ def _commission_docs(v):
 @query(with_views(V_HOLDING, body="""
 SELECT fund_name, year, count(*) AS rows, CAST(sum(CAST(amount AS DECIMAL(28,2))) AS DOUBLE) AS amount FROM (
   SELECT 'SeriesP' || series_id AS fund_name, 2023 AS year, orderkey + 5000.0 AS amount FROM v_holding WHERE linenumber <= 4 UNION ALL SELECT 'SeriesP' || series_id, 2022, linenumber * 1000 + 0.5 FROM v_holding WHERE linenumber <= 4
-  UNION ALL SELECT 'Series P' || series_id, 2023, CASE WHEN orderkey >= 800 THEN orderkey + 200 ELSE orderkey + 500 END FROM v_holding WHERE linenumber > 4 UNION ALL SELECT 'Series P' || series_id, 2022, 700 FROM v_holding WHERE linenumber > 4 AND orderkey < 800) q GROUP BY 1, 2"""))
+  UNION ALL SELECT 'Series P' || series_id, 2023, CASE WHEN orderkey >= 800 AND orderkey NOT BETWEEN 1820 AND 1830 THEN orderkey + 200 ELSE orderkey + 500 END FROM v_holding WHERE linenumber > 4 UNION ALL SELECT 'Series P' || series_id, 2022, 700 FROM v_holding WHERE linenumber > 4 AND NOT (orderkey >= 800 AND orderkey NOT BETWEEN 1820 AND 1830)) q GROUP BY 1, 2"""))
 def statement_commissions(v):
     docs = _commission_docs(v)
     c = filing_prose.commissions(docs, "doc", "html").join(docs.select("doc", "copies"), "doc")

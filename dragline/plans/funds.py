@@ -333,9 +333,9 @@ def structure_class(v):
     return structure.structure_class(_header(v, v.holding()), sums)
 
 
-@query(with_views(*STRUCT, body=f"SELECT parent, period, child, positions, {R('CAST(weight AS DOUBLE)', 8)} AS weight FROM v_edge"))
+@query(with_views(*STRUCT, body=f"SELECT parent, period, child, positions, CAST(round(weight, 8) AS DOUBLE) AS weight FROM v_edge"))
 def fund_of_funds_edges(v):
-    return _edges(v).withColumn("weight", rnd(dbl("weight"), 8))
+    return _edges(v).withColumn("weight", dbl(F.round("weight", 8)))
 
 
 V_MEMBER = """
@@ -352,10 +352,10 @@ def _members(v):
     return structure.members(roots, e), e
 
 
-@query(with_views(*STRUCT, V_MEMBER, body=f"SELECT root, period, member, depth, paths, {R('CAST(weight AS DOUBLE)', 7)} AS weight FROM v_member"))
+@query(with_views(*STRUCT, V_MEMBER, body=f"SELECT root, period, member, depth, paths, CAST(round(weight, 7) AS DOUBLE) AS weight FROM v_member"))
 def fund_tree_members(v):
     m, _ = _members(v)
-    return m.select("root", "period", "member", "depth", "paths", rnd(dbl("weight"), 7).alias("weight"))
+    return m.select("root", "period", "member", "depth", "paths", dbl(F.round("weight", 7)).alias("weight"))
 
 
 @query(with_views(*STRUCT, V_MEMBER, body="""

@@ -161,7 +161,7 @@ def snapshot_documents(v):
     )
 
 
-@query(with_views(*P.HOLD, P.V_FUNDPOS, body=f"SELECT parent AS series_id, v_edge.period, 'FND' || child AS child_ticker, {R('CAST(weight AS DOUBLE)', 8)} AS weight FROM v_edge JOIN v_header h ON h.series_id = child AND h.period = v_edge.period"))
+@query(with_views(*P.HOLD, P.V_FUNDPOS, body=f"SELECT parent AS series_id, v_edge.period, 'FND' || child AS child_ticker, CAST(round(weight, 8) AS DOUBLE) AS weight FROM v_edge JOIN v_header h ON h.series_id = child AND h.period = v_edge.period"))
 def snapshot_children(v):
     h = P._header(v, v.holding()).select(*KEYS, F.concat(F.lit("FND"), F.col("series_id").cast("string")).alias("ticker"))
     return sinks.with_children(h, P._edges(v))

@@ -61,7 +61,7 @@ def with_children(documents: DataFrame, edges: DataFrame) -> DataFrame:
     """
     child = documents.select(F.col("series_id").alias("child"), "period", F.col("ticker").alias("child_ticker"))
     refs = edges.join(child, ["child", "period"]).select(
-        F.col("parent").alias("series_id"), "period", "child_ticker", rnd(F.col("weight").cast("double"), 8).alias("weight")
+        F.col("parent").alias("series_id"), "period", "child_ticker", F.round("weight", 8).cast("double").alias("weight")
     )
     return refs
 
