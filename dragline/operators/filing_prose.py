@@ -109,11 +109,8 @@ def after_boundary(html: Column) -> Column:
     return F.coalesce(late, last, X.from_first(html, BOUNDARY_PHRASE), html)
 
 
-def _has_any(text: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.lower(text).contains(w)
-    return out
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.lower(text).rlike("|".join(w.replace("(", r"\(").replace(")", r"\)") for w in words))
 
 
 def _tables(docs: DataFrame, key: str, part: Column) -> DataFrame:
@@ -127,10 +124,14 @@ def _tables(docs: DataFrame, key: str, part: Column) -> DataFrame:
 
 
 def _amount(c: Column, report: bool) -> Column:
-    bare = F.trim(F.translate(c, "$, ", ""))
-    v = F.when(~bare.isin("", "—", "-"), bare.try_cast("double"))
-    year_like = (v > 2019) & (v < 2031)
-    return F.when(~year_like, v) if report else F.when(((v > 100) & ~year_like) | (v == 0), v)
+    """Dollar amount of a cell; numbers that look like years are none.  Statements also leave out
+    small numbers, which are percentages."""
+
+    def keep(v: Column) -> Column:
+        year_like = (v > 2019) & (v < 2031)
+        return F.when(~year_like if report else ((v > 100) & ~year_like) | (v == 0), v)
+
+    return let(F.trim(F.translate(c, "$, ", "")).try_cast("double"), keep)
 
 
 def commission_tables(docs: DataFrame, key: str, part: Column, report: bool = False) -> DataFrame:

@@ -64,8 +64,9 @@ def header_of(holdings: DataFrame, fund: DataFrame | None = None) -> DataFrame:
 
 def _measure(basis: str) -> Column:
     """What is added up: reported percents, or dollars that are divided by net assets afterwards."""
-    col = F.col("pct_of_net_assets") if basis == "reported" else F.col("value_usd")
-    return F.coalesce(col.cast(SHARE), F.lit(0).cast(SHARE))
+    if basis == "reported":
+        return F.col("pct_of_net_assets").cast(SHARE)
+    return F.col("value_usd")
 
 
 def _percent(total: Column, net_assets: Column, basis: str) -> Column:
@@ -76,7 +77,7 @@ def asset_class_weights(holdings: DataFrame, header: DataFrame | None = None) ->
     """Weight per asset category.  With ``header`` dollars are summed first and divided once per group."""
     basis = "value" if header is not None else "reported"
     cat = F.coalesce(F.nullif("asset_category", F.lit("")), F.lit("UNKNOWN")).alias("asset_category")
-    sums = holdings.groupBy(*KEYS, cat).agg(F.sum(_measure(basis)).alias("_m"))
+    sums = holdings.groupBy(*KEYS, cat).agg(F.coalesce(F.sum(_measure(basis)), F.lit(0)).alias("_m"))
     if header is None:
         return sums.select(*KEYS, "asset_category", dbl("_m").alias("weight_pct"))
     return sums.join(header, list(KEYS)).select(
@@ -85,29 +86,40 @@ def asset_class_weights(holdings: DataFrame, header: DataFrame | None = None) ->
 
 
 def holding_facts(holdings: DataFrame, basis: str = "value", small_position: float = A.SMALL_POSITION_USD) -> DataFrame:
-    """Every additive holdings measure of the cost model in one pass and one shuffle.
+    """Every additive holdings measure of the cost model from one pass over the positions.
 
-    Weighted spreads, bond share, small-cap share and cash are all sums over
-    positions, so a single map-side-combined aggregation feeds the whole model.
+    The pass adds up a few plain sums per fund, period and category (combined on
+    the map side, so a fund with a third of all rows costs one small row per
+    task).  Spreads depend on the category only and are applied to those sums.
     """
     cat, value = F.col("asset_category"), F.col("value_usd")
-    m = _measure(basis)
-    low = F.coalesce(lookup(cat, A.spread_of_category(0)), F.lit(A.SPREAD_DEFAULT[0])).cast("decimal(6,4)")
-    high = F.coalesce(lookup(cat, A.spread_of_category(1)), F.lit(A.SPREAD_DEFAULT[1])).cast("decimal(6,4)")
-    equity = cat.isin(*A.EQUITY_CATEGORIES) & (value > 0)
+    m = F.col("pct_of_net_assets").cast("decimal(18,8)") if basis == "reported" else value
+    positive = value > 0
     cash = is_cash_like(cat, F.col("name"))
-    valued = value.isNotNull() & (value != 0)
-    unvalued_pct = F.col("pct_of_net_assets").cast(SHARE) if "pct_of_net_assets" in holdings.columns else F.lit(None).cast(SHARE)
-    return holdings.groupBy(*KEYS).agg(
-        F.count("*").alias("n_holdings"),
-        F.sum(m).alias("m_total"),
-        F.sum(m.cast("decimal(24,6)") * low).alias("m_spread_low"),
-        F.sum(m.cast("decimal(24,6)") * high).alias("m_spread_high"),
-        F.sum(F.when(cat.isin(*A.BOND_CATEGORIES), m)).alias("m_bond"),
-        F.sum(F.when(equity, value)).alias("equity_value"),
-        F.sum(F.when(equity & (value < small_position), value)).alias("small_value"),
-        F.sum(F.when(cash & valued, F.abs(value))).alias("cash_value"),
-        F.sum(F.when(cash & ~F.coalesce(valued, F.lit(False)), unvalued_pct)).alias("cash_pct_unvalued"),
+    valued = F.coalesce(value != 0, F.lit(False))
+    has_pct = "pct_of_net_assets" in holdings.columns
+    unvalued_pct = F.col("pct_of_net_assets").cast("decimal(18,8)") if has_pct else F.lit(None).cast("decimal(18,8)")
+    by_category = holdings.groupBy(*KEYS, "asset_category").agg(
+        F.count("*").alias("n"),
+        F.sum(m).alias("m"),
+        F.sum(F.when(positive, value)).alias("long"),
+        F.sum(F.when(positive & (value < small_position), value)).alias("small"),
+        F.sum(F.when(cash & valued, F.abs(value))).alias("cash"),
+        F.sum(F.when(cash & ~valued, unvalued_pct)).alias("cash_pct"),
+    )
+    weight = F.coalesce(F.col("m"), F.lit(0)).cast("decimal(28,8)")
+    side = lambda i: F.coalesce(lookup(cat, A.spread_of_category(i)), F.lit(A.SPREAD_DEFAULT[i])).cast("decimal(6,4)")
+    equity = cat.isin(*A.EQUITY_CATEGORIES)
+    return by_category.groupBy(*KEYS).agg(
+        F.sum("n").alias("n_holdings"),
+        F.sum(weight).alias("m_total"),
+        F.sum(weight * side(0)).alias("m_spread_low"),
+        F.sum(weight * side(1)).alias("m_spread_high"),
+        F.sum(F.when(cat.isin(*A.BOND_CATEGORIES), weight)).alias("m_bond"),
+        F.sum(F.when(equity, F.col("long"))).alias("equity_value"),
+        F.sum(F.when(equity, F.col("small"))).alias("small_value"),
+        F.sum("cash").alias("cash_value"),
+        F.sum("cash_pct").alias("cash_pct_unvalued"),
     )
 
 

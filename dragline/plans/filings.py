@@ -747,7 +747,9 @@ def statement_boundary(v):
 
 def _commission_docs(v):
     """A statement per (fund, order, line): a year-column table, or one row per broker."""
-    li = v.table("lineitem").groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber")).agg(F.count("*").alias("copies"))
+    # parsing is heavy for the bytes it reads: keep all shuffle partitions busy
+    n, keys = int(v.spark.conf.get("spark.sql.shuffle.partitions")), ("l_suppkey", "l_orderkey", "l_linenumber")
+    li = v.table("lineitem").select(*keys).repartition(n, *keys).groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber")).agg(F.count("*").alias("copies"))
     return li.selectExpr(
         "struct(series_id, orderkey, linenumber) as doc", "copies",
         """concat('<p>intro</p>>Statement of Additional Information< The aggregate brokerage commissions paid are as follows ', if(linenumber <= 4,

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dragline.functions.expr import money
+from dragline.scale import spread
+
+LARGE_TABLES = ("lineitem", "documents", "pages")
 
 DERIVATIVE_BY_LINE = {1: "DE", 2: "DFE", 3: "DIR", 4: "DCR", 5: "DCO"}
 CATEGORY_BY_TYPE = {
@@ -28,7 +31,8 @@ class FundViews:
         self.spark, self.path = spark, path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        t = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(t) if name in LARGE_TABLES else t
 
     @cached_property
     def n_funds(self) -> int:
