@@ -29,10 +29,14 @@ class FundViews:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        t = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        return spread(t) if name in LARGE_TABLES else t
+        """A table, with its footer read once per set of views."""
+        if name not in self._tables:
+            t = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            self._tables[name] = spread(t) if name in LARGE_TABLES else t
+        return self._tables[name]
 
     @cached_property
     def n_funds(self) -> int:
