@@ -123,12 +123,16 @@ def holding_facts(holdings: DataFrame, basis: str = "value", small_position: flo
     )
 
 
-def fund_facts(facts: DataFrame, header: DataFrame, basis: str = "value") -> DataFrame:
-    """Ratios from ``holding_facts`` once net assets are known; one row per fund and period."""
+def fund_facts(facts: DataFrame, header: DataFrame | None = None, basis: str = "value") -> DataFrame:
+    """Ratios from ``holding_facts`` once net assets are known; one row per fund and period.
+
+    Net assets come from the filing header, or stand in ``facts`` already.
+    """
+    known = facts if header is None else facts.drop("n_holdings").join(header, list(KEYS))
     nav = F.col("net_assets")
     per = (lambda c: dbl(c) / 100.0) if basis == "reported" else (lambda c: ratio(dbl(c), nav))
     zero = F.lit(0.0)
-    return facts.drop("n_holdings").join(header, list(KEYS)).select(
+    return known.select(
         *KEYS,
         nav.alias("nport_net_assets"),
         "n_holdings",

@@ -40,14 +40,10 @@ def _header(v: FundViews, h: DataFrame) -> DataFrame:
 
 
 def _facts(v: FundViews, small: float = SMALL) -> DataFrame:
-    """Facts and header from one pass: the sum of values is one of the additive measures."""
+    """Facts with net assets from the same pass: the sum of values is one of the additive measures."""
     facts = holdings.holding_facts(v.holding(), small_position=small)
-    header = (
-        facts.select(*KEYS, "n_holdings", dbl("m_total").alias("_v"))
-        .join(v.fund().filter("has_nport").select("series_id", "nav_factor"), "series_id")
-        .select(*KEYS, "n_holdings", (F.col("_v") * F.col("nav_factor")).alias("net_assets"))
-    )
-    return holdings.fund_facts(facts, header)
+    filed = v.fund().filter("has_nport").select("series_id", "nav_factor")
+    return holdings.fund_facts(facts.join(filed, "series_id").withColumn("net_assets", dbl("m_total") * F.col("nav_factor")))
 
 
 def _stated(v: FundViews) -> DataFrame:
