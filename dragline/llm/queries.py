@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragline.llm import exact_dedup, sharding, simhash
+from dragline.llm import decontaminate, exact_dedup, sharding, simhash
 from dragline.llm.shared import documents
 
 
@@ -12,6 +12,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_table(documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leak_table(documents(spark, sf_dir), benchmark)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_table(documents(spark, sf_dir))
 
@@ -20,7 +25,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op8_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
