@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dragline.llm import decontaminate, exact_dedup, sharding, simhash
+from dragline.llm import decontaminate, exact_dedup, sharding, simhash, token_count
 from dragline.llm.shared import documents
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_table(documents(spark, sf_dir))
 
@@ -25,7 +30,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op3_token_count, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
