@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dragline.llm import decontaminate, exact_dedup, sharding, simhash, token_count
+from dragline.llm import decontaminate, exact_dedup, lm_score, sharding, simhash, token_count
 from dragline.llm.shared import documents
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_table(documents(spark, sf_dir))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,7 +34,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_count, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op3_token_count, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
