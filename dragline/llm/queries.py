@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dragline.llm import decontaminate, exact_dedup, lm_score, sharding, simhash, token_count
+from dragline.llm import decontaminate, exact_dedup, lm_score, sharding, simhash, token_count, toxicity
 from dragline.llm.shared import documents
 
 
@@ -17,6 +17,10 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_table(documents(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op3_token_count, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op3_token_count, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
 
 ORACLE = {
     "op8_exact_dedup": r"""

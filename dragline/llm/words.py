@@ -12,7 +12,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20  # bytes hashed at once; a longer text is one block
+_BLOCK = 1 << 20  # bytes hashed at once; only a longer word makes a longer piece
 _rng = np.random.default_rng(7)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -52,21 +52,58 @@ def _table(base: int, n: int) -> np.ndarray:
     return _tables[base]
 
 
-def _block(data: np.ndarray, cuts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, end to end, and where each text begins (one entry more than texts)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    large = column.cast(pa.large_binary())
+    offsets = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1]
+    body = large.buffers()[2]
+    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray):
+    """(begin, bytes, text borders inside) of stretches of about a block that cut no word, however long a text is."""
+    low = 0
+    while low < len(data):
+        size, high = _BLOCK, 0
+        while not high:
+            end = low + size
+            if end >= len(data):
+                high = len(data)
+            elif len(found := np.flatnonzero(parts[data[end - min(size, 4096) : end]])):
+                high = end - min(size, 4096) + int(found[-1]) + 1
+            elif (border := int(offsets[np.searchsorted(offsets, end, side="right") - 1])) > low:
+                high = border
+            size *= 2
+        yield low, data[low:high], offsets[np.searchsorted(offsets, low, side="right") : np.searchsorted(offsets, high)] - low
+        low = high
+
+
+def spans(data: np.ndarray, borders: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a piece begin and end; texts meet at ``borders`` without a separator."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~parts[data]
     begins = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
-    at = cuts[(cuts > 0) & (cuts < len(data))]  # texts meet without a separator
-    torn = at[inside[at] & inside[at + 1]]
+    torn = borders[inside[borders] & inside[borders + 1]]
     begins[torn] = True
     ends[torn] = True
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def running(data: np.ndarray) -> np.ndarray:
+    """Running sums from which ``span_hashes`` takes the hash of any span."""
+    sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_LOWERED[data] * _table(_BASE, len(data))[: len(data)], out=sums[1:])
-        hashes = (sums[last] - sums[first]) * _table(_INVERSE, len(data))[first]
-    return mixed(hashes), np.searchsorted(first, cuts)
+    return sums
+
+
+def span_hashes(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed((sums[last] - sums[first]) * _table(_INVERSE, len(sums))[first])
 
 
 def word_hashes(column: pa.Array, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,18 +111,10 @@ def word_hashes(column: pa.Array, parts: np.ndarray = SPACE) -> tuple[np.ndarray
 
     ``parts``: for each byte value, whether it parts words.  The second array has one entry more than the column.
     """
-    large = column.cast(pa.large_binary())
-    offsets = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1] if len(
-        large) else np.zeros(1, np.int64)
-    body = large.buffers()[2] if len(large) else None
-    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-    found, starts, base, i = [], [np.zeros(1, np.int64)], 0, 0
-    while i < len(large):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BLOCK, side="right")) - 1)
-        piece = data[offsets[i] : offsets[j]]
-        hashes, where = _block(piece, offsets[i : j + 1] - offsets[i], parts)
-        found.append(hashes)
-        starts.append(where[1:] + base)
-        base += len(hashes)
-        i = j
-    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate(starts)
+    data, offsets = column_bytes(column)
+    hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, piece, borders in pieces(data, offsets, parts):
+        first, last = spans(piece, borders, parts)
+        hashes.append(span_hashes(running(piece), first, last))
+        begins.append(first + low)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
