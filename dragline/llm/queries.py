@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dragline.llm import decontaminate, exact_dedup, lm_score, sharding, simhash, token_count, toxicity
+from dragline.llm import decontaminate, exact_dedup, lm_score, sharding, simhash, token_count, toxicity, warc
 from dragline.llm.shared import documents
 
 
@@ -13,6 +13,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_table(documents(spark, sf_dir))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,7 +42,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op3_token_count, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_token_count, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
