@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dragline.llm import decontaminate, exact_dedup, lm_score, sharding, simhash, token_count, toxicity, warc
+from dragline.llm import decontaminate, exact_dedup, line_dedup, lm_score, sharding, simhash, token_count, toxicity, warc
 from dragline.llm.shared import documents
 
 
@@ -42,7 +42,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_token_count, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_token_count, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding, op10_line_dedup)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
