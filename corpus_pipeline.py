@@ -3,17 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dragline.llm import sharding
+from dragline.llm import decontaminate, mixing, sharding, simhash, toxicity
 from dragline.llm.shared import documents, stored
 
+#: Shares of good and poor prose in the mixture.
+QUALITY_SHARES = (0.9, 0.1)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that score as toxic go."""
+    return toxicity.accepted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of near copies the document with the smallest id stays."""
+    return simhash.one_of_each_group(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that hold benchmark passages go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: rows are repeated or left out so that good and poor prose have their shares of the tokens."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("domain"))
+    return mixing.mixed_documents(docs, labels, QUALITY_SHARES)
+
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: deal all rows into shards of equal row counts."""
+    """Operator 9: all rows are dealt into shards of equal row counts; adds shard and slot."""
     return sharding.sharded(docs)
 
 
-STAGES = [("sharding", shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
 #: The stages learn, draw and link; SQL cannot express them (tests/llm holds brute-force versions).
 ORACLE_SQL = None
@@ -22,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dragline.llm import decontaminate, exact_dedup, line_dedup, lm_score, sharding, simhash, token_count, toxicity, warc
+from dragline.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc
 from dragline.llm.shared import documents
 
 
@@ -21,6 +22,16 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Domains of op4: good and plain prose, poor prose, and either kind with abuse; and their shares of the mixture.
+DOMAIN_SHARES = (0.85, 0.13, 0.015, 0.005)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", (2 * F.col("toxic") + 1 - F.col("quality")).alias("domain"))
+    return mixing.rate_table(documents(spark, sf_dir), labels, DOMAIN_SHARES)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -46,7 +57,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_token_count, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup, op9_sharding, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_lm_score, op2_warc, op3_token_count, op4_mixing, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup,
+    op9_sharding, op10_line_dedup)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
