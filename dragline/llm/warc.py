@@ -31,6 +31,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from dragline.llm.shared import new_folder, stored
 from dragline.scale import settle
@@ -178,92 +180,88 @@ class Assembler:
         return self.add(whole[again:]) if again > 0 else []
 
 
-_RECORDS = "content binary, file string, start long, stop long, part string"
+_ASIDE = "file string, start long, part string, rest binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Contents of all records of the archives below ``path``, one row each."""
+def _scanned(spark: SparkSession, path: str, describe, schema: str) -> DataFrame:
+    """What ``describe`` makes of the content of each record below ``path`` (a tuple for ``schema``; None: no row)."""
     raw = spark.read.option("encoding", _LATIN).option("lineSep", MAGIC.decode(_LATIN)).text(path).select(
         F.col("value").cast("binary").alias("bytes"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"))
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    aside = to_arrow_schema(StructType.fromDDL(_ASIDE))
+
+    def table(records: list[bytes], left: list[tuple]) -> pa.RecordBatch:
+        rows = [row for row in map(describe, records) if row is not None]
+        fields = [*kinds, *aside]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        others = list(zip(*left, strict=True)) if left else [()] * len(aside)
+        arrays = [pa.array([*c, *[None] * len(left)], f.type) for c, f in zip(columns, kinds, strict=True)]
+        arrays += [pa.array([*[None] * len(rows), *c], f.type) for c, f in zip(others, aside, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+
+    def rest(now: Assembler, at: tuple) -> list[tuple]:
+        rows = []
+        if now.orphans:
+            rows.append((*at, "remainder", bytes(now.orphans)))
+        if now.open:
+            rows.append((*at, "start", bytes(now.open)))
+        return rows
 
     def run(batches):
         now, at = None, None
-
-        def rest(now, at):
-            rows = []
-            if now.orphans:
-                rows.append((bytes(now.orphans), *at, "tail"))
-            if now.open:
-                rows.append((bytes(now.open), *at, "head"))
-            return rows
-
-        def table(rows):
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["content", "file", "start", "stop", "part"])
-
         for batch in batches:
-            rows = []
-            files, starts, lengths = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            for data, file, start, length in zip(batch.column(0), files, starts, lengths, strict=True):
-                first = (file, start, start + length) != at
+            whole, left = [], []
+            files, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for data, file, start in zip(batch.column(0), files, starts, strict=True):
+                first = (file, start) != at
                 if first:
                     if now:
-                        rows += rest(now, at)
-                    at, now = (file, start, start + length), Assembler(leads=start > 0)
-                body = data.as_py()
-                if first and start == 0:
-                    if body:  # before the first magic of a file
-                        now.add(body)
-                    continue
-                rows += [(c, *at, "record") for c in now.add(MAGIC + body)]
-            yield table(rows)
+                        left += rest(now, at)
+                    at, now = (file, start), Assembler(leads=start > 0)
+                    if start == 0:  # what stands before the first magic of a file
+                        continue
+                whole += now.add(MAGIC + data.as_py())
+            yield table(whole, left)
         if now:
-            yield table(rest(now, at))
+            yield table([], rest(now, at))
 
-    found = stored(raw.mapInArrow(run, _RECORDS), "warc-read")
+    found = stored(raw.mapInArrow(run, f"{schema}, {_ASIDE}"), "warc-read")
 
-    def join(table: pa.Table) -> pa.Table:
-        pieces = sorted(zip(*(table[c].to_pylist() for c in ("start", "part", "content")), strict=True),
-                        key=lambda x: (x[0], x[1] == "head"))
-        whole, now = [], None
-        for _, _, content in pieces:
-            now = now or Assembler(leads=False)
+    def join(cut: pa.Table) -> pa.Table:
+        parts = sorted(zip(*(cut[c].to_pylist() for c in ("start", "part", "rest")), strict=True),
+                       key=lambda x: (x[0], x[1] == "start"))
+        now, whole = Assembler(leads=False), []
+        for _, _, content in parts:
             whole += now.add(content)
-        return pa.table({"content": pa.array(whole, pa.binary())})
+        return pa.Table.from_batches([table(whole, [])]).select(kinds.names)
 
-    cut = found.filter("part <> 'record'").groupBy("file").applyInArrow(join, "content binary")
-    return found.filter("part = 'record'").select("content").unionByName(cut)
+    torn = found.filter("part IS NOT NULL").groupBy("file").applyInArrow(join, schema)
+    return found.filter("part IS NULL").select(*kinds.names).unionByName(torn)
 
 
-def parsed_pages(records: DataFrame, page_type: str = "bigint") -> DataFrame:
-    """Of each record: page_id, payload_bytes, payload_digest, record_type, refers_to, intact."""
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Contents of all records of the archives below ``path``, one row each."""
+    return _scanned(spark, path, lambda content: (content,), "content binary")
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for content in batch.column(0):
-                fields = parse_record(content.as_py())
-                if fields is None:
-                    continue
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                length = int(fields["http-length"])
-                intact = fields["warc-type"] != "response" or (
-                    len(fields["payload"]) == length and payload_digest(fields["payload"]) == digest)
-                rows.append((fields.get("x-page-id"), length, digest, fields["warc-type"],
-                             fields.get("x-refers-to-page-id"), intact))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
-
-    rows = records.select("content").mapInArrow(
-        run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
-             "intact boolean")
+
+_PAGES = ("page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
+          "intact boolean")
+
+
+def _page(content: bytes) -> tuple | None:
+    fields = parse_record(content)
+    if fields is None or "warc-payload-digest" not in fields:
+        return None
+    digest, length = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["http-length"])
+    intact = fields["warc-type"] != "response" or (
+        len(fields["payload"]) == length and payload_digest(fields["payload"]) == digest)
+    return (fields.get("x-page-id"), length, digest, fields["warc-type"], fields.get("x-refers-to-page-id"), intact)
+
+
+def read_pages(spark: SparkSession, path: str, page_type: str = "bigint") -> DataFrame:
+    """Of each record: page_id, payload_bytes, payload_digest, record_type, refers_to, intact (payload fits its digest)."""
+    rows = _scanned(spark, path, _page, _PAGES)
     return rows.withColumns({c: F.col(c).cast(page_type) for c in ("page_id", "refers_to")})
 
 
@@ -271,4 +269,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write the archives of a table of pages to the shared folder, read them back and describe every record."""
     path = new_folder(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return parsed_pages(read_records(pages.sparkSession, path), pages.schema["page_id"].dataType.simpleString())
+    return read_pages(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())
