@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def arrow_batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Hand Python tasks batches of about ``size`` while the jobs inside run (batches also end at a number of rows)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def part_of(at: str) -> Column:
     return F.shiftright(at, POSITION_BITS)
 
