@@ -11,7 +11,8 @@ candidate member.  A candidate is validated by inflating its first bytes, which
 inside compressed data fails there and its bytes belong to the record before.  Where such false magic falls next to a
 border of ranges, the beginning of a record and its remainder lie in different tasks: both are set aside, brought
 together by file and put in order of their ranges.  That happens about once in 2^24 bytes; a file's leftovers are the
-records it cuts, not the file.
+records it cuts, not the file.  (A payload that holds whole gzipped WARC records, stored without compression, cannot be
+told from records by any reader of ranges.)
 
 Files must not be named ``*.gz``, for Spark would unpack these itself before any range is read.
 
@@ -131,53 +132,57 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 # ---- reading
 
-def inflate(data: bytes) -> tuple[str, bytes]:
-    """("whole", content) of a gzip member, ("more", b"") if it goes on beyond ``data``, ("not", b"") if it is no record.
-
-    Only a record's version line counts as valid; an empty member is whole and empty.
-    """
-    unpack = zlib.decompressobj(31)
-    try:
-        head = unpack.decompress(data, len(_VERSION))
-        if head and not _VERSION.startswith(head[: len(_VERSION)]):
-            return "not", b""
-        content = head + unpack.decompress(unpack.unconsumed_tail)
-    except zlib.error:
-        return "not", b""
-    return ("whole", content) if unpack.eof else ("more", b"")
+class Member:
+    """A gzip member that is inflated as its bytes come in."""
+
+    def __init__(self) -> None:
+        self.unpack, self.content, self.raw = zlib.decompressobj(31), bytearray(), bytearray()
+
+    def add(self, data: bytes) -> str:
+        """"whole", "more" (it goes on beyond ``data``) or "not" (no record: only a version line may come first)."""
+        self.raw += data
+        try:
+            if len(self.content) < len(_VERSION):  # validate by the first bytes before the rest is inflated
+                self.content += self.unpack.decompress(data, len(_VERSION) - len(self.content))
+                data = self.unpack.unconsumed_tail
+            if not _VERSION.startswith(self.content[: len(_VERSION)]):
+                return "not"
+            self.content += self.unpack.decompress(data)
+        except zlib.error:
+            return "not"
+        if self.unpack.unused_data:  # a member ends where the next one's magic begins
+            return "not"
+        return "whole" if self.unpack.eof else "more"
 
 
 class Assembler:
-    """Puts a range's fragments (each begins with magic, but perhaps the first) together into members."""
+    """Puts a range's fragments (each begins with magic) together into records."""
 
     def __init__(self, leads: bool) -> None:
-        self.open: bytearray | None = None  # a record that goes on
-        self.leads = leads  # nothing valid has begun yet: fragments may belong to the range before
+        self.open: Member | None = None  # a record that goes on
+        self.leads = leads  # no record has begun yet: fragments may belong to the range before
         self.orphans = bytearray()
 
-    def add(self, fragment: bytes):
+    def add(self, fragment: bytes) -> list[bytes]:
         """Contents that this fragment completes."""
-        if self.open is None:
-            state, content = inflate(fragment)
-            if state == "whole":
-                self.leads = False
-                return [content] if content else []
-            if state == "more":
-                self.leads = False
-                self.open = bytearray(fragment)
-            elif self.leads:
-                self.orphans += fragment
-            return []
-        self.open += fragment
-        state, content = inflate(bytes(self.open))
+        member = self.open or Member()
+        state = member.add(fragment)
+        if len(member.content) >= len(_VERSION) and state != "not":
+            self.leads = False
         if state == "more":
+            self.open = member
             return []
-        whole, self.open = bytes(self.open), None
-        if state == "whole":
-            return [content]
-        # broken data: what follows its first magic is looked at anew
-        again = whole.find(MAGIC, 1)
-        return self.add(whole[again:]) if again > 0 else []
+        self.open = None
+        if state == "whole" and (member.content or not self.leads):
+            return [bytes(member.content)] if member.content else []
+        # no record after all: its first fragment goes, what follows is looked at anew
+        again = bytes(member.raw).find(MAGIC, 1) if len(member.raw) > len(fragment) else -1
+        if self.leads:  # an empty member, too, may be bytes of the record before
+            self.orphans += member.raw[:again] if again > 0 else member.raw
+        done = []
+        for piece in bytes(member.raw[again:]).split(MAGIC)[1:] if again > 0 else []:
+            done += self.add(MAGIC + piece)
+        return done
 
 
 _ASIDE = "file string, start long, part string, rest binary"
@@ -205,7 +210,7 @@ def _scanned(spark: SparkSession, path: str, describe, schema: str) -> DataFrame
         if now.orphans:
             rows.append((*at, "remainder", bytes(now.orphans)))
         if now.open:
-            rows.append((*at, "start", bytes(now.open)))
+            rows.append((*at, "start", bytes(now.open.raw)))
         return rows
 
     def run(batches):
@@ -233,7 +238,8 @@ def _scanned(spark: SparkSession, path: str, describe, schema: str) -> DataFrame
                        key=lambda x: (x[0], x[1] == "start"))
         now, whole = Assembler(leads=False), []
         for _, _, content in parts:
-            whole += now.add(content)
+            for piece in content.split(MAGIC)[1:]:
+                whole += now.add(MAGIC + piece)
         return pa.Table.from_batches([table(whole, [])]).select(kinds.names)
 
     torn = found.filter("part IS NOT NULL").groupBy("file").applyInArrow(join, schema)
