@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dragline.llm.shared import stored, unused
+from dragline.llm.shared import content_keys, unused
 from dragline.llm.words import PUNCTUATION, mixed, word_hashes
 from dragline.scale import settle
 
@@ -203,10 +203,10 @@ def leak_table(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         F.col("id").alias(key), F.col("item").alias("item_id"), "item_words", "matched_words", "overlap_words", "first_word")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that overlap with no benchmark item, with all their columns."""
-    at = unused(docs, "at")
-    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "decontaminate")
-    found = overlaps(
-        rows.select(F.col(at).alias("id"), F.col(at).alias("at"), _lowered(text).alias("body")), benchmark)
-    return rows.join(settle(found.select(F.col("at").alias(at)).distinct()), at, "left_anti").drop(at)
+    a, b = unused(docs, "key_a"), unused(docs, "key_b")
+    one, two = content_keys(key, text)
+    found = overlaps(docs.select(two.alias("id"), one.alias("at"), _lowered(text).alias("body")), benchmark)
+    leaks = settle(found.select(F.col("at").alias(a), F.col("id").alias(b)).distinct())
+    return docs.withColumns({a: one, b: two}).join(leaks, [a, b], "left_anti").select(*docs.columns)

@@ -6,11 +6,11 @@ shape features, so the model sees only words it was not counted on.  Every docum
 
 **Rates.**  Document i has n_i tokens (words) and posterior p_i; rates r_i >= 0 shall make the expected domain totals
 sum_i r_i n_i p_i equal the targets.  Projected gradient descent minimises the squared distance, measured by the inverse
-of M = sum_i n_i p_i p_i' (the totals' own scale, for which step length 1 is safe), from r = 1.  Each step is one
+of M = sum_i n_i p_i p_i' (the totals' own scale, for which step length 1 is safe), from r = 1, with momentum.  Each step is one
 aggregation: a document's rate follows from its posterior and the gradients so far, which are short vectors, so no rate
 is stored and nothing but one sum a partition reaches the driver.
 
-A rate is realised as floor(rate + u) copies, u uniform by a hash of the id and the row.
+A rate is realised as floor(rate + u) copies, u uniform by a hash of id and text.
 
 The training sample is at most about ``TRAIN_ROWS`` labelled rows, by hash of the id (all where there are fewer).
 Defined cases: null and empty texts have no tokens, weigh nothing in the totals and get a rate like any other; null ids
@@ -35,7 +35,7 @@ from dragline.scale import settle
 
 TRAIN_ROWS = 100_000
 SLOTS = 1 << 18
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 100, 1e-5
 _SLOT = np.uint64(64 - 18)
 _SHAPES = 8
 _UPPER, _DIGIT, _LINE = (np.array([a <= c <= b for c in range(256)]) for a, b in ((65, 90), (48, 57), (10, 10)))
@@ -191,7 +191,7 @@ def train(rows: DataFrame, labels: DataFrame, k: int) -> Classifier:
 
 
 def posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
-    """(id, at, n, p) for rows of id, at and body."""
+    """(id, even, n, p) for rows of id, even and body."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -202,10 +202,10 @@ def posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
                 p = shared.value.posteriors(x)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))],
-                    names=["id", "at", "n", "p"])
+                    names=["id", "even", "n", "p"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return settle(rows.select("id", "at", "body").mapInArrow(run, f"id {kind}, at long, n long, p array<double>"))
+    return settle(rows.select("id", "even", "body").mapInArrow(run, f"id {kind}, even double, n long, p array<double>"))
 
 
 # ---- rates
@@ -214,15 +214,15 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, k)
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after projected steps along the given gradients, from 1."""
-    r = np.ones(len(p))
-    for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, float]], ahead: float = 0.0) -> np.ndarray:
+    """Rates after projected steps (a gradient, and the momentum it was taken with) from 1; ``ahead``: of the next step."""
+    r = before = np.ones(len(p))
+    for gradient, momentum in steps:
+        r, before = np.maximum(0.0, r + momentum * (r - before) - p @ gradient), r
+    return r + ahead * (r - before)
 
 
-def _sums(members: DataFrame, k: int, steps: list[np.ndarray], squares: bool) -> np.ndarray:
+def _sums(members: DataFrame, k: int, steps: list, ahead: float, squares: bool = False) -> np.ndarray:
     """sum n r p, or with ``squares`` sum n p p' instead, added up in the order of partitions."""
 
     def run(batches):
@@ -230,7 +230,7 @@ def _sums(members: DataFrame, k: int, steps: list[np.ndarray], squares: bool) ->
         for batch in batches:
             if batch.num_rows:
                 n, p = batch.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(batch.column(1), k)
-                total += (p.T @ (p * n[:, None])).ravel() if squares else (n * rates_of(p, steps)) @ p
+                total += (p.T @ (p * n[:, None])).ravel() if squares else (n * rates_of(p, steps, ahead)) @ p
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
 
     parts = members.select("n", "p").mapInArrow(run, "total array<double>").select("total", F.spark_partition_id()).collect()
@@ -239,58 +239,86 @@ def _sums(members: DataFrame, k: int, steps: list[np.ndarray], squares: bool) ->
     return np.array([math.fsum(part[i] for part in ordered) for i in range(size)])
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
-    """Gradient steps whose rates bring the expected domain totals to ``targets`` (tokens)."""
+def fit_rates(members: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Steps whose rates bring the expected domain totals to ``targets`` (tokens).
+
+    Steps run ahead with growing momentum, which starts anew when the distance has grown.
+    """
     k = len(targets)
-    square = _sums(members, k, [], True).reshape(k, k)
+    square = _sums(members, k, [], 0.0, squares=True).reshape(k, k)
     scale = max(float(np.trace(square)), 1.0)
     inverse = np.linalg.inv(square + 1e-9 * scale * np.eye(k))
-    steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        away = _sums(members, k, steps, False) - targets
+    steps, age, last = [], 0, math.inf
+    while len(steps) < STEPS:
+        momentum = age / (age + 3)
+        away = _sums(members, k, steps, momentum) - targets
+        distance = float(away @ inverse @ away)
+        if distance > last and age:
+            age = 0
+            continue
         if np.abs(away).max() <= TOLERANCE * max(float(targets.sum()), 1.0):
+            if momentum:
+                steps.append((np.zeros(k), momentum))
             break
-        steps.append(inverse @ away)
+        steps.append((inverse @ away, momentum))
+        age, last = age + 1, distance
     return steps
 
 
-def rated(rows: DataFrame, labels: DataFrame, shares: tuple[float, ...], tokens: float | None = None) -> DataFrame:
-    """(id, at, n, p, rate, copies): rates that give domain k the share ``shares[k]`` of ``tokens`` (default: as now)."""
+def _even(key: Column, text: Column) -> Column:
+    """A number in [0, 1) from a row's id and text."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("copies"), text), 11) / F.lit(float(1 << 53))
+
+
+def _fitted(rows: DataFrame, labels: DataFrame, shares: tuple[float, ...], tokens: float | None):
     k = len(shares)
-    members = posteriors(rows, train(rows, labels, k))
+    model = train(rows, labels, k)
+    members = posteriors(rows, model)
     if tokens is None:
         tokens = float(members.agg(F.sum("n")).first()[0] or 0)
-    steps = fit_rates(members, tokens * np.array(shares) / sum(shares))
+    return model, members, fit_rates(members, tokens * np.array(shares) / sum(shares))
 
-    def run(batches):
-        for batch in batches:
-            r = rates_of(_matrix(batch.column(3), k), steps) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=["id", "at", "n", "p", "rate"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    out = members.select("id", "at", "n", "p").mapInArrow(run, f"id {kind}, at long, n long, p array<double>, rate double")
-    even = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("at").cast("string")), F.lit(
-        "copies")), 11) / F.lit(float(1 << 53))
-    return out.withColumn("copies", F.floor(F.col("rate") + even).cast("int"))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), _even(F.col(key), F.col(text)).alias("even"),
+                       F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
 
-def _rows(docs: DataFrame, key: str, text: str, at: Column) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), at.alias("at"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+def rate_table(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], tokens: float | None = None,
+               key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: n_tokens, posterior (array), rate and copies.
 
+    ``labels``: doc_id and domain (from 0).  Domain k gets the share ``shares[k]`` of ``tokens`` (default: as many as now).
+    """
+    _, members, steps = _fitted(_rows(docs, key, text), labels, shares, tokens)
 
-def rate_table(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], key: str = "doc_id",
-               text: str = "text") -> DataFrame:
-    """One row per document: n_tokens, posterior (array), rate and copies.  ``labels``: doc_id, domain (from 0)."""
-    found = rated(_rows(docs, key, text, F.monotonically_increasing_id()), labels, shares)
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), "rate", "copies")
+    def run(batches):
+        for batch in batches:
+            r = rates_of(_matrix(batch.column(3), len(shares)), steps) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=["id", "even", "n", "p", "rate"])
 
+    kind = members.schema["id"].dataType.simpleString()
+    out = members.select("id", "even", "n", "p").mapInArrow(
+        run, f"id {kind}, even double, n long, p array<double>, rate double")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), "rate",
+                      F.floor(F.col("rate") + F.col("even")).cast("int").alias("copies"))
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], key: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], tokens: float | None = None,
+                    key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each row as many times as its rate realises."""
-    at, copies = unused(docs, "at"), unused(docs, "copies")
-    numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()), "mixing")
-    found = rated(_rows(numbered, key, text, F.col(at)), labels, shares)
-    times = found.filter("copies > 0").select(F.col("at").alias(at), F.col("copies").alias(copies))
-    return numbered.join(times, at).withColumn(
-        copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    model, _, steps = _fitted(_rows(docs, key, text), labels, shares, tokens)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    even, body, kept = unused(docs, "even"), unused(docs, "body"), docs.columns
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                x, _ = features(batch.column(batch.num_columns - 1), shared.value.odds)
+                rate = rates_of(shared.value.posteriors(x), steps)
+                copies = np.floor(rate + batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)).astype(np.int64)
+                yield batch.select(kept).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
+
+    filled = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return docs.withColumns({even: _even(F.col(key), F.col(text)), body: filled}).mapInArrow(run, docs.schema)

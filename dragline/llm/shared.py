@@ -47,6 +47,14 @@ def arrow_batches_of(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def content_keys(key: str, text: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's id and text.
+
+    They name a row whichever scan reads it; rows that share them have the same id and text.
+    """
+    return F.xxhash64(F.col(key), F.lit("id"), F.col(text)), F.xxhash64(F.col(text), F.lit("text"), F.col(key))
+
+
 def part_of(at: str) -> Column:
     return F.shiftright(at, POSITION_BITS)
 

@@ -22,11 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dragline.llm.components import roots
-from dragline.llm.shared import stored, unused
+from dragline.llm.shared import content_keys, unused
 from dragline.scale import settle
 
 TAU = 3
@@ -54,16 +54,17 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``id``, ``at`` and ``fp`` (long) for rows of ``id``, ``at`` and a text column."""
+    """``docs`` with the text replaced by ``fp``, its fingerprint as a long."""
+    others = [c for c in docs.columns if c != text]
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t or b"") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "at", "fp"])
+            fps = [fingerprint(t or b"") for t in batch.column(len(others)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=[*others, "fp"])
 
-    rows = docs.select("id", "at", F.col(text).cast("binary").alias("body"))
-    return rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, at long, fp long")
+    rows = docs.select(*others, F.col(text).cast("binary").alias(text))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    return rows.mapInArrow(run, f"{schema}, fp long")
 
 
 def _bits(x: Column, start: int, length: int) -> Column:
@@ -122,25 +123,27 @@ def components(hashed: DataFrame) -> DataFrame:
 
 def component_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the key, its fingerprint (16 hex digits) and component_id."""
-    named = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), F.col(text).alias("body"))
-    hashed = settle(fingerprints(named, "body").select("id", "fp"))
+    hashed = settle(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "body"))
     return hashed.join(components(hashed), "fp").select(
         F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay: of each component the row with the smallest id, all columns."""
-    at = unused(docs, "at")
-    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "simhash")
-    named = rows.select(F.col(key).alias("id"), F.col(at).alias("at"), F.col(text).alias("body"))
+    a, b, place = (unused(docs, c) for c in ("key_a", "key_b", "place"))
+    one, two = content_keys(key, text)
+    named = docs.select(F.col(key).alias("id"), one.alias("a"), two.alias("b"), F.col(text).alias("body"))
     hashed = settle(fingerprints(named, "body"))
     # the first row of each fingerprint, then of each component: both minima combine before the shuffle
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "at")
-    first = hashed.groupBy("fp").agg(F.min(order).alias("first"))
-    joined = roots(links(hashed.select("fp").distinct()))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")
+    first = settle(hashed.groupBy("fp").agg(F.min(order).alias("first")))
+    joined = roots(links(first.select("fp")))
     stay = (
         first.join(joined, first["fp"] == joined["node"], "left")
         .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-        .select(F.col("first.at").alias(at))
+        .select(F.col("first.a").alias(a), F.col("first.b").alias(b))
     )
-    return rows.join(stay, at, "left_semi").drop(at)
+    rows = docs.withColumns({a: one, b: two}).join(stay, [a, b], "left_semi")
+    # of rows that repeat id and text, one
+    in_order = Window.partitionBy(a, b).orderBy(a)
+    return rows.withColumn(place, F.row_number().over(in_order)).filter(F.col(place) == 1).select(*docs.columns)
