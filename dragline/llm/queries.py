@@ -62,6 +62,23 @@ QUERIES = {f.__name__: f for f in (
     op9_sharding, op10_line_dedup)}
 
 ORACLE = {
+    "op2_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+          FROM pages),
+        g AS (
+          SELECT *, max(page_id) OVER (PARTITION BY hex) AS keeper,
+                 array_to_string(list_transform(range(1, 41), lambda k: right(bin(
+                   16 + strpos('0123456789abcdef', substr(hex, k, 1)) - 1), 4)), '') AS bits
+          FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+                 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+                 + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+                 + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS intact
+        FROM g""",
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
