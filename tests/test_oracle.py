@@ -12,6 +12,8 @@ if not pathlib.Path(SF).exists():
 import __spark_entry__ as entry
 from compare import check, duck
 
+from dragline.plans import registry
+
 QUICK = (
     "asset_class_weights", "geography_summary", "derivative_summary", "fund_and_direct_holdings", "structure_class",
     "fund_cost", "cost_components", "ledger_ranking", "worst_cost_board", "fee_changes", "portfolio_validation",
@@ -19,7 +21,7 @@ QUICK = (
     "name_resolution", "fee_tables", "tagged_fees", "readability", "merger_classification", "stage_ledger",
     "streamed_board", "streamed_harvest",
 )
-NAMES = sorted(entry.queries()) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = sorted(registry.QUERIES) if os.environ.get("ALL_QUERIES") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +36,7 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
 def test_entry_runs(spark):
