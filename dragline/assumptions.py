@@ -108,7 +108,6 @@ HORIZONS = (10, 20, 30)
 WEIGHT_TOLERANCE_PCT = 2.0
 DOLLAR_IMPACT = (100_000.0, 20, 7.0)  # investment, years, gross return in percent
 
-BOARD_CAP = 1000
 
 SCORECARD_WEIGHTS = {
     "soft_dollar_intensity": 15.0,

@@ -90,15 +90,18 @@ def from_first(text: Column, pattern: str) -> Column:
     return first_match(text, rf"(?i)(?:{pattern})[\s\S]*", 0)
 
 
-def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...], skip: int = 1000) -> Column:
-    """From the first start pattern that occurs to the first end pattern that occurs ``skip`` characters later.
+def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Column:
+    """From the first start pattern that occurs to the first end pattern that occurs behind it.
 
     Patterns are tried in order.  Without an end the section runs to the end of
     the document; nothing is cut to a fixed length.  Null when nothing starts.
     """
 
     def begin(t: Column) -> Column:
-        return F.coalesce(*[from_first(t, p) for p in starts])
+        return F.coalesce(*[
+            let(from_first(t, p), lambda r, p=p: F.when(
+                r.isNotNull(), F.struct(r.alias("rest"), F.length(F.regexp_extract(r, rf"(?i)^(?:{p})", 0)).alias("skip"))))
+            for p in starts])
 
     def cut(r: Column) -> Column:
         def end(tail: Column) -> Column:
@@ -107,7 +110,8 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...], skip:
             ]
             return F.substring(tail, F.lit(1), F.coalesce(*hits, F.length(tail)))
 
-        return F.concat(F.substring(r, 1, skip), let(F.substring(r, F.lit(skip + 1), F.length(r)), end))
+        rest, skip = r["rest"], r["skip"]
+        return F.concat(F.substring(rest, F.lit(1), skip), let(F.substring(rest, skip + 1, F.length(rest)), end))
 
     return let(let(text, begin), cut)
 

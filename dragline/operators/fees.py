@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dragline.functions import text as X
@@ -32,7 +32,6 @@ FEE_FIELDS = (
     "net_expenses",
 )
 ANCHORS = ("annual fund operating expense", "annual operating expense", "fee table")
-REGION = (500, 8000)  # characters before and after the anchor that make up a fee table
 CLASS_WORDS = ("investor", "class i ", "class i\u00a0", "class a")
 TURNOVER = r"(?is)(?:portfolio\s+turnover|turnover\s+rate).*?(\d+)\s*%"
 LOAD = r"(?is)maximum\s+(?:initial\s+)?sales\s+(?:charge|load).*?(\d+\.?\d*)\s*%"
@@ -126,8 +125,10 @@ def _pairs(rows: Column, field, value) -> Column:
 
 
 def _class_column(rows: Column, ticker: Column) -> Column:
-    """Column of the wanted share class: the last heading row among the first five decides."""
-    texts = F.transform(F.slice(rows, 1, 5), lambda r: F.filter(r, lambda c: c != ""))
+    """Column of the wanted share class: the last heading row above the first row of figures decides."""
+    figures = F.array_position(F.transform(rows, lambda r: F.exists(r, lambda c: c.rlike(r"\d\s*%"))), F.lit(True))
+    above = F.when(figures > 0, figures - 1).otherwise(F.size(rows)).cast("int")
+    texts = F.transform(F.slice(rows, F.lit(1), above), lambda r: F.filter(r, lambda c: c != ""))
     joined = lambda r: F.lower(F.concat_ws(" ", r))
     heads = F.filter(texts, lambda r: (F.size(r) >= 2) & ~joined(r).rlike("management|distribution|expense|fee"))
     head = F.try_element_at(heads, F.lit(-1))
@@ -140,18 +141,24 @@ def _class_column(rows: Column, ticker: Column) -> Column:
 
 
 def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
-    """Fees from a table near a fee-table heading; failing that, from two-cell rows anywhere.
+    """Fees from the table that holds a fee-table heading or follows it, to its end; failing that, from two-cell rows
+    anywhere.
 
     The last row of a field wins.  Turnover and sales load are read from the text of the whole document.
     """
-    spot = let(F.lower(F.col(html)), lambda low: F.coalesce(*[
-        F.when(low.contains(a), F.locate(a, low)) for a in ANCHORS]))
 
-    def around(at: Column) -> Column:
-        start = F.greatest(at - REGION[0], F.lit(1))
-        return F.substring(F.col(html), start, at - start + REGION[1])
 
-    region = let(spot, around)
+    def around(low: Column) -> Column:
+        at = F.coalesce(*[F.when(low.contains(a), F.instr(low, a)) for a in ANCHORS])
+        before = F.substring(low, F.lit(1), at - 1)
+        opened = F.substring_index(before, "<table", -1)
+        inside = before.contains("<table") & ~opened.contains("</table>")
+        start = F.when(inside, at - F.length(opened) - len("<table")).otherwise(at)
+        length = F.instr(F.substring(low, at, F.length(low)), "</table>")
+        end = F.when(length > 0, at + length + len("</table>")).otherwise(F.length(low) + 1)
+        return F.substring(F.col(html), start, end - start)
+
+    region = let(F.lower(F.col(html)), around)
     cells = lambda x: F.transform(X.table_rows(x), lambda r: X.row_cells(r, heads=False))
     d = docs.select(
         key, F.col(ticker).alias("_ticker"), F.col(html).alias("_html"), F.coalesce(cells(region), F.array().cast("array<array<string>>")).alias("_near"),
@@ -161,7 +168,7 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
     def label(r: Column) -> Column:
         first = F.get(r, F.lit(0))
         whole = F.concat_ws(" ", F.filter(r, lambda c: ~F.trim(c).rlike(r"^\d+\.?\d*\s*%$")))
-        split = ~first.rlike(r"^[\*†\(\d]") & (F.length(first) < 60)
+        split = ~first.rlike(r"^[\*†\(\d]")
         return F.coalesce(fee_field(first), F.when(split, fee_field(whole)))
 
     def value(r: Column) -> Column:
@@ -219,12 +226,13 @@ def class_table_fees(docs: DataFrame, key: str, html: str, class_name: str) -> D
     """Fees of one share class from blocks with one column per class.
 
     A block runs from "Share class:" to the next one and must show management
-    fees near its head; the net total below the gross total belongs to it.
+    fees before its first figure; the net total below the gross total belongs to it.
     """
     label = F.regexp_replace(F.trim(class_name), r"(?i)^class\s+", "")
     text = X.plain_text(F.col(html), "class_table")
     blocks = F.filter(
-        F.split(text, r"(?=Share class:\s)"), lambda b: b.startswith("Share class:") & F.substring(b, 1, 200).contains("Management fees")
+        F.split(text, r"(?=Share class:\s)"), lambda b: b.startswith("Share class:")
+        & F.regexp_extract(b, r"(?s)^(.*?)(?:\d+\.\d+|$)", 1).contains("Management fees"),
     )
     d = docs.select(key, label.alias("_label"), F.posexplode(blocks).alias("block", "b")).withColumn(
         "labels", F.filter(F.split(F.regexp_extract("b", r"Share class:\s+(.+?)\s+Management fees", 1), r"\s+"), lambda x: x != "")
@@ -287,7 +295,9 @@ def tagged_fees(facts: DataFrame, key: str = "accession_no") -> DataFrame:
         key, series.alias("series_id"), cls.alias("class_id"), name.alias("_name"), rank.alias("_rank"), number.alias("_v"),
         F.col("position").alias("_at"),
     ).filter("series_id IS NOT NULL AND class_id IS NOT NULL AND _rank IS NOT NULL AND _v IS NOT NULL")
-    pick = lambda concept: F.min_by("_v", F.when(F.col("_name") == concept, F.struct("_rank", "_at")))
+    # one long carries the order, so the aggregation can hash: taxonomy first, then place
+    order = F.col("_rank").cast("long") * (1 << 40) + F.col("_at")
+    pick = lambda concept: F.min_by("_v", F.when(F.col("_name") == concept, order))
     wide = rows.filter(F.col("_name").isin(*CONCEPTS)).groupBy(key, "series_id", "class_id").agg(
         *[pick(c).alias(f"_{f}") for c, f in CONCEPTS.items()]
     )
@@ -297,16 +307,15 @@ def tagged_fees(facts: DataFrame, key: str = "accession_no") -> DataFrame:
     ).filter("management_fee IS NOT NULL OR total_annual_expenses IS NOT NULL")
 
 
-def first_with_facts(filings: DataFrame, fees: DataFrame, depth: int = 15) -> DataFrame:
-    """Newest filing with facts for a class, among the newest ``depth`` filings of its series.
+def first_with_facts(filings: DataFrame, fees: DataFrame) -> DataFrame:
+    """Newest filing with facts for each class, however far back it lies.
 
     ``filings`` is (series_id, accession_no, filing_date).
     """
-    w = Window.partitionBy("series_id").orderBy(F.col("filing_date").desc(), F.col("accession_no").desc())
-    recent = filings.withColumn("depth", F.row_number().over(w)).filter(F.col("depth") <= depth)
-    hits = recent.join(fees, ["series_id", "accession_no"])
+    hits = filings.join(fees, ["series_id", "accession_no"])
     cols = [c for c in hits.columns if c not in ("series_id", "class_id")]
-    return hits.groupBy("series_id", "class_id").agg(F.min_by(F.struct(*cols), "depth").alias("f")).select("series_id", "class_id", "f.*")
+    newest = F.max_by(F.struct(*cols), F.struct("filing_date", "accession_no"))
+    return hits.groupBy("series_id", "class_id").agg(newest.alias("f")).select("series_id", "class_id", "f.*")
 
 
 # -- choosing a source ---------------------------------------------------------------

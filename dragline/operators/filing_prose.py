@@ -96,7 +96,7 @@ ACQUIRER_CUES = (
     rf"(?i)({_NAME})\s*\(\s*(?:the\s+)?[\"“]?(?:Acquiring|Surviving|Successor)\s+Fund",
     rf"(?i)into\s+(?:the\s+)?({_NAME}),\s+a\s+series",
 )
-SNIPPET = r"(?i)(?:proposed reorganization|purpose of the reorganization|reorganization agreement)[^.]{20,400}\."
+SNIPPET = r"(?i)(?:proposed reorganization|purpose of the reorganization|reorganization agreement)[^.]{20,}\."
 # ----------------------------------------------------------------------------
 
 
@@ -137,12 +137,15 @@ def _amount(c: Column, report: bool) -> Column:
 def commission_tables(docs: DataFrame, key: str, part: Column, report: bool = False) -> DataFrame:
     """Commissions by fund and year from year-column tables of a section.
 
-    Years come from the first three rows, newest first, and are paired with the
-    amounts of each row in order.
+    Years come from the rows above the first one with a dollar amount, newest first, and are paired with the amounts of
+    each row in order.
     """
     rows = _tables(docs, key, part)
+    paid = F.transform("rows", lambda r: F.exists(r, lambda c: _amount(c, report).isNotNull()))
+    first = F.array_position(paid, F.lit(True))
+    heads = F.slice("rows", F.lit(1), F.when(first > 0, first - 1).otherwise(F.size("rows")).cast("int"))
     years = F.sort_array(F.array_distinct(F.filter(
-        F.transform(F.flatten(F.slice("rows", 1, 3)), lambda c: F.regexp_extract(c, r"20\d{2}", 0).try_cast("int")),
+        F.transform(F.flatten(heads), lambda c: F.regexp_extract(c, r"20\d{2}", 0).try_cast("int")),
         lambda y: y.isNotNull())), asc=False)
     data = rows.withColumn("years", years).select(
         key, "table", "years", F.posexplode(F.when(F.size("years") > 0, F.col("rows"))).alias("row", "cells")
@@ -173,9 +176,9 @@ def broker_rows(docs: DataFrame, key: str, part: Column) -> DataFrame:
     first = F.trim(F.get("cells", F.lit(0)))
     named = (F.length(first) > 5) & ~first.rlike(r"^[\d\$%,.\s\-]+$") & ~_has_any(first, BROKER_ROW_SKIP)
     year = F.element_at(
-        F.filter(F.transform(F.slice("cells", 1, 3), lambda c: F.regexp_extract(F.trim(c), r"^(20\d{2})$", 1).try_cast("int")),
+        F.filter(F.transform("cells", lambda c: F.regexp_extract(F.trim(c), r"^(20\d{2})$", 1).try_cast("int")),
                  lambda y: y.isNotNull()), -1)
-    year = F.when(F.exists(F.slice("cells", 1, 3), lambda c: F.trim(c).rlike(r"^20\d{2}$")), year)
+    year = F.when(F.exists("cells", lambda c: F.trim(c).rlike(r"^20\d{2}$")), year)
     amounts = F.filter(
         F.transform("cells", lambda c, i: F.when(
             F.trim(c) == "$", F.replace(F.get("cells", i + 1), F.lit(","), F.lit("")).try_cast("double"))),
@@ -273,7 +276,7 @@ def merger_facts(docs: DataFrame, key: str, html: str, company: str) -> DataFram
         F.concat(*[F.regexp_extract_all("_t", F.lit(c), F.lit(1)) for c in cues]), F.trim), lambda n: n != ""))
     f = d.select(
         key, "_company", "_body", names(TARGET_CUES).alias("_targets"), names(ACQUIRER_CUES).alias("_acquirers"),
-        F.left(F.trim(F.regexp_extract("_t", SNIPPET, 0)), F.lit(600)).alias("summary"),
+        F.trim(F.regexp_extract("_t", SNIPPET, 0)).alias("summary"),
     )
     root = F.upper(F.get(F.split(F.trim(F.coalesce("_company", F.lit(""))), r"\s+"), F.lit(0)))
     t, a = F.size("_targets") > 0, F.size("_acquirers") > 0
@@ -283,6 +286,6 @@ def merger_facts(docs: DataFrame, key: str, html: str, company: str) -> DataFram
         .when(t | a, "partial").when(F.col("summary") != "", "reorganization").otherwise("filing-available")
     )
     return f.select(
-        key, kind.alias("reorganization_type"), F.slice("_targets", 1, 3).alias("targets"),
-        F.slice("_acquirers", 1, 3).alias("acquirers"), "summary",
+        key, kind.alias("reorganization_type"), F.col("_targets").alias("targets"),
+        F.col("_acquirers").alias("acquirers"), "summary",
     )

@@ -47,7 +47,7 @@ def completed(snapshots: DataFrame, facts: bool = True) -> DataFrame:
     )
 
 
-def latest_snapshots(snapshots: DataFrame, n: int = 5, keys: tuple[str, ...] = ("class_id",)) -> DataFrame:
+def latest_snapshots(snapshots: DataFrame, n: int, keys: tuple[str, ...] = ("class_id",)) -> DataFrame:
     """Newest ``n`` snapshots with data per class."""
     w = Window.partitionBy(*keys).orderBy(F.col("filing_date").desc(), F.col("accession_no").desc())
     return snapshots.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -93,8 +93,10 @@ def net_change(changes: DataFrame, key: str = "class_id") -> DataFrame:
     )
 
 
-def merger_list(filings: DataFrame, n: int = 10) -> DataFrame:
-    """Newest ``n`` merger filings per filer."""
+def merger_list(filings: DataFrame, n: int | None = None) -> DataFrame:
+    """Merger filings, or the newest ``n`` of each filer with their rank."""
+    if n is None:
+        return filings.filter(F.col("form").isin(*MERGER_FORMS))
     w = Window.partitionBy("cik").orderBy(F.col("date_filed").desc(), F.col("filing_path").desc())
     return (
         filings.filter(F.col("form").isin(*MERGER_FORMS)).withColumn("rank", F.row_number().over(w))

@@ -58,11 +58,6 @@ def board_row(last: DataFrame) -> DataFrame:
     )
 
 
-def capped(b: DataFrame, cap: int = A.BOARD_CAP) -> DataFrame:
-    """The board keeps its worst ``cap`` funds."""
-    return b.orderBy(F.col("hidden_cost_mid_bps").desc(), F.col("ticker")).limit(cap)
-
-
 def board_query(b: DataFrame, sort_by: str = "hidden_cost_mid_bps", limit: int = 25) -> DataFrame:
     if sort_by not in BOARD_SORTS:
         raise ValueError(f"cannot sort the board by {sort_by!r}")

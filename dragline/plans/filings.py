@@ -216,21 +216,21 @@ def filings_of_form(v):
     return indexes.of_form(_index(v), "N-CEN", 3).select("cik", "form", "filing_date", "accession_no", "rank")
 
 
-@query(with_views(_IDX, body="""SELECT cik, form, CAST(o_orderkey AS VARCHAR) AS accession_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, o_orderkey) AS rank FROM v_idx WHERE form IN ('485BPOS', '497K')) q WHERE rank <= 20"""))
+@query(with_views(_IDX, body="""SELECT cik, form, CAST(o_orderkey AS VARCHAR) AS accession_no, filing_date FROM v_idx WHERE form IN ('485BPOS', '497K')"""))
 def class_filings(v):
-    return indexes.class_filings(_index(v)).select("cik", "form", "accession_no", "rank")
+    return indexes.class_filings(_index(v)).select("cik", "form", "accession_no", "filing_date")
 
 
-@query("""SELECT series_id, accession_no, filing_date, rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY position) AS rank FROM (
+@query("""SELECT series_id, accession_no, filing_date FROM (
   SELECT l_suppkey AS series_id, l_orderkey AS accession_no, min(position) AS position, CAST(min(l_shipdate) AS DATE) AS filing_date FROM (SELECT *, -(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) * 100000000000 + l_orderkey AS position,
-    row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_shipdate DESC) AS rn FROM lineitem) a WHERE rn = 1 GROUP BY 1, 2) b) c WHERE rank <= 40""")
+    row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_shipdate DESC) AS rn FROM lineitem) a WHERE rn = 1 GROUP BY 1, 2) b""")
 def series_filing_list(v):
     rows = v.table("lineitem").select(
         F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("accession_no"), F.lit("NPORT-P").alias("form"),
         F.to_date("l_shipdate").alias("filing_date"),
         F.struct((-F.unix_date(F.to_date("l_shipdate"))).alias("d"), F.col("l_orderkey")).alias("position"),
     )
-    return indexes.series_filings(rows).select("series_id", "accession_no", "filing_date", "rank")
+    return indexes.series_filings(rows).select("series_id", "accession_no", "filing_date")
 
 
 def _index_lines(v):
@@ -276,9 +276,9 @@ def event_calendar(v):
     return cal.join(n, "quarter_start", "left").select("quarter_start", "quarter", F.coalesce("filings", F.lit(0)).alias("filings"))
 
 
-@query(with_views(V_EVENT, body="SELECT cik, form, date_filed, filing_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY date_filed DESC, filing_path DESC) AS rank FROM v_event WHERE form = 'N-14') q WHERE rank <= 10"))
+@query(with_views(V_EVENT, body="SELECT cik, form, date_filed, filing_path FROM v_event WHERE form = 'N-14'"))
 def merger_list(v):
-    return history.merger_list(v.fund_event()).select("cik", "form", "date_filed", "filing_path", "rank")
+    return history.merger_list(v.fund_event()).select("cik", "form", "date_filed", "filing_path")
 
 
 def _headers(v):
@@ -593,8 +593,7 @@ def tagged_fees(v):
 
 
 @query(with_views(V_FEE, V_TAG, body="""
-SELECT series_id, class_id, accession_no, filing_date, management_fee, total_annual_expenses FROM (SELECT t.*, row_number() OVER (PARTITION BY t.series_id, t.class_id ORDER BY depth) AS rn FROM v_tag t JOIN
-  (SELECT accession_no, row_number() OVER (PARTITION BY series_id ORDER BY filing_date DESC, accession_no DESC) AS depth FROM v_fee) d USING (accession_no) WHERE depth <= 15) q WHERE rn = 1"""))
+SELECT series_id, class_id, accession_no, filing_date, management_fee, total_annual_expenses FROM (SELECT t.*, row_number() OVER (PARTITION BY t.series_id, t.class_id ORDER BY filing_date DESC, accession_no DESC) AS rn FROM v_tag t) q WHERE rn = 1"""))
 def first_filing_with_facts(v):
     filings = v.fee_snapshot().select(F.format_string("S%09d", "series_id").alias("series_id"), "accession_no", "filing_date")
     out = fees.first_with_facts(filings, fees.tagged_fees(_tagged_facts(v)))
@@ -705,10 +704,10 @@ def page_structure(v):
 _SRest = r"CASE WHEN regexp_matches(text, '(?i)license') THEN regexp_extract(text, '(?is)license.*') WHEN regexp_matches(text, '(?i)the\s') THEN regexp_extract(text, '(?is)the\s.*') END"
 
 
-@query(rf"""SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, substr(r, 1, 100) || CASE WHEN regexp_matches(t, '(?i)copyright') THEN regexp_extract(t, '(?is)^(.*?)(?:copyright)', 1) WHEN regexp_matches(t, '(?i)for\s+the') THEN regexp_extract(t, '(?is)^(.*?)(?:for\s+the)', 1) ELSE t END AS s
-  FROM (SELECT doc_id, r, substr(r, 101) AS t FROM (SELECT doc_id, {_SRest} AS r FROM documents) a WHERE r IS NOT NULL) b) c""")
+@query(rf"""SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, left(r, k) || CASE WHEN regexp_matches(t, '(?i)copyright') THEN regexp_extract(t, '(?is)^(.*?)(?:copyright)', 1) WHEN regexp_matches(t, '(?i)for\s+the') THEN regexp_extract(t, '(?is)^(.*?)(?:for\s+the)', 1) ELSE t END AS s
+  FROM (SELECT doc_id, r, k, substr(r, k + 1) AS t FROM (SELECT doc_id, r, length(CASE WHEN r ILIKE 'license%' THEN 'license' ELSE regexp_extract(r, '(?i)^the\s') END) AS k FROM (SELECT doc_id, {_SRest} AS r FROM documents) a0) a WHERE r IS NOT NULL) b) c""")
 def sections(v):
-    s = X.section(F.col("text"), ("license", r"the\s"), ("copyright", r"for\s+the"), skip=100)
+    s = X.section(F.col("text"), ("license", r"the\s"), ("copyright", r"for\s+the"))
     return v.table("documents").select("doc_id", s.alias("s")).filter(F.col("s").isNotNull()).select("doc_id", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
 
@@ -717,7 +716,7 @@ def _statement_docs(v):
     pad = "repeat(' filler', 160)"
     return v.table("documents").selectExpr(
         "doc_id", "lang", "source", "n_chars",
-        f"""concat('<p>', substr(text, 1, n_chars), '</p>', if(lang = 'de', concat('<p>Compensation generally consists of a fixed base salary and bonus', {pad}, '</p>'), ''), if(lang = 'fr', 'This Statement of Additional Information', '<b>Statement of Additional  Information</b>'),
+        f"""concat('<p>', text, '</p>', if(lang = 'de', concat('<p>Compensation generally consists of a fixed base salary and bonus', {pad}, '</p>'), ''), if(lang = 'fr', 'This Statement of Additional Information', '<b>Statement of Additional  Information</b>'),
           if(lang in ('en', 'es'), concat('<p>Compensation generally consists of a fixed base amount. The base salary and a ', if(source < 'src3', 'bonus paid for assets under care', 'bonus paid on relative performance'), if(n_chars > 1000, ' plus restricted stock', ''), {pad}, '</p><p>Proxy voting</p> deferred compensation'), ''),
           if(source > 'src15', concat('<p>Under Section 28(e) the adviser may pay', if(n_chars > 800, ' under a commission sharing plan', ''), {pad}, '</p>'), '')) as html""",
     )
@@ -762,7 +761,7 @@ def _commission_docs(v):
 @query(with_views(V_HOLDING, body="""
 SELECT fund_name, year, count(*) AS rows, CAST(sum(CAST(amount AS DECIMAL(28,2))) AS DOUBLE) AS amount FROM (
   SELECT 'SeriesP' || series_id AS fund_name, 2023 AS year, orderkey + 5000.0 AS amount FROM v_holding WHERE linenumber <= 4 UNION ALL SELECT 'SeriesP' || series_id, 2022, linenumber * 1000 + 0.5 FROM v_holding WHERE linenumber <= 4
-  UNION ALL SELECT 'Series P' || series_id, 2023, CASE WHEN orderkey >= 800 AND orderkey NOT BETWEEN 1820 AND 1830 THEN orderkey + 200 ELSE orderkey + 500 END FROM v_holding WHERE linenumber > 4 UNION ALL SELECT 'Series P' || series_id, 2022, 700 FROM v_holding WHERE linenumber > 4 AND NOT (orderkey >= 800 AND orderkey NOT BETWEEN 1820 AND 1830)) q GROUP BY 1, 2"""))
+  UNION ALL SELECT 'Series P' || series_id, 2023, orderkey + 500 FROM v_holding WHERE linenumber > 4 UNION ALL SELECT 'Series P' || series_id, 2022, 700 FROM v_holding WHERE linenumber > 4) q GROUP BY 1, 2"""))
 def statement_commissions(v):
     docs = _commission_docs(v)
     c = filing_prose.commissions(docs, "doc", "html").join(docs.select("doc", "copies"), "doc")

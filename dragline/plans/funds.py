@@ -51,7 +51,7 @@ def _stated(v: FundViews) -> DataFrame:
     ok = history.completed(v.fee_snapshot()).filter(F.col("filing_date").isNotNull())
     er = history.effective_expense_ratio(F.col("net_expenses"), F.col("total_annual_expenses"))
     return ok.groupBy("series_id").agg(
-        rnd(F.max_by(er, F.struct("filing_date", "accession_no")) * 100).alias("er_bps")
+        rnd(F.max_by(er, F.unix_date("filing_date").cast("long") * (1 << 40) + F.col("accession_no")) * 100).alias("er_bps")
     )
 
 
@@ -611,9 +611,10 @@ def board_query_grade(v):
     return ranking.board_query(ranking.board(v.lookup()), "grade", 25)
 
 
-@query(with_views(V_LOOKUP, V_BOARD, body="SELECT * FROM v_board ORDER BY hidden_cost_mid_bps DESC, ticker LIMIT 1000"))
+@query(with_views(V_LOOKUP, V_BOARD, body="SELECT * FROM v_board"))
 def board_capped(v):
-    return ranking.capped(ranking.board(v.lookup()))
+    """The whole board: it has no cap, only its queries take the top."""
+    return ranking.board(v.lookup())
 
 
 @query(with_views(V_LOOKUP, V_BOARD, body=f"""
@@ -792,7 +793,7 @@ SELECT class_id, accession_no, filing_date, rank, total_annual_expenses, net_exp
 FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY filing_date DESC, accession_no DESC) AS rank FROM v_snap) q WHERE rank <= 5"""))
 def fee_snapshot_selection(v):
     er = history.effective_expense_ratio(F.col("net_expenses"), F.col("total_annual_expenses"))
-    return history.latest_snapshots(history.completed(v.fee_snapshot())).select(
+    return history.latest_snapshots(history.completed(v.fee_snapshot()), 5).select(
         "class_id", "accession_no", "filing_date", "rank", "total_annual_expenses", "net_expenses", rnd(er * 100).alias("effective_er_bps")
     )
 

@@ -67,18 +67,15 @@ def of_form(index: DataFrame, form: str, n: int, keys: tuple[str, ...] = ("cik",
     )
 
 
-def class_filings(index: DataFrame, n: int = 20) -> DataFrame:
-    """Filings whose headers list share classes, the first ``n`` per trust."""
-    w = Window.partitionBy("cik").orderBy("position")
-    return index.filter(F.col("form").isin(*CLASS_FORMS)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+def class_filings(index: DataFrame) -> DataFrame:
+    """Filings whose headers list share classes."""
+    return index.filter(F.col("form").isin(*CLASS_FORMS))
 
 
-def series_filings(rows: DataFrame, n: int = 40) -> DataFrame:
+def series_filings(rows: DataFrame) -> DataFrame:
     """Series-scoped list: repeated accession numbers keep their first row."""
     body = F.min_by(F.struct("position", "form", "filing_date"), "position")
-    once = rows.groupBy("series_id", "accession_no").agg(body.alias("b")).select("series_id", "accession_no", "b.*")
-    w = Window.partitionBy("series_id").orderBy("position")
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return rows.groupBy("series_id", "accession_no").agg(body.alias("b")).select("series_id", "accession_no", "b.*")
 
 
 # layout of a form index line: form, company, filer number, date, path

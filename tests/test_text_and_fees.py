@@ -40,7 +40,7 @@ def test_dollar_context(one):
 
 def test_section_tries_patterns_in_order(one):
     t = L("alpha beta START one two END three STOP four")
-    assert one(X.section(t, ("missing", "start"), ("stop", "end"), skip=6)) == "START one two END three "
+    assert one(X.section(t, ("missing", "start"), ("stop", "end"))) == "START one two END three "
     assert one(X.section(t, ("missing",), ("stop",))) is None
 
 
