@@ -37,16 +37,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hand a scan with fewer partitions than cores to all cores; leave any larger scan alone.
-
-    A table of one small file is one task, whatever work follows.  On a large
-    table the scan already has enough partitions and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-sort, then note each row's partition (``_pid``) and place in it (``_pos``).
 

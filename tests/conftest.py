@@ -16,7 +16,7 @@ def spark():
         SparkSession.builder.master("local[*]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.dragline.inputPartitions", "8")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

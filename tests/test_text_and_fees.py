@@ -119,3 +119,19 @@ def test_merger_kinds(spark):
     got = {r["id"]: (r["reorganization_type"], r["targets"], r["acquirers"]) for r in m.collect()}
     assert got[1] == ("same-complex", ["Acme Growth Fund"], ["Acme Value Fund"])
     assert got[2][0] == "partial" and got[3][0] == "filing-available" and got[4][0] == "unknown"
+
+
+def test_long_fee_table_is_read_to_its_end(spark):
+    style = "<i style='" + "x" * 2000 + "'></i>"
+    rows = "".join(f"<tr><td>{style}note {k}</td><td>{style}text</td></tr>" for k in range(25))
+    html = (f"<h1>Annual Fund Operating Expenses</h1><table><tr><td>Management fees</td><td>0.40%</td></tr>{rows}"
+            f"<tr><td>Total annual fund operating expenses</td><td>0.75%</td></tr></table><table><tr><td>Management fees</td><td>9.99%</td></tr></table>")
+    assert len(html) > 50_000
+    r = fees.table_fees(spark.createDataFrame([(1, html, "AAAAX")], "id int, html string, ticker string"), "id", "html", "ticker").first()
+    assert (r["management_fee"], r["total_annual_expenses"], r["layout"]) == (0.4, 0.75, "table")
+
+
+def test_merger_names_all_funds(spark):
+    html = "".join(f"; the {k} Income Fund will be reorganized into the Big Growth Fund, a series. " for k in ("Alpha", "Beta", "Gamma", "Delta", "Omega"))
+    r = filing_prose.merger_facts(spark.createDataFrame([(1, html, "Alpha Trust")], "id int, html string, company string"), "id", "html", "company").first()
+    assert len(r["targets"]) == 5
