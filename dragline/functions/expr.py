@@ -12,7 +12,6 @@ MONEY = "decimal(18,2)"
 
 REPORTED, CALCULATED, ESTIMATED = "REPORTED", "CALCULATED", "ESTIMATED"
 UNAVAILABLE, NOT_DISCLOSED = "UNAVAILABLE", "NOT_DISCLOSED"
-TAGS = (REPORTED, CALCULATED, ESTIMATED, UNAVAILABLE, NOT_DISCLOSED)
 
 
 def rnd(x: Column | str, n: int = 2) -> Column:
@@ -78,17 +77,6 @@ def tagged(value: Column, tag: Column | str, source: Column | None = None, note:
     )
 
 
-def cost_range(low: Column, high: Column, tag: Column | str, methodology: Column | None = None) -> Column:
-    """STRUCT<low_bps, high_bps, tag, methodology>."""
-    tag = F.lit(tag) if isinstance(tag, str) else tag
-    return F.struct(
-        dbl(low).alias("low_bps"),
-        dbl(high).alias("high_bps"),
-        tag.alias("tag"),
-        (methodology if methodology is not None else F.lit(None).cast("string")).alias("methodology"),
-    )
-
-
 def dollars(x: Column) -> Column:
     """$1.2T / $3.4B / $5.6M / $7,890."""
     a = F.abs(x)

@@ -12,7 +12,6 @@ from dragline.scale import previous_row
 # fixed values
 MERGER_FORMS = ("N-14", "N-14 8C", "N-14AE", "N-14A", "N-14MEF")
 CLASS_FORMS = ("485BPOS", "485APOS", "497", "497K", "N-1A", "N-CEN")
-FEE_FORMS = ("485BPOS", "485APOS", "485BXT")
 
 
 def effective_expense_ratio(net: Column, total: Column) -> Column:
@@ -66,8 +65,8 @@ def fee_changes(snapshots: DataFrame, key: str = "class_id") -> DataFrame:
     return changes_of(lagged, key)
 
 
-def changes_of(lagged: DataFrame, key: str = "class_id") -> DataFrame:
-    """Unpivot rows that carry their previous snapshot in ``prev`` and keep real changes."""
+def change_array() -> Column:
+    """Real changes of a row that carries its previous snapshot in ``prev``, one struct for each field."""
     rows = []
     for f, label in A.TRACKED_FEES.items():
         diff = F.col(f) - F.col(f"prev.{f}")
@@ -80,9 +79,14 @@ def changes_of(lagged: DataFrame, key: str = "class_id") -> DataFrame:
                 F.when(diff > 0, "increase").otherwise("decrease").alias("direction"),
             ),
         ))
+    return F.array_compact(F.array(*rows))
+
+
+def changes_of(lagged: DataFrame, key: str = "class_id") -> DataFrame:
+    """Unpivot rows that carry their previous snapshot in ``prev`` and keep real changes."""
     return lagged.select(
         key, "accession_no", F.col("prev.filing_date").alias("old_filing_date"),
-        F.col("filing_date").alias("new_filing_date"), F.inline(F.array_compact(F.array(*rows))),
+        F.col("filing_date").alias("new_filing_date"), F.inline(change_array()),
     )
 
 

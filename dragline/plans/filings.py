@@ -440,9 +440,9 @@ def holding_resolution(v):
         F.count("*").alias("positions"), dbl(F.sum("value_usd")).alias("value_usd"), F.countDistinct("_s").alias("series"))
 
 
-@query(with_views(V_FEE, body="SELECT series_id, filing_date, accession_no, form_type FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY filing_date DESC, accession_no DESC) AS rn FROM v_fee WHERE form_type <> '485BXT') q WHERE rn = 1"))
+@query(with_views(V_FEE, body="SELECT series_id, filing_date, accession_no, form_type FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY filing_date DESC, accession_no DESC) AS rn FROM v_fee) q WHERE rn = 1"))
 def latest_filing(v):
-    return resolve.latest_filing(v.fee_snapshot().filter(F.col("form_type") != "485BXT").select("series_id", "filing_date", "accession_no", "form_type"))
+    return resolve.latest_filing(v.fee_snapshot().select("series_id", "filing_date", "accession_no", "form_type"))
 
 
 V_NC2 = "v_nc AS (SELECT l_suppkey AS series_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS commissions FROM lineitem GROUP BY 1)"
@@ -499,10 +499,6 @@ def isin_to_cusip(v):
 # -- fee documents ----------------------------------------------------------------------------
 
 
-def _pct(c):
-    return f"if({c} is null, '', concat('<tr><td>#L</td><td>', {c}, '%</td><td>9.99%</td></tr>'))"
-
-
 def _fee_docs(v: FundViews) -> DataFrame:
     """Fee-table pages: two class columns, an untagged layout for some, noise and a late net row."""
     row = lambda label, c: f"if({c} is null, '', concat('<tr><td>{label}</td>', if(col = 0, concat('<td>', {c}, '%</td><td>9.99%</td>'), concat('<td>9.99%</td><td>', {c}, ' %</td>')), '</tr>'))"
@@ -533,11 +529,11 @@ def fee_tables(v):
 
 def _class_docs(v):
     f2 = lambda c: f"format_string('%.2f', coalesce({c}, 0))"
-    return v.fee_snapshot().filter(F.col("management_fee").isNotNull()).selectExpr(
+    return v.fee_snapshot().selectExpr(
         "accession_no", "'Class R-6' as class_name",
-        f"""concat('<p>Share class: A R-6 </p><p>Maximum sales charge 5.75 none</p>', repeat('<i>padding words here</i> ', 20), '<table><tr><td>Share class:&nbsp;</td><td>A</td><td>C</td><td>R-6</td></tr><tr><td>Management&nbsp;fees</td><td>0.11 0.12</td><td>', {f2('management_fee')},
+        f"""if(management_fee is null, '<p>Share class: A R-6 </p><p>no fees are given</p>', concat('<p>Share class: A R-6 </p><p>Maximum sales charge 5.75 none</p>', repeat('<i>padding words here</i> ', 20), '<table><tr><td>Share class:&nbsp;</td><td>A</td><td>C</td><td>R-6</td></tr><tr><td>Management&nbsp;fees</td><td>0.11 0.12</td><td>', {f2('management_fee')},
           '</td></tr><tr><td>Distribution and/or service (12b-1) fees</td><td>0.24</td><td>1.00 ', if(twelve_b1_fee is null, 'none', {f2('twelve_b1_fee')}), '</td></tr><tr><td>Other expenses </td><td>0.10 0.10 ', {f2('other_expenses')}, '</td></tr><tr><td>Total annual fund operating expenses </td><td>0.61 1.31 ',
-          {f2('management_fee + coalesce(twelve_b1_fee, 0) + other_expenses')}, '</td></tr>', if(net_expenses is null, '', concat('<tr><td>Fee waiver 1 </td><td>0.01 0.01 0.01</td></tr><tr><td>Total annual fund operating expenses after fee waiver </td><td>0.60 1.30 ', {f2('net_expenses')}, '</td></tr>')), '</table>') as html""",
+          {f2('management_fee + coalesce(twelve_b1_fee, 0) + other_expenses')}, '</td></tr>', if(net_expenses is null, '', concat('<tr><td>Fee waiver 1 </td><td>0.01 0.01 0.01</td></tr><tr><td>Total annual fund operating expenses after fee waiver </td><td>0.60 1.30 ', {f2('net_expenses')}, '</td></tr>')), '</table>')) as html""",
     )
 
 
@@ -603,9 +599,10 @@ def first_filing_with_facts(v):
 V_CAND = """
 v_cand AS (SELECT * EXCLUDE (rn) FROM (SELECT f.class_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'class_table' WHEN '2-HIGH' THEN 'prose' WHEN '3-MEDIUM' THEN 'summary_parsed' WHEN '4-NOT SPECIFIED' THEN 'summary_table' ELSE 'tagged' END AS source,
     management_fee, twelve_b1_fee, other_expenses, acquired_fund_fees, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND management_fee < 0.75 THEN NULL ELSE total_annual_expenses END AS total_annual_expenses, net_expenses, portfolio_turnover, max_sales_load,
-    max_sales_load < 4 AS ticker_matched, row_number() OVER (PARTITION BY f.class_id, o_orderpriority ORDER BY filing_date DESC, accession_no DESC) AS rn FROM v_fee f JOIN orders ON o_orderkey = accession_no WHERE form_type = '485BPOS') q WHERE rn = 1),
+    max_sales_load < 4 AS ticker_matched, row_number() OVER (PARTITION BY f.class_id, o_orderpriority ORDER BY filing_date DESC, accession_no DESC) AS rn FROM v_fee f JOIN orders ON o_orderkey = accession_no) q WHERE rn = 1),
 v_u AS (SELECT * REPLACE (CASE WHEN source = 'tagged' THEN coalesce(total_annual_expenses, round(management_fee + coalesce(twelve_b1_fee, 0) + other_expenses + coalesce(acquired_fund_fees, 0), 4)) ELSE coalesce(total_annual_expenses, CASE WHEN source = 'summary_table' THEN round(management_fee + twelve_b1_fee + other_expenses, 2) END) END AS total_annual_expenses)
-  FROM v_cand WHERE source <> 'summary_table' OR ticker_matched)"""
+  FROM v_cand WHERE (source IN ('class_table', 'prose') AND total_annual_expenses IS NOT NULL) OR (source = 'summary_parsed' AND coalesce(management_fee, total_annual_expenses, net_expenses) IS NOT NULL)
+    OR (source = 'summary_table' AND ticker_matched AND coalesce(management_fee, total_annual_expenses) IS NOT NULL) OR (source = 'tagged' AND coalesce(management_fee, total_annual_expenses) IS NOT NULL))"""
 
 
 @query(with_views(V_FEE, V_CAND, body=f"""
@@ -616,7 +613,7 @@ SELECT class_id, source, management_fee, twelve_b1_fee, other_expenses, acquired
 WHERE source = CASE WHEN top = 1 THEN 'class_table' WHEN top = 2 THEN 'prose' WHEN top = 3 THEN 'summary_parsed' WHEN tr IS NULL AND gr IS NOT NULL THEN 'tagged' WHEN has_t = 1 THEN 'summary_table' ELSE 'tagged' END"""))
 def fee_source_cascade(v):
     o = v.table("orders").select(F.col("o_orderkey").alias("accession_no"), "o_orderpriority")
-    c = v.fee_snapshot().filter(F.col("form_type") == "485BPOS").join(o, "accession_no")
+    c = v.fee_snapshot().join(o, "accession_no")
     pr = F.col("o_orderpriority")
     c = c.select(
         "class_id", F.when(pr == "1-URGENT", "class_table").when(pr == "2-HIGH", "prose").when(pr == "3-MEDIUM", "summary_parsed").when(pr == "4-NOT SPECIFIED", "summary_table").otherwise("tagged").alias("source"),
@@ -633,7 +630,7 @@ def fee_source_cascade(v):
 , v_w AS (SELECT DISTINCT c_mktsegment AS ticker, CAST(NULL AS VARCHAR) AS class_id, CAST(NULL AS VARCHAR) AS series_id, false AS single FROM customer UNION ALL
   SELECT 'ZZ' || c_custkey, CASE WHEN c_acctbal > 0 THEN 'C' || lpad(CAST(c_custkey * 2 AS VARCHAR), 9, '0') END, 'S' || lpad(CAST(c_custkey + 500000000 AS VARCHAR), 9, '0'), c_nationkey < 12 FROM customer),
 v_m AS (SELECT w.ticker, accession_no, filing_date, 1 AS how, 0 AS late FROM v_w w JOIN v_head h ON h.ticker = w.ticker UNION ALL SELECT w.ticker, accession_no, filing_date, 2, 0 FROM v_w w JOIN v_head h ON h.class_id = w.class_id
-  UNION ALL SELECT w.ticker, accession_no, filing_date, 3, 0 FROM v_w w JOIN v_head h ON h.series_id = w.series_id AND single UNION ALL SELECT 'ZZ' || c_custkey, c_custkey, DATE '2023-01-01' + c_nationkey, 4, 1 FROM customer WHERE c_mktsegment = 'BUILDING')
+  UNION ALL SELECT w.ticker, accession_no, filing_date, 3, 0 FROM v_w w JOIN v_head h ON h.series_id = w.series_id AND single UNION ALL SELECT 'ZZ' || c_custkey, c_custkey, DATE '2023-01-01' + c_nationkey, 4, 1 FROM customer)
 SELECT ticker, accession_no, CAST(filing_date AS DATE) AS filing_date, CASE how WHEN 1 THEN 'header_ticker' WHEN 2 THEN 'class_id' WHEN 3 THEN 'series_id' ELSE 'body' END AS matched_by
 FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY late, filing_date DESC, how, accession_no) AS rn FROM v_m) q WHERE rn = 1"""))
 def filing_ticker_match(v):
@@ -641,7 +638,7 @@ def filing_ticker_match(v):
     null = F.lit(None).cast("string")
     wanted = c.select(F.col("c_mktsegment").alias("ticker"), null.alias("class_id"), null.alias("series_id"), F.lit(False).alias("single_class")).distinct().unionByName(c.selectExpr(
         "concat('ZZ', c_custkey) as ticker", "if(c_acctbal > 0, concat('C', lpad(c_custkey * 2, 9, '0')), null) as class_id", "concat('S', lpad(c_custkey + 500000000, 9, '0')) as series_id", "c_nationkey < 12 as single_class"))
-    bodies = c.filter("c_mktsegment = 'BUILDING'").selectExpr("c_custkey as accession_no", "date_add(date'2023-01-01', c_nationkey) as filing_date", "concat('<p>fees of ', 'ZZ', c_custkey, ' and more</p>') as html")
+    bodies = c.selectExpr("c_custkey as accession_no", "date_add(date'2023-01-01', c_nationkey) as filing_date", "concat('<p>fees of ', 'ZZ', c_custkey, ' and more</p>') as html")
     return fees.match_filings(wanted, indexes.header_classes(_headers(v)), bodies)
 
 
@@ -653,14 +650,16 @@ _WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 @query(f"""SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '{_WS}+', ' ', 'g')) AS t FROM
   (SELECT page_id, html FROM pages) p) q""")
 def page_text(v):
-    t = F.regexp_replace(F.col("html"), "&(?!nbsp;|amp;)[a-z]+;", "$0")
-    return v.table("pages").select("page_id", X.plain_text(t, "report").alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+    return v.table("pages").select("page_id", X.plain_text(F.col("html"), "report").alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@query("""SELECT doc_id, len(x) AS amounts, round(list_sum(list_transform(x, lambda a: CAST(replace(a, ',', '') AS DOUBLE))), 2) AS total FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '\\$\\s*([\\d,]+(?:\\.\\d+)?)', 1), lambda a: replace(a, ',', '') <> '') AS x FROM documents) q WHERE len(x) > 0""")
+@query(r"""SELECT doc_id, len(x) AS amounts, round(list_sum(list_transform(x, lambda a: CAST(replace(a, ',', '') AS DOUBLE))), 2) AS total, ' or $ ' || doc_id || ' due; ' || source AS last_context FROM (
+  SELECT doc_id, source, list_filter(regexp_extract_all(text || ' fee of $' || format('{:,.2f}', n_chars * 1000 + 0.25) || ' or $ ' || doc_id || ' due; ' || source, '\$\s*([\d,]+(?:\.\d+)?)', 1), lambda a: replace(a, ',', '') <> '') AS x FROM documents) q""")
 def dollar_amounts(v):
-    d = v.table("documents").select("doc_id", X.dollar_amounts(F.col("text")).alias("x")).filter(F.size("x") > 0)
-    return d.select("doc_id", F.size("x").alias("amounts"), F.round(F.aggregate("x", F.lit(0.0), lambda a, r: a + r["amount"]), 2).alias("total"))
+    text = F.expr("concat(text, ' fee of $', format_number(n_chars * 1000 + 0.25, 2), ' or $ ', doc_id, ' due; ', source)")
+    d = v.table("documents").select("doc_id", X.dollar_amounts(text).alias("x"))
+    return d.select("doc_id", F.size("x").alias("amounts"), F.round(F.aggregate("x", F.lit(0.0), lambda a, r: a + r["amount"]), 2).alias("total"),
+                    F.element_at("x", -1)["context"].alias("last_context"))
 
 
 _WORDS = r"list_filter(string_split_regex(text, '[^\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{2,}'))"

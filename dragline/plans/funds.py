@@ -674,11 +674,11 @@ def soft_dollar_subsidy(v):
 @query(with_views(V_FUND, body=f"""
 SELECT *, CASE WHEN facility_size > 0 THEN {R('max_outstanding / facility_size', 6)} END AS utilisation FROM (
 SELECT s_suppkey AS series_id, CASE WHEN s_acctbal > 0 THEN s_acctbal * 1000 ELSE 0 END AS facility_size, CAST(max(c_acctbal) AS DOUBLE) * 900 AS max_outstanding, count(c_custkey) AS co_borrowers
-FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 9000 GROUP BY 1, 2) q"""))
+FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey GROUP BY 1, 2) q"""))
 def credit_utilisation(v):
     s = v.table("supplier")
     c = (
-        v.table("customer").filter(F.col("c_acctbal") > 9000).groupBy(F.col("c_nationkey").alias("s_nationkey"))
+        v.table("customer").groupBy(F.col("c_nationkey").alias("s_nationkey"))
         .agg((F.max("c_acctbal") * 900).alias("max_outstanding"), F.count("*").alias("co_borrowers"))
     )
     rows = s.join(c, "s_nationkey", "left").select(

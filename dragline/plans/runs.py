@@ -204,48 +204,45 @@ def quarter_labels(v):
 # -- incremental -------------------------------------------------------------------------------
 
 
-def _stream(v: FundViews, table: str) -> DataFrame:
-    """The table as a file stream (the folder holds one file per table, so the name is a filter)."""
-    schema = v.table(table).schema
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(v.path)
-
-
 class _Streamed(FundViews):
-    """Fund views whose chosen table is read as a stream."""
+    """Fund views whose chosen table is read as a stream of several files, one for each batch, in no order of time."""
 
-    def __init__(self, base: FundViews, streamed: str):
+    def __init__(self, base: FundViews, streamed: str, path: str):
         super().__init__(base.spark, base.path)
-        self.streamed = streamed
+        self.streamed, self.slices = streamed, path
+        base.table(streamed).withColumn("slice", F.pmod(F.hash(*base.table(streamed).columns), F.lit(3))).repartition(
+            3, "slice").write.partitionBy("slice").parquet(path)
 
     def table(self, name: str) -> DataFrame:
         batch = super().table(name)
         if name != self.streamed:
             return batch
-        return self.spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.path)
+        return self.spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option(
+            "recursiveFileLookup", "true").parquet(self.slices)
 
 
 @query(with_views(V_LOOKUP, P.V_BOARD, body="SELECT * FROM v_board"))
 def streamed_board(v):
     """Board kept up to date by a stream of lookups; equals the batch board."""
     root = workspace(v.spark)
-    q = jobs.start_board(_Streamed(v, "events").lookup(), f"{root}/board", f"{root}/ck")
-    q.awaitTermination()
-    return jobs.Versioned(v.spark, f"{root}/board").latest(q.lastProgress["batchId"])
+    jobs.start_board(_Streamed(v, "events", f"{root}/in").lookup(), f"{root}/board", f"{root}/ck").awaitTermination()
+    return jobs.board_table(v.spark, f"{root}/board").read()
 
 
 @query(with_views(V_EVENT, body="SELECT *, CASE WHEN form = 'N-8F' THEN 'deregistration' ELSE 'merger/reorg' END AS event FROM v_event WHERE form <> '485BPOS'"))
 def streamed_harvest(v):
     """Event harvest; the second run finds nothing new and adds nothing."""
     root = workspace(v.spark)
+    events = _Streamed(v, "events", f"{root}/in").fund_event()
     for _ in range(2):
-        jobs.start_harvest(_Streamed(v, "events").fund_event(), f"{root}/events", f"{root}/ck").awaitTermination()
+        jobs.start_harvest(events, f"{root}/events", f"{root}/ck").awaitTermination()
     return v.spark.read.parquet(f"{root}/events")
 
 
 @query("SELECT user_id AS ticker, '2024-Q1' AS quarter, count(DISTINCT user_id) AS documents FROM events GROUP BY 1")
 def streamed_snapshots(v):
     root = workspace(v.spark)
-    docs = _Streamed(v, "events").table("events").select(
+    docs = _Streamed(v, "events", f"{root}/in").table("events").select(
         F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("filed"), quarter_label(F.col("ts")).alias("quarter"), "value")
     jobs.start_snapshots(docs, f"{root}/docs", f"{root}/ck").awaitTermination()
     return v.spark.read.parquet(f"{root}/docs").groupBy("ticker", F.col("quarter").cast("string").alias("quarter")).agg(F.count("*").alias("documents"))
@@ -253,11 +250,13 @@ def streamed_snapshots(v):
 
 @query(with_views(V_FEE, P.V_LAG, P.V_CHANGE, body="SELECT * FROM v_change"))
 def streamed_fee_changes(v):
-    """Fee filings arriving in three slices by year; the changes equal those of one batch."""
+    """Fee filings arriving in slices out of order, one slice twice; the changes equal those of one batch."""
     root = workspace(v.spark)
     snaps = settle(v.fee_snapshot())
-    for i, (lo, hi) in enumerate(((0, 1997), (1998, 1999), (2000, 9999))):
-        snaps.filter(F.year("filing_date").between(lo, hi)).write.parquet(f"{root}/in/part={i}")
+    part = F.pmod(F.xxhash64("accession_no"), F.lit(3))
+    for i in (2, 0, 1, 0):
+        name = f"{root}/in/part={i}"
+        snaps.filter(part == i).write.mode("append").parquet(name)
         stream = v.spark.readStream.schema(snaps.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
         jobs.start_fee_changes(stream, f"{root}/fees", f"{root}/ck").awaitTermination()
-    return v.spark.read.parquet(f"{root}/fees/changes").drop("v")
+    return jobs.stored_changes(v.spark, f"{root}/fees")

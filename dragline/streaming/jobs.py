@@ -1,6 +1,6 @@
 """Incremental jobs: the lookup board, the event harvest, arriving snapshots and fee filings.
 
-State lives in Spark's state store or in versioned tables next to the
+State lives in Spark's state store or in bucketed tables next to the
 checkpoint, so a restarted query goes on where it stopped.
 """
 
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dragline import assumptions as A
-from dragline.operators.history import changes_of, fund_events
+from dragline.operators.history import change_array, fund_events
 from dragline.operators.ranking import board_row
+from dragline.scale import previous_row, settle
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -22,24 +23,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
 
 
-class Versioned:
-    """A small table per batch id.  A replayed batch rewrites its own version, so effects happen once."""
+class Buckets:
+    """A table kept by hash buckets of a key, of which a batch rewrites only those it touches.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    Merging must give the same rows when a batch comes twice; then a replayed batch has no further effect.
+    """
 
-    def read_before(self, batch: int) -> DataFrame | None:
-        """The newest version older than ``batch``."""
-        for b in range(batch - 1, -1, -1):
-            if _exists(self.spark, f"{self.root}/v={b}/_SUCCESS"):
-                return self.spark.read.parquet(f"{self.root}/v={b}")
-        return None
+    def __init__(self, spark: SparkSession, path: str, key: str, n: int = 16):
+        self.spark, self.path, self.key, self.n = spark, path, key, n
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={batch}")
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
 
-    def latest(self, batch: int) -> DataFrame | None:
-        return self.read_before(batch + 1)
+    def merge(self, new: DataFrame, combine: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int")
+        new = settle(new)
+        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most n numbers
+        old = None
+        if _exists(self.spark, self.path):
+            old = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(touched)).drop("bucket")
+        merged = settle(combine(old, new).withColumn("bucket", bucket))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
 def lookup_board(lookups: DataFrame, late: str = "31 days") -> DataFrame:
@@ -56,15 +60,19 @@ def lookup_board(lookups: DataFrame, late: str = "31 days") -> DataFrame:
     return board_row(last)
 
 
+def board_table(spark: SparkSession, root: str) -> Buckets:
+    return Buckets(spark, root, "ticker")
+
+
 def start_board(lookups: DataFrame, root: str, checkpoint: str, late: str = "31 days") -> StreamingQuery:
     """Keep the board as a table: every batch's changed rows replace the stored ones."""
-    spark = lookups.sparkSession
-    store = Versioned(spark, root)
+    store = board_table(lookups.sparkSession, root)
+
+    def replace(old: DataFrame | None, changed: DataFrame) -> DataFrame:
+        return changed if old is None else old.join(changed.select("ticker"), "ticker", "left_anti").unionByName(changed)
 
     def upsert(changed: DataFrame, batch: int) -> None:
-        old = store.read_before(batch)
-        merged = changed if old is None else old.join(changed.select("ticker"), "ticker", "left_anti").unionByName(changed)
-        store.write(merged, batch)
+        store.merge(changed, replace)
 
     return (
         lookup_board(lookups, late).writeStream.outputMode("update").foreachBatch(upsert)
@@ -89,37 +97,35 @@ def start_snapshots(documents: DataFrame, path: str, checkpoint: str, late: str
     )
 
 
-def start_fee_changes(snapshots: DataFrame, root: str, checkpoint: str, key: str = "class_id",
-                      on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Compare every arriving fee snapshot with its predecessor.
+def fee_table(spark: SparkSession, root: str, key: str = "class_id") -> Buckets:
+    """All snapshots seen so far, each with its changes against its predecessor in filing order."""
+    return Buckets(spark, root, key)
 
-    Filings of a class must arrive in filing order across batches; inside a
-    batch they are ordered here.  ``root/last`` keeps the newest snapshot of
-    each class, ``root/changes`` the detected changes of every batch.
-    """
-    from dragline.scale import previous_row
 
-    spark = snapshots.sparkSession
-    last = Versioned(spark, f"{root}/last")
+def stored_changes(spark: SparkSession, root: str, key: str = "class_id") -> DataFrame:
+    rows = fee_table(spark, root, key).read()
+    return rows.select(
+        key, "accession_no", "old_filing_date", F.col("filing_date").alias("new_filing_date"), F.inline("changes"))
+
+
+def start_fee_changes(snapshots: DataFrame, root: str, checkpoint: str, key: str = "class_id") -> StreamingQuery:
+    """Compare every fee snapshot with its predecessor, in whatever order they arrive.
+
+    A snapshot that arrives late changes its successor's comparison too, so the classes of a batch are compared anew
+    over all their snapshots.  A snapshot that comes twice counts once.
+    """
+    store = fee_table(snapshots.sparkSession, root, key)
     fields = ["filing_date", "accession_no", *A.TRACKED_FEES]
 
+    def compare(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        rows = new if old is None else old.select(key, *fields).unionByName(new)
+        lagged = previous_row(
+            rows.dropDuplicates([key, "accession_no"]), [key], [F.col("filing_date").asc(), F.col("accession_no").asc()],
+            ["filing_date", *A.TRACKED_FEES])
+        return lagged.select(key, *fields, F.col("prev.filing_date").alias("old_filing_date"), change_array().alias("changes"))
+
     def step(batch_df: DataFrame, batch: int) -> None:
-        new = batch_df.select(key, *fields).withColumn("_new", F.lit(True))
-        old = last.read_before(batch)
-        rows = new
-        if old is not None:
-            # only classes of this batch need their stored predecessor
-            touched = new.select(key).distinct()
-            rows = new.unionByName(old.join(touched, key, "left_semi").withColumn("_new", F.lit(False)))
-        lagged = previous_row(rows, [key], [F.col("filing_date").asc(), F.col("accession_no").asc()], ["filing_date", *A.TRACKED_FEES])
-        changes_of(lagged.filter("_new"), key).write.mode("overwrite").parquet(f"{root}/changes/v={batch}")
-        everything = new.drop("_new") if old is None else old.unionByName(new.drop("_new"))
-        newest = everything.groupBy(key).agg(
-            F.max_by(F.struct(*fields), F.struct("filing_date", "accession_no")).alias("b")
-        ).select(key, "b.*")
-        last.write(newest, batch)
-        if on_batch:
-            on_batch(batch_df, batch)
+        store.merge(batch_df.select(key, *fields), compare)
 
     return (
         snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

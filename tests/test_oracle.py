@@ -1,6 +1,5 @@
-"""Registered queries beside DuckDB on the small tables.  ALL_QUERIES=1 runs every query."""
+"""Every registered query beside DuckDB on the small tables."""
 
-import os
 import pathlib
 
 import pytest
@@ -14,14 +13,7 @@ from compare import check, duck
 
 from dragline.plans import registry
 
-QUICK = (
-    "asset_class_weights", "geography_summary", "derivative_summary", "fund_and_direct_holdings", "structure_class",
-    "fund_cost", "cost_components", "ledger_ranking", "worst_cost_board", "fee_changes", "portfolio_validation",
-    "soft_dollar_subsidy", "conflict_flags", "holdings_xml", "census_credit_xml", "form_index", "filing_header_classes",
-    "name_resolution", "fee_tables", "tagged_fees", "readability", "merger_classification", "stage_ledger",
-    "streamed_board", "streamed_harvest",
-)
-NAMES = sorted(registry.QUERIES) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
