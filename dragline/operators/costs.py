@@ -123,7 +123,7 @@ def tax_vs_expense(low: Column, high: Column, er_bps: Column) -> Column:
 
 def fund_cost(fund: DataFrame, facts: DataFrame, ncen: DataFrame, fees: DataFrame | None = None,
               turnover_policy: str = "prospectus") -> DataFrame:
-    """Full cost row for each fund and period that has holdings or census data.
+    """Full cost row for each fund and period in ``facts`` or ``ncen``, with a tag for what is unavailable.
 
     ``facts`` comes from ``holdings.fund_facts``; ``fees`` (optional) carries
     ``er_bps`` per series.  ``turnover_policy='default'`` prices every fund at
@@ -133,7 +133,7 @@ def fund_cost(fund: DataFrame, facts: DataFrame, ncen: DataFrame, fees: DataFram
         *KEYS, F.lit(True).alias("has_census"), "commissions", "has_soft_dollar", "soft_dollar_usd",
         "ncen_turnover", "average_net_assets",
     )
-    held = facts.withColumn("has_holdings", F.lit(True))
+    held = facts if "has_holdings" in facts.columns else facts.withColumn("has_holdings", F.lit(True))
     base = held.join(census, list(KEYS), "full_outer").join(
         fund.select("series_id", "ticker", "fund_name", "family", "category", "prospectus_turnover"), "series_id"
     )

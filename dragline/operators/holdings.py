@@ -123,17 +123,24 @@ def holding_facts(holdings: DataFrame, basis: str = "value", small_position: flo
     )
 
 
-def fund_facts(facts: DataFrame, header: DataFrame | None = None, basis: str = "value") -> DataFrame:
+def unfiled(facts: DataFrame, filed: str) -> DataFrame:
+    """Keep fund-periods without a holdings filing, with nulls for what the filing would say."""
+    return facts.select(
+        *KEYS, F.col(filed).alias("has_holdings"),
+        *[F.when(F.col(filed), F.col(c)).alias(c) for c in facts.columns if c not in (*KEYS, filed)])
+
+
+def fund_facts(facts: DataFrame, header: DataFrame | None = None, basis: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
     """Ratios from ``holding_facts`` once net assets are known; one row per fund and period.
 
-    Net assets come from the filing header, or stand in ``facts`` already.
+    Net assets come from the filing header, or stand in ``facts`` already; columns to ``carry`` stay as they are.
     """
     known = facts if header is None else facts.drop("n_holdings").join(header, list(KEYS))
     nav = F.col("net_assets")
     per = (lambda c: dbl(c) / 100.0) if basis == "reported" else (lambda c: ratio(dbl(c), nav))
     zero = F.lit(0.0)
     return known.select(
-        *KEYS,
+        *KEYS, *carry,
         nav.alias("nport_net_assets"),
         "n_holdings",
         per("m_total").alias("covered_weight"),

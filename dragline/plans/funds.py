@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dragline import assumptions as A
-from dragline.functions.expr import dbl, dollars, hidden_grade, money, rnd
+from dragline.functions.expr import UNAVAILABLE, dbl, dollars, hidden_grade, money, rnd
 from dragline.operators import conflicts, costs, history, holdings, portfolio, ranking, structure
 from dragline.operators.holdings import KEYS
 from dragline.plans.oracle_views import (
@@ -42,8 +42,9 @@ def _header(v: FundViews, h: DataFrame) -> DataFrame:
 def _facts(v: FundViews, small: float = SMALL) -> DataFrame:
     """Facts with net assets from the same pass: the sum of values is one of the additive measures."""
     facts = holdings.holding_facts(v.holding(), small_position=small)
-    filed = v.fund().filter("has_nport").select("series_id", "nav_factor")
-    return holdings.fund_facts(facts.join(filed, "series_id").withColumn("net_assets", dbl("m_total") * F.col("nav_factor")))
+    filed = v.fund().select("series_id", "nav_factor", "has_nport")
+    known = facts.join(filed, "series_id").withColumn("net_assets", dbl("m_total") * F.col("nav_factor"))
+    return holdings.unfiled(holdings.fund_facts(known, carry=("has_nport",)), "has_nport")
 
 
 def _stated(v: FundViews) -> DataFrame:
@@ -152,7 +153,7 @@ v_cost AS (
   FROM (SELECT f.*, c.*, d.* EXCLUDE (series_id), coalesce(d.has_h, false) AS has_holdings, k.has_c AS has_census,
       coalesce(nullif(nport_net_assets, 0), average_net_assets) AS net_assets,
       coalesce(prospectus_turnover, ncen_turnover, 30) / 100.0::DOUBLE AS turnover, er_bps
-    FROM (SELECT series_id, period FROM v_facts UNION SELECT series_id, period FROM v_ncen) c
+    FROM (SELECT DISTINCT series_id, period FROM v_holding) c
     JOIN (SELECT series_id AS sid, ticker, fund_name, family, category, prospectus_turnover FROM v_fund) f ON sid = c.series_id
     LEFT JOIN (SELECT *, true AS has_h FROM v_facts) d ON d.series_id = c.series_id AND d.period = c.period
     LEFT JOIN (SELECT series_id AS s2, period AS p2, commissions, has_soft_dollar, soft_dollar_usd, ncen_turnover, average_net_assets FROM v_ncen) n ON s2 = c.series_id AND p2 = c.period
@@ -189,21 +190,22 @@ def asset_class_weights_reported(v):
 
 
 @query(with_views(*HOLD, V_FACTS, body=f"""
-SELECT series_id, period, n_holdings, {R('bond_pct', 4)} AS bond_pct, {R('small_cap_pct', 4)} AS small_cap_pct, {R('covered_weight', 6)} AS covered_weight FROM v_facts"""))
+SELECT series_id, period, n_holdings, {R('bond_pct', 4)} AS bond_pct, {R('small_cap_pct', 4)} AS small_cap_pct, {R('covered_weight', 6)} AS covered_weight FROM (SELECT DISTINCT series_id, period FROM v_holding) k LEFT JOIN v_facts USING (series_id, period)"""))
 def bond_and_small_cap_share(v):
     return _facts(v).select(*KEYS, "n_holdings", rnd("bond_pct", 4).alias("bond_pct"),
                             rnd("small_cap_pct", 4).alias("small_cap_pct"), rnd("covered_weight", 6).alias("covered_weight"))
 
 
 @query(with_views(*HOLD, V_FACTS, body=f"""
-SELECT series_id, period, {R(_CASHPCT, 4)} AS cash_pct, {R(_EXC, 4)} AS excess_cash_pct, {R(_EXC + ' * 2')} AS drag_low_bps, {R(_EXC + ' * 6')} AS drag_high_bps,
-  {_EXC} > 0 AND {_CASHPCT} > 5 AS is_flagged, CASE WHEN {_EXC} > 0 THEN 'ESTIMATED' ELSE 'CALCULATED' END AS tag FROM v_facts"""))
+SELECT series_id, period, CASE WHEN nport_net_assets IS NOT NULL THEN {R(_CASHPCT, 4)} END AS cash_pct, CASE WHEN nport_net_assets IS NOT NULL THEN {R(_EXC, 4)} END AS excess_cash_pct, CASE WHEN nport_net_assets IS NOT NULL THEN {R(_EXC + ' * 2')} END AS drag_low_bps, CASE WHEN nport_net_assets IS NOT NULL THEN {R(_EXC + ' * 6')} END AS drag_high_bps,
+  CASE WHEN nport_net_assets IS NOT NULL THEN {_EXC} > 0 AND {_CASHPCT} > 5 END AS is_flagged, CASE WHEN nport_net_assets IS NULL THEN 'UNAVAILABLE' WHEN {_EXC} > 0 THEN 'ESTIMATED' ELSE 'CALCULATED' END AS tag FROM (SELECT DISTINCT series_id, period FROM v_holding) k LEFT JOIN v_facts USING (series_id, period)"""))
 def cash_drag(v):
     d = costs.cash_drag(F.col("cash_usd"), F.col("nport_net_assets"))
-    return _facts(v).select(
-        *KEYS, rnd(d["cash_pct"], 4).alias("cash_pct"), rnd(d["excess"], 4).alias("excess_cash_pct"),
-        d["low"].alias("drag_low_bps"), d["high"].alias("drag_high_bps"), d["flagged"].alias("is_flagged"), d["tag"].alias("tag"),
-    )
+    held = F.col("has_holdings")
+    return _facts(v).select(*KEYS, *[F.when(held, c).alias(n) for n, c in (
+        ("cash_pct", rnd(d["cash_pct"], 4)), ("excess_cash_pct", rnd(d["excess"], 4)), ("drag_low_bps", d["low"]),
+        ("drag_high_bps", d["high"]), ("is_flagged", d["flagged"]))],
+        F.when(held, d["tag"]).otherwise(UNAVAILABLE).alias("tag"))
 
 
 _COUNTRY = "CASE WHEN upper(trim(coalesce(country, 'UNKNOWN'))) = '' THEN 'UNKNOWN' ELSE upper(trim(coalesce(country, 'UNKNOWN'))) END"
