@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,12 +114,27 @@ def peer_outliers(measures: DataFrame) -> DataFrame:
     )
 
 
+def percentiles(scores: DataFrame, dimensions: Iterable[str]) -> DataFrame:
+    """Each dimension as its percentile, 0 to 100, among the non-null values of its category; equal values are equal."""
+    names = list(dimensions)
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("v")) for d in names]))
+    rows = scores.select("category", "series_id", each.alias("x")).select("category", "series_id", "x.*").filter("v IS NOT NULL")
+    r = ranked(rows, [F.col("v").asc(), F.col("series_id").asc()], group=["category", "dim"], size="n")
+    ties = r.groupBy("category", "dim", "v").agg((F.min("rank") - 1).alias("below"))
+    share = F.when(F.col("n") > 1, 100.0 * F.col("below") / (F.col("n") - 1)).otherwise(0.0)
+    wide = r.join(ties, ["category", "dim", "v"]).groupBy("category", "series_id").agg(
+        *[F.max(F.when(F.col("dim") == d, share)).alias(d) for d in names])
+    return scores.drop(*names).join(wide, ["category", "series_id"], "left")
+
+
 def scorecard(scores: DataFrame, dimensions: dict[str, float]) -> DataFrame:
     """Weighted score over the applicable dimensions, graded by position among peers.
 
-    Dimensions are 0-100 columns (lower is better); a null one is left out and
-    the other weights are rescaled.  A: best tenth, then 25, 35, 20 and 10 %.
+    Dimensions are measures where lower is better; each is scaled to its
+    percentile in the category first.  A null one is left out and the other
+    weights are rescaled.  A: best tenth, then 25, 35, 20 and 10 %.
     """
+    scores = percentiles(scores, dimensions)
     num = sum((F.coalesce(F.col(d) * w, F.lit(0.0)) for d, w in dimensions.items()), F.lit(0.0))
     den = sum((F.when(F.col(d).isNotNull(), w).otherwise(0.0) for d, w in dimensions.items()), F.lit(0.0))
     scored = scores.withColumn("score", rnd(num / F.nullif(den, F.lit(0.0)), 4)).filter(F.col("score").isNotNull())

@@ -745,6 +745,9 @@ def peer_outliers(v):
 
 
 SCORE_DIMS = {k: A.SCORECARD_WEIGHTS[k] for k in ("soft_dollar_intensity", "affiliated_routing", "turnover_tax", "expense_ratio")}
+_PCT = lambda c: (
+    f"CASE WHEN {c} IS NOT NULL THEN coalesce(100.0::DOUBLE * (rank() OVER (PARTITION BY category, {c} IS NULL ORDER BY {c}) - 1)"
+    f" / nullif(count({c}) OVER (PARTITION BY category) - 1, 0), 0) END")
 _NUM = "coalesce(soft_dollar_intensity * 15.0::DOUBLE, 0) + coalesce(affiliated_routing * 10.0::DOUBLE, 0) + coalesce(turnover_tax * 15.0::DOUBLE, 0) + coalesce(expense_ratio * 10.0::DOUBLE, 0)"
 _DEN = "CASE WHEN soft_dollar_intensity IS NULL THEN 0 ELSE 15 END + CASE WHEN affiliated_routing IS NULL THEN 0 ELSE 10 END + CASE WHEN turnover_tax IS NULL THEN 0 ELSE 15 END + CASE WHEN expense_ratio IS NULL THEN 0 ELSE 10 END"
 
@@ -754,7 +757,7 @@ SELECT category, series_id, score, row_number() OVER w AS rank, count(*) OVER (P
   CASE WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.10 THEN 'A' WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.35 THEN 'B'
     WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.70 THEN 'C' WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.90 THEN 'D' ELSE 'F' END AS grade
 FROM (SELECT category, series_id, {R(f'({_NUM}) / nullif(CAST({_DEN} AS DOUBLE), 0)', 4)} AS score FROM (
-  SELECT series_id, category, soft_dollar_bps AS soft_dollar_intensity, affiliated_pct AS affiliated_routing, prospectus_turnover AS turnover_tax, er_bps AS expense_ratio
+  SELECT series_id, category, {_PCT('soft_dollar_bps')} AS soft_dollar_intensity, {_PCT('affiliated_pct')} AS affiliated_routing, {_PCT('prospectus_turnover')} AS turnover_tax, {_PCT('er_bps')} AS expense_ratio
   FROM v_peer JOIN (SELECT series_id, prospectus_turnover FROM v_fund) f USING (series_id) LEFT JOIN v_stated USING (series_id)) a) b
 WHERE score IS NOT NULL WINDOW w AS (PARTITION BY category ORDER BY score, series_id)"""))
 def peer_scorecard(v):
