@@ -426,11 +426,12 @@ def name_resolution(v):
 
 @query(with_views(V_HOLDING, V_MASTER, body="""
 SELECT resolved_by, count(*) AS positions, CAST(sum(value_usd) AS DOUBLE) AS value_usd, count(DISTINCT series) AS series FROM (
-  SELECT h.value_usd, CASE WHEN p_size < 40 THEN 'cusip' WHEN contains(h.name, 'bolt') THEN 'name' WHEN p_brand <> 'Brand#5' AND false THEN 'isin' END AS resolved_by,
-    CASE WHEN p_size < 40 THEN partkey % (SELECT count(*) FROM supplier) WHEN contains(h.name, 'bolt') THEN -7 END AS series
+  SELECT h.value_usd, CASE WHEN p_size < 40 AND linenumber <= 4 THEN 'cusip' WHEN contains(h.name, 'bolt') THEN 'name' WHEN p_size < 40 AND p_brand <> 'Brand#5' THEN 'isin' END AS resolved_by,
+    CASE WHEN p_size < 40 AND linenumber <= 4 THEN partkey % (SELECT count(*) FROM supplier) WHEN contains(h.name, 'bolt') THEN -7 WHEN p_size < 40 AND p_brand <> 'Brand#5' THEN partkey % (SELECT count(*) FROM supplier) END AS series
   FROM v_holding h JOIN part ON p_partkey = partkey) q GROUP BY 1"""))
 def holding_resolution(v):
-    h = v.holding()
+    """By identifier, then by name, then by the identifier inside the ISIN; later lines of an order carry no identifier."""
+    h = v.holding().withColumn("cusip", F.when(F.col("linenumber") <= 4, F.col("cusip")).otherwise(""))
     keys = h.select("name", "cusip", "isin").distinct()
     names = keys.select("name").distinct().select(
         "name", F.lit("BOLTX").alias("ticker"), F.lit(1).cast("bigint").alias("cik"),
