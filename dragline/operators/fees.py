@@ -222,6 +222,14 @@ def is_prose_series(registrant: Column, series_name: Column) -> Column:
     return named & F.coalesce(F.trim(series_name).rlike(PROSE_SERIES), F.lit(False))
 
 
+def parser_route(registrant: Column, class_names: Column, series_name: Column) -> Column:
+    """Which parser a prospectus needs: class-column tables, prose of an omnibus prospectus, or the summary table."""
+    return (
+        F.when(is_class_table_registrant(registrant, class_names), "class_table")
+        .when(is_prose_series(registrant, series_name), "prose").otherwise("summary_table")
+    )
+
+
 def class_table_fees(docs: DataFrame, key: str, html: str, class_name: str) -> DataFrame:
     """Fees of one share class from blocks with one column per class.
 

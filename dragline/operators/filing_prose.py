@@ -212,6 +212,23 @@ def commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
     )
 
 
+def report_commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """Commissions by fund and year from a shareholder report, where small amounts count too; the largest stays."""
+    part = X.section(F.col(html), REPORT_STARTS, REPORT_ENDS)
+    rows = commission_tables(docs.select(key, part.alias("_part")), key, F.col("_part"), report=True)
+    return rows.groupBy(key, "fund_name", "year").agg(F.max("amount").alias("amount"))
+
+
+def report_facts(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """What a shareholder report says, one row each: commissions, turnover history, the board's approval text."""
+    money = report_commissions(docs, key, html).groupBy(key).agg(F.sort_array(F.collect_list(
+        F.struct("fund_name", "year", "amount"))).alias("commissions"))
+    turnover = turnover_history(docs, key, html).groupBy(key).agg(F.sort_array(F.collect_list(
+        F.struct("fund_name", "year", "turnover_pct"))).alias("turnover"))
+    return docs.select(key, board_approval(F.col(html)).alias("board_approval")).join(money, key, "left").join(
+        turnover, key, "left")
+
+
 def turnover_history(docs: DataFrame, key: str, html: str) -> DataFrame:
     """Turnover by year from every financial-highlights section."""
     parts = F.filter(F.split(F.col(html), r"(?i)(?=financial\s+highlights)"), lambda s: s.rlike(r"(?i)^financial\s+highlights"))

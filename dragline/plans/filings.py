@@ -804,3 +804,31 @@ def merger_classification(v):
 def board_approval(v):
     d = v.table("documents").selectExpr("doc_id", """concat('<p>', text, '</p>', if(lang = 'en', concat('<h2>Basis for the Board\\'s approval</h2> of fees ', source, ' &amp; costs', repeat(' filler', 160), '<p>Proxy voting</p>'), '')) as html""")
     return d.select("doc_id", filing_prose.board_approval(F.col("html")).alias("t")).select("doc_id", F.col("t").isNotNull().alias("has_text"), F.length("t").alias("n_chars"))
+
+
+@query("""SELECT c_custkey AS doc, CASE WHEN c_nationkey < 5 THEN 'class_table' WHEN c_acctbal < 0 THEN 'class_table' WHEN c_nationkey < 12 AND c_acctbal < 5000 THEN 'prose' ELSE 'summary_table' END AS parser FROM customer""")
+def fee_parser_routing(v):
+    """Registrants by name, by the pairing of R-6 with 529 classes, by series name, and all others."""
+    c = v.table("customer").selectExpr(
+        "c_custkey as doc", "case when c_nationkey < 5 then 'The Growth Fund of America' when c_nationkey < 12 then 'Fidelity Select Portfolios' else concat(c_mktsegment, ' Trust') end as registrant",
+        "array('Class A ', 'class R-6', if(c_acctbal < 0, ' Class 529-A', 'Class C')) as classes", "if(c_acctbal < 5000, 'Fidelity  Series Growth', 'Growth Portfolio') as series")
+    return c.select("doc", fees.parser_route(F.col("registrant"), F.col("classes"), F.col("series")).alias("parser"))
+
+
+def _report_docs(v):
+    """A shareholder report for every customer: commissions, financial highlights, board approval; some lack a part."""
+    return v.table("customer").selectExpr(
+        "c_custkey as doc",
+        """concat('<p>letter</p>', if(c_acctbal < 0, '', concat('<p>Brokerage commissions paid by the funds</p><table><tr><td>Fund</td><td>2022</td><td>2021</td></tr><tr><td>Alpha ', c_custkey, '</td><td>$ ', format_number(c_custkey + 5000, 0), '</td><td>', c_nationkey + 1,
+          '</td></tr><tr><td>Total</td><td>9</td><td>9</td></tr></table> Directed brokerage <table><tr><td>x</td><td>2019</td></tr><tr><td>Late</td><td>77</td></tr></table>')),
+          if(c_nationkey < 20, concat('<h1>Financial Highlights</h1> Fund: Growth ', c_mktsegment, '<table><tr><td>Year</td><td>2023</td></tr><tr><td>Portfolio turnover rate</td><td>', c_nationkey, ' %</td></tr></table>'), ''),
+          if(c_acctbal > 5000, concat('<h2>Basis for the Board\\'s approval</h2> of ', c_mktsegment, ' fees <h2>Proxy voting</h2>'), '')) as html""",
+    )
+
+
+@query("""SELECT c_custkey AS doc, CASE WHEN c_acctbal >= 0 THEN 'Alpha ' || c_custkey || ':2021:' || (c_nationkey + 1) || '.0|Alpha ' || c_custkey || ':2022:' || (c_custkey + 5000) || '.0' ELSE '' END AS commissions,
+  CASE WHEN c_nationkey < 20 THEN 'Growth ' || c_mktsegment || ':2023:' || c_nationkey || '.0' ELSE '' END AS turnover, CASE WHEN c_acctbal > 5000 THEN 'Basis for the Board''s approval of ' || c_mktsegment || ' fees' END AS board_approval FROM customer""")
+def shareholder_reports(v):
+    r = filing_prose.report_facts(_report_docs(v), "doc", "html")
+    joined = lambda c, f: F.concat_ws("|", F.transform(c, lambda x: F.concat_ws(":", x["fund_name"], x["year"], x[f])))
+    return r.select("doc", joined("commissions", "amount").alias("commissions"), joined("turnover", "turnover_pct").alias("turnover"), "board_approval")
