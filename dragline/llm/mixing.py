@@ -4,7 +4,7 @@
 frequencies of hashed words in each domain, the other half fits a softmax model on those words' log-odds and on a few
 shape features, so the model sees only words it was not counted on.  Every document gets a posterior over the domains.
 
-**Rates.**  Document i has n_i tokens (words) and posterior p_i; rates r_i >= 0 shall make the expected domain totals
+**Rates.**  Document i has n_i tokens (words) and posterior p_i; rates 0 <= r_i <= ``MOST_RATE`` shall make the expected domain totals
 sum_i r_i n_i p_i equal the targets.  Projected gradient descent minimises the squared distance, measured by the inverse
 of M = sum_i n_i p_i p_i' (the totals' own scale, for which step length 1 is safe), from r = 1, with momentum.  Each step is one
 aggregation: a document's rate follows from its posterior and the gradients so far, which are short vectors, so no rate
@@ -15,7 +15,7 @@ A rate is realised as floor(rate + u) copies, u uniform by a hash of id and text
 The training sample is at most about ``TRAIN_ROWS`` labelled rows, by hash of the id (all where there are fewer).
 Defined cases: null and empty texts have no tokens, weigh nothing in the totals and get a rate like any other; null ids
 have no label; an id with several labels takes the largest domain; null labels are no labels; with no training rows
-every posterior is equal; domains beyond the reach of nonnegative rates are matched as closely as rates allow; repeated
+every posterior is equal; domains beyond the reach of such rates are matched as closely as rates allow; repeated
 rows get equal rates; an empty table gives an empty table; other columns are not looked at.
 """
 
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from dragline.scale import settle
 TRAIN_ROWS = 100_000
 SLOTS = 1 << 18
 STEPS, TOLERANCE = 100, 1e-5
+MOST_RATE = 16.0  # repeating a text more often than that teaches nothing; targets beyond it are approached
+_PIECE = 32 << 20  # bytes of repeated rows handed on at once
 _SLOT = np.uint64(64 - 18)
 _SHAPES = 8
 _UPPER, _DIGIT, _LINE = (np.array([a <= c <= b for c in range(256)]) for a, b in ((65, 90), (48, 57), (10, 10)))
@@ -218,7 +221,7 @@ def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, float]], ahead: float
     """Rates after projected steps (a gradient, and the momentum it was taken with) from 1; ``ahead``: of the next step."""
     r = before = np.ones(len(p))
     for gradient, momentum in steps:
-        r, before = np.maximum(0.0, r + momentum * (r - before) - p @ gradient), r
+        r, before = np.clip(r + momentum * (r - before) - p @ gradient, 0.0, MOST_RATE), r
     return r + ahead * (r - before)
 
 
@@ -313,12 +316,16 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
                 x, _ = features(batch.column(batch.num_columns - 1), shared.value.odds)
                 rate = rates_of(shared.value.posteriors(x), steps)
                 copies = np.floor(rate + batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)).astype(np.int64)
-                yield batch.select(kept).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
+                rows, size = batch.select(kept), pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_numpy()
+                order = np.repeat(np.arange(batch.num_rows), copies)
+                piece = np.cumsum(size[order]) // _PIECE
+                for begin in np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(order) else []:
+                    yield rows.take(pa.array(order[begin : np.searchsorted(piece, piece[begin], side="right")]))
 
     filled = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.withColumns({even: _even(F.col(key), F.col(text)), body: filled}).mapInArrow(run, docs.schema)
