@@ -54,7 +54,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(documents(spark, sf_dir))
+    return line_dedup.repeated_lines(documents(spark, sf_dir), least=0)
 
 
 QUERIES = {f.__name__: f for f in (
