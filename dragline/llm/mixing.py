@@ -4,23 +4,25 @@
 frequencies of hashed words in each domain, the other half fits a softmax model on those words' log-odds and on a few
 shape features, so the model sees only words it was not counted on.  Every document gets a posterior over the domains.
 
-**Rates.**  Document i has n_i tokens (words) and posterior p_i; rates 0 <= r_i <= ``MOST_RATE`` shall make the expected domain totals
+**Rates.**  Document i has n_i tokens (words) and posterior p_i; rates r_i >= 0 shall make the expected domain totals
 sum_i r_i n_i p_i equal the targets.  Projected gradient descent minimises the squared distance, measured by the inverse
 of M = sum_i n_i p_i p_i' (the totals' own scale, for which step length 1 is safe), from r = 1, with momentum.  Each step is one
 aggregation: a document's rate follows from its posterior and the gradients so far, which are short vectors, so no rate
-is stored and nothing but one sum a partition reaches the driver.
+is stored and nothing but one sum a partition reaches the driver.  Steps go on until the targets are met or the distance
+has not fallen for ``PATIENCE`` steps; the totals reached are logged, as a warning where they miss the targets.
 
 A rate is realised as floor(rate + u) copies, u uniform by a hash of id and text.
 
 The training sample is at most about ``TRAIN_ROWS`` labelled rows, by hash of the id (all where there are fewer).
 Defined cases: null and empty texts have no tokens, weigh nothing in the totals and get a rate like any other; null ids
 have no label; an id with several labels takes the largest domain; null labels are no labels; with no training rows
-every posterior is equal; domains beyond the reach of such rates are matched as closely as rates allow; repeated
+every posterior is equal; domains beyond the reach of any rates are matched as closely as rates allow; repeated
 rows get equal rates; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -36,9 +38,11 @@ from dragline.scale import settle
 
 TRAIN_ROWS = 100_000
 SLOTS = 1 << 18
-STEPS, TOLERANCE = 100, 1e-5
-MOST_RATE = 16.0  # repeating a text more often than that teaches nothing; targets beyond it are approached
+TOLERANCE = 1e-5
+PATIENCE, LEAST_FALL = 20, 1e-4  # steps without a new least distance, and the part by which it must be less
 _PIECE = 32 << 20  # bytes of repeated rows handed on at once
+_COPIES = 1 << 16  # rows numbered at once
+_log = logging.getLogger(__name__)
 _SLOT = np.uint64(64 - 18)
 _SHAPES = 8
 _UPPER, _DIGIT, _LINE = (np.array([a <= c <= b for c in range(256)]) for a, b in ((65, 90), (48, 57), (10, 10)))
@@ -221,7 +225,7 @@ def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, float]], ahead: float
     """Rates after projected steps (a gradient, and the momentum it was taken with) from 1; ``ahead``: of the next step."""
     r = before = np.ones(len(p))
     for gradient, momentum in steps:
-        r, before = np.clip(r + momentum * (r - before) - p @ gradient, 0.0, MOST_RATE), r
+        r, before = np.maximum(r + momentum * (r - before) - p @ gradient, 0.0), r
     return r + ahead * (r - before)
 
 
@@ -251,21 +255,31 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray,
     square = _sums(members, k, [], 0.0, squares=True).reshape(k, k)
     scale = max(float(np.trace(square)), 1.0)
     inverse = np.linalg.inv(square + 1e-9 * scale * np.eye(k))
-    steps, age, last = [], 0, math.inf
-    while len(steps) < STEPS:
+    within = TOLERANCE * max(float(targets.sum()), 1.0)
+    steps, age, last, least, still = [], 0, math.inf, math.inf, 0
+    best, reached = [], None
+    while still < PATIENCE:
         momentum = age / (age + 3)
-        away = _sums(members, k, steps, momentum) - targets
+        totals = _sums(members, k, steps, momentum)
+        away = totals - targets
         distance = float(away @ inverse @ away)
         if distance > last and age:
             age = 0
             continue
-        if np.abs(away).max() <= TOLERANCE * max(float(targets.sum()), 1.0):
-            if momentum:
-                steps.append((np.zeros(k), momentum))
-            break
+        still = 0 if distance < (1 - LEAST_FALL) * least else still + 1
+        if distance < least:
+            least, best, reached = distance, [*steps, (np.zeros(k), momentum)] if momentum else [*steps], None
+        if np.abs(away).max() <= within:
+            reached = _sums(members, k, best, 0.0) if momentum else totals  # rates ahead may lie below zero
+            if np.abs(reached - targets).max() <= within:
+                break
         steps.append((inverse @ away, momentum))
         age, last = age + 1, distance
-    return steps
+    reached = _sums(members, k, best, 0.0) if reached is None else reached
+    met = np.abs(reached - targets).max() <= within
+    _log.log(logging.INFO if met else logging.WARNING, "domain totals %s of targets %s after %d steps",
+             reached.tolist(), targets.tolist(), len(best))
+    return best
 
 
 def _even(key: Column, text: Column) -> Column:
@@ -322,10 +336,12 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...
                 rate = rates_of(shared.value.posteriors(x), steps)
                 copies = np.floor(rate + batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)).astype(np.int64)
                 rows, size = batch.select(kept), pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_numpy()
-                order = np.repeat(np.arange(batch.num_rows), copies)
-                piece = np.cumsum(size[order]) // _PIECE
-                for begin in np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(order) else []:
-                    yield rows.take(pa.array(order[begin : np.searchsorted(piece, piece[begin], side="right")]))
+                ends = np.cumsum(copies)
+                for done in range(0, int(ends[-1]) if len(ends) else 0, _COPIES):
+                    order = np.searchsorted(ends, np.arange(done, min(done + _COPIES, int(ends[-1]))), side="right")
+                    piece = np.cumsum(size[order]) // _PIECE
+                    for begin in np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]):
+                        yield rows.take(pa.array(order[begin : np.searchsorted(piece, piece[begin], side="right")]))
 
     filled = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.withColumns({even: _even(F.col(key), F.col(text)), body: filled}).mapInArrow(run, docs.schema)

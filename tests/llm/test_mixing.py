@@ -59,3 +59,15 @@ def test_awkward_rows(spark, awkward, nothing):
     assert all(np.allclose(r.posterior, 0.5) and abs(r.rate - 1) < 1e-3 for r in none)
     assert mixing.rate_table(nothing, labels, (0.5, 0.5)).count() == 0
     assert mixing.mixed_documents(nothing, labels, (0.5, 0.5)).count() == 0
+
+
+def test_rare_domain_reaches_its_target(spark, caplog):
+    """A hundredth of the target share beside a hot source needs rates far above 16."""
+    p = np.array([[0.999, 0.001]] * 400 + [[0.02, 0.98]])
+    n = np.full(401, 100)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
+    r = mixing.rates_of(p, mixing.fit_rates(members, n.sum() * np.array([0.7, 0.3])))
+    assert (r >= 0).all() and r.max() > 100 and np.allclose((n * r) @ p / n.sum(), [0.7, 0.3], atol=1e-4)
+    assert not caplog.records
+    mixing.fit_rates(members, n.sum() * np.array([1.0, 0.0]))  # no rates reach it
+    assert "of targets" in caplog.text
