@@ -4,7 +4,8 @@ A mask of ones and zeros is laid over the words at every position; the words und
 are ignored, so a substituted word there does not hide the match.  Seeds of the benchmark and of the documents are
 joined by hash; around each hit the two texts are aligned on its diagonal and the best-scoring stretch (a matching word
 +1, a differing word -1) is verified: at least ``MIN_MATCH`` equal words (or the whole item, if shorter) and at least
-``MIN_IDENTITY`` of the words in the stretch.
+``MIN_IDENTITY`` of the words in the stretch.  If it fails, the stretch of that identity with the most equal words is
+taken, so a diagonal is given up only when none of its stretches passes.
 
 Document seeds meet a bitmap of benchmark seeds first (``BITS`` bits, whatever the benchmark's size, so its broadcast
 is bounded); only hits leave the scan, with the words around them.  The exact join decides, so a full bitmap costs time,
@@ -32,6 +33,7 @@ MASKS = ("11111", "1101011", "101100101", "11001101")
 MIN_WORDS = 5
 MIN_MATCH = 10
 MIN_IDENTITY = 0.65
+_EQUAL, _DIFFERENT = 7, 13  # a stretch has MIN_IDENTITY if 7 for an equal word less 13 for a differing one is not negative
 BITS = 1 << 26
 _PAGE = 1 << 15  # bits in one row of Spark's bitmap functions
 
@@ -139,6 +141,18 @@ def _regions(docs: DataFrame, seeds: DataFrame, longest: int) -> DataFrame:
         run, f"id {kind}, at long, start long, words binary, hits array<struct<key:long,pos:long>>"))
 
 
+def most_equal(same: np.ndarray) -> tuple[int, int]:
+    """The stretch of at least MIN_IDENTITY with the most equal words, then the shortest, then the first."""
+    score, count = np.r_[0, np.cumsum(np.where(same, _EQUAL, -_DIFFERENT))], np.r_[0, np.cumsum(same)]
+    # the farthest begin for each end: the first place whose score is no higher
+    begin = np.minimum(np.searchsorted(-np.minimum.accumulate(score), -score), np.arange(len(score)))
+    places = np.flatnonzero(same)  # differing words at either end go
+    first, last = places[np.minimum(count[begin], len(places) - 1)], places[np.maximum(count - 1, 0)] + 1
+    equal = count - count[begin]
+    best = np.lexsort((first, last - first, -equal))[0]
+    return int(first[best]), int(last[best])
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Best stretch on the diagonal of each row of (id, at, start, words, item, item_words, diagonal)."""
 
@@ -158,8 +172,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 total = np.r_[0, np.cumsum(np.where(same, 1, -1))]
                 end = int(np.argmax(total - np.minimum.accumulate(total)))
                 first = int(np.argmin(total[: end + 1]))
-                equal = int(same[first:end].sum())
-                if equal >= min(MIN_MATCH, len(item)) and equal >= MIN_IDENTITY * (end - first):
+                equal, enough = int(same[first:end].sum()), min(MIN_MATCH, len(item))
+                if equal < enough or equal < MIN_IDENTITY * (end - first):
+                    first, end = most_equal(same)
+                    equal = int(same[first:end].sum())
+                if equal >= enough and equal >= MIN_IDENTITY * (end - first):
                     good.append(i)
                     matched.append(equal)
                     length.append(end - first)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from awkward_rows import ROWS
 
 from dragline.llm import decontaminate
@@ -50,3 +51,24 @@ def test_awkward_rows(spark, awkward, nothing):
     assert decontaminate.leak_table(awkward, none).count() == 0
     assert decontaminate.leak_table(nothing, items).count() == 0
     assert decontaminate.clean_documents(awkward, none).count() == len(ROWS)
+
+
+def test_parts_of_an_item_in_place(spark, table):
+    """Equal runs that join over gaps to less than the identity count by themselves."""
+    item = words(48, 1)
+    parts = [w if k < 10 or 19 <= k < 29 or k >= 38 else "other" for k, w in enumerate(item)]
+    rows = [(1, " ".join([*words(20, 2), *parts, *words(20, 3)]))]
+    got = decontaminate.leak_table(table(rows), benchmark(spark, [(7, " ".join(item))])).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].matched_words >= 0.65 * got[0].overlap_words
+
+
+def test_most_equal_is_exact():
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        same = rnd.random(rnd.integers(1, 40)) < rnd.choice([0.3, 0.5, 0.7])
+        if not same.any():
+            continue
+        want = max((int(same[a:b].sum()), a - b, -a) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+                   if 20 * same[a:b].sum() >= 13 * (b - a))
+        a, b = decontaminate.most_equal(same)
+        assert (int(same[a:b].sum()), a - b, -a) == want
