@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dragline.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc
+from dragline.llm import (
+    decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc)
 from dragline.llm.shared import documents
 
 
@@ -57,9 +58,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(documents(spark, sf_dir), least=0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_score, op2_warc, op3_token_count, op4_mixing, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup,
-    op9_sharding, op10_line_dedup)}
+    op9_sharding, op10_line_dedup, op11_hard_negatives)}
 
 ORACLE = {
     "op2_warc": """
@@ -86,4 +93,24 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT row_number() OVER () AS at, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+          SELECT a.at AS a, a.id AS anchor_id, b.at AS b, b.id AS id, a.label = b.label AS same,
+                 CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.at <> b.at WHERE a.id % 100 = 0),
+        p AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) AS place FROM s WHERE same)
+          WHERE place <= 5),
+        n AS (
+          SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id, s.b) AS rank
+          FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE rank <= 10""",
 }
