@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dragline.llm import (
-    decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc)
+    bpe_codec, decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc)
 from dragline.llm.shared import documents
 
 
@@ -64,9 +64,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe_codec.encode(documents(spark, sf_dir), vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return bpe_codec.decode(coded, vocabulary, text="decoded").select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_score, op2_warc, op3_token_count, op4_mixing, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup,
-    op9_sharding, op10_line_dedup, op11_hard_negatives)}
+    op9_sharding, op10_line_dedup, op11_hard_negatives, op12_bpe_codec)}
 
 ORACLE = {
     "op2_warc": """

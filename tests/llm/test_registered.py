@@ -17,7 +17,7 @@ from dragline.llm import queries
 def test_names():
     assert sorted(queries.QUERIES) == sorted(
         ["op1_lm_score", "op2_warc", "op3_token_count", "op4_mixing", "op5_toxicity", "op6_simhash", "op7_decontaminate",
-         "op8_exact_dedup", "op9_sharding", "op10_line_dedup", "op11_hard_negatives"])
+         "op8_exact_dedup", "op9_sharding", "op10_line_dedup", "op11_hard_negatives", "op12_bpe_codec"])
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
@@ -27,7 +27,8 @@ def test_same_as_sql(spark, name):
     assert ok, message
 
 
-@pytest.mark.parametrize("name", ["op1_lm_score", "op3_token_count", "op4_mixing", "op5_toxicity", "op6_simhash", "op9_sharding"])
+@pytest.mark.parametrize("name", ["op1_lm_score", "op3_token_count", "op4_mixing", "op5_toxicity", "op6_simhash", "op9_sharding",
+                                  "op12_bpe_codec"])
 def test_one_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert entry.queries()[name](spark, SF).select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
