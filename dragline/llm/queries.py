@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dragline.llm import (
-    bpe_codec, decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc)
+    bpe_codec, collocations, decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, mixing, sharding, simhash, token_count, toxicity, warc)
 from dragline.llm.shared import documents
 
 
@@ -73,9 +73,14 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_score, op2_warc, op3_token_count, op4_mixing, op5_toxicity, op6_simhash, op7_decontaminate, op8_exact_dedup,
-    op9_sharding, op10_line_dedup, op11_hard_negatives, op12_bpe_codec)}
+    op9_sharding, op10_line_dedup, op11_hard_negatives, op12_bpe_codec,
+    op13_collocations)}
 
 ORACLE = {
     "op2_warc": """
@@ -122,4 +127,31 @@ ORACLE = {
           FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
         SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
         FROM n WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+          FROM documents),
+        g AS (
+          SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: w[i + 1:i + k])) AS g
+          FROM p, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+        c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+        cut AS (
+          SELECT c.*, i, c.g[1:i] AS x, c.g[i + 1:c.k] AS y FROM c, (VALUES (1), (2), (3)) AS t(i) WHERE i < c.k),
+        s AS (
+          SELECT cut.lang, cut.k, cut.g, cut.a, i, fx.a AS l, fy.a AS r,
+                 CAST(CAST(2000000 AS HUGEINT) * cut.a // (fx.a + fy.a) AS BIGINT) AS score
+          FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.g = cut.x JOIN f fy ON fy.lang = cut.lang AND fy.g = cut.y),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+        o AS (
+          SELECT lang, c.g[j + 1:j + m] AS g, max(a) AS longest
+          FROM c, (VALUES (0), (1), (2)) AS t(j), (VALUES (2), (3)) AS u(m) WHERE m < c.k AND j + m <= c.k GROUP BY ALL),
+        d AS (
+          SELECT b.*, array_to_string(b.g, ' ') AS phrase
+          FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE o.longest IS NULL OR 100 * o.longest < 80 * b.a),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+        SELECT z.lang, rank, phrase, a, l, r, n, score
+        FROM z JOIN (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang) t ON t.lang = z.lang WHERE rank <= 2000""",
 }

@@ -17,7 +17,8 @@ from dragline.llm import queries
 def test_names():
     assert sorted(queries.QUERIES) == sorted(
         ["op1_lm_score", "op2_warc", "op3_token_count", "op4_mixing", "op5_toxicity", "op6_simhash", "op7_decontaminate",
-         "op8_exact_dedup", "op9_sharding", "op10_line_dedup", "op11_hard_negatives", "op12_bpe_codec"])
+         "op8_exact_dedup", "op9_sharding", "op10_line_dedup", "op11_hard_negatives", "op12_bpe_codec",
+         "op13_collocations"])
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
