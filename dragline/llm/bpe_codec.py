@@ -1,18 +1,19 @@
 """Byte-level BPE over a table of distinct words: each word is encoded once, ids come back by position.
 
-    1. texts are split into the words within which merges happen, a block of texts at a time; a block keeps its distinct
+    1. texts are split into the words within which merges happen, a block of texts at a time; a block has distinct
        words and, for every position, the number of the word there;
-    2. the distinct words of all blocks are encoded, each once;
-    3. words join ids, once for every block that has the word (not for every occurrence), and each block lays the ids
-       out by its positions;
-    4. decoding lists tokens with their positions, joins each id with its piece (a table of the vocabulary's size, which
-       is broadcast) and strings the pieces of a text together as they stream by.
+    2. the distinct words of all blocks are shuffled by word, so each is encoded once, and its ids go back to the blocks
+       that have it (a row for each block, not for each occurrence);
+    3. a block's ids and its positions meet, and the ids are laid out by position;
+    4. decoding lists the distinct ids of a block of texts, joins each with its piece (a table of the vocabulary's size,
+       which is broadcast) and lays the pieces out by position as they stream by.
 
 Word borders follow the tokenizer's pattern (contractions, letters, digits, signs, white space, the first three with a
 space before them) as array operations over code points; the class of a code point is asked of the tokenizer itself.
 
-Memory: a task holds one block, its share of step 3, or the text that it is decoding: about the Arrow batch size, or one
-document if that is longer.  A frequent word has one row a block, so no key grows with its occurrences.
+Memory: a task holds one block at a time: about ``_BLOCK`` bytes of text, or one document if that is longer.  A frequent word
+has one row a block, so no key grows with its occurrences.  The documents are read twice, so they must be a table or
+another input that gives the same rows in the same order when it is read again; if it does not, the job fails.
 
 Defined cases: a null text counts as empty and has no ids; special strings inside texts become their special token, as
 the library does by default; rows that repeat are encoded as often as they occur; ids that the vocabulary lacks or nulls
@@ -22,21 +23,23 @@ an empty table; other columns are not looked at by ``encode`` and are kept by ``
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dragline.llm.shared import arrow_batches_of, stored, unused
 from dragline.llm.words import column_bytes
 
-BLOCK = "8m"
+_BLOCK = 1 << 24
 _PIECE = 1 << 20  # bytes split at once; longer where no safe place to part them comes
 _LETTER, _DIGIT, _SIGN, _SPACE = range(4)
 
@@ -166,49 +169,81 @@ def _valid(column: pa.Array) -> pa.Array:
         return pa.array([x.decode(errors="replace").encode() for x in column.to_pylist()], pa.binary())
 
 
-def _blocks(docs: DataFrame, told, key: str, text: str) -> DataFrame:
-    """(block, keys, words, wide, numbers, dictionary): a row for each block of texts."""
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``_BLOCK`` bytes of text, or one row."""
+    if batch.num_rows:
+        block = column_bytes(batch.column(1))[1][:-1] // _BLOCK
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist()
+        for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(b, e - b)
+
+
+def _as_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _packed(numbers: np.ndarray) -> tuple[bytes, int]:
+    return pa.Codec("zstd", 3).compress(numbers.astype(np.uint32).tobytes(), asbytes=True), 4 * len(numbers)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd", 3).decompress(packed, size), np.uint32).astype(np.int64) if size else np.zeros(0, np.int64)
+
+
+def _blocks(docs: DataFrame, told, key: str, text: str, make: Callable, schema) -> DataFrame:
+    """``make`` of each block of texts: its name, keys, words in each text, the word's number at each position, the words.
+
+    A block is named by its partition, place and content, so both readings of ``docs`` (and repeated tasks) name it alike.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(told.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        part = TaskContext.get().partitionId()
+        for place, batch in enumerate(b for whole in batches for b in _slices(whole)):
             data, offsets = column_bytes(_valid(batch.column(1)))
+            name = hashlib.blake2b(b"%d %d " % (part, place) + offsets.tobytes(), digest_size=8)
+            name.update(data)
             begin = splitter.starts(data, offsets)
             ends = np.r_[begin, len(data)].astype(np.int64)
             coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
             numbers = coded.indices.to_numpy()
             often = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")  # small numbers for frequent words
-            rank = np.empty(len(often), np.uint32)
+            rank = np.empty(len(often), np.int64)
             rank[often] = np.arange(len(often))
-            wide = len(often) > 1 << 16
-            numbers = rank[numbers].astype(np.uint32 if wide else np.uint16)
-            words = np.diff(np.searchsorted(begin, offsets))
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.record_batch([
-                one(batch.column(0)), one(pa.array(words.astype(np.int32))), pa.array([wide]),
-                pa.array([pa.Codec("zstd", 3).compress(numbers.tobytes(), asbytes=True)], pa.binary()), pa.array([numbers.nbytes]),
-                one(coded.dictionary.take(pa.array(often)).cast(pa.large_string()).cast(pa.string()))],
-                names=["keys", "words", "wide", "numbers", "size", "dictionary"])
-
-    schema = T.StructType([T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), *T._parse_datatype_string(
-        "words array<int>, wide boolean, numbers binary, size long, dictionary array<string>").fields])
+            yield make(int.from_bytes(name.digest(), "big", signed=True), batch.column(0), np.diff(np.searchsorted(begin, offsets)),
+                       rank[numbers], coded.dictionary.take(pa.array(often)))
+
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    with arrow_batches_of(docs.sparkSession, BLOCK):
-        return stored(rows.mapInArrow(split, schema).withColumn("block", F.monotonically_increasing_id()), "bpe-blocks")
+    return rows.mapInArrow(split, schema)
 
 
-def _coded_words(words: DataFrame, told) -> DataFrame:
-    """(word, ids): each distinct word encoded once."""
+def _distinct_words(name, keys, words, numbers, dictionary) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(dictionary), name)), pa.array(np.arange(len(dictionary), dtype=np.int32)),
+                            dictionary.cast(pa.large_string()).cast(pa.string())], names=["block", "number", "word"])
+
+
+def _positions(name, keys, words, numbers, dictionary) -> pa.RecordBatch:
+    packed, size = _packed(numbers)
+    return pa.record_batch([pa.array([name]), _as_list(keys), _as_list(pa.array(words.astype(np.int32))), pa.array([packed], pa.binary()),
+                            pa.array([size])], names=["part", "keys", "words", "numbers", "size"])
+
+
+def encode_words(rows: DataFrame, told) -> DataFrame:
+    """(block, number, ids) for rows of (block, number, word): equal words meet in one task, which encodes them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = _splitter(told.value)
+        splitter, last, last_ids = _splitter(told.value), None, None
         for batch in batches:
-            ids = splitter.encode(batch.column(0).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            coded = batch.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            known = bool(words) and words[0] == last  # the words are sorted: only the first can be known
+            ids = ([last_ids] if known else []) + splitter.encode(words[known:])
+            if words:
+                last, last_ids = words[-1], ids[-1]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)],
+                                  names=["block", "number", "ids"])
 
-    return words.distinct().mapInArrow(run, "word string, ids array<int>")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids array<int>")
 
 
 def _vocabulary(tokenizer_file: str) -> str:
@@ -220,28 +255,28 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
     """(key, ids) for every row.  ``tokenizer_file`` is read on the driver and broadcast with the classes of code points."""
     description = _vocabulary(tokenizer_file)
     told = docs.sparkSession.sparkContext.broadcast((description, Splitter(description).kind))
-    blocks = _blocks(docs, told, key, text)
-    listed = blocks.select("block", F.posexplode("dictionary").alias("number", "word"))
-    coded = stored(_coded_words(listed.select("word"), told), "bpe-words")
-    placed = listed.join(coded, "word").select("block", "number", "ids")
+    with_key = T.StructType([
+        T.StructField("part", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("words", T.ArrayType(T.IntegerType())),
+        T.StructField("numbers", T.BinaryType()), T.StructField("size", T.LongType())])
+    positions = _blocks(docs, told, key, text, _positions, with_key)
+    ids = encode_words(_blocks(docs, told, key, text, _distinct_words, "block long, number int, word string"), told)
 
     def lay_out(block: pa.Table, words: pa.Table) -> pa.Table:
+        if not len(block):
+            raise RuntimeError("the input changed between two readings")
         row = block.slice(0, 1)
         keys, sizes = (row[c].combine_chunks().flatten() for c in ("keys", "words"))
-        kind = np.uint32 if row["wide"][0].as_py() else np.uint16
-        size = row["size"][0].as_py()
-        numbers = np.frombuffer(pa.Codec("zstd", 3).decompress(row["numbers"][0].as_py(), size), kind).astype(np.int64) if size else np.zeros(0, np.int64)
+        numbers = _unpacked(row["numbers"][0].as_py(), row["size"][0].as_py())
         words = words.take(np.argsort(words["number"].to_numpy()))
-        if len(words) != numbers.max(initial=-1) + 1:
-            raise RuntimeError("a block's words and its positions differ")
+        if len(block) > 1 or len(words) != numbers.max(initial=-1) + 1:
+            raise RuntimeError("the input changed between two readings")
         lists = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
         lists = lists.take(pa.array(numbers))
         ends = lists.offsets.to_numpy()[np.r_[0, np.cumsum(sizes.to_numpy())]]
         return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), lists.flatten())})
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    parts = blocks.select(F.col("block").alias("part"), "keys", "words", "wide", "numbers", "size")
-    return parts.groupBy("part").cogroup(placed.groupBy("block")).applyInArrow(lay_out, schema)
+    return positions.groupBy("part").cogroup(ids.groupBy("block")).applyInArrow(lay_out, schema)
 
 
 def pieces(spark, tokenizer_file: str) -> DataFrame:
@@ -256,43 +291,54 @@ def pieces(spark, tokenizer_file: str) -> DataFrame:
 def decode(coded: DataFrame, tokenizer_file: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``coded`` with the column ``ids`` replaced by the decoded ``text``."""
     keep = [c for c in coded.columns if c != ids]
-    pos, one, piece = (unused(coded, c) for c in ("pos", "one", "piece"))
-    listed = coded.select(*keep, F.posexplode_outer(ids).alias(pos, one))
-    # other columns go along with the first token only
-    first = F.coalesce(F.col(pos) == 0, F.lit(True))
-    listed = listed.select(*[F.when(first, F.col(f"`{c}`")).alias(c) for c in keep], pos, one)
-    known = pieces(coded.sparkSession, tokenizer_file).select(F.col("id").alias(one), F.col("piece").alias(piece))
-    joined = listed.join(F.broadcast(known), one, "left").select(*keep, pos, F.coalesce(piece, F.lit(b"")).alias(piece))
-
-    def string_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, body, place = None, [], 0  # the text that goes on: its other columns, its bytes so far, its tokens so far
-
-        def done(heads, texts):
-            return pa.record_batch([*heads.columns, pa.array(texts, pa.string())], names=[*keep, text])
+    kept = T.StructType([coded.schema[c] for c in keep])
+    lists = T.StructType([T.StructField(f"c{i}", T.ArrayType(f.dataType)) for i, f in enumerate(kept.fields)])
+    head = [*lists.names, "sizes", "numbers", "size"]
 
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = batch[pos].fill_null(0).to_numpy()
-            begin = np.flatnonzero(at == 0)
-            want = np.arange(len(at)) - np.repeat(np.r_[-place, begin], np.diff(np.r_[0, begin, len(at)]))
-            if (want != at).any():
-                raise RuntimeError("the tokens of a text did not stay together")
-            data, offsets = column_bytes(batch[piece])
-            cuts = offsets[begin].tolist() + [len(data)]
-            body.append(data[: cuts[0]].tobytes())
-            place = len(at) - int(begin[-1]) if len(begin) else place + len(at)
-            if not len(begin):
-                continue
-            heads = batch.select(keep).take(pa.array(begin))
-            if head is not None:
-                yield done(head, [b"".join(body).decode(errors="replace")])
-            texts = [data[b:e].tobytes().decode(errors="replace") for b, e in zip(cuts[:-2], cuts[1:-1], strict=True)]
-            if texts:
-                yield done(heads.slice(0, len(texts)), texts)
-            head, body = heads.slice(len(texts), 1), [data[cuts[-2]:].tobytes()]
-        if head is not None:
-            yield done(head, [b"".join(body).decode(errors="replace")])
-
-    schema = T.StructType([*[coded.schema[c] for c in keep], T.StructField(text, T.StringType())])
-    return joined.mapInArrow(string_together, schema)
+            listed = batch[ids]
+            flat = listed.flatten()
+            coded = flat.fill_null(-1).dictionary_encode()
+            packed, size = _packed(coded.indices.to_numpy())
+            sizes = pc.fill_null(pc.list_value_length(listed), 0)
+            yield pa.record_batch([*(_as_list(batch[c]) for c in keep), _as_list(sizes), pa.array([packed], pa.binary()), pa.array([size]),
+                                   _as_list(coded.dictionary)], names=[*head, "distinct"])
+
+    blocks = coded.mapInArrow(by_block, T.StructType([*lists.fields, *T._parse_datatype_string(
+        "sizes array<int>, numbers binary, size long, distinct array<int>").fields]))
+    # a block's positions go along with its first id only
+    listed = blocks.select(*head, F.posexplode_outer("distinct").alias("pos", "id"))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    listed = listed.select(*[F.when(first, F.col(c)).alias(c) for c in head], "pos", "id")
+    joined = listed.join(F.broadcast(pieces(coded.sparkSession, tokenizer_file)), "id", "left").select(
+        *head, F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("piece", F.lit(b"")).alias("piece"))
+
+    def string_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def done():
+            block = pa.Table.from_batches(parts)
+            if not np.array_equal(block["pos"].to_numpy(), np.arange(len(block))):
+                raise RuntimeError("the ids of a block did not stay together")
+            row = block.slice(0, 1)
+            numbers = _unpacked(row["numbers"][0].as_py(), row["size"][0].as_py())
+            data, offsets = column_bytes(block["piece"].combine_chunks().cast(pa.large_binary()).take(pa.array(numbers)))
+            ends = offsets[np.r_[0, np.cumsum(row["sizes"].combine_chunks().flatten().to_numpy())]].tolist()
+            texts = [data[b:e].tobytes().decode(errors="replace") for b, e in zip(ends[:-1], ends[1:], strict=True)]
+            return pa.record_batch([*(row[c].combine_chunks().flatten() for c in lists.names), pa.array(texts, pa.string())], names=[*keep, text])
+
+        for batch in batches:
+            first = batch["pos"].to_numpy() == 0
+            cuts = np.flatnonzero(np.r_[True, first[1:], True]).tolist() if batch.num_rows else []
+            for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if first[b] and parts:
+                    yield done()
+                    parts = []
+                parts.append(batch.slice(b, e - b))
+        if parts:
+            yield done()
+
+    return joined.mapInArrow(string_together, T.StructType([*kept.fields, T.StructField(text, T.StringType())]))

@@ -47,7 +47,7 @@ def test_words_begin_where_the_library_begins_them(splitter, library, monkeypatc
     monkeypatch.setattr(bpe_codec, "_PIECE", piece)
     rnd = random.Random(piece)
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for _ in range(400):
+    for _ in range(150):
         texts = ["".join(rnd.choice(SIGNS) if rnd.random() < 0.8 else chr(rnd.choice(points)) for _ in range(rnd.randint(0, 80))) for _ in range(4)]
         assert split(splitter, texts) == words(library, texts), texts
 
@@ -94,7 +94,18 @@ def test_decoding_any_ids(spark, library):
     assert sorted((str(r.pos), r.piece, r.text) for r in got.collect()) == sorted(known)
 
 
-def test_each_distinct_word_is_encoded_once(spark):
-    told = spark.sparkContext.broadcast((open(FILE, encoding="utf-8").read(), None))
-    frame = spark.createDataFrame([(" the",)] * 50 + [("x",), ("x",)], "word string")
-    assert sorted(r.word for r in bpe_codec._coded_words(frame, told).collect()) == [" the", "x"]
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    told = spark.sparkContext.broadcast((open(FILE, encoding="utf-8").read(), np.zeros(1, np.uint8)))
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def encode(self, words):
+            calls.add(len(words))
+            return [[len(w)] for w in words]
+
+    monkeypatch.setattr(bpe_codec, "_splitter", lambda told: Counting())
+    frame = spark.range(30_000).selectExpr("id block", "int(id) number", "concat('w', id % 50) word")
+    got = bpe_codec.encode_words(frame, told)
+    assert {(r.word, r.ids[0]) for r in got.join(frame, ["block", "number"]).select("word", "ids").distinct().collect()} == {
+        (f"w{i}", len(f"w{i}")) for i in range(50)}
+    assert calls.value <= 100  # the plan ran once or twice
