@@ -4,17 +4,21 @@
 frequencies of hashed words in each domain, the other half fits a softmax model on those words' log-odds and on a few
 shape features, so the model sees only words it was not counted on.  Every document gets a posterior over the domains.
 
-**Rates.**  Document i has n_i tokens (words) and posterior p_i; rates r_i >= 0 shall make the expected domain totals
-sum_i r_i n_i p_i equal the targets.  Projected gradient descent minimises the squared distance, measured by the inverse
-of M = sum_i n_i p_i p_i' (the totals' own scale, for which step length 1 is safe), from r = 1, with momentum.  Each step is one
-aggregation: a document's rate follows from its posterior and the gradients so far, which are short vectors, so no rate
-is stored and nothing but one sum a partition reaches the driver.  Steps go on until the targets are met or the distance
-has not fallen for ``PATIENCE`` steps; the totals reached are logged, as a warning where they miss the targets.
+**Rates.**  Document i has n_i tokens (words), b_i bytes and posterior p_i; rates r_i >= 0 shall make the expected domain
+totals sum_i r_i n_i p_i equal the targets.  Among the rates that do, those with the least sum_i b_i (r_i - 1)^2 are
+taken, so that few bytes are added or left out.  Projected gradient descent on the squared distance to the targets starts
+from r = 1 and is lazy: gradients add up before they are projected, so after any steps r_i = max(0, 1 - n_i / b_i p_i s) with one
+short vector s, no rate is stored, and the step that counts is the step of s.  Each step's metric is the sum of
+n^2 / b p p' over the documents that are free at that point (tokens, and a rate above zero); one aggregation tries
+``LENGTHS`` of the step at once, adding up distance, gradient and metric for each.  The distance weighs little
+(``SOFT``) of the deviation, so it has one least point even where no rates reach the targets.  Steps end when the targets
+are met, or when no length brings that point closer; the totals reached are returned with the rates and logged, as a
+warning where they miss the targets.
 
 A rate is realised as floor(rate + u) copies, u uniform by a hash of id and text.
 
 The training sample is at most about ``TRAIN_ROWS`` labelled rows, by hash of the id (all where there are fewer).
-Defined cases: null and empty texts have no tokens, weigh nothing in the totals and get a rate like any other; null ids
+Defined cases: null, empty and other texts without tokens cannot help any target and keep rate 1; null ids
 have no label; an id with several labels takes the largest domain; null labels are no labels; with no training rows
 every posterior is equal; domains beyond the reach of any rates are matched as closely as rates allow; repeated
 rows get equal rates; an empty table gives an empty table; other columns are not looked at.
@@ -38,8 +42,9 @@ from dragline.scale import settle
 
 TRAIN_ROWS = 100_000
 SLOTS = 1 << 18
-TOLERANCE = 1e-5
-PATIENCE, LEAST_FALL = 20, 1e-4  # steps without a new least distance, and the part by which it must be less
+TOLERANCE = 1e-6  # of the tokens wanted
+SOFT = 1e-9
+LENGTHS = 0.5 ** np.arange(12)
 _PIECE = 32 << 20  # bytes of repeated rows handed on at once
 _COPIES = 1 << 16  # rows numbered at once
 _log = logging.getLogger(__name__)
@@ -198,7 +203,7 @@ def train(rows: DataFrame, labels: DataFrame, k: int) -> Classifier:
 
 
 def posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
-    """(id, even, n, p) for rows of id, even and body."""
+    """(id, even, n, size, p) for rows of id, even and body; ``size``: bytes of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -208,11 +213,11 @@ def posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
                 x, n = features(batch.column(2), shared.value.odds)
                 p = shared.value.posteriors(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))],
-                    names=["id", "even", "n", "p"])
+                    [batch.column(0), batch.column(1), pa.array(n), pa.compute.binary_length(batch.column(2)).cast(pa.int64()),
+                     pa.array(list(p), pa.list_(pa.float64()))], names=["id", "even", "n", "size", "p"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return settle(rows.select("id", "even", "body").mapInArrow(run, f"id {kind}, even double, n long, p array<double>"))
+    return settle(rows.select("id", "even", "body").mapInArrow(run, f"id {kind}, even double, n long, size long, p array<double>"))
 
 
 # ---- rates
@@ -221,65 +226,87 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, k)
 
 
-def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, float]], ahead: float = 0.0) -> np.ndarray:
-    """Rates after projected steps (a gradient, and the momentum it was taken with) from 1; ``ahead``: of the next step."""
-    r = before = np.ones(len(p))
-    for gradient, momentum in steps:
-        r, before = np.maximum(r + momentum * (r - before) - p @ gradient, 0.0), r
-    return r + ahead * (r - before)
+@dataclass
+class Fit:
+    """Summed steps, the expected totals that their rates reach, and the bytes that these rates stand for."""
+
+    steps: np.ndarray
+    totals: np.ndarray
+    size: float
+    passes: int
+
+
+def rates_of(n: np.ndarray, size: np.ndarray, p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rates of documents after all steps; 1 for a text without tokens."""
+    return np.maximum(1.0 - n / np.maximum(size, 1) * (p @ steps), 0.0)
+
+
+def evaluated(n: np.ndarray, size: np.ndarray, p: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """For each of the ``tried`` sums of steps: sum b r^2 / 2, sum b r, totals sum n r p, metric sum n^2 / b p p' over r > 0."""
+    use = n > 0
+    n, size, p = n[use].astype(float), np.maximum(size[use], 1).astype(float), p[use]
+    out = []
+    for s in tried:
+        r = rates_of(n, size, p, s)
+        metric = p.T @ (p * (n * n / size * (r > 0))[:, None])
+        out.append(np.r_[(size * r * r).sum() / 2, (size * r).sum(), (n * r) @ p, metric.ravel()])
+    return np.array(out)
 
 
-def _sums(members: DataFrame, k: int, steps: list, ahead: float, squares: bool = False) -> np.ndarray:
-    """sum n r p, or with ``squares`` sum n p p' instead, added up in the order of partitions."""
+def _sums(members: DataFrame, tried: np.ndarray) -> np.ndarray:
+    """``evaluated`` over all documents, added up in the order of partitions."""
+    k = tried.shape[1]
 
     def run(batches):
-        total = np.zeros(k * k if squares else k)
+        total = np.zeros((len(tried), 2 + k + k * k))
         for batch in batches:
             if batch.num_rows:
-                n, p = batch.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(batch.column(1), k)
-                total += (p.T @ (p * n[:, None])).ravel() if squares else (n * rates_of(p, steps, ahead)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
+                n, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                total += evaluated(n, size, _matrix(batch.column(2), k), tried)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["total"])
 
-    parts = members.select("n", "p").mapInArrow(run, "total array<double>").select("total", F.spark_partition_id()).collect()
+    parts = members.select("n", "size", "p").mapInArrow(run, "total array<double>").select("total", F.spark_partition_id()).collect()
     ordered = [r[0] for r in sorted(parts, key=lambda r: r[1])]
-    size = k * k if squares else k
-    return np.array([math.fsum(part[i] for part in ordered) for i in range(size)])
+    return np.array([math.fsum(part[i] for part in ordered) for i in range(len(tried) * (2 + k + k * k))]).reshape(len(tried), -1)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """Steps whose rates bring the expected domain totals to ``targets`` (tokens).
+def fit_rates(members: DataFrame, targets: np.ndarray) -> Fit:
+    """Rates that bring the expected domain totals to ``targets`` (tokens), or as close as rates can."""
+    return descend(lambda tried: _sums(members, tried), np.asarray(targets, float))
 
-    Steps run ahead with growing momentum, which starts anew when the distance has grown.
-    """
+
+def descend(sums, targets: np.ndarray) -> Fit:
+    """``fit_rates`` by a function that gives the sums of ``evaluated`` for an array of tried sums of steps."""
     k = len(targets)
-    square = _sums(members, k, [], 0.0, squares=True).reshape(k, k)
-    scale = max(float(np.trace(square)), 1.0)
-    inverse = np.linalg.inv(square + 1e-9 * scale * np.eye(k))
-    within = TOLERANCE * max(float(targets.sum()), 1.0)
-    steps, age, last, least, still = [], 0, math.inf, math.inf, 0
-    best, reached = [], None
-    while still < PATIENCE:
-        momentum = age / (age + 3)
-        totals = _sums(members, k, steps, momentum)
-        away = totals - targets
-        distance = float(away @ inverse @ away)
-        if distance > last and age:
-            age = 0
-            continue
-        still = 0 if distance < (1 - LEAST_FALL) * least else still + 1
-        if distance < least:
-            least, best, reached = distance, [*steps, (np.zeros(k), momentum)] if momentum else [*steps], None
-        if np.abs(away).max() <= within:
-            reached = _sums(members, k, best, 0.0) if momentum else totals  # rates ahead may lie below zero
-            if np.abs(reached - targets).max() <= within:
+    unit = max(float(targets.sum()), 1.0)
+    at, here, passes = np.zeros(k), sums(np.zeros((1, k)))[0], 1
+    square = here[2 + k:].reshape(k, k)
+    soft = SOFT * (square + 1e-6 * max(float(np.trace(square)), 1e-300) * np.eye(k))  # of all documents
+
+    def value(s, row):  # convex in s; its least point is the least distance
+        return row[0] + targets @ s + s @ soft @ s / 2
+
+    while True:
+        away = here[2:2 + k] - targets
+        slope = soft @ at - away
+        if np.abs(away).max() <= TOLERANCE * unit:
+            break
+        step = -np.linalg.solve(here[2 + k:].reshape(k, k) + soft, slope)
+        tried = at + LENGTHS[:, None] * step
+        rows, passes = sums(tried), passes + 1
+        values = [value(s, row) for s, row in zip(tried, rows, strict=True)]
+        best = int(np.argmin(values))
+        near = values[best] >= value(at, here) - 1e-13 * abs(value(at, here))  # sums cannot tell the two apart
+        if near:
+            slopes = [np.abs(soft @ s - row[2:2 + k] + targets).max() for s, row in zip(tried, rows, strict=True)]
+            best = int(np.argmin(slopes))
+            if slopes[best] > 0.5 * np.abs(slope).max():
                 break
-        steps.append((inverse @ away, momentum))
-        age, last = age + 1, distance
-    reached = _sums(members, k, best, 0.0) if reached is None else reached
-    met = np.abs(reached - targets).max() <= within
-    _log.log(logging.INFO if met else logging.WARNING, "domain totals %s of targets %s after %d steps",
-             reached.tolist(), targets.tolist(), len(best))
-    return best
+        at, here = tried[best], rows[best]
+    met = np.abs(here[2:2 + k] - targets).max() <= TOLERANCE * unit
+    _log.log(logging.INFO if met else logging.WARNING, "domain totals %s of targets %s after %d passes, %.0f bytes",
+             here[2:2 + k].tolist(), targets.tolist(), passes, here[1])
+    return Fit(at, here[2:2 + k], float(here[1]), passes)
 
 
 def _even(key: Column, text: Column) -> Column:
@@ -307,16 +334,17 @@ def rate_table(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], to
 
     ``labels``: doc_id and domain (from 0).  Domain k gets the share ``shares[k]`` of ``tokens`` (default: as many as now).
     """
-    _, members, steps = _fitted(_rows(docs, key, text), labels, shares, tokens)
+    _, members, fit = _fitted(_rows(docs, key, text), labels, shares, tokens)
 
     def run(batches):
         for batch in batches:
-            r = rates_of(_matrix(batch.column(3), len(shares)), steps) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=["id", "even", "n", "p", "rate"])
+            n, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            r = rates_of(n, size, _matrix(batch.column(4), len(shares)), fit.steps) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=["id", "even", "n", "size", "p", "rate"])
 
     kind = members.schema["id"].dataType.simpleString()
-    out = members.select("id", "even", "n", "p").mapInArrow(
-        run, f"id {kind}, even double, n long, p array<double>, rate double")
+    out = members.select("id", "even", "n", "size", "p").mapInArrow(
+        run, f"id {kind}, even double, n long, size long, p array<double>, rate double")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), "rate",
                       F.floor(F.col("rate") + F.col("even")).cast("int").alias("copies"))
 
@@ -324,7 +352,7 @@ def rate_table(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], to
 def mixed_documents(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], tokens: float | None = None,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each row as many times as its rate realises."""
-    model, _, steps = _fitted(_rows(docs, key, text), labels, shares, tokens)
+    model, _, fit = _fitted(_rows(docs, key, text), labels, shares, tokens)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     even, body, kept = unused(docs, "even"), unused(docs, "body"), docs.columns
 
@@ -332,10 +360,10 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                x, _ = features(batch.column(batch.num_columns - 1), shared.value.odds)
-                rate = rates_of(shared.value.posteriors(x), steps)
-                copies = np.floor(rate + batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)).astype(np.int64)
+                x, n = features(batch.column(batch.num_columns - 1), shared.value.odds)
                 rows, size = batch.select(kept), pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_numpy()
+                rate = rates_of(n, size, shared.value.posteriors(x), fit.steps)
+                copies = np.floor(rate + batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)).astype(np.int64)
                 ends = np.cumsum(copies)
                 for done in range(0, int(ends[-1]) if len(ends) else 0, _COPIES):
                     order = np.searchsorted(ends, np.arange(done, min(done + _COPIES, int(ends[-1]))), side="right")

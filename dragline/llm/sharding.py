@@ -101,7 +101,8 @@ def sharded(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Data
     at, shard, slot = (unused(docs, c) for c in ("at", "shard", "slot"))
     rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "sharding")
     placed = assign_shards(rows.select(F.col(at).alias("at")), n_shards, seed).toDF(at, shard, slot)
-    return rows.join(placed, at).select(*docs.columns, shard, slot)
+    # equal rows compress to a small file, which must not be taken for a small table
+    return rows.join(placed.hint("merge"), at).select(*docs.columns, shard, slot)
 
 
 def shard_table(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = N_SHARDS) -> DataFrame:
