@@ -12,11 +12,12 @@ phrases, and a phrase occurs as often as its node has leaves below.
        of one group at a time (sorted suffixes: a node is a run of equal beginnings) and adds up leaves for each node;
     4. frequent nodes are joined with the counts of their parts, and with the most frequent longer phrase around them.
 
-Words are 64-bit hashes of (language, word), so languages are apart everywhere; a pass over the vocabulary finds out
-whether two words share a hash, and takes another seed if so.  What is broadcast: a bitmap of fixed size over frequent
-words (its false positives cost time, not results) and the extended prefixes, at most 2 / budget of all occurrences; the
-budget grows beyond ``MOST_GROUPS`` groups.  A hot word or pair is spread over its extensions, an always repeated
-4-word suffix is one row a batch.
+Words are 64-bit hashes of (language, word), so languages are apart everywhere; counting them with a second hash beside
+the first finds out whether two words share one, and then takes another seed.  Texts of words are fetched at the end.
+What is broadcast: a bitmap of fixed size over frequent words (its false positives cost time, not results), short codes
+of at most ``CODES`` of the most frequent words (a suffix of such words is shuffled as two numbers, any other as its
+hashes), and the extended prefixes, at most 2 / budget of all occurrences; the budget grows beyond ``MOST_GROUPS``
+groups.  A hot word or pair is spread over its extensions, an always repeated 4-word suffix is one row a batch.
 
 Defined cases: a null text counts as empty, a null lang as ``und``; repeated rows count as often as they occur; very long
 texts are cut into pieces at white space, without effect on the result; an empty table, or a language without a phrase
@@ -30,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,11 @@ DEPTH = 4
 LEAST = 30  # occurrences of a candidate
 ABSORBED = 80  # per cent of a phrase's occurrences that lie in one longer phrase
 TOP = 2000
-BUDGET = 1 << 22  # suffixes of a subtree
-MOST_GROUPS = 1 << 22
+BUDGET = 1 << 20  # suffixes of a subtree
+MOST_GROUPS = 1 << 23
 SALTS = 16
+CODES = (1 << 20) - 1  # words with a short code in the shuffle
+_CODE = 20  # bits of a code
 _BITS = 1 << 26
 _PAGE = 1 << 15  # bits of a page of Spark's bitmaps
 _BATCH = "8m"
@@ -78,10 +82,10 @@ class _Words:
         self.first, self.last = np.concatenate(first), np.concatenate(last)
         text = np.searchsorted(offsets, self.first, side="right") - 1
         self.lang = np.asarray(self.lang_of, np.int64)[text]
-        salt = np.array([_lang_hash(x, seed) for x in self.langs], np.uint64)
-        hashes = np.concatenate(hashes)
-        self.hash = mixed(hashes ^ salt[self.lang]) if len(hashes) else hashes
-        self.hash[self.hash == 0] = 1  # zero stands for no word
+        self.salt = np.array([_lang_hash(x, seed) for x in self.langs], np.uint64)
+        self.plain = np.concatenate(hashes)
+        self.hash = mixed(self.plain ^ self.salt[self.lang]) if len(self.lang) else self.plain.copy()
+        self.hash[self.hash <= CODES] = CODES + 1  # zero stands for no word, small numbers for codes
         piece = np.searchsorted(np.flatnonzero(_PARTS_PIECES[self.data]), self.first) + text
         self.follows = np.r_[False, piece[1:] == piece[:-1]] if len(piece) else np.zeros(0, bool)
 
@@ -92,28 +96,53 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _vocabulary(texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """(lang, h, word, n) of words that occur at least ``least`` times, and a row of each language's total with h null.
+    """(h, lang, n) of words that occur at least ``least`` times; ``torn`` is set where two words share a hash."""
 
-    ``torn`` is set where two words share a hash.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _Words(batch, seed)
+            ends = np.r_[0, np.cumsum(words.last - words.first)]
+            body = _LOWER[words.data[~_PARTS_WORDS[words.data]]]
+            coded = pa.Array.from_buffers(pa.large_binary(), len(words.first), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
+            # equal words of a language, told apart by their letters: words that share a hash give two rows
+            _, at, n = np.unique(words.lang * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_index=True, return_counts=True)
+            h = words.hash[at]
+            second = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.take(coded.indices.take(pa.array(at))).to_pylist()], np.uint64)
+            yield pa.record_batch([_long(h), _long(words.salt[words.lang[at]]), _long(second), pa.array(n.astype(np.int64))],
+                                  names=["h", "lang", "second", "n"])
+
+    found = texts.mapInArrow(count, "h long, lang long, second long, n long").groupBy("h").agg(
+        F.min("lang").alias("lang"), F.sum("n").alias("n"),
+        ((F.min("second") != F.max("second")) | (F.min("lang") != F.max("lang"))).alias("torn"))
+    return stored(found.filter(F.col("torn") | (F.col("n") >= least)), "vocabulary")
+
+
+def _totals(texts: DataFrame, seed: int) -> DataFrame:
+    """(lang, name, n): hash, name and number of all words of each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = _Words(batch, seed)
-            h, at, n = np.unique(words.hash, return_index=True, return_counts=True)
-            lowered = _LOWER[words.data].tobytes()
-            text = [lowered[b:e].decode(errors="replace") for b, e in zip(words.first[at].tolist(), words.last[at].tolist(), strict=True)]
-            total = np.bincount(words.lang, minlength=len(words.langs)) if len(words.lang) else np.zeros(len(words.langs), np.int64)
-            none = np.r_[np.zeros(len(h), bool), np.ones(len(total), bool)]
-            yield pa.record_batch([
-                pa.array([words.langs[i] for i in words.lang[at]] + list(words.langs), pa.string()),
-                pa.array(np.r_[h.view(np.int64), np.zeros(len(total), np.int64)], mask=none),
-                pa.array(text + [""] * len(total), pa.string()), pa.array(np.r_[n, total].astype(np.int64))], names=["lang", "h", "word", "n"])
-
-    found = texts.mapInArrow(count, "lang string, h long, word string, n long").groupBy("h", F.when(F.col("h").isNull(), F.col("lang")).alias("of")).agg(
-        F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"),
-        ((F.min("word") != F.max("word")) | (F.min("lang") != F.max("lang"))).alias("torn"))
-    return stored(found.filter(F.col("h").isNull() | F.col("torn") | (F.col("n") >= least)).drop("of"), "vocabulary")
+            n = np.bincount(words.lang, minlength=len(words.langs)).astype(np.int64)
+            yield pa.record_batch([_long(words.salt), pa.array(list(words.langs), pa.string()), pa.array(n)], names=["lang", "name", "n"])
+
+    return texts.mapInArrow(count, "lang long, name string, n long").groupBy("lang", "name").agg(F.sum("n").alias("n"))
+
+
+def _named(texts: DataFrame, hashes: DataFrame, seed: int) -> DataFrame:
+    """(h, word): texts of the words with these hashes, and perhaps of some others."""
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(hashes))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _Words(batch, seed)
+            h, at = np.unique(words.hash, return_index=True)
+            in_bits = _within(h, bits.value)
+            data = _LOWER[words.data].tobytes()
+            text = [data[b:e].decode(errors="replace") for b, e in zip(words.first[at[in_bits]].tolist(), words.last[at[in_bits]].tolist(), strict=True)]
+            yield pa.record_batch([_long(h[in_bits]), pa.array(text, pa.string())], names=["h", "word"])
+
+    return texts.mapInArrow(find, "h long, word string").distinct()
 
 
 def _bitmap(words: DataFrame) -> np.ndarray:
@@ -126,10 +155,14 @@ def _bitmap(words: DataFrame) -> np.ndarray:
     return out
 
 
+def _within(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = (h & np.uint64(_BITS - 1)).astype(np.int64)
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _frequent_only(words: _Words, bits: np.ndarray) -> np.ndarray:
     """(word, up to DEPTH - 1 words behind it) for every word, zeros behind the end of a piece or before a rare word."""
-    place = (words.hash & np.uint64(_BITS - 1)).astype(np.int64)
-    w = np.where((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1, words.hash, np.uint64(0))
+    w = np.where(_within(words.hash, bits), words.hash, np.uint64(0))
     follows = np.r_[words.follows[1:], False]
     columns = [w]
     for k in range(1, DEPTH):
@@ -274,21 +307,69 @@ def subtree_nodes(suffixes: np.ndarray, n: np.ndarray, level: int, least: int) -
     return nodes, counts
 
 
-def _subtrees(texts: DataFrame, bits, seed: int, groups: Groups, least: int) -> DataFrame:
-    """(w0 .. w3, a): frequent phrases of two words and more, but for those above the subtrees."""
-    told = texts.sparkSession.sparkContext.broadcast(groups)
+class Codes:
+    """Short codes, from 1, of the most frequent words: four of them and a count fit into two numbers."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.of_code = np.r_[np.uint64(0), self.hashes]
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Codes; -1 for a word without one."""
+        if not len(self.hashes):
+            return np.where(words == 0, 0, -1)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(words == 0, 0, np.where(self.hashes[at] == words, at + 1, -1))
+
+    def packed(self, suffixes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which rows have codes throughout, and the two numbers of these."""
+        codes = np.stack([self.of(c) for c in suffixes.T], axis=1).astype(np.int64)
+        short = (codes >= 0).all(axis=1) & (n < 1 << 31)
+        codes, n = codes[short], n[short]
+        return short, codes[:, 0] << 2 * _CODE | codes[:, 1] << _CODE | codes[:, 2], codes[:, 3] << 32 | n
+
+    def unpacked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = (1 << _CODE) - 1
+        codes = (a >> 2 * _CODE, a >> _CODE & mask, a & mask, b >> 32)
+        return np.stack([self.of_code[c] for c in codes], axis=1), b & 0xFFFFFFFF
+
+
+_ROW = ["group", "a", "b", "wide"]
+
 
-    def suffixes_of(suffixes):
-        found, n = _combined(suffixes)
-        return pa.record_batch([pa.array(told.value.of(found)), *(_long(c) for c in found.T), pa.array(n)], names=["group", *KEY, "n"])
+def _suffix_rows(groups: Groups, codes: Codes, suffixes: np.ndarray) -> pa.RecordBatch:
+    found, n = _combined(suffixes)
+    group = groups.of(found)
+    short, a, b = codes.packed(found, n)
+    long = np.ascontiguousarray(np.concatenate([found[~short], n[~short, None].astype(np.uint64)], axis=1))
+    width, none = 8 * (DEPTH + 1), [None] * len(a)
+    wide = [long[i].tobytes() for i in range(len(long))] if len(long) else []
+    zeros = np.zeros(len(long), np.int64)
+    assert all(len(w) == width for w in wide)
+    return pa.record_batch([pa.array(np.r_[group[short], group[~short]]), pa.array(np.r_[a, zeros]), pa.array(np.r_[b, zeros]),
+                            pa.array(none + wide, pa.binary()) if wide else pa.nulls(len(a), pa.binary())], names=_ROW)
+
+
+def _read_rows(codes: Codes, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes and counts of a group's rows."""
+    short = table["wide"].is_null().to_numpy()
+    suffixes, n = codes.unpacked(table["a"].to_numpy()[short], table["b"].to_numpy()[short])
+    if not short.all():
+        long = np.frombuffer(b"".join(table["wide"].drop_null().to_pylist()), np.uint64).reshape(-1, DEPTH + 1)
+        suffixes, n = np.concatenate([suffixes, long[:, :DEPTH]]), np.r_[n, long[:, DEPTH].astype(np.int64)]
+    return suffixes, n
+
+
+def _subtrees(texts: DataFrame, bits, seed: int, groups: Groups, codes: Codes, least: int) -> DataFrame:
+    """(w0 .. w3, a): frequent phrases of two words and more, but for those above the subtrees."""
+    told = texts.sparkSession.sparkContext.broadcast((groups, codes))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
 
         def done():
-            table = pa.Table.from_batches(parts)
-            suffixes = np.stack([table[c].to_numpy().view(np.uint64) for c in KEY], axis=1)
-            for nodes, counts in zip(*subtree_nodes(suffixes, table["n"].to_numpy(), told.value.level(now), least), strict=True):
+            suffixes, n = _read_rows(told.value[1], pa.Table.from_batches(parts))
+            for nodes, counts in zip(*subtree_nodes(suffixes, n, told.value[0].level(now), least), strict=True):
                 yield pa.record_batch([*(_long(c) for c in nodes.T), pa.array(counts.astype(np.int64))], names=[*KEY, "a"])
 
         for batch in batches:
@@ -303,7 +384,7 @@ def _subtrees(texts: DataFrame, bits, seed: int, groups: Groups, least: int) ->
         if parts:
             yield from done()
 
-    rows = _pass(texts, bits, seed, suffixes_of, "group long, " + ", ".join(f"{c} long" for c in [*KEY, "n"]))
+    rows = _pass(texts, bits, seed, lambda suffixes: _suffix_rows(*told.value, suffixes), "group long, a long, b long, wide binary")
     dealt = rows.repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(build, ", ".join(f"{c} long" for c in [*KEY, "a"]))
 
@@ -312,24 +393,23 @@ def _padded(columns: list[Column], n: Column) -> list[Column]:
     return [*(c.alias(k) for c, k in zip(columns + [F.lit(0).cast("long")] * (DEPTH - len(columns)), KEY, strict=True)), n.alias("a")]
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, phrases): words with counts and totals; (w0 .. w3, a) of all phrases of up to DEPTH words."""
-    spark: SparkSession = docs.sparkSession
-    texts = _texts(docs, text, lang)
+def frequent_phrases(texts: DataFrame, least: int = LEAST, budget: int = BUDGET, codes: int = CODES) -> tuple[DataFrame, DataFrame, int]:
+    """(words, phrases, seed): (h, lang, n) of frequent words; (w0 .. w3, a) of all phrases of up to DEPTH words."""
+    spark: SparkSession = texts.sparkSession
     with arrow_batches_of(spark, _BATCH):
         for seed in range(1 << 16):
-            vocabulary = _vocabulary(texts, least, seed)
-            if not vocabulary.filter("torn").limit(1).count():
+            words = _vocabulary(texts, least, seed)
+            if not words.filter("torn").limit(1).count():
                 break
-        words = vocabulary.filter(F.col("h").isNotNull())
         bits = spark.sparkContext.broadcast(_bitmap(words))
+        coded = words.orderBy(F.col("n").desc(), "h").limit(codes).select("h").toPandas()["h"].to_numpy().astype(np.int64)
         groups, above = partition(texts, words, bits, seed, budget)
-        found = _subtrees(texts, bits, seed, groups, least)
+        found = _subtrees(texts, bits, seed, groups, Codes(coded.view(np.uint64)), least)
         for counted in above:
             level = len(counted.columns) - 1
             found = found.union(counted.filter(F.col("n") >= least).select(*_padded([F.col(c) for c in KEY[:level]], F.col("n"))))
         phrases = stored(found, "phrases")
-    return vocabulary, words.select(*_padded([F.col("h")], F.col("n"))).union(phrases)
+    return words, words.select(*_padded([F.col("h")], F.col("n"))).union(phrases), seed
 
 
 def _part(begin: int, end: int) -> Column:
@@ -380,21 +460,22 @@ def not_absorbed(candidates: DataFrame, phrases: DataFrame, absorbed: int = ABSO
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, absorbed: int = ABSORBED,
                  top: int = TOP, budget: int = BUDGET) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases."""
-    vocabulary, phrases = frequent_phrases(docs, text, lang, least, budget)
-    words = vocabulary.filter(F.col("h").isNotNull())
-    left = not_absorbed(scored(phrases), phrases, absorbed)
-    named = lambda rows, i, more: _looked_up(
-        rows.withColumn("at", F.col(KEY[i])), "at", words, F.col("h"), {f"word{i}": F.col("word"), **more})
-    left = named(left, 0, {"lang": F.col("lang")})
+    texts = _texts(docs, text, lang)
+    words, phrases, seed = frequent_phrases(texts, least, budget)
+    left = not_absorbed(scored(phrases), phrases, absorbed).withColumn("at", F.col(KEY[0]))
+    left = _looked_up(left, "at", words, F.col("h"), {"lang": F.col("lang")})
     by_score = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    # with ties, so that none of the first is lost; before the other words are fetched
-    left = left.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top).drop("place")
-    none = words.select("lang", F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("word")).limit(1)
-    words = words.select("lang", "h", "word").union(none)
-    for i in range(1, DEPTH):
-        left = named(left, i, {})
+    # ties stay, so that none of the first is lost, before texts are fetched
+    left = stored(left.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top).drop("place"), "first-phrases")
+    used = left.select(F.explode(F.array(*KEY)).alias("h")).filter("h <> 0").distinct()
+    with arrow_batches_of(docs.sparkSession, _BATCH):
+        names = stored(_named(texts, used, seed), "words")
+        totals = stored(_totals(texts, seed), "totals")
+    names = names.union(names.sparkSession.createDataFrame([(0, None)], "h long, word string"))
+    for i, w in enumerate(KEY):
+        left = _looked_up(left.withColumn("at", F.col(w)), "at", names, F.col("h"), {f"word{i}": F.col("word")})
     phrase = F.concat_ws(" ", *[f"word{i}" for i in range(DEPTH)])
     in_order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     first = left.withColumn("phrase", phrase).withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= top)
-    totals = vocabulary.filter(F.col("h").isNull()).select("lang", "n")
-    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return first.join(totals, "lang").select(
+        F.col("name").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
