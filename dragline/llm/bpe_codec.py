@@ -1,19 +1,19 @@
 """Byte-level BPE over a table of distinct words: each word is encoded once, ids come back by position.
 
-    1. texts are split into the words within which merges happen, a block of texts at a time; a block has distinct
-       words and, for every position, the number of the word there;
-    2. the distinct words of all blocks are shuffled by word, so each is encoded once, and its ids go back to the blocks
-       that have it (a row for each block, not for each occurrence);
-    3. a block's ids and its positions meet, and the ids are laid out by position;
+    1. texts are split into the words within which merges happen, some megabytes of texts at a time; a run of such
+       slices has distinct words and, for every position, the number of the word there;
+    2. the distinct words of all runs are shuffled by word, so each is encoded once, and its ids go back to the runs
+       that have it (a row for each run, not for each occurrence);
+    3. a run's ids and its positions meet, and the ids are laid out by position;
     4. decoding lists the distinct ids of a block of texts, joins each with its piece (a table of the vocabulary's size,
        which is broadcast) and lays the pieces out by position as they stream by.
 
 Word borders follow the tokenizer's pattern (contractions, letters, digits, signs, white space, the first three with a
 space before them) as array operations over code points; the class of a code point is asked of the tokenizer itself.
 
-Memory: a task holds one block at a time: about ``_BLOCK`` bytes of text, or one document if that is longer.  A frequent word
-has one row a block, so no key grows with its occurrences.  The documents are read twice, so they must be a table or
-another input that gives the same rows in the same order when it is read again; if it does not, the job fails.
+Memory: a task holds one run: about ``_RUN`` bytes of text, or one document if that is longer.  A frequent word has one
+row a run, so no key grows with its occurrences.  The documents are read twice, so they must be a table or another input
+that gives the same rows in the same order when it is read again; checks of each run's words fail the job if it does not.
 
 Defined cases: a null text counts as empty and has no ids; special strings inside texts become their special token, as
 the library does by default; rows that repeat are encoded as often as they occur; ids that the vocabulary lacks or nulls
@@ -23,15 +23,17 @@ an empty table; other columns are not looked at by ``encode`` and are kept by ``
 
 from __future__ import annotations
 
-import hashlib
+import array
 import json
 import os
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,11 @@ from pyspark.sql import types as T
 
 from dragline.llm.words import column_bytes
 
-_BLOCK = 1 << 24
+_SLICE = 1 << 22  # bytes of text split at once
+_RUN = 1 << 25
+_RUN_WORDS = 1 << 20
+_NUMBER = 24  # bits of a word's number in its run
+_PLACE = 14  # bits of a run's place in its partition
 _PIECE = 1 << 20  # bytes split at once; longer where no safe place to part them comes
 _LETTER, _DIGIT, _SIGN, _SPACE = range(4)
 
@@ -170,9 +176,9 @@ def _valid(column: pa.Array) -> pa.Array:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``_BLOCK`` bytes of text, or one row."""
+    """The batch in slices of about ``_SLICE`` bytes of text, or one row."""
     if batch.num_rows:
-        block = column_bytes(batch.column(1))[1][:-1] // _BLOCK
+        block = column_bytes(batch.column(1))[1][:-1] // _SLICE
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist()
         for b, e in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(b, e - b)
@@ -183,67 +189,86 @@ def _as_list(values: pa.Array) -> pa.ListArray:
 
 
 def _packed(numbers: np.ndarray) -> tuple[bytes, int]:
-    return pa.Codec("zstd", 3).compress(numbers.astype(np.uint32).tobytes(), asbytes=True), 4 * len(numbers)
+    """Low bytes, then higher ones, compressed: small numbers leave the higher bytes empty."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+    return pa.Codec("zstd", 3).compress(planes.tobytes(), asbytes=True), planes.size
 
 
 def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd", 3).decompress(packed, size), np.uint32).astype(np.int64) if size else np.zeros(0, np.int64)
+    if not size:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.Codec("zstd", 3).decompress(packed, size), np.uint8).reshape(4, -1)
+    return planes.T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _blocks(docs: DataFrame, told, key: str, text: str, make: Callable, schema) -> DataFrame:
-    """``make`` of each block of texts: its name, keys, words in each text, the word's number at each position, the words.
+def _check(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word) & 0xFF
 
-    A block is named by its partition, place and content, so both readings of ``docs`` (and repeated tasks) name it alike.
+
+def _runs(docs: DataFrame, told, key: str, text: str, make: Callable, schema) -> DataFrame:
+    """``make`` of each slice of texts: its run, keys, words in each text, the number of each word, the run's words before
+    and with it and the new ones among them.
+
+    A run is named by its partition and place, so both readings of ``docs`` (and repeated tasks) name it alike.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(told.value)
-        part = TaskContext.get().partitionId()
-        for place, batch in enumerate(b for whole in batches for b in _slices(whole)):
+        run, size, seen, check = TaskContext.get().partitionId() << _PLACE, 0, {}, 0
+        for batch in (b for whole in batches for b in _slices(whole)):
             data, offsets = column_bytes(_valid(batch.column(1)))
-            name = hashlib.blake2b(b"%d %d " % (part, place) + offsets.tobytes(), digest_size=8)
-            name.update(data)
+            if seen and (size + len(data) > _RUN or len(seen) > _RUN_WORDS):
+                run, size, seen, check = run + 1, 0, {}, 0
             begin = splitter.starts(data, offsets)
             ends = np.r_[begin, len(data)].astype(np.int64)
             coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-            numbers = coded.indices.to_numpy()
-            often = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")  # small numbers for frequent words
-            rank = np.empty(len(often), np.int64)
-            rank[often] = np.arange(len(often))
-            yield make(int.from_bytes(name.digest(), "big", signed=True), batch.column(0), np.diff(np.searchsorted(begin, offsets)),
-                       rank[numbers], coded.dictionary.take(pa.array(often)))
+            before, size = len(seen), size + len(data)
+            words = coded.dictionary.to_pylist()
+            number = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+            new = [w for w, n in zip(words, number.tolist(), strict=True) if n >= before]
+            check = zlib.crc32(bytes(map(_check, new)), check)
+            yield make(run, batch.column(0), np.diff(np.searchsorted(begin, offsets)), number[coded.indices.to_numpy()], before, new, check)
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     return rows.mapInArrow(split, schema)
 
 
-def _distinct_words(name, keys, words, numbers, dictionary) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(dictionary), name)), pa.array(np.arange(len(dictionary), dtype=np.int32)),
-                            dictionary.cast(pa.large_string()).cast(pa.string())], names=["block", "number", "word"])
+def _new_words(run, keys, words, numbers, before, new, check) -> pa.RecordBatch:
+    at = (run << _NUMBER) + before + np.arange(len(new))
+    return pa.record_batch([pa.array(at), pa.array([w.decode() for w in new], pa.string())], names=["at", "word"])
 
 
-def _positions(name, keys, words, numbers, dictionary) -> pa.RecordBatch:
+def _positions(run, keys, words, numbers, before, new, check) -> pa.RecordBatch:
     packed, size = _packed(numbers)
-    return pa.record_batch([pa.array([name]), _as_list(keys), _as_list(pa.array(words.astype(np.int32))), pa.array([packed], pa.binary()),
-                            pa.array([size])], names=["part", "keys", "words", "numbers", "size"])
+    return pa.record_batch([
+        pa.array([run], pa.int64()), _as_list(keys), _as_list(pa.array(words.astype(np.int32))), pa.array([packed], pa.binary()),
+        pa.array([size], pa.int64()), pa.array([before + len(new)], pa.int64()), pa.array([check], pa.int64())],
+        names=["part", "keys", "words", "numbers", "size", "known", "check"])
 
 
-def encode_words(rows: DataFrame, told) -> DataFrame:
-    """(block, number, ids) for rows of (block, number, word): equal words meet in one task, which encodes them once."""
+def encode_words(rows: DataFrame, told, wide: bool = False) -> DataFrame:
+    """(run, number, code) for rows of (at, word): equal words meet in one task, which encodes them once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, last, last_ids = _splitter(told.value), None, None
+    ``code``: the ids in two bytes each (four if ``wide``), then a check of the word.
+    """
+    kind = "I" if wide else "H"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, last, last_code = _splitter(told.value), None, None
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
+            coded = batch.column(1).dictionary_encode()
             words = coded.dictionary.to_pylist()
             known = bool(words) and words[0] == last  # the words are sorted: only the first can be known
-            ids = ([last_ids] if known else []) + splitter.encode(words[known:])
+            codes = [last_code] if known else []
+            for word, ids in zip(words[known:], splitter.encode(words[known:]), strict=True):
+                codes.append(array.array(kind, ids).tobytes() + bytes([_check(word.encode())]))
             if words:
-                last, last_ids = words[-1], ids[-1]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)],
-                                  names=["block", "number", "ids"])
+                last, last_code = words[-1], codes[-1]
+            at = batch.column(0).to_numpy()
+            yield pa.record_batch([pa.array(at >> _NUMBER), pa.array((at & ((1 << _NUMBER) - 1)).astype(np.int32)),
+                                   pa.array(codes, pa.binary()).take(coded.indices)], names=["run", "number", "code"])
 
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids array<int>")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "run long, number int, code binary")
 
 
 def _vocabulary(tokenizer_file: str) -> str:
@@ -255,28 +280,35 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
     """(key, ids) for every row.  ``tokenizer_file`` is read on the driver and broadcast with the classes of code points."""
     description = _vocabulary(tokenizer_file)
     told = docs.sparkSession.sparkContext.broadcast((description, Splitter(description).kind))
-    with_key = T.StructType([
-        T.StructField("part", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("words", T.ArrayType(T.IntegerType())),
-        T.StructField("numbers", T.BinaryType()), T.StructField("size", T.LongType())])
-    positions = _blocks(docs, told, key, text, _positions, with_key)
-    ids = encode_words(_blocks(docs, told, key, text, _distinct_words, "block long, number int, word string"), told)
-
-    def lay_out(block: pa.Table, words: pa.Table) -> pa.Table:
-        if not len(block):
-            raise RuntimeError("the input changed between two readings")
-        row = block.slice(0, 1)
-        keys, sizes = (row[c].combine_chunks().flatten() for c in ("keys", "words"))
-        numbers = _unpacked(row["numbers"][0].as_py(), row["size"][0].as_py())
+    wide = max(json.loads(description)["model"]["vocab"].values(), default=0) + len(json.loads(description)["added_tokens"]) > 0xFFFF
+    of_run = T.StructType([T.StructField("part", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), *T._parse_datatype_string(
+        "words array<int>, numbers binary, size long, known long, check long").fields])
+    positions = _runs(docs, told, key, text, _positions, of_run)
+    codes = encode_words(_runs(docs, told, key, text, _new_words, "at long, word string"), told, wide)
+
+    def lay_out(run: pa.Table, words: pa.Table) -> pa.Table:
         words = words.take(np.argsort(words["number"].to_numpy()))
-        if len(block) > 1 or len(words) != numbers.max(initial=-1) + 1:
+        data, offsets = column_bytes(words["code"].combine_chunks() if len(words) else pa.array([], pa.binary()))
+        checks = data[offsets[1:] - 1].tobytes()
+        in_ids = np.ones(len(data), bool)
+        in_ids[offsets[1:] - 1] = False
+        ids = np.frombuffer(data[in_ids].tobytes(), "<u4" if wide else "<u2").astype(np.int32)
+        ends = (offsets - np.arange(len(offsets))) // (4 if wide else 2)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        out = []
+        for row in (run.slice(i, 1) for i in range(len(run))):
+            if len(words) < row["known"][0].as_py() or zlib.crc32(checks[: row["known"][0].as_py()]) != row["check"][0].as_py():
+                raise RuntimeError("the input changed between two readings")
+            keys, sizes = (row[c].combine_chunks().flatten() for c in ("keys", "words"))
+            here = lists.take(pa.array(_unpacked(row["numbers"][0].as_py(), row["size"][0].as_py())))
+            ends = here.offsets.to_numpy()[np.r_[0, np.cumsum(sizes.to_numpy())]]
+            out.append(pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), here.flatten())}))
+        if not out:
             raise RuntimeError("the input changed between two readings")
-        lists = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
-        lists = lists.take(pa.array(numbers))
-        ends = lists.offsets.to_numpy()[np.r_[0, np.cumsum(sizes.to_numpy())]]
-        return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), lists.flatten())})
+        return pa.concat_tables(out)
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return positions.groupBy("part").cogroup(ids.groupBy("block")).applyInArrow(lay_out, schema)
+    return positions.groupBy("part").cogroup(codes.groupBy("run")).applyInArrow(lay_out, schema)
 
 
 def pieces(spark, tokenizer_file: str) -> DataFrame:

@@ -104,8 +104,29 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
             return [[len(w)] for w in words]
 
     monkeypatch.setattr(bpe_codec, "_splitter", lambda told: Counting())
-    frame = spark.range(30_000).selectExpr("id block", "int(id) number", "concat('w', id % 50) word")
-    got = bpe_codec.encode_words(frame, told)
-    assert {(r.word, r.ids[0]) for r in got.join(frame, ["block", "number"]).select("word", "ids").distinct().collect()} == {
-        (f"w{i}", len(f"w{i}")) for i in range(50)}
-    assert calls.value <= 100  # the plan ran once or twice
+    frame = spark.range(30_000).selectExpr("id at", "concat('w', id % 50) word")
+    got = bpe_codec.encode_words(frame, told).collect()
+    assert {(r.number % 50, r.code[0]) for r in got} == {(i, len(f"w{i}")) for i in range(50)}
+    assert len(got) == 30_000 and calls.value == 50
+
+
+def test_runs_of_many_slices(table, library, monkeypatch):
+    """Words are numbered on from slice to slice, and anew in each run."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 400)}" for _ in range(40))) for i in range(300)] + [(900, ""), (901, None)]
+    docs = table(rows).coalesce(2)
+    for run, words in ((1 << 14, 1 << 20), (1 << 30, 150), (1 << 30, 1 << 20)):
+        for name, value in (("_SLICE", 1 << 11), ("_RUN", run), ("_RUN_WORDS", words)):
+            monkeypatch.setattr(bpe_codec, name, value)
+        assert codes(both_ways(docs)) == brute(library, rows)
+
+
+def test_input_that_changes_is_noticed(spark):
+    def new_texts(frames):
+        import uuid
+        for f in frames:
+            yield f.assign(text=[f"word{uuid.uuid4().hex}" for _ in range(len(f))])
+
+    changing = spark.range(400).selectExpr("id AS doc_id").mapInPandas(new_texts, "doc_id long, text string")
+    with pytest.raises(Exception, match="input changed"):
+        bpe_codec.encode(changing, FILE).collect()
