@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dragline.functions.expr import dbl, ratio, rnd
+from dragline.functions.expr import CALCULATED, NOT_DISCLOSED, UNAVAILABLE, dbl, ratio, rnd
 from dragline.operators.holdings import KEYS
 
 
 def soft_dollar_share(ncen: DataFrame) -> DataFrame:
-    return ncen.select(
-        *KEYS, rnd(F.when(F.col("commissions") > 0, F.col("soft_dollar_usd") / F.col("commissions") * 100), 4)
-        .alias("soft_dollar_share_pct"),
-    )
+    """Soft dollars in per cent of commissions; a fund-period without a census stays, as UNAVAILABLE."""
+    share = F.when(F.col("commissions") > 0, F.col("soft_dollar_usd") / F.col("commissions") * 100)
+    tag = F.when(~F.col("has_census"), UNAVAILABLE).when(share.isNotNull(), CALCULATED).otherwise(NOT_DISCLOSED)
+    return ncen.select(*KEYS, rnd(share, 4).alias("soft_dollar_share_pct"), tag.alias("tag"))
 
 
 def affiliated_concentration(broker: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def derivative_totals(use: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 def census_flags(c: DataFrame) -> DataFrame:
-    """The six census conflict conditions as an array of codes with its size."""
+    """The six census conflict conditions as an array of codes with its size; null and UNAVAILABLE without a census."""
     on = lambda cond, code: F.when(F.coalesce(cond, F.lit(False)), F.lit(code))
     lending = F.col("is_lending")
     flags = F.array_compact(F.array(
@@ -96,7 +96,9 @@ def census_flags(c: DataFrame) -> DataFrame:
         on(lending & F.col("is_lending_agent_affiliated"), "affiliated_lending_agent"),
         on(lending & (F.col("lending_net_income") > 0), "securities_lending_income"),
     ))
-    return c.select(*KEYS, F.concat_ws("|", flags).alias("conflict_flags"), F.size(flags).alias("conflict_count"))
+    here = F.col("has_census")
+    return c.select(*KEYS, F.when(here, F.concat_ws("|", flags)).alias("conflict_flags"), F.when(here, F.size(flags)).alias("conflict_count"),
+                    F.when(here, CALCULATED).otherwise(UNAVAILABLE).alias("tag"))
 
 
 def statement_flags(pm: Column, soft: Column, subsidy_bps: Column) -> Column:

@@ -121,20 +121,24 @@ def tax_vs_expense(low: Column, high: Column, er_bps: Column) -> Column:
     )
 
 
-def fund_cost(fund: DataFrame, facts: DataFrame, ncen: DataFrame, fees: DataFrame | None = None,
-              turnover_policy: str = "prospectus") -> DataFrame:
+CENSUS = ("has_census", "commissions", "has_soft_dollar", "soft_dollar_usd", "ncen_turnover", "average_net_assets")
+
+
+def fund_cost(fund: DataFrame, facts: DataFrame, ncen: DataFrame | None = None, fees: DataFrame | None = None,
+              turnover_policy: str = "prospectus", carry: tuple[str, ...] = ()) -> DataFrame:
     """Full cost row for each fund and period in ``facts`` or ``ncen``, with a tag for what is unavailable.
 
+    Without ``ncen`` the facts hold the census columns (``CENSUS``) themselves; columns to ``carry`` stay as they are.
+
     ``facts`` comes from ``holdings.fund_facts``; ``fees`` (optional) carries
     ``er_bps`` per series.  ``turnover_policy='default'`` prices every fund at
     the default turnover.
     """
-    census = ncen.select(
-        *KEYS, F.lit(True).alias("has_census"), "commissions", "has_soft_dollar", "soft_dollar_usd",
-        "ncen_turnover", "average_net_assets",
-    )
     held = facts if "has_holdings" in facts.columns else facts.withColumn("has_holdings", F.lit(True))
-    base = held.join(census, list(KEYS), "full_outer").join(
+    if ncen is not None:
+        census = ncen.select(*KEYS, F.lit(True).alias("has_census"), *CENSUS[1:])
+        held = held.join(census, list(KEYS), "full_outer")
+    base = held.join(
         fund.select("series_id", "ticker", "fund_name", "family", "category", "prospectus_turnover"), "series_id"
     )
     if fees is not None:
@@ -192,7 +196,7 @@ def fund_cost(fund: DataFrame, facts: DataFrame, ncen: DataFrame, fees: DataFram
         F.when(held_c, cash["tag"]).alias("cash_tag"),
         F.when(etf, zero).when(taxed, tax["low"]).alias("tax_low_bps"),
         F.when(etf, zero).when(taxed, tax["high"]).alias("tax_high_bps"),
-        F.when(etf, CALCULATED).when(taxed, ESTIMATED).alias("tax_tag"),
+        F.when(etf, CALCULATED).when(taxed, ESTIMATED).alias("tax_tag"), *carry,
     )
 
 

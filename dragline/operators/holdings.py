@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dragline import assumptions as A
-from dragline.functions.expr import any_of, dbl, lookup, ratio, rnd
+from dragline.functions.expr import CALCULATED, UNAVAILABLE, any_of, dbl, lookup, ratio, rnd
+from dragline.scale import settle
 
 KEYS = ("series_id", "period")
 SHARE = "decimal(28,8)"
@@ -30,26 +31,67 @@ def is_cash_like(category: Column, name: Column) -> Column:
     return F.coalesce(category == "STIV", F.lit(False)) | named
 
 
-def is_underlying_fund(issuer: Column, name: Column, category: Column, pct: Column) -> Column:
-    """Registered-fund issuer, or a fund-like name that is no securitisation, or a large cash vehicle."""
+def is_named_fund(issuer: Column, name: Column, category: Column) -> Column:
+    """Registered-fund issuer, or a fund-like name that is no securitisation."""
     cat = F.upper(F.coalesce(category, F.lit("")))
     by_issuer = F.upper(F.coalesce(issuer, F.lit(""))).isin(*A.FUND_ISSUER_CATEGORIES)
     by_name = name.rlike(A.FUND_NAME_PATTERN) & ~(name.rlike(A.SECURITISATION_PATTERN) | cat.startswith("ABS"))
-    by_cash = (category == "STIV") & (pct > A.STIV_FUND_PCT)
-    return by_issuer | F.coalesce(by_name, F.lit(False)) | F.coalesce(by_cash, F.lit(False))
+    return by_issuer | F.coalesce(by_name, F.lit(False))
+
+
+def is_underlying_fund(issuer: Column, name: Column, category: Column, pct: Column) -> Column:
+    """The same for a position whose percent of net assets is reported: a large cash vehicle counts, too."""
+    large_cash = (category == "STIV") & (pct > A.STIV_FUND_PCT)
+    return is_named_fund(issuer, name, category) | F.coalesce(large_cash, F.lit(False))
 
 
-def with_net_assets(holdings: DataFrame, header: DataFrame) -> DataFrame:
-    """Attach the filing header's net assets and the position's percent of them.
+def position_kinds(holdings: DataFrame, detail: dict[str, Column] | None = None) -> DataFrame:
+    """One pass over the positions: value and count per fund, period and kind of position.
 
-    The header has one row per filing.  Its size is left to the planner, which
-    broadcasts it when small and splits skewed keys when not.
+    Issuer, name and category say of nearly every position whether it is an underlying fund.  Only a cash vehicle
+    (``open_value``) must wait for the fund's net assets, so it keeps its value as a key; all others are added up where
+    they lie.  ``detail`` names further keys of positions that may be funds.  Net assets come from the same table.
     """
-    return holdings.join(header.select(*KEYS, "net_assets"), list(KEYS), "left").withColumn(
-        "pct_of_net_assets", ratio(100.0 * dbl("value_usd"), F.col("net_assets"))
+    named = is_named_fund(F.col("issuer_category"), F.col("name"), F.col("asset_category"))
+    cash = ~named & F.coalesce(F.col("asset_category") == "STIV", F.lit(False))
+    maybe = named | cash
+    extra = [F.when(maybe, c).alias(k) for k, c in (detail or {}).items()]
+    return settle(
+        holdings.groupBy(*KEYS, named.alias("is_fund"), F.when(cash, F.col("value_usd")).alias("open_value"), *extra,
+                         F.when(maybe, F.col("value_usd") > 0).alias("long"))
+        .agg(F.count("*").alias("positions"), F.sum("value_usd").alias("value"))
     )
 
 
+def header_of_kinds(kinds: DataFrame, fund: DataFrame) -> DataFrame:
+    """Filing header (net assets, positions) of funds with a holdings filing, from ``position_kinds``."""
+    sums = kinds.groupBy(*KEYS).agg(dbl(F.sum("value")).alias("net_assets"), F.sum("positions").alias("n_holdings"))
+    filed = fund.filter("has_nport").select("series_id", "nav_factor")
+    return sums.join(filed, "series_id").select(*KEYS, (F.col("net_assets") * F.col("nav_factor")).alias("net_assets"), "n_holdings")
+
+
+def classified(kinds: DataFrame, header: DataFrame) -> DataFrame:
+    """``position_kinds`` with ``is_fund`` decided: a cash vehicle counts above ``STIV_FUND_PCT`` of net assets."""
+    share = ratio(100.0 * dbl("open_value"), F.col("net_assets"))
+    waiting = kinds.filter(F.col("open_value").isNotNull()).join(header.select(*KEYS, "net_assets"), list(KEYS))
+    decided = waiting.withColumn("is_fund", F.coalesce(share > A.STIV_FUND_PCT, F.lit(False))).drop("net_assets")
+    return kinds.filter(F.col("open_value").isNull()).unionByName(decided)
+
+
+def filed(sums: DataFrame, fund: DataFrame, value: str, detail: str | None = None) -> DataFrame:
+    """Sums with net assets from the same pass and a tag; ``sums`` has few rows for each fund and period.
+
+    A fund-period without a holdings filing keeps one row, with null ``detail``, null net assets and UNAVAILABLE.
+    """
+    of = Window.partitionBy(*KEYS)
+    rows = sums.withColumn("_all", F.sum(value).over(of)).join(fund.select("series_id", "nav_factor", "has_nport"), "series_id")
+    if detail is not None:
+        rows = rows.withColumn("_row", F.row_number().over(of.orderBy(F.col(detail)))).filter(F.col("has_nport") | (F.col("_row") == 1))
+        rows = rows.withColumn(detail, F.when(F.col("has_nport"), F.col(detail))).drop("_row")
+    return rows.withColumn("net_assets", F.when(F.col("has_nport"), dbl("_all") * F.col("nav_factor"))).withColumn(
+        "tag", F.when(F.col("has_nport"), CALCULATED).otherwise(UNAVAILABLE)).drop("_all", "nav_factor", "has_nport")
+
+
 def header_of(holdings: DataFrame, fund: DataFrame | None = None) -> DataFrame:
     """Filing header: net assets per fund and period, optionally scaled by a fund attribute."""
     h = holdings.groupBy(*KEYS).agg(dbl(F.sum("value_usd")).alias("net_assets"), F.count("*").alias("n_holdings"))
@@ -62,35 +104,35 @@ def header_of(holdings: DataFrame, fund: DataFrame | None = None) -> DataFrame:
     return h
 
 
-def _measure(basis: str) -> Column:
-    """What is added up: reported percents, or dollars that are divided by net assets afterwards."""
-    if basis == "reported":
-        return F.col("pct_of_net_assets").cast(SHARE)
-    return F.col("value_usd")
+def category_key() -> Column:
+    return F.coalesce(F.nullif("asset_category", F.lit("")), F.lit("UNKNOWN")).alias("asset_category")
 
 
-def _percent(total: Column, net_assets: Column, basis: str) -> Column:
-    return dbl(total) if basis == "reported" else ratio(100.0 * dbl(total), net_assets)
+def asset_class_weights(holdings: DataFrame, fund: DataFrame | None = None) -> DataFrame:
+    """Weight per asset category: reported percents added up, or with ``fund`` dollars divided once per group."""
+    if fund is None:
+        total = F.coalesce(F.sum(F.col("pct_of_net_assets").cast(SHARE)), F.lit(0))
+        return holdings.groupBy(*KEYS, category_key()).agg(dbl(total).alias("weight_pct"))
+    sums = holdings.groupBy(*KEYS, category_key()).agg(F.coalesce(F.sum("value_usd"), F.lit(0)).alias("_m"))
+    return _weights(filed(sums, fund, "_m", "asset_category"))
 
 
-def asset_class_weights(holdings: DataFrame, header: DataFrame | None = None) -> DataFrame:
-    """Weight per asset category.  With ``header`` dollars are summed first and divided once per group."""
-    basis = "value" if header is not None else "reported"
-    cat = F.coalesce(F.nullif("asset_category", F.lit("")), F.lit("UNKNOWN")).alias("asset_category")
-    sums = holdings.groupBy(*KEYS, cat).agg(F.coalesce(F.sum(_measure(basis)), F.lit(0)).alias("_m"))
-    if header is None:
-        return sums.select(*KEYS, "asset_category", dbl("_m").alias("weight_pct"))
-    return sums.join(header, list(KEYS)).select(
-        *KEYS, "asset_category", _percent(F.col("_m"), F.col("net_assets"), basis).alias("weight_pct")
-    )
+def category_weights(by_category: DataFrame, fund: DataFrame) -> DataFrame:
+    """``asset_class_weights`` from the sums of ``category_sums``."""
+    sums = by_category.groupBy(*KEYS, category_key()).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("_m"))
+    return _weights(filed(sums, fund, "_m", "asset_category"))
+
+
+def _weights(sums: DataFrame) -> DataFrame:
+    return sums.select(*KEYS, "asset_category", ratio(100.0 * dbl("_m"), F.col("net_assets")).alias("weight_pct"), "tag")
 
 
-def holding_facts(holdings: DataFrame, basis: str = "value", small_position: float = A.SMALL_POSITION_USD) -> DataFrame:
-    """Every additive holdings measure of the cost model from one pass over the positions.
+def category_sums(holdings: DataFrame, basis: str = "value", small_position: float = A.SMALL_POSITION_USD,
+                  also: tuple[str, ...] = ()) -> DataFrame:
+    """The one pass over the positions: a few plain sums per fund, period and category.
 
-    The pass adds up a few plain sums per fund, period and category (combined on
-    the map side, so a fund with a third of all rows costs one small row per
-    task).  Spreads depend on the category only and are applied to those sums.
+    They are combined on the map side, so a fund with a third of all rows costs one small row per task.  Columns named
+    in ``also`` are added up, too.
     """
     cat, value = F.col("asset_category"), F.col("value_usd")
     m = F.col("pct_of_net_assets").cast("decimal(18,8)") if basis == "reported" else value
@@ -99,14 +141,20 @@ def holding_facts(holdings: DataFrame, basis: str = "value", small_position: flo
     valued = F.coalesce(value != 0, F.lit(False))
     has_pct = "pct_of_net_assets" in holdings.columns
     unvalued_pct = F.col("pct_of_net_assets").cast("decimal(18,8)") if has_pct else F.lit(None).cast("decimal(18,8)")
-    by_category = holdings.groupBy(*KEYS, "asset_category").agg(
+    return holdings.groupBy(*KEYS, "asset_category").agg(
         F.count("*").alias("n"),
         F.sum(m).alias("m"),
         F.sum(F.when(positive, value)).alias("long"),
         F.sum(F.when(positive & (value < small_position), value)).alias("small"),
         F.sum(F.when(cash & valued, F.abs(value))).alias("cash"),
         F.sum(F.when(cash & ~valued, unvalued_pct)).alias("cash_pct"),
+        *[F.sum(c).alias(c) for c in also],
     )
+
+
+def holding_facts(by_category: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Every additive holdings measure of the cost model; spreads depend on the category and are applied to its sums."""
+    cat = F.col("asset_category")
     weight = F.coalesce(F.col("m"), F.lit(0)).cast("decimal(28,8)")
     side = lambda i: F.coalesce(lookup(cat, A.spread_of_category(i)), F.lit(A.SPREAD_DEFAULT[i])).cast("decimal(6,4)")
     equity = cat.isin(*A.EQUITY_CATEGORIES)
@@ -120,14 +168,15 @@ def holding_facts(holdings: DataFrame, basis: str = "value", small_position: flo
         F.sum(F.when(equity, F.col("small"))).alias("small_value"),
         F.sum("cash").alias("cash_value"),
         F.sum("cash_pct").alias("cash_pct_unvalued"),
+        *[F.sum(c).alias(c) for c in also],
     )
 
 
-def unfiled(facts: DataFrame, filed: str) -> DataFrame:
-    """Keep fund-periods without a holdings filing, with nulls for what the filing would say."""
+def unfiled(facts: DataFrame, filed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keep fund-periods without a holdings filing, with nulls for what the filing would say (all but ``keep``)."""
     return facts.select(
-        *KEYS, F.col(filed).alias("has_holdings"),
-        *[F.when(F.col(filed), F.col(c)).alias(c) for c in facts.columns if c not in (*KEYS, filed)])
+        *KEYS, *keep, F.col(filed).alias("has_holdings"),
+        *[F.when(F.col(filed), F.col(c)).alias(c) for c in facts.columns if c not in (*KEYS, *keep, filed)])
 
 
 def fund_facts(facts: DataFrame, header: DataFrame | None = None, basis: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +210,7 @@ def country_key(country: Column) -> Column:
     return F.when(c == "", "UNKNOWN").otherwise(c)
 
 
-def country_exposure(holdings: DataFrame, header: DataFrame) -> DataFrame:
+def country_exposure(holdings: DataFrame, fund: DataFrame) -> DataFrame:
     """Country weights in three modes: net, positive positions only, and absolute."""
     v = F.coalesce(F.col("value_usd"), F.lit(0)).cast("decimal(18,2)")
     sums = holdings.groupBy(*KEYS, country_key(F.col("country")).alias("country")).agg(
@@ -169,11 +218,10 @@ def country_exposure(holdings: DataFrame, header: DataFrame) -> DataFrame:
         F.sum(F.when(v >= 0, v)).alias("_long"),
         F.sum(F.abs(v)).alias("_abs"),
     )
-    nav = F.col("net_assets")
-    pct = lambda c: ratio(100.0 * dbl(c), nav)
-    return sums.join(header, list(KEYS)).select(
+    pct = lambda c: ratio(100.0 * dbl(c), F.col("net_assets"))
+    return filed(sums, fund, "_net", "country").select(
         *KEYS, "country",
-        pct("_net").alias("net_pct"), pct("_long").alias("gross_long_pct"), pct("_abs").alias("gross_absolute_pct"),
+        pct("_net").alias("net_pct"), pct("_long").alias("gross_long_pct"), pct("_abs").alias("gross_absolute_pct"), "tag",
     )
 
 
@@ -192,58 +240,56 @@ def country_concentration(exposure: DataFrame, n: int = 1) -> DataFrame:
 
 
 def geography_summary(exposure: DataFrame) -> DataFrame:
-    """Distinct countries, top-1, top-5, non-US share and the top-20 list in one row per fund."""
+    """Distinct countries, top-1, top-5, non-US share and the top-20 list in one row per fund, from one pass."""
     exact = F.col("net_pct").cast("decimal(28,10)")
-    totals = exposure.groupBy(*KEYS).agg(
-        F.count(F.when(F.col("country") != "UNKNOWN", 1)).alias("distinct_countries"),
+    w = Window.partitionBy(*KEYS).orderBy(F.col("net_pct").desc(), F.col("country"))
+    held = F.col("tag") != UNAVAILABLE
+    rows = exposure.withColumn("rank", F.row_number().over(w)).groupBy(*KEYS).agg(
+        F.count(F.when(F.col("country") != "UNKNOWN", 1)).alias("_n"),
         F.sum(F.when(F.col("country").isin("US", "UNKNOWN"), exact)).alias("_home"),
-    )
-    top = top_countries(exposure, 20).groupBy(*KEYS).agg(
         F.max(F.when(F.col("rank") == 1, F.col("net_pct"))).alias("_one"),
         F.sum(F.when(F.col("rank") <= 5, exact)).alias("_five"),
-        F.array_sort(F.collect_list(F.struct("rank", "country", rnd("net_pct", 4).alias("weight_pct")))).alias("_list"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= 20, F.struct("rank", "country")))).alias("_list"),
+        F.max("tag").alias("tag"),
     )
-    return totals.join(top, list(KEYS)).select(
-        *KEYS, "distinct_countries",
+    listed = F.concat_ws(",", F.transform("_list", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["country"])))
+    return rows.select(
+        *KEYS, F.when(held, F.col("_n")).alias("distinct_countries"),
         rnd("_one", 4).alias("top_country_pct"),
         rnd(dbl("_five"), 4).alias("top_5_countries_pct"),
-        rnd(100.0 - F.coalesce(dbl("_home"), F.lit(0.0)), 4).alias("non_us_excluding_unknown_pct"),
-        F.concat_ws(
-            ",", F.transform("_list", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["country"]))
-        ).alias("top_countries"),
+        F.when(held, rnd(100.0 - F.coalesce(dbl("_home"), F.lit(0.0)), 4)).alias("non_us_excluding_unknown_pct"),
+        F.when(held, listed).alias("top_countries"), "tag",
     )
 
 
-def derivative_summary(holdings: DataFrame, header: DataFrame) -> DataFrame:
-    """Positions, categories, instruments, notional and unrealised result per fund.
+def derivative_summary(holdings: DataFrame, fund: DataFrame) -> DataFrame:
+    """Positions, categories, instruments, notional and unrealised result per fund, from one pass over all positions.
 
     The collected sets hold category and instrument names, at most a handful each.
     """
-    label = derivative_label(F.col("asset_category"))
-    d = holdings.filter(is_derivative(F.col("asset_category"))).withColumn("_label", label)
-    counts = [
-        F.count(F.when(F.col("_label") == name, 1)).alias(f"n_{code.lower()}")
-        for code, name in A.DERIVATIVE_LABELS.items()
-    ]
-    agg = d.groupBy(*KEYS).agg(
-        F.count("*").alias("positions"),
-        F.concat_ws("|", F.array_sort(F.collect_set("_label"))).alias("categories"),
-        F.concat_ws("|", F.array_sort(F.collect_set("instrument_type"))).alias("instrument_types"),
-        F.sum("notional_usd").alias("_notional"),
-        F.sum("unrealized_usd").alias("_unrealized"),
-        *counts,
-    )
-    return header.select(*KEYS, "net_assets").join(agg, list(KEYS), "left").select(
-        *KEYS,
-        F.coalesce("positions", F.lit(0)).alias("positions"),
-        F.coalesce("categories", F.lit("")).alias("categories"),
-        F.coalesce("instrument_types", F.lit("")).alias("instrument_types"),
-        rnd(F.coalesce(dbl("_notional"), F.lit(0.0))).alias("notional_usd"),
-        F.when(F.col("net_assets") > 0, rnd(F.coalesce(dbl("_notional"), F.lit(0.0)) / F.col("net_assets") * 100, 4))
-        .alias("notional_pct_of_nav"),
-        rnd(F.coalesce(dbl("_unrealized"), F.lit(0.0))).alias("unrealized_usd"),
-        *[F.coalesce(f"n_{c.lower()}", F.lit(0)).alias(f"n_{c.lower()}") for c in A.DERIVATIVE_LABELS],
+    here = is_derivative(F.col("asset_category"))
+    label = F.when(here, derivative_label(F.col("asset_category")))
+    count = lambda c: F.count(F.when(c, 1))
+    sums = holdings.groupBy(*KEYS).agg(
+        F.sum("value_usd").alias("_value"),
+        count(here).alias("positions"),
+        F.concat_ws("|", F.array_sort(F.collect_set(label))).alias("categories"),
+        F.concat_ws("|", F.array_sort(F.collect_set(F.when(here, F.col("instrument_type"))))).alias("instrument_types"),
+        F.sum(F.when(here, F.col("notional_usd"))).alias("_notional"),
+        F.sum(F.when(here, F.col("unrealized_usd"))).alias("_unrealized"),
+        *[count(label == name).alias(f"n_{code.lower()}") for code, name in A.DERIVATIVE_LABELS.items()],
     )
+    held = F.col("tag") != UNAVAILABLE
+    zero = F.lit(0.0)
+    notional = F.coalesce(dbl("_notional"), zero)
+    said = {
+        "positions": F.col("positions"), "categories": F.col("categories"), "instrument_types": F.col("instrument_types"),
+        "notional_usd": rnd(notional),
+        "notional_pct_of_nav": F.when(F.col("net_assets") > 0, rnd(notional / F.col("net_assets") * 100, 4)),
+        "unrealized_usd": rnd(F.coalesce(dbl("_unrealized"), zero)),
+        **{f"n_{c.lower()}": F.col(f"n_{c.lower()}") for c in A.DERIVATIVE_LABELS},
+    }
+    return filed(sums, fund, "_value").select(*KEYS, *[F.when(held, c).alias(k) for k, c in said.items()], "tag")
 
 
 def top_counterparties(holdings: DataFrame, n: int = 10) -> DataFrame:
@@ -259,12 +305,9 @@ def top_counterparties(holdings: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def fund_and_direct(holdings: DataFrame) -> DataFrame:
-    """Split positions into underlying funds and direct securities; totals per fund and kind."""
-    flag = is_underlying_fund(
-        F.col("issuer_category"), F.col("name"), F.col("asset_category"), F.col("pct_of_net_assets")
-    )
-    return holdings.groupBy(*KEYS, flag.alias("is_fund")).agg(
-        F.count("*").alias("positions"),
-        dbl(F.sum("value_usd")).alias("value_usd"),
-    )
+def fund_and_direct(kinds: DataFrame, fund: DataFrame) -> DataFrame:
+    """Underlying funds and direct securities; totals per fund, period and kind."""
+    header = header_of_kinds(kinds, fund)
+    sums = classified(kinds, header).groupBy(*KEYS, "is_fund").agg(
+        F.sum("positions").alias("positions"), dbl(F.sum("value")).alias("value_usd"))
+    return sums.join(header.select(*KEYS), list(KEYS), "left_semi")

@@ -13,19 +13,18 @@ from pyspark.sql import functions as F
 
 from dragline import assumptions as A
 from dragline.functions.expr import dbl, ratio, rnd
-from dragline.operators.holdings import KEYS
+from dragline.operators.holdings import KEYS, classified
 
 W = "decimal(28,12)"
 
 
-def fund_position_sums(positions: DataFrame) -> DataFrame:
-    """Underlying-fund positions added up per parent, child and sign: the one pass over positions.
+def fund_position_sums(kinds: DataFrame, header: DataFrame) -> DataFrame:
+    """Underlying-fund positions added up per parent, child and sign; ``child`` is null for unresolved positions.
 
-    ``child`` is null for unresolved positions; ``net_assets`` rides along.
+    ``kinds`` comes from ``holdings.position_kinds`` with the key ``child``.
     """
-    return positions.groupBy(*KEYS, "child", (F.col("value_usd") > 0).alias("long")).agg(
-        F.sum("value_usd").alias("value"), F.count("*").alias("positions"), F.max("net_assets").alias("net_assets")
-    )
+    return classified(kinds, header).filter("is_fund").groupBy(*KEYS, "child", "long").agg(
+        F.sum("value").alias("value"), F.sum("positions").alias("positions"))
 
 
 def _fund_share(value, net_assets):
@@ -46,15 +45,15 @@ def structure_class(header: DataFrame, sums: DataFrame) -> DataFrame:
     )
 
 
-def edges(sums: DataFrame) -> DataFrame:
+def edges(sums: DataFrame, header: DataFrame) -> DataFrame:
     """Edge list below the funds-of-funds.
 
     A weight is the position's share of *all* fund positions, resolved or not,
     so the weights of a parent add up to its resolved coverage rather than to 1.
     """
-    totals = sums.groupBy(*KEYS).agg(F.sum("value").alias("_all"), F.max("net_assets").alias("_nav"))
+    totals = sums.groupBy(*KEYS).agg(F.sum("value").alias("_all")).join(header.select(*KEYS, "net_assets"), list(KEYS))
     parents = totals.filter(
-        (F.col("_all") > 0) & (_fund_share(F.col("_all"), F.col("_nav")) > A.FUND_OF_FUNDS_PCT)
+        (F.col("_all") > 0) & (_fund_share(F.col("_all"), F.col("net_assets")) > A.FUND_OF_FUNDS_PCT)
     )
     return (
         sums.filter(F.col("long") & F.col("child").isNotNull())
@@ -66,14 +65,18 @@ def edges(sums: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_notes(positions: DataFrame) -> DataFrame:
+def _named_sums(kinds: DataFrame, header: DataFrame) -> DataFrame:
+    """Positive underlying-fund positions per name, cusip and child; ``kinds`` has those keys."""
+    held = classified(kinds, header).filter("is_fund AND long").groupBy(*KEYS, "name", "cusip", "child").agg(
+        F.sum("positions").alias("positions"), F.sum("value").alias("value"))
+    return held.join(header.select(*KEYS, "net_assets"), list(KEYS))
+
+
+def unresolved_notes(kinds: DataFrame, header: DataFrame) -> DataFrame:
     """One note row per unresolved underlying fund, with the weight it leaves uncovered."""
-    return (
-        positions.filter(F.col("child").isNull() & (F.col("value_usd") > 0))
-        .groupBy(*KEYS, "name", "cusip")
-        .agg(F.count("*").alias("positions"), dbl(F.sum("value_usd")).alias("value_usd"))
-        .withColumn("note", F.concat(F.lit("Unresolved underlying fund: "), "name", F.lit(" ("), "cusip", F.lit(")")))
-    )
+    return _named_sums(kinds, header).filter(F.col("child").isNull()).select(
+        *KEYS, "name", "cusip", "positions", dbl("value").alias("value_usd"),
+        F.concat(F.lit("Unresolved underlying fund: "), "name", F.lit(" ("), "cusip", F.lit(")")).alias("note"))
 
 
 def _level(direct: DataFrame, edge: DataFrame, below: DataFrame) -> DataFrame:
@@ -184,13 +187,9 @@ def wrapper_decomposition(stated: DataFrame, edge: DataFrame, high_confidence: b
     )
 
 
-def underlying_list(positions: DataFrame, fund: DataFrame) -> DataFrame:
+def underlying_list(kinds: DataFrame, header: DataFrame, fund: DataFrame) -> DataFrame:
     """Display list of underlying funds with whatever they resolved to."""
     names = fund.select(F.col("series_id").alias("child"), F.col("ticker").alias("resolved_ticker"))
-    sums = (
-        positions.filter(F.col("value_usd") > 0).groupBy(*KEYS, "name", "cusip", "child")
-        .agg(F.sum("value_usd").alias("_v"), F.max("net_assets").alias("_nav"))
-    )
-    return sums.join(names, "child", "left").select(
-        *KEYS, "name", "cusip", "resolved_ticker", rnd(ratio(100.0 * dbl("_v"), F.col("_nav")), 4).alias("pct_of_net_assets")
+    return _named_sums(kinds, header).join(names, "child", "left").select(
+        *KEYS, "name", "cusip", "resolved_ticker", rnd(ratio(100.0 * dbl("value"), F.col("net_assets")), 4).alias("pct_of_net_assets")
     )

@@ -13,7 +13,7 @@ from dragline.plans.oracle_views import (
     R, V_BROKER, V_FEE, V_FUND, V_HOLDING, V_LOOKUP, V_NCEN, V_POSITION, with_views,
 )
 from dragline.scale import ranked, settle
-from dragline.sources.fund_views import FundViews
+from dragline.sources.fund_views import CENSUS_SUMS, FundViews
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -39,12 +39,17 @@ def _header(v: FundViews, h: DataFrame) -> DataFrame:
     return holdings.header_of(h, v.fund())
 
 
-def _facts(v: FundViews, small: float = SMALL) -> DataFrame:
-    """Facts with net assets from the same pass: the sum of values is one of the additive measures."""
-    facts = holdings.holding_facts(v.holding(), small_position=small)
+def _category_sums(v: FundViews, small: float = SMALL) -> DataFrame:
+    return holdings.category_sums(v.holding(), small_position=small, also=CENSUS_SUMS)
+
+
+def _facts(v: FundViews, by_category: DataFrame | None = None) -> DataFrame:
+    """Facts of both filings from one pass: net assets are the sum of values, census sums ride along."""
+    by_category = _category_sums(v) if by_category is None else by_category
+    facts = holdings.holding_facts(by_category, also=CENSUS_SUMS)
     filed = v.fund().select("series_id", "nav_factor", "has_nport")
     known = facts.join(filed, "series_id").withColumn("net_assets", dbl("m_total") * F.col("nav_factor"))
-    return holdings.unfiled(holdings.fund_facts(known, carry=("has_nport",)), "has_nport")
+    return holdings.unfiled(holdings.fund_facts(known, carry=("has_nport", *CENSUS_SUMS)), "has_nport", CENSUS_SUMS)
 
 
 def _stated(v: FundViews) -> DataFrame:
@@ -56,8 +61,9 @@ def _stated(v: FundViews) -> DataFrame:
     )
 
 
-def _cost(v: FundViews) -> DataFrame:
-    return costs.fund_cost(v.fund(), _facts(v), v.ncen(), _stated(v))
+def _cost(v: FundViews, by_category: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    facts = v.census_of(_facts(v, by_category)).drop("ticker", "category", "family")
+    return costs.fund_cost(v.fund(), facts, fees=_stated(v), carry=carry)
 
 
 H = "v_header AS (SELECT series_id, period, CAST(sum(value_usd) AS DOUBLE) * max(nav_factor) AS net_assets, count(*) AS n_holdings FROM v_holding JOIN v_fund USING (series_id) WHERE has_nport GROUP BY 1, 2)"
@@ -156,7 +162,7 @@ v_cost AS (
     FROM (SELECT DISTINCT series_id, period FROM v_holding) c
     JOIN (SELECT series_id AS sid, ticker, fund_name, family, category, prospectus_turnover FROM v_fund) f ON sid = c.series_id
     LEFT JOIN (SELECT *, true AS has_h FROM v_facts) d ON d.series_id = c.series_id AND d.period = c.period
-    LEFT JOIN (SELECT series_id AS s2, period AS p2, commissions, has_soft_dollar, soft_dollar_usd, ncen_turnover, average_net_assets FROM v_ncen) n ON s2 = c.series_id AND p2 = c.period
+    LEFT JOIN (SELECT series_id AS s2, period AS p2, commissions, has_soft_dollar, soft_dollar_usd, ncen_turnover, average_net_assets FROM v_ncen WHERE has_census) n ON s2 = c.series_id AND p2 = c.period
     LEFT JOIN (SELECT series_id AS s3, er_bps FROM v_stated) e ON s3 = c.series_id
     LEFT JOIN LATERAL (SELECT s2 IS NOT NULL AS has_c) k ON true) x)"""
 
@@ -171,11 +177,11 @@ HOLD = (V_FUND, V_HOLDING, H)
 
 
 @query(with_views(*HOLD, body=f"""
-SELECT series_id, period, asset_category, {R("100.0::DOUBLE * CAST(sum(value_usd) AS DOUBLE) / max(net_assets)", 4)} AS weight_pct
-FROM v_holding JOIN v_header USING (series_id, period) GROUP BY 1, 2, 3"""))
+SELECT series_id, period, asset_category, {R("100.0::DOUBLE * CAST(sum(value_usd) AS DOUBLE) / max(net_assets)", 4)} AS weight_pct, 'CALCULATED' AS tag
+FROM v_holding JOIN v_header USING (series_id, period) GROUP BY 1, 2, 3
+UNION ALL SELECT DISTINCT series_id, period, NULL, NULL, 'UNAVAILABLE' FROM v_holding JOIN v_fund USING (series_id) WHERE NOT has_nport"""))
 def asset_class_weights(v):
-    h = v.holding()
-    w = holdings.asset_class_weights(h, _header(v, h))
+    w = holdings.asset_class_weights(v.holding(), v.fund())
     return w.withColumn("weight_pct", rnd("weight_pct", 4))
 
 
@@ -183,10 +189,14 @@ def asset_class_weights(v):
 SELECT series_id, period, asset_category, {R("CAST(sum(CAST(100.0::DOUBLE * CAST(value_usd AS DOUBLE) / net_assets AS DECIMAL(28,8))) AS DOUBLE)", 3)} AS weight_pct
 FROM v_holding JOIN v_header USING (series_id, period) GROUP BY 1, 2, 3"""))
 def asset_class_weights_reported(v):
-    """The same from percents reported per position (joins the header to every row first)."""
-    h = v.holding()
-    rows = holdings.with_net_assets(h, _header(v, h)).filter(F.col("net_assets").isNotNull())
-    return holdings.asset_class_weights(rows).withColumn("weight_pct", rnd("weight_pct", 3))
+    """The same from percents reported per position; equal values of a category are one row before the header joins."""
+    rows = settle(v.holding().groupBy(*KEYS, "asset_category", "value_usd").agg(F.count("*").alias("n")))
+    nav = rows.groupBy(*KEYS).agg(dbl(F.sum(F.col("value_usd") * F.col("n"))).alias("_sum")).join(
+        v.fund().filter("has_nport").select("series_id", "nav_factor"), "series_id").select(
+        *KEYS, (F.col("_sum") * F.col("nav_factor")).alias("net_assets"))
+    share = (100.0 * dbl("value_usd") / F.col("net_assets")).cast("decimal(28,8)") * F.col("n")
+    return holdings.asset_class_weights(rows.join(nav, list(KEYS)).withColumn("pct_of_net_assets", share)).withColumn(
+        "weight_pct", rnd("weight_pct", 3))
 
 
 @query(with_views(*HOLD, V_FACTS, body=f"""
@@ -213,18 +223,18 @@ V_EXPO = f"""
 v_expo AS (SELECT series_id, period, {_COUNTRY} AS country,
     100.0::DOUBLE * CAST(sum(value_usd) AS DOUBLE) / max(net_assets) AS net_pct,
     100.0::DOUBLE * CAST(sum(CASE WHEN value_usd >= 0 THEN value_usd END) AS DOUBLE) / max(net_assets) AS gross_long_pct,
-    100.0::DOUBLE * CAST(sum(abs(value_usd)) AS DOUBLE) / max(net_assets) AS gross_absolute_pct
-  FROM v_holding JOIN v_header USING (series_id, period) GROUP BY 1, 2, 3)"""
+    100.0::DOUBLE * CAST(sum(abs(value_usd)) AS DOUBLE) / max(net_assets) AS gross_absolute_pct, 'CALCULATED' AS tag
+  FROM v_holding JOIN v_header USING (series_id, period) GROUP BY 1, 2, 3
+  UNION ALL SELECT DISTINCT series_id, period, NULL, NULL, NULL, NULL, 'UNAVAILABLE' FROM v_holding JOIN v_fund USING (series_id) WHERE NOT has_nport)"""
 
 
 def _exposure(v):
-    h = v.holding(country=True)
-    return holdings.country_exposure(h, _header(v, v.holding()))
+    return holdings.country_exposure(v.holding(country=True), v.fund())
 
 
-@query(with_views(*HOLD, V_EXPO, body=f"SELECT series_id, period, country, {R('net_pct', 4)} AS net_pct, {R('gross_long_pct', 4)} AS gross_long_pct, {R('gross_absolute_pct', 4)} AS gross_absolute_pct FROM v_expo"))
+@query(with_views(*HOLD, V_EXPO, body=f"SELECT series_id, period, country, {R('net_pct', 4)} AS net_pct, {R('gross_long_pct', 4)} AS gross_long_pct, {R('gross_absolute_pct', 4)} AS gross_absolute_pct, tag FROM v_expo"))
 def country_exposure(v):
-    return _exposure(v).select(*KEYS, "country", *[rnd(c, 4).alias(c) for c in ("net_pct", "gross_long_pct", "gross_absolute_pct")])
+    return _exposure(v).select(*KEYS, "country", *[rnd(c, 4).alias(c) for c in ("net_pct", "gross_long_pct", "gross_absolute_pct")], "tag")
 
 
 @query(with_views(*HOLD, V_EXPO, body=f"""
@@ -235,10 +245,10 @@ def country_concentration(v):
 
 
 @query(with_views(*HOLD, V_EXPO, body=f"""
-SELECT series_id, period, count(*) FILTER (country <> 'UNKNOWN') AS distinct_countries, {R('max(net_pct) FILTER (rk = 1)', 4)} AS top_country_pct,
+SELECT series_id, period, CASE WHEN max(tag) = 'CALCULATED' THEN count(*) FILTER (country <> 'UNKNOWN') END AS distinct_countries, {R('max(net_pct) FILTER (rk = 1)', 4)} AS top_country_pct,
   {R('CAST(sum(CAST(net_pct AS DECIMAL(28,10))) FILTER (rk <= 5) AS DOUBLE)', 4)} AS top_5_countries_pct,
-  {R("100.0::DOUBLE - coalesce(CAST(sum(CAST(net_pct AS DECIMAL(28,10))) FILTER (country IN ('US', 'UNKNOWN')) AS DOUBLE), 0)", 4)} AS non_us_excluding_unknown_pct,
-  string_agg(rk || ':' || country, ',' ORDER BY rk) FILTER (rk <= 20) AS top_countries
+  CASE WHEN max(tag) = 'CALCULATED' THEN {R("100.0::DOUBLE - coalesce(CAST(sum(CAST(net_pct AS DECIMAL(28,10))) FILTER (country IN ('US', 'UNKNOWN')) AS DOUBLE), 0)", 4)} END AS non_us_excluding_unknown_pct,
+  string_agg(rk || ':' || country, ',' ORDER BY rk) FILTER (rk <= 20) AS top_countries, max(tag) AS tag
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY net_pct DESC, country) AS rk FROM v_expo) q GROUP BY 1, 2"""))
 def geography_summary(v):
     return holdings.geography_summary(_exposure(v))
@@ -253,12 +263,12 @@ SELECT h.series_id, h.period, count(asset_category) AS positions, coalesce(strin
   {R('coalesce(CAST(sum(notional_usd) AS DOUBLE), 0)')} AS notional_usd,
   CASE WHEN max(net_assets) > 0 THEN {R('coalesce(CAST(sum(notional_usd) AS DOUBLE), 0) / max(net_assets) * 100', 4)} END AS notional_pct_of_nav,
   {R('coalesce(CAST(sum(unrealized_usd) AS DOUBLE), 0)')} AS unrealized_usd,
-  {', '.join(f"count(*) FILTER (asset_category = '{c}') AS n_{c.lower()}" for c in A.DERIVATIVE_LABELS)}
+  {', '.join(f"count(*) FILTER (asset_category = '{c}') AS n_{c.lower()}" for c in A.DERIVATIVE_LABELS)}, 'CALCULATED' AS tag
 FROM v_header h LEFT JOIN (SELECT * FROM v_holding WHERE asset_category LIKE 'D%' AND asset_category <> 'DBT') d
-  ON d.series_id = h.series_id AND d.period = h.period GROUP BY 1, 2"""))
+  ON d.series_id = h.series_id AND d.period = h.period GROUP BY 1, 2
+UNION ALL SELECT DISTINCT series_id, period, NULL, NULL, NULL, NULL, NULL, NULL, {', '.join('NULL' for c in A.DERIVATIVE_LABELS)}, 'UNAVAILABLE' FROM v_holding JOIN v_fund USING (series_id) WHERE NOT has_nport"""))
 def derivative_summary(v):
-    h = v.holding()
-    return holdings.derivative_summary(h, _header(v, h))
+    return holdings.derivative_summary(v.holding(), v.fund())
 
 
 @query(with_views(V_HOLDING, body="""
@@ -276,16 +286,11 @@ _FUNDISH = """(issuer_category IN ('RF', 'RIC')
   OR coalesce(asset_category = 'STIV' AND 100.0::DOUBLE * CAST(value_usd AS DOUBLE) / net_assets > 5, false))"""
 
 
-def _classified(v):
-    h = v.holding()
-    return holdings.with_net_assets(h, _header(v, h)).filter(F.col("net_assets").isNotNull())
-
-
 @query(with_views(*HOLD, body=f"""
 SELECT series_id, period, {_FUNDISH} AS is_fund, count(*) AS positions, CAST(sum(value_usd) AS DOUBLE) AS value_usd
 FROM v_holding JOIN v_header USING (series_id, period) GROUP BY 1, 2, 3"""))
 def fund_and_direct_holdings(v):
-    return holdings.fund_and_direct(_classified(v))
+    return holdings.fund_and_direct(holdings.position_kinds(v.holding()), v.fund())
 
 
 # -- structure --------------------------------------------------------------------
@@ -301,16 +306,22 @@ v_edge AS (SELECT s.series_id AS parent, s.period, child, positions, CAST(CAST(v
   JOIN v_class c USING (series_id, period) WHERE tot > 0 AND fund_pct > 25)"""
 
 
-def _fund_positions(v):
-    rows = _classified(v)
-    flag = holdings.is_underlying_fund(F.col("issuer_category"), F.col("name"), F.col("asset_category"), F.col("pct_of_net_assets"))
+def _kinds(v, *names: str):
+    """Kinds of positions and the header, with the child that a position resolves to."""
     resolved = (F.col("issuer_category") == "RF") & ~F.col("name").contains("plate")
-    return rows.filter(flag).withColumn("child", F.when(resolved, F.col("partkey") % F.lit(v.n_funds)))
+    child = F.when(resolved, F.col("partkey") % F.lit(v.n_funds))
+    kinds = holdings.position_kinds(v.holding(), {"child": child} | {n: F.col(n) for n in names})
+    return kinds, holdings.header_of_kinds(kinds, v.fund())
+
+
+def _fund_sums(v):
+    kinds, header = _kinds(v)
+    return structure.fund_position_sums(kinds, header), header
 
 
 def _edges(v):
     """Edges below funds that are funds-of-funds; kept, because every level joins them again."""
-    return settle(structure.edges(structure.fund_position_sums(_fund_positions(v))))
+    return settle(structure.edges(*_fund_sums(v)))
 
 
 def _settled_cost(v):
@@ -327,8 +338,8 @@ STRUCT = (*HOLD, V_FUNDPOS)
 @query(with_views(*STRUCT, body="""
 SELECT *, CASE WHEN fund_pct > 25 THEN 'fund_of_funds' WHEN fund_pct > 0.5 THEN 'cash_sweep' ELSE 'plain' END AS structure FROM v_class"""))
 def structure_class(v):
-    sums = structure.fund_position_sums(_fund_positions(v))
-    return structure.structure_class(_header(v, v.holding()), sums)
+    sums, header = _fund_sums(v)
+    return structure.structure_class(header, sums)
 
 
 @query(with_views(*STRUCT, body=f"SELECT parent, period, child, positions, CAST(round(weight, 8) AS DOUBLE) AS weight FROM v_edge"))
@@ -418,14 +429,14 @@ def wrapper_decomposition(v):
 SELECT series_id, period, name, cusip, 'FND' || child AS resolved_ticker, {R('100.0::DOUBLE * CAST(sum(value_usd) AS DOUBLE) / max(net_assets)', 4)} AS pct_of_net_assets
 FROM v_fundpos WHERE value_usd > 0 GROUP BY 1, 2, 3, 4, child"""))
 def underlying_funds(v):
-    return structure.underlying_list(_fund_positions(v), v.fund())
+    return structure.underlying_list(*_kinds(v, "name", "cusip"), v.fund())
 
 
 @query(with_views(*STRUCT, body="""
 SELECT series_id, period, name, cusip, count(*) AS positions, CAST(sum(value_usd) AS DOUBLE) AS value_usd, 'Unresolved underlying fund: ' || name || ' (' || cusip || ')' AS note
 FROM v_fundpos WHERE child IS NULL AND value_usd > 0 GROUP BY 1, 2, 3, 4"""))
 def unresolved_underlying_notes(v):
-    return structure.unresolved_notes(_fund_positions(v))
+    return structure.unresolved_notes(*_kinds(v, "name", "cusip"))
 
 
 # -- cost model ---------------------------------------------------------------------
@@ -629,7 +640,9 @@ def board_stats(v):
 # -- conflicts -------------------------------------------------------------------
 
 
-@query(with_views(V_NCEN, body=f"SELECT series_id, period, CASE WHEN commissions > 0 THEN {R('soft_dollar_usd / commissions * 100', 4)} END AS soft_dollar_share_pct FROM v_ncen"))
+@query(with_views(V_NCEN, body=f"""
+SELECT series_id, period, CASE WHEN commissions > 0 THEN {R('soft_dollar_usd / commissions * 100', 4)} END AS soft_dollar_share_pct,
+  CASE WHEN NOT has_census THEN 'UNAVAILABLE' WHEN commissions > 0 AND soft_dollar_usd IS NOT NULL THEN 'CALCULATED' ELSE 'NOT_DISCLOSED' END AS tag FROM v_ncen"""))
 def soft_dollar_share(v):
     return conflicts.soft_dollar_share(v.ncen())
 
@@ -695,12 +708,13 @@ _FLAGS = "CASE WHEN has_soft_dollar THEN 'soft_dollar|' ELSE '' END || CASE WHEN
 
 
 @query(with_views(V_NCEN, body=f"""
-SELECT series_id, period, rtrim(f, '|') AS conflict_flags, CAST(length(f) - length(replace(f, '|', '')) AS INTEGER) AS conflict_count FROM (
-SELECT series_id, period, {_FLAGS} AS f FROM (SELECT *, coalesce(average_net_assets, 0) AS gross, commissions - affiliated_commissions AS net FROM v_ncen) q) z"""))
+SELECT series_id, period, CASE WHEN has_census THEN rtrim(f, '|') END AS conflict_flags, CASE WHEN has_census THEN CAST(length(f) - length(replace(f, '|', '')) AS INTEGER) END AS conflict_count,
+  CASE WHEN has_census THEN 'CALCULATED' ELSE 'UNAVAILABLE' END AS tag FROM (
+SELECT series_id, period, has_census, {_FLAGS} AS f FROM (SELECT *, coalesce(average_net_assets, 0) AS gross, commissions - affiliated_commissions AS net FROM v_ncen) q) z"""))
 def conflict_flags(v):
     lending = F.coalesce("average_net_assets", F.lit(0.0)) > 400000
     return conflicts.census_flags(v.ncen().select(
-        *KEYS, "has_soft_dollar", (F.col("affiliated_commissions") > 0).cast("int").alias("affiliated_brokers"),
+        *KEYS, "has_census", "has_soft_dollar", (F.col("affiliated_commissions") > 0).cast("int").alias("affiliated_brokers"),
         (F.col("family") < "NATION_15").alias("is_admin_affiliated"), (F.col("category") == "EUROPE").alias("is_transfer_agent_affiliated"),
         lending.alias("is_lending"), (F.col("category") == "ASIA").alias("is_lending_agent_affiliated"),
         (F.col("commissions") - F.col("affiliated_commissions")).alias("lending_net_income"),
@@ -723,14 +737,13 @@ def provider_concentration(v):
 V_PEER = f"""
 v_peer AS (SELECT series_id, category, {R('max_by(soft_dollar_bps, period)')} AS soft_dollar_bps, {R('max_by(aff, period)', 4)} AS affiliated_pct
   FROM (SELECT c.series_id, c.period, c.category, c.soft_dollar_bps, CASE WHEN commissions > 0 THEN affiliated_commissions / commissions * 100 END AS aff
-    FROM v_cost c JOIN v_ncen n ON n.series_id = c.series_id AND n.period = c.period) q GROUP BY 1, 2)"""
+    FROM v_cost c LEFT JOIN v_ncen n ON n.series_id = c.series_id AND n.period = c.period) q GROUP BY 1, 2)"""
 
 
 def _peer(v):
     share = F.when(F.col("commissions") > 0, F.col("affiliated_commissions") / F.col("commissions") * 100)
-    n = v.ncen().select(*KEYS, share.alias("aff"))
-    return _cost(v).join(n, list(KEYS)).groupBy("series_id", "category").agg(
-        rnd(F.max_by("soft_dollar_bps", "period")).alias("soft_dollar_bps"), rnd(F.max_by("aff", "period"), 4).alias("affiliated_pct")
+    return _cost(v, carry=("commissions", "affiliated_commissions")).groupBy("series_id", "category").agg(
+        rnd(F.max_by("soft_dollar_bps", "period")).alias("soft_dollar_bps"), rnd(F.max_by(share, "period"), 4).alias("affiliated_pct")
     )
 
 

@@ -46,16 +46,17 @@ v_holding AS (
 
 V_NCEN = V_FUND + """,
 v_ncen AS (
-  SELECT series_id, period, ticker, category, family, commissions, coalesce(affiliated_commissions, 0) AS affiliated_commissions,
-    soft_dollar_flag AS has_soft_dollar, CASE WHEN soft_dollar_reported THEN commissions * CAST(0.2 AS DOUBLE) END AS soft_dollar_usd,
-    CAST(NULL AS DOUBLE) AS ncen_turnover, CASE WHEN has_average_nav THEN gross_value END AS average_net_assets
+  SELECT series_id, period, ticker, category, family, has_ncen AS has_census, CASE WHEN has_ncen THEN commissions END AS commissions,
+    CASE WHEN has_ncen THEN coalesce(affiliated_commissions, 0) END AS affiliated_commissions,
+    CASE WHEN has_ncen THEN soft_dollar_flag END AS has_soft_dollar,
+    CASE WHEN has_ncen AND soft_dollar_reported THEN commissions * CAST(0.2 AS DOUBLE) END AS soft_dollar_usd,
+    CAST(NULL AS DOUBLE) AS ncen_turnover, CASE WHEN has_ncen AND has_average_nav THEN gross_value END AS average_net_assets
   FROM (SELECT l_suppkey AS series_id, CAST(year(l_shipdate) AS INTEGER) AS period,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) / 100 AS commissions,
       CAST(sum(CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4')
         THEN CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) END) AS DOUBLE) / 100 AS affiliated_commissions,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gross_value
-    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) x JOIN v_fund USING (series_id)
-  WHERE has_ncen)"""
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) x JOIN v_fund USING (series_id))"""
 
 V_BROKER = """
 v_broker AS (

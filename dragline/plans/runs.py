@@ -46,10 +46,9 @@ def workspace(spark: SparkSession) -> str:
 
 def _note_inputs(v: FundViews) -> DataFrame:
     cost = P._cost(v)
-    pos = P._fund_positions(v)
-    open_ends = pos.groupBy(*KEYS).agg(F.count(F.when(F.col("child").isNull(), 1)).alias("unresolved"))
-    sums = P.structure.fund_position_sums(pos)
-    kind = P.structure.structure_class(P._header(v, v.holding()), sums)
+    sums, header = P._fund_sums(v)
+    open_ends = sums.groupBy(*KEYS).agg(F.sum(F.when(F.col("child").isNull(), F.col("positions")).otherwise(0)).alias("unresolved"))
+    kind = P.structure.structure_class(header, sums)
     return (
         cost.select(*KEYS, "ticker", "has_census", "has_holdings").join(kind.select(*KEYS, "structure"), list(KEYS), "left")
         .join(open_ends, list(KEYS), "left").withColumn("missing_children", F.lit(0))
@@ -144,8 +143,9 @@ _EXPORT = " UNION ALL ".join((
 
 @query(with_views(*P.COST_VIEWS, body=_EXPORT))
 def component_export(v):
-    h = v.holding()
-    return sinks.component_rows(P._cost(v), holdings.asset_class_weights(h, P._header(v, h)))
+    by_category = settle(P._category_sums(v))
+    weights = holdings.category_weights(by_category, v.fund()).filter(F.col("asset_category").isNotNull())
+    return sinks.component_rows(P._cost(v, by_category), weights.drop("tag"))
 
 
 @query(with_views(*P.COST_VIEWS, body=f"""

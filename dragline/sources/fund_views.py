@@ -22,6 +22,7 @@ DERIVATIVE_BY_LINE = {1: "DE", 2: "DFE", 3: "DIR", 4: "DCR", 5: "DCO"}
 CATEGORY_BY_TYPE = {
     "STANDARD": "EC", "SMALL": "EP", "MEDIUM": "DBT", "LARGE": "ABS-MBS", "ECONOMY": "STIV",
 }
+CENSUS_SUMS = ("gross_usd", "commission_cents", "affiliated_cents")
 AFFILIATED_BRANDS = ("Brand#1", "Brand#2", "Brand#3", "Brand#4")
 
 
@@ -111,6 +112,11 @@ class FundViews:
             .alias("instrument_type"),
             F.when(derivative, money("l_quantity") * money("p_retailprice")).cast("decimal(18,4)").alias("notional_usd"),
             F.when(derivative, F.col("p_brand")).alias("counterparty_name"),
+            # what the same line says in the census
+            money("l_extendedprice").alias("gross_usd"),
+            (money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)")).alias("commission_cents"),
+            F.when(F.col("p_brand").isin(*AFFILIATED_BRANDS), money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)"))
+            .alias("affiliated_cents"),
             F.when(
                 derivative,
                 money("l_extendedprice") * (F.col("l_discount").cast("decimal(4,2)") - F.col("l_tax").cast("decimal(4,2)")),
@@ -132,33 +138,28 @@ class FundViews:
             cols.append(F.col("country"))
         return out.select(*cols)
 
+    def census_of(self, sums: DataFrame) -> DataFrame:
+        """``sums`` of CENSUS_SUMS, with fund attributes, as census rows; all null where the fund has filed no census."""
+        filed = F.col("has_ncen")
+        f = self.fund().select("series_id", "ticker", "category", "family", "soft_dollar_flag", "soft_dollar_reported", "has_ncen", "has_average_nav")
+        commissions = F.col("commission_cents").cast("double") / 100
+        said = {
+            "commissions": commissions,
+            "affiliated_commissions": F.coalesce(F.col("affiliated_cents").cast("double") / 100, F.lit(0.0)),
+            "has_soft_dollar": F.col("soft_dollar_flag"),
+            "soft_dollar_usd": F.when(F.col("soft_dollar_reported"), commissions * 0.2),
+            "ncen_turnover": F.lit(None).cast("double"),
+            "average_net_assets": F.when(F.col("has_average_nav"), F.col("gross_usd").cast("double")),
+        }
+        dropped = {*CENSUS_SUMS, "soft_dollar_flag", "soft_dollar_reported", "has_ncen", "has_average_nav"}
+        rows = sums.join(f, "series_id")
+        return rows.select(*[c for c in rows.columns if c not in dropped], filed.alias("has_census"),
+                           *[F.when(filed, c).alias(k) for k, c in said.items()])
+
     def ncen(self) -> DataFrame:
-        """One row per (fund, year): commissions, flags, average net assets."""
-        li, p = self.table("lineitem"), self.table("part")
-        commission = money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)")
-        affiliated = F.col("p_brand").isin(*AFFILIATED_BRANDS)
-        facts = (
-            li.join(p, li.l_partkey == p.p_partkey)
-            .groupBy(F.col("l_suppkey").alias("series_id"), F.year("l_shipdate").alias("period"))
-            .agg(
-                (F.sum(commission).cast("double") / 100).alias("commissions"),
-                (F.sum(F.when(affiliated, commission)).cast("double") / 100).alias("affiliated_commissions"),
-                F.sum(money("l_extendedprice")).cast("double").alias("gross_value"),
-            )
-        )
-        f = self.fund()
-        return (
-            facts.join(f.filter("has_ncen"), "series_id")
-            .select(
-                "series_id", "period", "ticker", "category", "family",
-                "commissions",
-                F.coalesce("affiliated_commissions", F.lit(0.0)).alias("affiliated_commissions"),
-                F.col("soft_dollar_flag").alias("has_soft_dollar"),
-                F.when(F.col("soft_dollar_reported"), F.col("commissions") * 0.2).alias("soft_dollar_usd"),
-                F.lit(None).cast("double").alias("ncen_turnover"),
-                F.when(F.col("has_average_nav"), F.col("gross_value")).alias("average_net_assets"),
-            )
-        )
+        """One row per (fund, year): commissions, flags, average net assets; null where there is no census."""
+        sums = self.holding().groupBy("series_id", "period").agg(*[F.sum(c).alias(c) for c in CENSUS_SUMS])
+        return self.census_of(sums)
 
     def broker(self) -> DataFrame:
         """Broker lines of the census: one per (fund, year, broker)."""

@@ -13,7 +13,7 @@ def facts(spark, rows, nav, basis="reported"):
         "series_id long, period int, name string, asset_category string, value_usd decimal(18,2), pct_of_net_assets double",
     )
     header = spark.createDataFrame([(1, 2024, nav, len(rows))], "series_id long, period int, net_assets double, n_holdings long")
-    return holdings.fund_facts(holdings.holding_facts(h, basis), header, basis)
+    return holdings.fund_facts(holdings.holding_facts(holdings.category_sums(h, basis)), header, basis)
 
 
 def spread(f, turnover):
