@@ -276,7 +276,9 @@ def partition(texts: DataFrame, words: DataFrame, bits, seed: int, budget: int,
         def longer(suffixes, told=told, level=level):
             rows, _ = told.value.hot_rows(suffixes, level)
             found = suffixes[rows, :level + 1]
-            found, n = _combined(found[found[:, level] != 0])
+            # a phrase is no more frequent than its last words: those must be a hot prefix, too
+            rows, _ = told.value.hot_rows(found[:, 1:], level)
+            found, n = _combined(found[rows])
             return pa.record_batch([*(_long(c) for c in found.T), pa.array(n)], names=[*KEY[:level + 1], "n"])
 
         counted = _pass(texts, bits, seed, longer, ", ".join(f"{c} long" for c in [*KEY[:level + 1], "n"]))
