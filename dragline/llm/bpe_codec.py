@@ -42,7 +42,9 @@ from pyspark.sql import types as T
 from dragline.llm.words import column_bytes
 
 _SLICE = 1 << 22  # bytes of text split at once
-_RUN = 1 << 25
+_RUN = 1 << 24
+_WORDS_SENT = 1 << 17  # encoded words that go back to their runs at once
+_TOKENS = 1 << 19  # decoded at once; one row, if that has more
 _RUN_WORDS = 1 << 20
 _NUMBER = 24  # bits of a word's number in its run
 _PLACE = 14  # bits of a run's place in its partition
@@ -188,17 +190,32 @@ def _as_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _packed(numbers: np.ndarray) -> tuple[bytes, int]:
+def _zipped(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd", 3).decompress(data[8:], size, asbytes=True) if size else b""
+
+
+def _packed(numbers: np.ndarray) -> bytes:
     """Low bytes, then higher ones, compressed: small numbers leave the higher bytes empty."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-    return pa.Codec("zstd", 3).compress(planes.tobytes(), asbytes=True), planes.size
+    return _zipped(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(_unzipped(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
-def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    if not size:
-        return np.zeros(0, np.int64)
-    planes = np.frombuffer(pa.Codec("zstd", 3).decompress(packed, size), np.uint8).reshape(4, -1)
-    return planes.T.copy().view("<u4").ravel().astype(np.int64)
+
+def _by_first_use(numbers: np.ndarray, before: int) -> np.ndarray:
+    """Zero where a word comes first in its run, else its number plus one; words are numbered as they come."""
+    most = np.maximum.accumulate(np.r_[before - 1, numbers])
+    return np.where(numbers > most[:-1], 0, numbers + 1)
+
+
+def _numbers(coded: np.ndarray, before: int) -> np.ndarray:
+    return np.where(coded == 0, before + np.cumsum(coded == 0) - 1, coded - 1)
 
 
 def _check(word: bytes) -> int:
@@ -239,36 +256,77 @@ def _new_words(run, keys, words, numbers, before, new, check) -> pa.RecordBatch:
 
 
 def _positions(run, keys, words, numbers, before, new, check) -> pa.RecordBatch:
-    packed, size = _packed(numbers)
     return pa.record_batch([
-        pa.array([run], pa.int64()), _as_list(keys), _as_list(pa.array(words.astype(np.int32))), pa.array([packed], pa.binary()),
-        pa.array([size], pa.int64()), pa.array([before + len(new)], pa.int64()), pa.array([check], pa.int64())],
-        names=["part", "keys", "words", "numbers", "size", "known", "check"])
+        pa.array([run], pa.int64()), _as_list(keys), _as_list(pa.array(words.astype(np.int32))),
+        pa.array([_packed(_by_first_use(numbers, before))], pa.binary()), pa.array([before], pa.int64()),
+        pa.array([before + len(new)], pa.int64()), pa.array([check], pa.int64())],
+        names=["part", "keys", "words", "numbers", "before", "known", "check"])
+
+
+_SENT = ["numbers", "lengths", "ids", "checks"]
+
+
+def _sent_back(at: list[np.ndarray], codes: list[bytes], width: int) -> pa.RecordBatch:
+    """A row for each run: numbers of words (as differences), how many ids each has, the ids, a check of each word."""
+    at = np.concatenate(at)
+    order = np.argsort(at)
+    at = at[order]
+    begin = np.flatnonzero(np.r_[True, np.diff(at >> _NUMBER) > 0])
+    rows = []
+    for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+        here = [codes[i] for i in order[b:e].tolist()]
+        lengths = np.array([(len(c) - 1) // width for c in here], np.int64)
+        number = at[b:e] & ((1 << _NUMBER) - 1)
+        rows.append((int(at[b]) >> _NUMBER, _packed(np.diff(number, prepend=0)), _packed(lengths),
+                     _zipped(b"".join(c[1:] for c in here)), _zipped(bytes(c[0] for c in here))))
+    columns = list(zip(*rows, strict=True))
+    return pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["run", *_SENT])
 
 
 def encode_words(rows: DataFrame, told, wide: bool = False) -> DataFrame:
-    """(run, number, code) for rows of (at, word): equal words meet in one task, which encodes them once.
+    """Ids for rows of (at, word), packed for each run: equal words meet in one task, which encodes them once.
 
-    ``code``: the ids in two bytes each (four if ``wide``), then a check of the word.
+    An id takes two bytes, four if ``wide``.
     """
-    kind = "I" if wide else "H"
+    kind, width = ("I", 4) if wide else ("H", 2)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, last, last_code = _splitter(told.value), None, None
+        at, codes = [], []
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
             words = coded.dictionary.to_pylist()
             known = bool(words) and words[0] == last  # the words are sorted: only the first can be known
-            codes = [last_code] if known else []
+            found = [last_code] if known else []
             for word, ids in zip(words[known:], splitter.encode(words[known:]), strict=True):
-                codes.append(array.array(kind, ids).tobytes() + bytes([_check(word.encode())]))
+                found.append(bytes([_check(word.encode())]) + array.array(kind, ids).tobytes())
             if words:
-                last, last_code = words[-1], codes[-1]
-            at = batch.column(0).to_numpy()
-            yield pa.record_batch([pa.array(at >> _NUMBER), pa.array((at & ((1 << _NUMBER) - 1)).astype(np.int32)),
-                                   pa.array(codes, pa.binary()).take(coded.indices)], names=["run", "number", "code"])
-
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "run long, number int, code binary")
+                last, last_code = words[-1], found[-1]
+            at.append(batch.column(0).to_numpy())
+            codes += [found[i] for i in coded.indices.to_pylist()]
+            if len(codes) >= _WORDS_SENT:
+                yield _sent_back(at, codes, width)
+                at, codes = [], []
+        if codes:
+            yield _sent_back(at, codes, width)
+
+    schema = "run long, " + ", ".join(f"{c} binary" for c in _SENT)
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(encode, schema)
+
+
+def words_sent(table: pa.Table, wide: bool = False) -> tuple[pa.ListArray, bytes]:
+    """The ids of a run's words in the order of their numbers, and the checks."""
+    rows = table.select(_SENT).to_pylist()
+    gather = lambda parts, kind: np.frombuffer(b"".join(parts), kind)
+    numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpacked(r["numbers"])) for r in rows)])
+    lengths = np.concatenate([np.zeros(0, np.int64), *(_unpacked(r["lengths"]) for r in rows)])
+    ids = gather([_unzipped(r["ids"]) for r in rows], "<u4" if wide else "<u2").astype(np.int32)
+    checks = gather([_unzipped(r["checks"]) for r in rows], np.uint8)
+    order = np.argsort(numbers)
+    if not np.array_equal(numbers[order], np.arange(len(numbers))):
+        raise RuntimeError("the input changed between two readings")
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(ids))
+    return lists.take(pa.array(order)), checks[order].tobytes()
 
 
 def _vocabulary(tokenizer_file: str) -> str:
@@ -282,25 +340,18 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
     told = docs.sparkSession.sparkContext.broadcast((description, Splitter(description).kind))
     wide = max(json.loads(description)["model"]["vocab"].values(), default=0) + len(json.loads(description)["added_tokens"]) > 0xFFFF
     of_run = T.StructType([T.StructField("part", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), *T._parse_datatype_string(
-        "words array<int>, numbers binary, size long, known long, check long").fields])
+        "words array<int>, numbers binary, before long, known long, check long").fields])
     positions = _runs(docs, told, key, text, _positions, of_run)
     codes = encode_words(_runs(docs, told, key, text, _new_words, "at long, word string"), told, wide)
 
     def lay_out(run: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.take(np.argsort(words["number"].to_numpy()))
-        data, offsets = column_bytes(words["code"].combine_chunks() if len(words) else pa.array([], pa.binary()))
-        checks = data[offsets[1:] - 1].tobytes()
-        in_ids = np.ones(len(data), bool)
-        in_ids[offsets[1:] - 1] = False
-        ids = np.frombuffer(data[in_ids].tobytes(), "<u4" if wide else "<u2").astype(np.int32)
-        ends = (offsets - np.arange(len(offsets))) // (4 if wide else 2)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        lists, checks = words_sent(words, wide)
         out = []
         for row in (run.slice(i, 1) for i in range(len(run))):
-            if len(words) < row["known"][0].as_py() or zlib.crc32(checks[: row["known"][0].as_py()]) != row["check"][0].as_py():
+            if len(checks) < row["known"][0].as_py() or zlib.crc32(checks[: row["known"][0].as_py()]) != row["check"][0].as_py():
                 raise RuntimeError("the input changed between two readings")
             keys, sizes = (row[c].combine_chunks().flatten() for c in ("keys", "words"))
-            here = lists.take(pa.array(_unpacked(row["numbers"][0].as_py(), row["size"][0].as_py())))
+            here = lists.take(pa.array(_numbers(_unpacked(row["numbers"][0].as_py()), row["before"][0].as_py())))
             ends = here.offsets.to_numpy()[np.r_[0, np.cumsum(sizes.to_numpy())]]
             out.append(pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), here.flatten())}))
         if not out:
@@ -320,27 +371,34 @@ def pieces(spark, tokenizer_file: str) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(as_bytes(t))) for i, t in names.items()], "id int, piece binary")
 
 
+def _few_tokens(batch: pa.RecordBatch, ids: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``_TOKENS`` ids, or one row."""
+    if batch.num_rows:
+        sizes = pc.fill_null(pc.list_value_length(batch[ids]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(sizes) - sizes) // _TOKENS
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist()
+        for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(b, e - b)
+
+
 def decode(coded: DataFrame, tokenizer_file: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``coded`` with the column ``ids`` replaced by the decoded ``text``."""
     keep = [c for c in coded.columns if c != ids]
     kept = T.StructType([coded.schema[c] for c in keep])
     lists = T.StructType([T.StructField(f"c{i}", T.ArrayType(f.dataType)) for i, f in enumerate(kept.fields)])
-    head = [*lists.names, "sizes", "numbers", "size"]
+    head = [*lists.names, "sizes", "numbers"]
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _few_tokens(whole, ids)):
             listed = batch[ids]
             flat = listed.flatten()
             coded = flat.fill_null(-1).dictionary_encode()
-            packed, size = _packed(coded.indices.to_numpy())
             sizes = pc.fill_null(pc.list_value_length(listed), 0)
-            yield pa.record_batch([*(_as_list(batch[c]) for c in keep), _as_list(sizes), pa.array([packed], pa.binary()), pa.array([size]),
-                                   _as_list(coded.dictionary)], names=[*head, "distinct"])
+            yield pa.record_batch([*(_as_list(batch[c]) for c in keep), _as_list(sizes),
+                                   pa.array([_packed(coded.indices.to_numpy())], pa.binary()), _as_list(coded.dictionary)], names=[*head, "distinct"])
 
     blocks = coded.mapInArrow(by_block, T.StructType([*lists.fields, *T._parse_datatype_string(
-        "sizes array<int>, numbers binary, size long, distinct array<int>").fields]))
+        "sizes array<int>, numbers binary, distinct array<int>").fields]))
     # a block's positions go along with its first id only
     listed = blocks.select(*head, F.posexplode_outer("distinct").alias("pos", "id"))
     first = F.coalesce(F.col("pos") == 0, F.lit(True))
@@ -356,7 +414,7 @@ def decode(coded: DataFrame, tokenizer_file: str, ids: str = "ids", text: str =
             if not np.array_equal(block["pos"].to_numpy(), np.arange(len(block))):
                 raise RuntimeError("the ids of a block did not stay together")
             row = block.slice(0, 1)
-            numbers = _unpacked(row["numbers"][0].as_py(), row["size"][0].as_py())
+            numbers = _unpacked(row["numbers"][0].as_py())
             data, offsets = column_bytes(block["piece"].combine_chunks().cast(pa.large_binary()).take(pa.array(numbers)))
             ends = offsets[np.r_[0, np.cumsum(row["sizes"].combine_chunks().flatten().to_numpy())]].tolist()
             texts = [data[b:e].tobytes().decode(errors="replace") for b, e in zip(ends[:-1], ends[1:], strict=True)]

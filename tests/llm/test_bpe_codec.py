@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from awkward_rows import ROWS
@@ -104,10 +105,13 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
             return [[len(w)] for w in words]
 
     monkeypatch.setattr(bpe_codec, "_splitter", lambda told: Counting())
-    frame = spark.range(30_000).selectExpr("id at", "concat('w', id % 50) word")
-    got = bpe_codec.encode_words(frame, told).collect()
-    assert {(r.number % 50, r.code[0]) for r in got} == {(i, len(f"w{i}")) for i in range(50)}
-    assert len(got) == 30_000 and calls.value == 50
+    monkeypatch.setattr(bpe_codec, "_WORDS_SENT", 1000)
+    frame = spark.range(30_000).selectExpr("(id % 2) * (16777216L) + (id div 2) AS at", "concat('w', (id div 2) % 50) word")
+    got = bpe_codec.encode_words(frame, told).toArrow().to_pylist()
+    for run in (0, 1):
+        lists, checks = bpe_codec.words_sent(pa.Table.from_pylist([r for r in got if r["run"] == run]))
+        assert lists.to_pylist() == [[len(f"w{i % 50}")] for i in range(15_000)] and len(set(checks[:50])) > 10
+    assert calls.value == 50
 
 
 def test_runs_of_many_slices(table, library, monkeypatch):

@@ -115,6 +115,16 @@ def test_groups_keep_to_the_budget(spark):
 
 
 def test_words_that_share_a_hash_are_noticed(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "mixed", lambda z: z & np.uint64(0xFF))
+    real = collocations._Words.__init__
+
+    def few_hashes(self, batch, seed):
+        real(self, batch, seed)
+        self.hash &= np.uint64(0xFF)
+
+    # workers import the class, so what they run is given to them by value
+    class Few(collocations._Words):
+        __init__ = few_hashes
+
+    monkeypatch.setattr(collocations, "_Words", Few)
     t = collocations._texts(frame(spark, [("en", " ".join(f"w{i}" for i in range(600)))] * 3), "text", "lang")
     assert collocations._vocabulary(t, 1, 0).filter("torn").count()
