@@ -221,12 +221,25 @@ class _Streamed(FundViews):
             "recursiveFileLookup", "true").parquet(self.slices)
 
 
+def _deliver(rows: DataFrame, slices: DataFrame, order: tuple[int, ...], root: str, start) -> None:
+    """Bring ``rows`` in slices (a column ``slice`` names each row's), one run of a stream for each entry of ``order``."""
+    for i in order:
+        slices.filter(F.col("slice") == i).drop("slice").write.mode("append").parquet(f"{root}/in/part={i}")
+        stream = rows.sparkSession.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        start(stream).awaitTermination()
+
+
 @query(with_views(V_LOOKUP, P.V_BOARD, body="SELECT * FROM v_board"))
 def streamed_board(v):
-    """Board kept up to date by a stream of lookups; equals the batch board."""
+    """Board kept up to date by lookups that come newest first, one slice twice; equals the batch board."""
     root = workspace(v.spark)
-    jobs.start_board(_Streamed(v, "events", f"{root}/in").lookup(), f"{root}/board", f"{root}/ck").awaitTermination()
-    return jobs.board_table(v.spark, f"{root}/board").read()
+    rows = settle(v.lookup())
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    third = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))) * 3 / (
+        F.unix_micros(F.lit(high).cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp")) + 1)
+    slices = rows.withColumn("slice", F.floor(third).cast("int"))
+    _deliver(rows, slices, (2, 1, 0, 1), root, lambda stream: jobs.start_board(stream, f"{root}/state", f"{root}/ck"))
+    return jobs.stored_board(v.spark, f"{root}/state")
 
 
 @query(with_views(V_EVENT, body="SELECT *, CASE WHEN form = 'N-8F' THEN 'deregistration' ELSE 'merger/reorg' END AS event FROM v_event WHERE form <> '485BPOS'"))
@@ -239,13 +252,20 @@ def streamed_harvest(v):
     return v.spark.read.parquet(f"{root}/events")
 
 
-@query("SELECT user_id AS ticker, '2024-Q1' AS quarter, count(DISTINCT user_id) AS documents FROM events GROUP BY 1")
+@query("""
+SELECT ticker, quarter, epoch_us(filed) AS filed_us, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker, quarter ORDER BY filed, value) AS rk FROM (
+    SELECT user_id AS ticker, ts + to_months(CAST(3 * (event_id % 4) AS INTEGER)) AS filed, year(filed) || '-Q' || quarter(filed) AS quarter, min(value) AS value
+    FROM events GROUP BY 1, 2)) WHERE rk = 1""")
 def streamed_snapshots(v):
+    """First document of each fund and quarter; documents of four quarters come latest quarter first, one slice twice."""
     root = workspace(v.spark)
-    docs = _Streamed(v, "events", f"{root}/in").table("events").select(
-        F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("filed"), quarter_label(F.col("ts")).alias("quarter"), "value")
-    jobs.start_snapshots(docs, f"{root}/docs", f"{root}/ck").awaitTermination()
-    return v.spark.read.parquet(f"{root}/docs").groupBy("ticker", F.col("quarter").cast("string").alias("quarter")).agg(F.count("*").alias("documents"))
+    filed = F.col("ts").cast("timestamp") + F.make_interval(months=(3 * (F.col("event_id") % 4)).cast("int"))
+    docs = v.table("events").select(F.col("user_id").alias("ticker"), filed.alias("filed"), "value")
+    docs = settle(docs.groupBy("ticker", "filed").agg(F.min("value").alias("value")).withColumn("quarter", quarter_label(F.col("filed"))))
+    slices = docs.withColumn("slice", F.pmod(F.floor(F.months_between("filed", F.lit("2020-01-01")) / 3), F.lit(4)).cast("int"))
+    _deliver(docs, slices, (3, 1, 2, 0, 2), root, lambda stream: jobs.start_snapshots(stream, f"{root}/docs", f"{root}/ck"))
+    return jobs.snapshot_table(v.spark, f"{root}/docs").read().select("ticker", "quarter", F.unix_micros("filed").alias("filed_us"), "value")
 
 
 @query(with_views(V_FEE, P.V_LAG, P.V_CHANGE, body="SELECT * FROM v_change"))
@@ -253,10 +273,6 @@ def streamed_fee_changes(v):
     """Fee filings arriving in slices out of order, one slice twice; the changes equal those of one batch."""
     root = workspace(v.spark)
     snaps = settle(v.fee_snapshot())
-    part = F.pmod(F.xxhash64("accession_no"), F.lit(3))
-    for i in (2, 0, 1, 0):
-        name = f"{root}/in/part={i}"
-        snaps.filter(part == i).write.mode("append").parquet(name)
-        stream = v.spark.readStream.schema(snaps.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-        jobs.start_fee_changes(stream, f"{root}/fees", f"{root}/ck").awaitTermination()
+    slices = snaps.withColumn("slice", F.pmod(F.xxhash64("accession_no"), F.lit(3)).cast("int"))
+    _deliver(snaps, slices, (2, 0, 1, 0), root, lambda stream: jobs.start_fee_changes(stream, f"{root}/fees", f"{root}/ck"))
     return jobs.stored_changes(v.spark, f"{root}/fees")

@@ -46,38 +46,59 @@ class Buckets:
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
-def lookup_board(lookups: DataFrame, late: str = "31 days") -> DataFrame:
-    """Streaming board: an event counts once, every fund keeps its latest values and its count.
-
-    Runs in update mode; final rows equal ``ranking.board`` over the same lookups.
-    """
-    ok = lookups.filter(F.col("hidden_low_bps").isNotNull() & F.col("hidden_high_bps").isNotNull())
-    once = ok.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    body = F.struct("hidden_low_bps", "hidden_high_bps", "expense_ratio_bps", "turnover_pct", "dollar_low", "dollar_high", "ts")
-    last = once.groupBy("ticker").agg(
-        F.count("*").alias("lookup_count"), F.max_by(body, F.struct("ts", "event_id")).alias("b")
-    )
-    return board_row(last)
+LOOKUP = ("hidden_low_bps", "hidden_high_bps", "expense_ratio_bps", "turnover_pct", "dollar_low", "dollar_high", "ts")
 
 
 def board_table(spark: SparkSession, root: str) -> Buckets:
-    return Buckets(spark, root, "ticker")
+    """Per fund: the values of its latest lookup, the number of lookups, and the last batch that changed the row."""
+    return Buckets(spark, f"{root}/board", "ticker")
 
 
-def start_board(lookups: DataFrame, root: str, checkpoint: str, late: str = "31 days") -> StreamingQuery:
-    """Keep the board as a table: every batch's changed rows replace the stored ones."""
-    store = board_table(lookups.sparkSession, root)
+def stored_board(spark: SparkSession, root: str) -> DataFrame:
+    return board_row(board_table(spark, root).read())
 
-    def replace(old: DataFrame | None, changed: DataFrame) -> DataFrame:
-        return changed if old is None else old.join(changed.select("ticker"), "ticker", "left_anti").unionByName(changed)
 
-    def upsert(changed: DataFrame, batch: int) -> None:
-        store.merge(changed, replace)
+def start_board(lookups: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the board as a table, for lookups that come in any order, however late, and more than once.
 
-    return (
-        lookup_board(lookups, late).writeStream.outputMode("update").foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    Every event id seen is kept in an index, a folder for each batch, and counts in the batch that brought it first.  A
+    fund's row knows the last batch it has taken in.  A batch that is replayed finds the same new ids and changes no row
+    twice, so nothing is lost or counted again, and no watermark drops a row.
+    """
+    spark = lookups.sparkSession
+    store, index = board_table(spark, root), f"{root}/seen"
+    order = F.struct("ts", "event_id")
+
+    def take_in(batch: int) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+        def combine(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            if old is None:
+                return new
+            before = old.select("ticker", *[F.col(c).alias(f"o_{c}") for c in ("lookup_count", "b", "at", "batch")])
+            both = before.join(new, "ticker", "full_outer")
+            kept = F.col("o_batch").isNotNull() & (F.col("batch").isNull() | (F.col("o_batch") >= batch))
+            later = F.col("o_at").isNotNull() & (F.col("at").isNull() | (F.col("o_at") > F.col("at")))
+            return both.select(
+                "ticker",
+                F.when(kept, F.col("o_lookup_count")).otherwise(F.coalesce("o_lookup_count", F.lit(0)) + F.col("lookup_count")).alias("lookup_count"),
+                F.when(kept | later, F.col("o_b")).otherwise(F.col("b")).alias("b"),
+                F.when(kept | later, F.col("o_at")).otherwise(F.col("at")).alias("at"),
+                F.when(kept, F.col("o_batch")).otherwise(F.col("batch")).alias("batch"))
+        return combine
+
+    def step(rows: DataFrame, batch: int) -> None:
+        ok = rows.filter(F.col("hidden_low_bps").isNotNull() & F.col("hidden_high_bps").isNotNull())
+        fresh = ok.withColumn("ts", F.col("ts").cast("timestamp")).dropDuplicates(["event_id"])
+        if _exists(spark, index):
+            seen = spark.read.parquet(index).filter(F.col("batch") < batch)
+            fresh = fresh.join(seen.select("event_id"), "event_id", "left_anti")
+        fresh = settle(fresh.select("ticker", "event_id", *LOOKUP))
+        fresh.select("event_id", F.lit(batch).alias("batch")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(index)
+        delta = fresh.groupBy("ticker").agg(
+            F.count("*").alias("lookup_count"), F.max_by(F.struct(*LOOKUP), order).alias("b"), F.max(order).alias("at"))
+        store.merge(delta.withColumn("batch", F.lit(batch).cast("long")), take_in(batch))
+
+    return lookups.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def start_harvest(filings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -88,13 +109,29 @@ def start_harvest(filings: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
-def start_snapshots(documents: DataFrame, path: str, checkpoint: str, late: str = "400 days") -> StreamingQuery:
-    """Store each fund once per quarter, at its first arrival (``filed`` is the event time)."""
-    first = documents.withWatermark("filed", late).dropDuplicatesWithinWatermark(["ticker", "quarter"])
-    return (
-        first.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .partitionBy("quarter").trigger(availableNow=True).start()
-    )
+def snapshot_table(spark: SparkSession, root: str) -> Buckets:
+    """The first document of every fund and quarter."""
+    return Buckets(spark, root, "ticker")
+
+
+def start_snapshots(documents: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Store each fund once per quarter: of all documents that have come, the one filed first (``filed``).
+
+    A document that comes late replaces the stored one if it was filed earlier, and is kept if its quarter has none.
+    """
+    store = snapshot_table(documents.sparkSession, root)
+    rest = [c for c in documents.columns if c not in ("ticker", "quarter")]
+    # ties by content, so that the order of arrival does not matter
+    order = F.struct("filed", F.xxhash64(*sorted(rest)))
+
+    def first(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        rows = new if old is None else old.unionByName(new)
+        return rows.groupBy("ticker", "quarter").agg(F.min_by(F.struct(*rest), order).alias("d")).select("ticker", "quarter", "d.*")
+
+    def step(rows: DataFrame, batch: int) -> None:
+        store.merge(rows, first)
+
+    return documents.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def fee_table(spark: SparkSession, root: str, key: str = "class_id") -> Buckets:
