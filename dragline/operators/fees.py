@@ -382,23 +382,25 @@ def match_filings(wanted: DataFrame, header_rows: DataFrame, bodies: DataFrame |
     ``wanted`` is (ticker, class_id, series_id, single_class); ``header_rows`` is the header table with
     ``accession_no`` and ``filing_date``; ``bodies`` is (accession_no, filing_date, html).
     """
-    h = header_rows.select("accession_no", "filing_date", F.col("ticker").alias("_t"), F.col("class_id").alias("_c"),
-                           F.col("series_id").alias("_s"))
-    by = lambda cond, rows, how, on: (
-        wanted.filter(cond).join(rows, on).select("ticker", "accession_no", "filing_date", F.lit(how).alias("how"))
-    )
+    newest = F.min(F.struct((-F.unix_date(F.col("filing_date"))).alias("age"), "accession_no", "filing_date")).alias("b")
+
+    def by(which: Column, rows: DataFrame, value: str, column: str, how: int) -> DataFrame:
+        # one row for each value before it meets the tickers: a word that every filing holds costs one row a task
+        first = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(newest)
+        return wanted.filter(which).join(first, F.col(column) == F.col("_value")).select(
+            "ticker", "b.accession_no", "b.filing_date", F.lit(how).alias("how"))
+
     # inside one filing the kinds of match are alternatives; the newest filing with any of them wins
-    in_header = (
-        by(F.lit(True), h, 1, F.col("ticker") == F.col("_t"))
-        .unionByName(by(F.col("class_id").isNotNull(), h, 2, F.col("class_id") == F.col("_c")))
-        .unionByName(by(F.col("single_class"), h, 3, F.col("series_id") == F.col("_s")))
+    rows = (
+        by(F.lit(True), header_rows.withColumnRenamed("ticker", "_t"), "_t", "ticker", 1)
+        .unionByName(by(F.lit(True), header_rows, "class_id", "class_id", 2))
+        .unionByName(by(F.col("single_class"), header_rows, "series_id", "series_id", 3))
     )
-    rows = in_header
     if bodies is not None:
         # every upper-case word of a body that could be a ticker, once per filing
         tokens = F.array_distinct(F.regexp_extract_all("html", F.lit(r"[A-Z][A-Z0-9]{2,}"), F.lit(0)))
         words = bodies.select("accession_no", "filing_date", F.explode(tokens).alias("_w"))
-        rows = rows.unionByName(by(F.lit(True), words, 4, F.col("ticker") == F.col("_w")))
+        rows = rows.unionByName(by(F.lit(True), words, "_w", "ticker", 4))
     best = F.min(F.struct(
         F.when(F.col("how") == 4, 1).otherwise(0).alias("late"), (-F.unix_date(F.col("filing_date"))).alias("age"),
         "how", "accession_no", "filing_date",

@@ -168,27 +168,39 @@ def triage(inputs: DataFrame, universe: DataFrame, suggestions: DataFrame | None
     )
 
 
+def _grams(text: Column, n: Column | int) -> Column:
+    """All runs of ``n`` letters with the place where each begins; none for a shorter text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.length(text) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.struct(F.substring(text, i, n).alias("gram"), (i - 1).alias("at"))))
+
+
+def alias_index(aliases: DataFrame) -> DataFrame:
+    """Inverted index of pairs and triples of letters: two rows a letter, whatever the length of an alias."""
+    both = F.concat(_grams(F.col("alias"), 2), F.coalesce(_grams(F.col("alias"), 3), F.array().cast("array<struct<gram:string,at:int>>")))
+    return aliases.filter(F.length("alias") >= 2).select("position", "ticker", "name", "alias", F.inline(both))
+
+
 def alias_search(queries: DataFrame, aliases: DataFrame, limit: int = 5) -> DataFrame:
     """Funds whose alias contains the query: early matches first, then short names.
 
-    Each alias is expanded into its substrings (aliases are short, so this is
-    bounded), which turns "contains" into an equi-join.  ``aliases`` is
-    (position, alias, ticker, name); of several matching aliases of a ticker
-    the first in list order counts.
+    A query looks up the rarest of its triples (a query of two letters its pair) and checks its letters around each place
+    found, so "contains" is an equi-join on the shortest posting.  ``aliases`` is (position, alias, ticker, name); of
+    several matching aliases of a ticker the first in list order counts.
     """
-    n = F.length("alias")
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.struct(F.substring(F.col("alias"), i, j - i + 1).alias("q"), (i - 1).alias("at"))),
-    ))
-    index = (
-        aliases.filter(n >= 2).select("position", "ticker", "name", F.explode(spans).alias("s"))
-        .groupBy("position", "ticker", "name", F.col("s.q").alias("query")).agg(F.min("s.at").alias("at"))
-    )
+    index = alias_index(aliases)
     wanted = queries.select(F.upper(F.trim("query")).alias("query")).filter(F.length("query") >= 2).distinct()
-    hits = wanted.join(index, "query").groupBy("query", "ticker").agg(
-        F.min_by(F.struct("at", "position", "name"), "position").alias("b")
-    ).select("query", "ticker", "b.*")
+    asked = wanted.select("query", F.inline(_grams(F.col("query"), F.least(F.length("query"), F.lit(3)))))
+    lengths = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(lengths, "gram", "left").groupBy("query").agg(
+        F.min_by(F.struct("gram", F.col("at").alias("inside")), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("g")
+    ).select("query", "g.gram", "g.inside")
+    begin = F.col("at") - F.col("inside")
+    found = rarest.join(index, "gram").filter(
+        (begin >= 0) & (F.substring(F.col("alias"), begin + 1, F.length("query")) == F.col("query")))
+    # of an alias the first place, of a ticker the first alias
+    hits = found.groupBy("query", "ticker").agg(
+        F.min(F.struct("position", begin.alias("at"), "name")).alias("b")).select("query", "ticker", "b.*")
     w = Window.partitionBy("query").orderBy("at", F.length("name"), "position")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query", "rank", "ticker", "name")
 
