@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dragline.llm.shared import give_back, giving_back
 from dragline.llm.words import column_bytes
 
 _SLICE = 1 << 22  # bytes of text split at once
@@ -247,7 +248,7 @@ def _runs(docs: DataFrame, told, key: str, text: str, make: Callable, schema) ->
             yield make(run, batch.column(0), np.diff(np.searchsorted(begin, offsets)), number[coded.indices.to_numpy()], before, new, check)
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    return rows.mapInArrow(split, schema)
+    return rows.mapInArrow(giving_back(split), schema)
 
 
 def _new_words(run, keys, words, numbers, before, new, check) -> pa.RecordBatch:
@@ -311,7 +312,7 @@ def encode_words(rows: DataFrame, told, wide: bool = False) -> DataFrame:
             yield _sent_back(at, codes, width)
 
     schema = "run long, " + ", ".join(f"{c} binary" for c in _SENT)
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(encode, schema)
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(giving_back(encode), schema)
 
 
 def words_sent(table: pa.Table, wide: bool = False) -> tuple[pa.ListArray, bytes]:
@@ -356,6 +357,8 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
             out.append(pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), here.flatten())}))
         if not out:
             raise RuntimeError("the input changed between two readings")
+        del lists, checks
+        give_back()
         return pa.concat_tables(out)
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -397,7 +400,7 @@ def decode(coded: DataFrame, tokenizer_file: str, ids: str = "ids", text: str =
             yield pa.record_batch([*(_as_list(batch[c]) for c in keep), _as_list(sizes),
                                    pa.array([_packed(coded.indices.to_numpy())], pa.binary()), _as_list(coded.dictionary)], names=[*head, "distinct"])
 
-    blocks = coded.mapInArrow(by_block, T.StructType([*lists.fields, *T._parse_datatype_string(
+    blocks = coded.mapInArrow(giving_back(by_block), T.StructType([*lists.fields, *T._parse_datatype_string(
         "sizes array<int>, numbers binary, distinct array<int>").fields]))
     # a block's positions go along with its first id only
     listed = blocks.select(*head, F.posexplode_outer("distinct").alias("pos", "id"))
@@ -431,4 +434,4 @@ def decode(coded: DataFrame, tokenizer_file: str, ids: str = "ids", text: str =
         if parts:
             yield done()
 
-    return joined.mapInArrow(string_together, T.StructType([*kept.fields, T.StructField(text, T.StringType())]))
+    return joined.mapInArrow(giving_back(string_together), T.StructType([*kept.fields, T.StructField(text, T.StringType())]))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dragline.scale import ensure_checkpoint_dir
 
+_GIVE_BACK = 1 << 26  # bytes made
 POSITION_BITS = 33  # monotonically_increasing_id keeps the place in the partition in its low 33 bits
 
 
@@ -47,6 +50,29 @@ def arrow_batches_of(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back when it has seen them all, and after every large batch it makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+        for out in rows(batches):
+            made += out.nbytes
+            yield out
+            if made > _GIVE_BACK:
+                made = 0
+                give_back()
+        give_back()
+
+    return run
+
+
 def content_keys(key: str, text: str) -> tuple[Column, Column]:
     """Two 64-bit hashes of a row's id and text.
 
