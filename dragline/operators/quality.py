@@ -36,8 +36,8 @@ def caveat_counts(note_rows: DataFrame, members: DataFrame | None = None) -> Dat
     )
 
 
-def stage_ledger(runs: DataFrame) -> DataFrame:
-    """One row per input and stage: ok, degraded, failed or skipped.
+def stage_ledger(runs: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """One row per input (``keys``) and stage: ok, degraded, failed or skipped.
 
     ``runs`` has ticker, resolved, structured, priced, rolled (booleans), fees_found,
     children, child_fee_misses, caveats.  The first stage without a result fails
@@ -61,7 +61,7 @@ def stage_ledger(runs: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.lit(i).alias("position"), F.lit(s).alias("stage"), c.alias("status")) for i, (s, c) in enumerate(rows)]),
         lambda r: r["status"].isNotNull(),
     )
-    return runs.select("ticker", "caveats", F.inline(status))
+    return runs.select(*keys, "caveats", F.inline(status))
 
 
 def verdicts(ledger: DataFrame) -> DataFrame:

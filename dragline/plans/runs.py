@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dragline.functions.expr import quarter_label
 from dragline.operators import costs, holdings, quality
 from dragline.operators.holdings import KEYS
+from dragline.operators.resolve import union_all
 from dragline.plans import funds as P
 from dragline.plans.oracle_views import R, V_EVENT, V_FEE, V_FUND, V_LOOKUP, with_views
 from dragline.scale import settle
@@ -148,17 +149,117 @@ def component_export(v):
     return sinks.component_rows(P._cost(v, by_category), weights.drop("tag"))
 
 
-@query(with_views(*P.COST_VIEWS, body=f"""
-SELECT series_id, period, ticker, CASE WHEN er_bps IS NOT NULL THEN 'reported' END AS er_tag, soft_dollar_tag = 'NOT_DISCLOSED' OR coalesce(soft_dollar_bps > 0, false) AS soft_active, lower(CASE WHEN spread_tag <> 'UNAVAILABLE' THEN spread_tag END) AS spread_tag,
-  {R(f"({P._TOT})", 4)} AS total_reported, coalesce(n_holdings, 0) AS holdings_count FROM v_cost"""))
+_DOCUMENT = (
+    "snapshot_version int, generated string, quarter string, ticker string, excluded_reason string,"
+    " provenance struct<ticker: string, verdict: string, completed: boolean, stages: array<struct<stage: string, status: string>>, quality_notes: array<string>>,"
+    " analysis struct<ticker: string, name: string, fund_family: string, series_id: long, net_assets: double, holdings_count: long,"
+    " costs: struct<expense_ratio_bps: struct<value: double, tag: string>, brokerage_commissions_bps: struct<value: double, tag: string>,"
+    " soft_dollar_arrangements: struct<active: boolean, value_bps: double, tag: string>,"
+    " bid_ask_spread_cost: struct<low_bps: double, high_bps: double, mid_bps: double, tag: string>,"
+    " market_impact_cost: struct<low_bps: double, high_bps: double, mid_bps: double, tag: string>,"
+    " total_reported_bps: double, total_estimated_low_bps: double, total_estimated_high_bps: double>,"
+    " children: array<struct<ticker: string, weight: double>>>")
+
+
+def _quarter() -> Column:
+    return F.concat(F.col("period").cast("string"), F.lit("-Q4")).alias("quarter")
+
+
+def _documents(v: FundViews) -> DataFrame:
+    """Documents of all fund-periods: priced needs a census or holdings, the roll-up a known total."""
+    cost = settle(costs.with_totals(P._cost(v)))
+    sums, header = P._fund_sums(v)
+    kind = P.structure.structure_class(header, sums)
+    open_ends = sums.groupBy(*KEYS).agg(F.sum(F.when(F.col("child").isNull(), F.col("positions")).otherwise(0)).alias("unresolved"))
+    inputs = cost.select(*KEYS, "ticker", "has_census", "has_holdings").join(kind.select(*KEYS, "structure"), list(KEYS), "left").join(
+        open_ends, list(KEYS), "left").withColumn("missing_children", F.lit(0))
+    noted = settle(quality.notes(inputs).select("ticker", _quarter(), "note"))
+    caveats = noted.groupBy("ticker", "quarter").agg(F.count("*").cast("int").alias("caveats"))
+    yes = F.lit(True)
+    runs = cost.select(
+        "ticker", _quarter(), yes.alias("resolved"), (F.col("has_census") | F.col("has_holdings")).alias("structured"),
+        F.col("net_assets").isNotNull().alias("priced"), F.col("total_reported_bps").isNotNull().alias("rolled"),
+        F.col("er_bps").isNotNull().alias("fees_found"), F.lit(0).alias("children"), F.lit(0).alias("child_fee_misses"),
+    ).join(caveats, ["ticker", "quarter"], "left").fillna(0, ["caveats"])
+    ledger = quality.stage_ledger(runs, ("ticker", "quarter"))
+    child = cost.select(F.col("series_id").alias("child"), "period", F.col("ticker").alias("child_ticker"))
+    parent = cost.select(F.col("series_id").alias("parent"), "period", "ticker")
+    below = settle(P.structure.edges(sums, header)).join(child, ["child", "period"]).join(parent, ["parent", "period"]).select(
+        "ticker", _quarter(), "child_ticker", F.round("weight", 8).cast("double").alias("weight"))
+    analyses = sinks.document(cost).select("ticker", _quarter(), "analysis")
+    return sinks.snapshot_documents(cost.select("ticker", _quarter()), ledger, noted, below, analyses, F.lit("2026-10-01"))
+
+
+def _tagged_sql(low: str, high: str, tag: str, name: str) -> str:
+    on = f"{tag} <> 'UNAVAILABLE' AND {low} IS NOT NULL AND done"
+    return (f"CASE WHEN {on} THEN {low} END AS {name}_low, CASE WHEN {on} THEN {high} END AS {name}_high,"
+            f" CASE WHEN {on} THEN {R(f'({low} + {high}) / 2', 4)} END AS {name}_mid, CASE WHEN {on} THEN lower({tag}) END AS {name}_tag")
+
+
+_V_SNAP = f"""
+v_snap0 AS (SELECT c.*, {P._TOT} AS total FROM v_cost c),
+v_stages AS (SELECT *, CASE WHEN NOT (has_census OR has_holdings) THEN 1 WHEN net_assets IS NULL THEN 2 WHEN total IS NULL THEN 3 END AS failed FROM v_snap0),
+v_noted AS (SELECT ticker, period, string_agg(note, '; ' ORDER BY note) AS notes FROM v_notes GROUP BY 1, 2),
+v_refs AS (SELECT parent, e.period, string_agg('FND' || child, ',' ORDER BY 'FND' || child) AS refs FROM v_edge e JOIN v_cost c ON c.series_id = child AND c.period = e.period GROUP BY 1, 2),
+v_snap1 AS (SELECT s.*, coalesce(n.notes, '') AS notes, coalesce(r.refs, '') AS refs, failed IS NULL AS done,
+    CASE failed WHEN 1 THEN 'Holdings: no result' WHEN 2 THEN 'Cost model: no result' WHEN 3 THEN 'Roll-up: no result' END AS reason
+  FROM v_stages s LEFT JOIN v_noted n ON n.ticker = s.ticker AND n.period = s.period LEFT JOIN v_refs r ON r.parent = s.series_id AND r.period = s.period)"""
+
+
+@query(with_views(*P.COST_VIEWS, P.V_FUNDPOS, _NOTES, _V_SNAP, body=f"""
+SELECT 1 AS snapshot_version, '2026-10-01' AS generated, period || '-Q4' AS quarter, ticker, reason AS excluded_reason, done AS completed,
+  CASE WHEN NOT done THEN 'EXCLUDED: ' || reason WHEN notes <> '' THEN 'COMPLETE WITH CAVEATS' ELSE 'COMPLETE' END AS verdict, notes AS quality_notes,
+  'resolve:ok|structure:' || CASE WHEN failed = 1 THEN 'failed' ELSE 'ok' END || '|costs:' || CASE WHEN failed < 2 THEN 'skipped' WHEN failed = 2 THEN 'failed' WHEN done AND notes <> '' THEN 'degraded' ELSE 'ok' END
+    || '|rollup:' || CASE WHEN failed < 3 THEN 'skipped' WHEN failed = 3 THEN 'failed' ELSE 'ok' END || CASE WHEN done THEN '|fees:' || CASE WHEN er_bps IS NULL THEN 'degraded' ELSE 'ok' END ELSE '' END AS stages,
+  CASE WHEN done THEN fund_name END AS name, CASE WHEN done THEN family END AS fund_family, CASE WHEN done THEN series_id END AS series_id,
+  CASE WHEN done THEN {R('net_assets')} END AS net_assets, CASE WHEN done THEN coalesce(n_holdings, 0) END AS holdings_count,
+  CASE WHEN done THEN er_bps END AS er_bps, CASE WHEN done AND er_bps IS NOT NULL THEN 'reported' END AS er_tag,
+  CASE WHEN done THEN brokerage_bps END AS brokerage_bps, CASE WHEN done AND brokerage_bps IS NOT NULL THEN lower(brokerage_tag) END AS brokerage_tag,
+  CASE WHEN done AND soft_dollar_tag IS NOT NULL THEN soft_dollar_tag = 'NOT_DISCLOSED' OR coalesce(soft_dollar_bps > 0, false) END AS soft_active,
+  CASE WHEN done AND soft_dollar_tag IS NOT NULL THEN soft_dollar_bps END AS soft_bps, CASE WHEN done THEN lower(soft_dollar_tag) END AS soft_tag,
+  {_tagged_sql('spread_low_bps', 'spread_high_bps', 'spread_tag', 'spread')}, {_tagged_sql('impact_low_bps', 'impact_high_bps', 'impact_tag', 'impact')},
+  CASE WHEN done THEN {R('total', 4)} END AS total_reported, CASE WHEN done THEN {R('total + coalesce(spread_low_bps, 0) + coalesce(impact_low_bps, 0)', 4)} END AS total_low,
+  CASE WHEN done THEN {R('total + coalesce(spread_high_bps, 0) + coalesce(impact_high_bps, 0)', 4)} END AS total_high, CASE WHEN done THEN refs END AS children
+FROM v_snap1"""))
 def snapshot_documents(v):
-    """Nested JSON documents, written to text and read back."""
-    docs = sinks.as_json(sinks.document(costs.with_totals(P._cost(v))))
-    schema = "holdings_count long, costs struct<expense_ratio_bps: struct<tag: string>, soft_dollar_arrangements: struct<active: boolean>, bid_ask_spread_cost: struct<tag: string>, total_reported_bps: double>"
-    return docs.select(*KEYS, "ticker", F.from_json("json", schema).alias("d")).select(
-        *KEYS, "ticker", F.col("d.costs.expense_ratio_bps.tag").alias("er_tag"), F.col("d.costs.soft_dollar_arrangements.active").alias("soft_active"),
-        F.col("d.costs.bid_ask_spread_cost.tag").alias("spread_tag"), F.col("d.costs.total_reported_bps").alias("total_reported"), "d.holdings_count",
-    )
+    """Documents of all funds and periods, written with their manifest, read back, every field taken out again."""
+    root = workspace(v.spark)
+    sinks.write_documents(_documents(v), root)
+    docs, _ = sinks.read_snapshots(v.spark, root, _DOCUMENT)
+    p, a, c = F.col("provenance"), F.col("analysis"), F.col("analysis.costs")
+    of = lambda component, name: [c[component][f"{k}_bps"].alias(f"{name}_{k}") for k in ("low", "high", "mid")] + [c[component]["tag"].alias(f"{name}_tag")]
+    return docs.select(
+        "snapshot_version", "generated", "quarter", "ticker", "excluded_reason", p["completed"].alias("completed"), p["verdict"].alias("verdict"),
+        F.array_join(p["quality_notes"], "; ").alias("quality_notes"),
+        F.array_join(F.transform(p["stages"], lambda x: F.concat(x["stage"], F.lit(":"), x["status"])), "|").alias("stages"),
+        *[a[x].alias(x) for x in ("name", "fund_family", "series_id", "net_assets", "holdings_count")],
+        c["expense_ratio_bps"]["value"].alias("er_bps"), c["expense_ratio_bps"]["tag"].alias("er_tag"),
+        c["brokerage_commissions_bps"]["value"].alias("brokerage_bps"), c["brokerage_commissions_bps"]["tag"].alias("brokerage_tag"),
+        c["soft_dollar_arrangements"]["active"].alias("soft_active"), c["soft_dollar_arrangements"]["value_bps"].alias("soft_bps"),
+        c["soft_dollar_arrangements"]["tag"].alias("soft_tag"), *of("bid_ask_spread_cost", "spread"), *of("market_impact_cost", "impact"),
+        c["total_reported_bps"].alias("total_reported"), c["total_estimated_low_bps"].alias("total_low"), c["total_estimated_high_bps"].alias("total_high"),
+        F.array_join(F.transform(a["children"], lambda x: x["ticker"]), ",").alias("children"))
+
+
+@query("""
+SELECT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, count(*) FILTER (o_orderpriority <> '5-LOW' AND o_orderpriority <> '3-MEDIUM') AS documents,
+  count(*) FILTER (o_orderpriority IN ('5-LOW', '3-MEDIUM')) AS bad, CAST(sum(CASE WHEN o_orderpriority NOT IN ('5-LOW', '3-MEDIUM') THEN o_orderkey END) AS BIGINT) AS keys
+FROM orders WHERE o_orderdate < DATE '1996-01-01' GROUP BY 1""")
+def snapshot_read(v):
+    """Stored documents read back: torn lines and manifests among them are set aside, unfinished quarters are not read."""
+    root = workspace(v.spark)
+    o = v.table("orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderdate", quarter_label(F.col("o_orderdate")).alias("quarter"))
+    whole = F.to_json(F.struct(F.lit(1).alias("snapshot_version"), "quarter", F.col("o_orderkey").cast("string").alias("ticker")))
+    manifest = F.to_json(F.struct("quarter", F.lit(3).alias("documents")))
+    line = F.when(F.col("o_orderpriority") == "5-LOW", F.substring(whole, 1, 25)).when(F.col("o_orderpriority") == "3-MEDIUM", manifest).otherwise(whole)
+    o.select("quarter", line.alias("value")).write.partitionBy("quarter").text(f"{root}/documents")
+    finished = o.filter(F.to_date("o_orderdate") < F.lit("1996-01-01").cast("date"))
+    sinks.write_manifest(finished.select("quarter", line.alias("value")), root)
+    good, bad = sinks.read_snapshots(v.spark, root, "snapshot_version int, quarter string, ticker string")
+    kinds = good.select("quarter", F.col("ticker").cast("long").alias("key"), F.lit(1).alias("good")).unionByName(
+        bad.select("quarter", F.lit(None).cast("long").alias("key"), F.lit(0).alias("good")))
+    return kinds.groupBy("quarter").agg(F.count(F.when(F.col("good") == 1, 1)).alias("documents"), F.count(F.when(F.col("good") == 0, 1)).alias("bad"), F.sum("key").alias("keys"))
 
 
 @query(with_views(*P.HOLD, P.V_FUNDPOS, body=f"SELECT parent AS series_id, v_edge.period, 'FND' || child AS child_ticker, CAST(round(weight, 8) AS DOUBLE) AS weight FROM v_edge JOIN v_header h ON h.series_id = child AND h.period = v_edge.period"))
@@ -167,16 +268,19 @@ def snapshot_children(v):
     return sinks.with_children(h, P._edges(v))
 
 
-@query(with_views(V_FUND, body="SELECT outcome, run, count(*) AS funds FROM (SELECT 'written' AS outcome, 1 AS run FROM v_fund WHERE has_nport UNION ALL SELECT CASE WHEN has_nport THEN 'skipped' ELSE 'written' END, 2 FROM v_fund UNION ALL SELECT 'skipped', 3 FROM v_fund) q GROUP BY 1, 2"))
+@query(with_views(*P.COST_VIEWS, P.V_FUNDPOS, _NOTES, _V_SNAP, body="""
+SELECT run, outcome, count(*) AS documents FROM (
+  SELECT 1 AS run, CASE WHEN NOT done THEN 'excluded' WHEN notes <> '' THEN 'complete_with_caveats' ELSE 'complete' END AS outcome FROM v_snap1 WHERE has_holdings
+  UNION ALL SELECT 2, CASE WHEN has_holdings THEN 'skipped' WHEN NOT done THEN 'excluded' WHEN notes <> '' THEN 'complete_with_caveats' ELSE 'complete' END FROM v_snap1
+  UNION ALL SELECT 3, 'skipped' FROM v_snap1 UNION ALL SELECT 4, CASE WHEN NOT done THEN 'excluded' WHEN notes <> '' THEN 'complete_with_caveats' ELSE 'complete' END FROM v_snap1) GROUP BY 1, 2"""))
 def snapshot_resume(v):
-    """Three runs into one folder: part of the funds, all of them, all again."""
-    root = workspace(v.spark) + "/snapshots"
-    f = v.fund().select("ticker", "fund_name", "has_nport")
-    runs = [
-        sinks.write_snapshots(part, root, "2026-Q3").withColumn("run", F.lit(i))
-        for i, part in enumerate((f.filter("has_nport"), f, f), 1)
-    ]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2]).groupBy("outcome", "run").agg(F.count("*").alias("funds"))
+    """Four runs into one folder: funds with holdings, all of them, all again, all by force."""
+    root = workspace(v.spark)
+    docs = settle(_documents(v))
+    held = docs.filter(~F.array_contains("document.provenance.quality_notes", "holdings filing not found"))
+    runs = [sinks.write_documents(part, root, force).withColumn("run", F.lit(i))
+            for i, (part, force) in enumerate(((held, False), (docs, False), (docs, False), (docs, True)), 1)]
+    return union_all(runs).groupBy("run", "outcome").agg(F.count("*").alias("documents"))
 
 
 @query(with_views(V_FUND, body="SELECT * FROM (SELECT ticker, family, row_number() OVER (PARTITION BY ticker ORDER BY s_suppkey DESC) AS rn, s_acctbal AS hidden_cost_mid_bps FROM v_fund JOIN supplier ON s_suppkey = series_id) q WHERE rn = 1").replace("SELECT * FROM (SELECT ticker, family,", "SELECT ticker, hidden_cost_mid_bps FROM (SELECT family AS ticker,").replace("PARTITION BY ticker ORDER", "PARTITION BY family ORDER").replace("ON s_suppkey = series_id)", "ON s_suppkey = series_id WHERE s_acctbal > 100)"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dragline.functions.expr import CALCULATED, ESTIMATED, NOT_DISCLOSED, UNAVAILABLE, rnd
 from dragline.operators.history import fund_events
 from dragline.operators.holdings import KEYS
+from dragline.scale import settle
 
 SNAPSHOT_VERSION = 1
 
@@ -70,6 +71,104 @@ def as_json(documents: DataFrame) -> DataFrame:
     return documents.select(*KEYS, "ticker", F.to_json("analysis").alias("json"))
 
 
+UNIT = ("ticker", "quarter")
+STAGE_LABELS = {"resolve": "Fund identity", "structure": "Holdings", "costs": "Cost model", "rollup": "Roll-up", "fees": "Fees"}
+
+
+def snapshot_documents(units: DataFrame, ledger: DataFrame, notes: DataFrame, children: DataFrame, analyses: DataFrame, generated: Column) -> DataFrame:
+    """(ticker, quarter, document): what a run says about every fund, those that it excludes included.
+
+    ``units`` names the funds of the run; ``ledger`` is (ticker, quarter, position, stage, status), ``notes`` (.., note),
+    ``children`` (.., child_ticker, weight), ``analyses`` (.., analysis).  A document refers to its direct children; who
+    walks the tree reads one level after the other.  A fund whose run failed has no analysis but a reason.
+    """
+    unit = list(UNIT)
+    stage = F.struct("position", "stage", "status")
+    stages = ledger.groupBy(*unit).agg(F.array_sort(F.collect_list(stage)).alias("_stages"))
+    noted = notes.groupBy(*unit).agg(F.array_sort(F.collect_list("note")).alias("quality_notes"))
+    below = children.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct(F.col("child_ticker").alias("ticker"), "weight"))).alias("children"))
+    rows = units.join(stages, unit, "left").join(noted, unit, "left").join(below, unit, "left").join(analyses, unit, "left")
+    failed = F.get(F.filter("_stages", lambda x: x["status"] == "failed"), 0)["stage"]
+    completed = F.col("_stages").isNotNull() & failed.isNull()
+    note_list = F.coalesce("quality_notes", F.array().cast("array<string>"))
+    label = F.coalesce(*[F.when(failed == k, F.lit(x)) for k, x in STAGE_LABELS.items()])
+    reason = F.when(F.col("_stages").isNull(), "no run").otherwise(F.concat(label, F.lit(": no result")))
+    verdict = F.when(~completed, F.concat(F.lit("EXCLUDED: "), reason)).when(F.size(note_list) > 0, "COMPLETE WITH CAVEATS").otherwise("COMPLETE")
+    document = F.struct(
+        F.lit(SNAPSHOT_VERSION).alias("snapshot_version"), generated.alias("generated"), "quarter", "ticker",
+        F.struct(
+            "ticker", verdict.alias("verdict"), completed.alias("completed"),
+            F.transform(F.coalesce("_stages", F.array().cast("array<struct<position:int,stage:string,status:string>>")),
+                        lambda x: F.struct(x["stage"].alias("stage"), x["status"].alias("status"))).alias("stages"),
+            note_list.alias("quality_notes"),
+        ).alias("provenance"),
+        F.when(completed, F.struct("analysis.*", F.coalesce("children", F.array().cast("array<struct<ticker:string,weight:double>>")).alias("children")))
+        .alias("analysis"),
+        F.when(~completed, reason).alias("excluded_reason"),
+    )
+    return rows.select(*unit, document.alias("document"))
+
+
+def _outcome() -> Column:
+    verdict = F.col("document.provenance.verdict")
+    return F.when(verdict.startswith("EXCLUDED"), "excluded").when(verdict == "COMPLETE", "complete").otherwise("complete_with_caveats")
+
+
+def write_documents(documents: DataFrame, root: str, force: bool = False) -> DataFrame:
+    """Write one JSON document a line below ``root/documents/quarter=..``, then the manifest of the quarters written.
+
+    Funds that stand in a quarter already are skipped unless forced.  The manifest comes last, so a quarter without one
+    was not finished, and a run after a failure adds what is missing.  Returns (ticker, quarter, outcome).
+    """
+    spark = documents.sparkSession
+    place = f"{root}/documents"
+    outcome = documents.select(*UNIT, _outcome().alias("outcome"), F.to_json("document").alias("value"))
+    if not force and _there(spark, place):
+        present = _stored_lines(spark, place).select(F.get_json_object("value", "$.ticker").alias("ticker"), "quarter").distinct()
+        outcome = outcome.join(present.withColumn("_present", F.lit(True)), list(UNIT), "left").withColumn(
+            "outcome", F.when(F.col("_present"), "skipped").otherwise(F.col("outcome"))).drop("_present")
+    outcome = settle(outcome)  # must not change once the write has added files
+    mode = "overwrite" if force else "append"
+    outcome.filter("outcome <> 'skipped'").select("quarter", "value").write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").partitionBy("quarter").text(place)
+    quarters = outcome.select("quarter").distinct()
+    write_manifest(_stored_lines(spark, place).join(quarters, "quarter", "left_semi"), root)
+    return outcome.drop("value")
+
+
+def write_manifest(lines: DataFrame, root: str) -> None:
+    """One JSON line for each quarter: how many of its documents are complete, with caveats, or excluded."""
+    verdict = F.get_json_object("value", "$.provenance.verdict")
+    kind = F.when(verdict.startswith("EXCLUDED"), "excluded").when(verdict == "COMPLETE", "complete").otherwise("caveats")
+    counts = lines.groupBy("quarter").agg(
+        F.count("*").alias("documents"), *[F.count(F.when(kind == k, 1)).alias(k) for k in ("complete", "caveats", "excluded")])
+    body = F.to_json(F.struct(F.lit(SNAPSHOT_VERSION).alias("snapshot_version"), "quarter", "documents", "complete", "caveats", "excluded"))
+    counts.select("quarter", body.alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("quarter").text(f"{root}/manifest")
+
+
+def _there(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)  # noqa: SLF001 - the only way to ask a Hadoop file system from Python
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # noqa: SLF001
+
+
+def _stored_lines(spark: SparkSession, place: str) -> DataFrame:
+    return spark.read.schema("value string, quarter string").text(place)
+
+
+def read_snapshots(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, bad lines) of the quarters that have a manifest.
+
+    ``schema`` describes a document.  A line that is no JSON document, or has no ticker, goes to the bad lines as it is.
+    """
+    done = spark.read.schema("value string, quarter string").text(f"{root}/manifest").select("quarter").distinct()
+    lines = _stored_lines(spark, f"{root}/documents").join(done, "quarter", "left_semi")
+    read = lines.select("quarter", "value", F.from_json(
+        "value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    good = F.col("d._corrupt").isNull() & F.col("d.ticker").isNotNull()
+    return read.filter(good).select("d.*").drop("_corrupt"), read.filter(~F.coalesce(good, F.lit(False))).select("quarter", "value")
+
+
 def write_snapshots(docs: DataFrame, root: str, quarter: str, force: bool = False) -> DataFrame:
     """Write one record per fund under its quarter; funds already there are skipped unless forced.
 
@@ -87,8 +186,6 @@ def write_snapshots(docs: DataFrame, root: str, quarter: str, force: bool = Fals
             "ticker", F.when(F.col("_p"), "skipped").otherwise("written").alias("outcome")
         )
     # the outcome must not change once the write has added files
-    from dragline.scale import settle
-
     outcome = settle(outcome)
     mode = "overwrite" if force else "append"
     writer = todo.write.mode(mode).partitionBy("quarter")
@@ -99,9 +196,7 @@ def write_snapshots(docs: DataFrame, root: str, quarter: str, force: bool = Fals
 
 
 def existing_tickers(spark: SparkSession, root: str, quarter: str) -> DataFrame | None:
-    jvm = spark._jvm  # noqa: SLF001 - the only way to ask a Hadoop file system from Python
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/quarter={quarter}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # noqa: SLF001
+    if not _there(spark, f"{root}/quarter={quarter}"):
         return None
     return spark.read.parquet(f"{root}/quarter={quarter}").select("ticker").distinct()
 
