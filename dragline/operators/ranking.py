@@ -61,8 +61,9 @@ def board_row(last: DataFrame) -> DataFrame:
 
 
 def board_query(b: DataFrame, sort_by: str = "hidden_cost_mid_bps", limit: int = 25) -> DataFrame:
-    if sort_by not in BOARD_SORTS:
-        raise ValueError(f"cannot sort the board by {sort_by!r}")
+    """The first rows of the board; a sort field that the board does not know, or does not store, means ``lookup_count``."""
+    if sort_by not in BOARD_SORTS or sort_by not in b.columns:
+        sort_by = "lookup_count"
     key = F.col(sort_by).desc_nulls_last()  # grades: F is worst and sorts first
     return b.orderBy(key, F.col("ticker")).limit(limit)
 

@@ -392,6 +392,19 @@ def cusip_classes(v):
     return _cusips(v).select("cusip", "ticker", "id.series_id")
 
 
+_TICKER_NAME = ("CASE l_linenumber WHEN 1 THEN p_name || ' (' || upper(substr(replace(p_name, ' ', ''), 1, 4)) || 'X)' WHEN 2 THEN p_name || ' (' || upper(substr(replace(p_name, ' ', ''), 1, 2)) || 'X)'"
+                " WHEN 3 THEN '(FUNDX) ' || p_name || ' (LATERX)' WHEN 4 THEN p_name || ' (' || upper(substr(replace(p_name, ' ', ''), 1, 6)) || 'X)' WHEN 5 THEN p_name || ' (abcdx)' WHEN 6 THEN p_name || ' [ABCDX]' ELSE p_name || ' (ABCDY)' END")
+
+
+@query(f"""
+SELECT name, nullif(regexp_extract(name, '\\(([A-Z]{{3,5}}X)\\)', 1), '') AS ticker, count(*) AS positions
+FROM (SELECT {_TICKER_NAME} AS name FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY ALL""")
+def embedded_tickers(v):
+    """Tickers that stand in brackets in a position's name; too short, too long, small letters and other brackets do not count."""
+    rows = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.expr(_TICKER_NAME).alias("name"))
+    return rows.groupBy("name").agg(F.count("*").alias("positions")).select("name", N.embedded_ticker(F.col("name")).alias("ticker"), "positions")
+
+
 def _messy_name():
     """A reported position name around the fund's own name."""
     return ("case l_linenumber when 1 then concat('Fund ', s_name, ' - Investor Shares') when 2 then concat('Some Trust: ', s_name) when 3 then concat(s_name, '; SL Agency Shares')"

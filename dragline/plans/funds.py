@@ -624,6 +624,12 @@ def board_query_grade(v):
     return ranking.board_query(ranking.board(v.lookup()), "grade", 25)
 
 
+@query(with_views(V_LOOKUP, V_BOARD, body="SELECT * FROM v_board ORDER BY lookup_count DESC, ticker LIMIT 25"))
+def board_query_unknown_sort(v):
+    """A field that is no sort field is taken as the number of lookups."""
+    return ranking.board_query(ranking.board(v.lookup()), "ticker; DROP", 25)
+
+
 @query(with_views(V_LOOKUP, V_BOARD, body="SELECT * FROM v_board"))
 def board_capped(v):
     """The whole board: it has no cap, only its queries take the top."""
@@ -862,7 +868,7 @@ def _ticker_cost(v):
 
 
 def _lines(v):
-    c = portfolio.collapse(v.position())
+    c = settle(portfolio.collapse(v.position()))
     return portfolio.priced(c, portfolio.validation(c), _ticker_cost(v))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dragline.functions.expr import money
@@ -226,12 +226,13 @@ class FundViews:
 
     def position(self) -> DataFrame:
         li = self.table("lineitem")
-        totals = li.groupBy("l_orderkey").agg(F.sum(money("l_quantity")).alias("_total"))
+        # an order is a portfolio of a few lines
+        total = F.sum(money("l_quantity")).over(Window.partitionBy("l_orderkey"))
         blank = (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7)
         ticker = F.concat(F.lit("FND"), F.col("l_suppkey").cast("string"))
         scale = 1 + ((F.col("l_orderkey") % 7) - 3) * 0.9 / 100
         return (
-            li.join(totals, "l_orderkey")
+            li.withColumn("_total", total)
             .select(
                 F.col("l_orderkey").alias("portfolio"),
                 F.when(blank, " ").when(F.col("l_returnflag") == "R", F.concat(F.lit(" "), F.lower(ticker)))
