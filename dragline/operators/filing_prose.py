@@ -7,7 +7,7 @@ rows of one document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dragline.functions import text as X
@@ -113,14 +113,10 @@ def _has_any(text: Column, words: tuple[str, ...]) -> Column:
     return F.lower(text).rlike("|".join(w.replace("(", r"\(").replace(")", r"\)") for w in words))
 
 
-def _tables(docs: DataFrame, key: str, part: Column) -> DataFrame:
-    """(key, table number, rows of cells) for the tables of a section that have at least two rows.
-
-    Arrays are cut down before they are exploded: a filter behind the generator
-    would be pushed below it and parse every document twice.
-    """
+def _tables(part: Column) -> Column:
+    """Rows of cells of the tables of a section that have at least two rows, in order."""
     parsed = F.transform(X.tables(part), lambda t: F.transform(X.table_rows(t), lambda r: X.row_cells(r)))
-    return docs.select(key, F.posexplode(F.filter(parsed, lambda rows: F.size(rows) >= 2)).alias("table", "rows"))
+    return F.filter(parsed, lambda rows: F.size(rows) >= 2)
 
 
 def _amount(c: Column, report: bool) -> Column:
@@ -134,88 +130,87 @@ def _amount(c: Column, report: bool) -> Column:
     return let(F.trim(F.translate(c, "$, ", "")).try_cast("double"), keep)
 
 
-def commission_tables(docs: DataFrame, key: str, part: Column, report: bool = False) -> DataFrame:
-    """Commissions by fund and year from year-column tables of a section.
+_PLACE = 1 << 20  # rows of a table, in the number that orders rows
+_FOUND = "array<struct<fund_name:string,year:int,amount:double,at:bigint>>"
+
+
+def _joined(tables: Column, rows_of) -> Column:
+    return F.flatten(F.transform(tables, lambda t, n: let(t, lambda rows: rows_of(rows, n)).cast(_FOUND)))
+
+
+def _year_columns(rows: Column, table: Column, report: bool) -> Column:
+    """(fund_name, year, amount, at) of a table with a column for each year.
 
     Years come from the rows above the first one with a dollar amount, newest first, and are paired with the amounts of
     each row in order.
     """
-    rows = _tables(docs, key, part)
-    paid = F.transform("rows", lambda r: F.exists(r, lambda c: _amount(c, report).isNotNull()))
-    first = F.array_position(paid, F.lit(True))
-    heads = F.slice("rows", F.lit(1), F.when(first > 0, first - 1).otherwise(F.size("rows")).cast("int"))
-    years = F.sort_array(F.array_distinct(F.filter(
-        F.transform(F.flatten(heads), lambda c: F.regexp_extract(c, r"20\d{2}", 0).try_cast("int")),
-        lambda y: y.isNotNull())), asc=False)
-    data = rows.withColumn("years", years).select(
-        key, "table", "years", F.posexplode(F.when(F.size("years") > 0, F.col("rows"))).alias("row", "cells")
-    )
-    name = F.get("cells", F.lit(0))
     skip = REPORT_SKIP if report else COMMISSION_SKIP
-    amounts = F.filter(
-        F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: _amount(c, report)),
-        lambda v: v.isNotNull(),
-    )
-    kept = data.filter(
-        (F.coalesce(name, F.lit("")) != "") & ~name.rlike(r"^[\$\d,\.\s]+$") & ~_has_any(name, skip)
-    ).select(key, "table", "row", name.alias("fund_name"), "years", amounts.alias("amounts"))
-    return kept.select(
-        key, "table", "row", "fund_name",
-        F.explode(F.slice(F.arrays_zip("years", "amounts"), 1, F.least(F.size("years"), F.size("amounts")))).alias("z"),
-    ).select(key, "table", "row", "fund_name", F.col("z.years").alias("year"), F.col("z.amounts").alias("amount"))
+    first = F.array_position(F.transform(rows, lambda r: F.exists(r, lambda c: _amount(c, report).isNotNull())), F.lit(True))
+    heads = F.slice(rows, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(rows)).cast("int"))
+    years = F.sort_array(F.array_distinct(F.filter(
+        F.transform(F.flatten(heads), lambda c: F.regexp_extract(c, r"20\d{2}", 0).try_cast("int")), lambda y: y.isNotNull())), asc=False)
+
+    def paired(cells: Column, at: Column, years: Column) -> Column:
+        name = F.coalesce(F.get(cells, F.lit(0)), F.lit(""))
+        amounts = F.filter(F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: _amount(c, report)),
+                           lambda v: v.isNotNull())
+        named = (name != "") & ~name.rlike(r"^[\$\d,\.\s]+$") & ~_has_any(name, skip)
+        pairs = let(amounts, lambda a: F.transform(
+            F.slice(years, F.lit(1), F.least(F.size(years), F.size(a))), lambda y, i: F.struct(
+                name.alias("fund_name"), y.alias("year"), F.get(a, i).alias("amount"), (table * _PLACE + at).cast("bigint").alias("at"))))
+        return F.when(named, pairs)
+
+    return let(years, lambda ys: F.flatten(F.filter(
+        F.transform(rows, lambda cells, at: paired(cells, at, ys)), lambda x: x.isNotNull())))
 
 
-def broker_rows(docs: DataFrame, key: str, part: Column) -> DataFrame:
-    """Commissions by fund and year from tables with one row per fund, year and broker.
+def _broker_rows(rows: Column, table: Column) -> Column:
+    """(fund_name, year, amount, at) of a table with one row per fund, year and broker.
 
-    Fund and year are written once and hold for the rows below them.
+    Fund and year are written once and hold for the rows below them, so the rows are folded from top to bottom.
     """
-    rows = _tables(docs, key, part).select(key, "table", F.posexplode("rows").alias("row", "cells")).filter(
-        (F.col("row") > 0) & (F.size("cells") >= 3)
-    )
-    first = F.trim(F.get("cells", F.lit(0)))
-    named = (F.length(first) > 5) & ~first.rlike(r"^[\d\$%,.\s\-]+$") & ~_has_any(first, BROKER_ROW_SKIP)
-    year = F.element_at(
-        F.filter(F.transform("cells", lambda c: F.regexp_extract(F.trim(c), r"^(20\d{2})$", 1).try_cast("int")),
-                 lambda y: y.isNotNull()), -1)
-    year = F.when(F.exists("cells", lambda c: F.trim(c).rlike(r"^20\d{2}$")), year)
-    amounts = F.filter(
-        F.transform("cells", lambda c, i: F.when(
-            F.trim(c) == "$", F.replace(F.get("cells", i + 1), F.lit(","), F.lit("")).try_cast("double"))),
-        lambda v: v.isNotNull() & (v > 100),
-    )
-    w = Window.partitionBy(key, "table").orderBy("row")
-    carried = rows.select(key, "table", "row", F.when(named, first).alias("_f"), year.alias("_y"), amounts.alias("amounts")).select(
-        key, F.last("_f", ignorenulls=True).over(w).alias("fund_name"), F.last("_y", ignorenulls=True).over(w).alias("year"), "amounts"
-    )
-    return (
-        carried.filter(F.col("fund_name").isNotNull() & F.col("year").isNotNull())
-        .select(key, "fund_name", "year", F.explode("amounts").alias("amount"))
-        .groupBy(key, "fund_name", "year").agg(F.sum(F.col("amount").cast("decimal(28,2)")).cast("double").alias("amount"))
-    )
+    def step(state: Column, cells: Column) -> Column:
+        first = F.trim(F.get(cells, F.lit(0)))
+        named = (F.length(first) > 5) & ~first.rlike(r"^[\d\$%,.\s\-]+$") & ~_has_any(first, BROKER_ROW_SKIP)
+        years = F.filter(F.transform(cells, lambda c: F.regexp_extract(F.trim(c), r"^(20\d{2})$", 1).try_cast("int")), lambda y: y.isNotNull())
+        amounts = F.filter(F.transform(cells, lambda c, i: F.when(
+            F.trim(c) == "$", F.replace(F.get(cells, i + 1), F.lit(","), F.lit("")).try_cast("double"))), lambda v: v.isNotNull() & (v > 100))
+        fund = F.when(F.coalesce(named, F.lit(False)), first).otherwise(state["fund"])
+        year = F.coalesce(F.get(years, F.size(years) - 1), state["year"])
+        new = F.when(fund.isNotNull() & year.isNotNull(), F.transform(amounts, lambda v: F.struct(
+            fund.alias("fund_name"), year.alias("year"), v.alias("amount"), state["at"].alias("at"))))
+        kept = F.size(cells) >= 3
+        return F.struct(
+            F.when(kept, fund).otherwise(state["fund"]).alias("fund"), F.when(kept, year).otherwise(state["year"]).alias("year"),
+            (state["at"] + 1).alias("at"), F.concat(state["found"], F.coalesce(F.when(kept, new), F.array().cast(_FOUND))).alias("found"))
+
+    start = F.struct(F.lit(None).cast("string").alias("fund"), F.lit(None).cast("int").alias("year"),
+                     (table * _PLACE + 1).cast("bigint").alias("at"), F.array().cast(_FOUND).alias("found"))
+    below = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    return F.aggregate(below, start, step, lambda s: s["found"])
 
 
 def commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
-    """Year-column tables; where they give nothing, or nothing of 1,000 dollars, broker rows instead."""
+    """Year-column tables; where they give nothing, or nothing of 1,000 dollars, broker rows instead.
+
+    A document's tables are cut once, and both readings of them are arrays, so nothing is shuffled before the sums.
+    """
+    def chosen(tables: Column) -> Column:
+        wide = _joined(tables, lambda rows, n: _year_columns(rows, n, False))
+        enough = F.coalesce(F.array_max(F.transform(wide, lambda x: x["amount"])) >= 1000, F.lit(False))
+        return F.struct(enough.alias("wide"), F.when(enough, wide).otherwise(_joined(tables, _broker_rows)).alias("rows"))
+
     part = X.section(after_boundary(F.col(html)), COMMISSION_STARTS, COMMISSION_ENDS)
-    source = docs.select(key, part.alias("_part"))
-    wide = commission_tables(source, key, F.col("_part")).groupBy(key, "fund_name", "year").agg(
-        F.max_by("amount", F.struct("table", "row")).alias("amount")
-    )
-    both = wide.withColumn("_wide", F.lit(True)).unionByName(
-        broker_rows(source, key, F.col("_part")).withColumn("_wide", F.lit(False))
-    )
-    # a document's own rows only
-    top = F.max(F.when(F.col("_wide"), F.col("amount"))).over(Window.partitionBy(key))
-    return both.withColumn("_top", top).filter(F.col("_wide") == F.coalesce(F.col("_top") >= 1000, F.lit(False))).select(
-        key, "fund_name", "year", "amount"
-    )
+    rows = docs.select(key, F.inline(F.array(let(_tables(part), chosen)))).select(key, "wide", F.inline("rows"))
+    sums = rows.groupBy(key, "fund_name", "year").agg(
+        F.max("wide").alias("_wide"), F.max_by("amount", "at").alias("_last"), F.sum(F.col("amount").cast("decimal(28,2)")).cast("double").alias("_sum"))
+    return sums.select(key, "fund_name", "year", F.when(F.col("_wide"), F.col("_last")).otherwise(F.col("_sum")).alias("amount"))
 
 
 def report_commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
     """Commissions by fund and year from a shareholder report, where small amounts count too; the largest stays."""
     part = X.section(F.col(html), REPORT_STARTS, REPORT_ENDS)
-    rows = commission_tables(docs.select(key, part.alias("_part")), key, F.col("_part"), report=True)
+    rows = docs.select(key, F.inline(let(_tables(part), lambda tables: _joined(tables, lambda rows, n: _year_columns(rows, n, True)))))
     return rows.groupBy(key, "fund_name", "year").agg(F.max("amount").alias("amount"))
 
 
@@ -251,6 +246,36 @@ def board_approval(html: Column) -> Column:
     return X.plain_text(X.section(html, BOARD_STARTS, BOARD_ENDS), "report")
 
 
+def _split_outside(pattern: str, mark: str) -> list[str]:
+    """Parts of a pattern between ``mark``s that stand in no group."""
+    parts, depth, at = [""], 0, 0
+    while at < len(pattern):
+        if depth == 0 and pattern.startswith(mark, at):
+            parts.append("")
+            at += len(mark)
+            continue
+        size = 2 if pattern[at] == "\\" else 1
+        depth += {"(": 1, ")": -1}.get(pattern[at], 0)
+        parts[-1] += pattern[at : at + size]
+        at += size
+    return parts
+
+
+def _in_order(text: Column, pattern: str) -> Column:
+    """Whether the terms of ``a.*?b.*?c`` come one after the other: each is looked for once, behind the first place of
+    the one before it, so a long text takes one pass however often the first term occurs."""
+    if pattern.startswith("(?:") and len(_split_outside(pattern, ".*?")) == 1 and ".*?" in pattern and len(_split_outside(pattern[:-1], "|")) == 1:
+        pattern = pattern[3:-1]
+    hit = F.lit(False)
+    for one in _split_outside(pattern, "|"):
+        *before, last = _split_outside(one, ".*?")
+        rest = text
+        for term in before:
+            rest = F.get(F.split(rest, term, 2), F.lit(1))
+        hit = hit | F.coalesce(rest.rlike(last), F.lit(False))
+    return hit
+
+
 def _flags(part: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """STRUCT of booleans from a cleaned section, null when it is missing or under 100 characters."""
 
@@ -259,7 +284,7 @@ def _flags(part: Column, table: dict[str, tuple[str, ...]]) -> Column:
         for name, patterns in table.items():
             hit = F.lit(False)
             for p in patterns:
-                hit = hit | text.rlike(p)
+                hit = hit | _in_order(text, p)
             hits.append(hit.alias(name))
         return F.when(F.length(text) >= 100, F.struct(*hits))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dragline import assumptions as A
 from dragline.functions.expr import hidden_grade, rnd
-from dragline.scale import ranked
+from dragline.scale import ranked, settle
 
 BOARD_SORTS = ("hidden_cost_mid_bps", "true_cost_mid_bps", "lookup_count", "conflict_count", "turnover_pct", "grade")
 
@@ -38,11 +38,12 @@ def board(lookups: DataFrame) -> DataFrame:
     the map side, so a fund that everybody looks up costs nothing extra.
     """
     ok = lookups.filter(F.col("hidden_low_bps").isNotNull() & F.col("hidden_high_bps").isNotNull())
-    body = F.struct("hidden_low_bps", "hidden_high_bps", "expense_ratio_bps", "turnover_pct", "dollar_low", "dollar_high", "ts")
-    last = ok.groupBy("ticker").agg(
-        F.count("*").alias("lookup_count"), F.max_by(body, F.struct("ts", "event_id")).alias("b")
-    )
-    return board_row(last)
+    # one number in the order of (time, event), so that the aggregation can hash
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20,0)") * F.expr("10000000000000000000BD") + F.col("event_id")
+    fields = ("hidden_low_bps", "hidden_high_bps", "expense_ratio_bps", "turnover_pct", "dollar_low", "dollar_high", "ts")
+    last = ok.withColumn("_at", at.cast("decimal(38,0)")).groupBy("ticker").agg(
+        F.count("*").alias("lookup_count"), *[F.max_by(f, "_at").alias(f"_{f}") for f in fields])
+    return board_row(last.select("ticker", "lookup_count", F.struct(*[F.col(f"_{f}").alias(f) for f in fields]).alias("b")))
 
 
 def board_row(last: DataFrame) -> DataFrame:
@@ -82,14 +83,34 @@ def board_stats(b: DataFrame) -> DataFrame:
 # -- peers (measures proposed in the literature on the census form) ---------------
 
 
-def _quantile(r: DataFrame, group: str, value: str, q: float, name: str) -> DataFrame:
-    """Exact interpolated quantile from ranks; reads at most two rows per group."""
-    at = 1 + q * (F.col("n") - 1)
-    lo, hi = F.floor(at), F.ceil(at)
-    near = r.filter((F.col("rank") == lo) | (F.col("rank") == hi))
-    return near.groupBy(group).agg(
-        (F.min_by(value, "rank") + (F.max(at) - F.max(lo)) * (F.max_by(value, "rank") - F.min_by(value, "rank"))).alias(name)
-    )
+def quantiles(rows: DataFrame, group: str, wanted: dict[str, tuple[str, float]], buckets: int = 256) -> DataFrame:
+    """Exact interpolated quantiles per group, by histograms that close in on the order statistics.
+
+    ``wanted`` maps a name to (column, q).  A round counts the values of each interval in ``buckets`` parts, combined on
+    the map side, and goes on in the part that holds the rank, between the least and the largest value found there.  It
+    ends when every interval has one value: no sort, and no more than ``buckets`` rows of a group and rank in a task.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in dict.fromkeys(c for c, _ in wanted.values())]))
+    values = settle(rows.select(group, each.alias("x")).select(group, "x.*").filter("v IS NOT NULL"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(c).alias("col"), F.lit(q).alias("q")) for name, (c, q) in wanted.items()])
+    spans = values.groupBy(group, "of").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    at = 1 + F.col("a.q") * (F.col("n") - 1)
+    targets = spans.select("*", F.explode(asked).alias("a")).filter(F.col("a.col") == F.col("of")).select(
+        group, "of", "low", "high", F.col("a.name").alias("name"), (at - F.floor(at)).alias("part"),
+        F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank")).withColumn("k", F.col("rank"))
+    targets = settle(targets)
+    while targets.filter("low < high").limit(1).count():
+        width = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets
+        place = F.when(F.col("low") < F.col("high"), F.least(F.floor(width), F.lit(buckets - 1))).otherwise(0)
+        within = values.join(targets, [group, "of"]).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+        counts = within.groupBy(group, "of", "name", "part", "rank", "k", place.alias("place")).agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(group, "name", "rank").orderBy("place"))
+        targets = settle(counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select(
+            group, "of", "low", "high", "name", "part", "rank", (F.col("k") - F.col("upto") + F.col("n")).alias("k")))
+    ends = targets.groupBy(group, "name").agg(F.min("low").alias("_a"), F.max("low").alias("_b"), F.max("part").alias("_p"))
+    value = F.col("_a") + F.col("_p") * (F.col("_b") - F.col("_a"))
+    return ends.groupBy(group).agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted])
 
 
 def peer_outliers(measures: DataFrame) -> DataFrame:
@@ -97,15 +118,11 @@ def peer_outliers(measures: DataFrame) -> DataFrame:
 
     ``measures`` is (series_id, category, soft_dollar_bps, affiliated_pct), one row per fund.
     """
-    soft = measures.filter(F.col("soft_dollar_bps").isNotNull())
-    aff = measures.filter(F.col("affiliated_pct").isNotNull())
-    by = lambda df, c: ranked(df.select("category", "series_id", c), [F.col(c).asc(), F.col("series_id").asc()],
-                              group=["category"], size="n")
-    median = _quantile(by(soft, "soft_dollar_bps"), "category", "soft_dollar_bps", 0.5, "median_soft")
-    p90 = _quantile(by(aff, "affiliated_pct"), "category", "affiliated_pct", 0.9, "p90_affiliated")
-    sd = soft.groupBy("category").agg(F.stddev_samp("soft_dollar_bps").alias("sd_soft"))
+    measures = settle(measures)
+    marks = quantiles(measures, "category", {"median_soft": ("soft_dollar_bps", 0.5), "p90_affiliated": ("affiliated_pct", 0.9)})
+    sd = measures.groupBy("category").agg(F.stddev_samp("soft_dollar_bps").alias("sd_soft"))
     return (
-        measures.join(median, "category", "left").join(sd, "category", "left").join(p90, "category", "left")
+        measures.join(marks, "category", "left").join(sd, "category", "left")
         .select(
             "series_id", "category", rnd("median_soft", 4).alias("median_soft"), rnd("sd_soft", 4).alias("sd_soft"),
             rnd("p90_affiliated", 4).alias("p90_affiliated"),

@@ -736,19 +736,24 @@ def _statement_docs(v):
     return v.table("documents").selectExpr(
         "doc_id", "lang", "source", "n_chars",
         f"""concat('<p>', text, '</p>', if(lang = 'de', concat('<p>Compensation generally consists of a fixed base salary and bonus', {pad}, '</p>'), ''), if(lang = 'fr', 'This Statement of Additional Information', '<b>Statement of Additional  Information</b>'),
-          if(lang in ('en', 'es'), concat('<p>Compensation generally consists of a fixed base amount. The base salary and a ', if(source < 'src3', 'bonus paid for assets under care', 'bonus paid on relative performance'), if(n_chars > 1000, ' plus restricted stock', ''), {pad}, '</p><p>Proxy voting</p> deferred compensation'), ''),
+          if(lang in ('en', 'es'), concat('<p>Compensation generally consists of a fixed base amount. The base salary and a ', if(source < 'src3', 'bonus paid for assets under care', 'bonus paid on relative performance'), if(n_chars > 1000, ' plus restricted stock', ''),
+            if(n_chars % 7 = 0, ' and deferred compensation', ''), if(n_chars % 3 = 0, ' tied to company profit', ''), if(n_chars % 5 = 0, ' but not based on returns', ''), {pad}, '</p><p>Proxy voting</p> deferred compensation'), ''),
           if(source > 'src15', concat('<p>Under Section 28(e) the adviser may pay', if(n_chars > 800, ' under a commission sharing plan', ''), {pad}, '</p>'), '')) as html""",
     )
 
 
 @query("""SELECT doc_id, lang IN ('de', 'en', 'es') AS has_pay, CASE WHEN lang IN ('de', 'en', 'es') THEN true END AS has_base_salary, CASE WHEN lang IN ('en', 'es') THEN n_chars > 1000 WHEN lang = 'de' THEN false END AS has_equity,
-  CASE WHEN lang IN ('en', 'es') THEN source < 'src3' WHEN lang = 'de' THEN false END AS linked_to_assets, CASE WHEN source > 'src15' THEN n_chars > 800 END AS uses_commission_sharing, source > 'src15' AS has_soft FROM documents""")
+  CASE WHEN lang IN ('en', 'es') THEN source < 'src3' WHEN lang = 'de' THEN false END AS linked_to_assets, CASE WHEN source > 'src15' THEN n_chars > 800 END AS uses_commission_sharing, CASE WHEN source > 'src15' THEN true END AS has_soft_dollar, source > 'src15' AS has_soft,
+  CASE WHEN lang IN ('de', 'en', 'es') THEN true END AS has_bonus, CASE WHEN lang IN ('en', 'es') THEN n_chars % 7 = 0 WHEN lang = 'de' THEN false END AS has_deferred,
+  CASE WHEN lang IN ('en', 'es') THEN source >= 'src3' OR n_chars % 5 = 0 WHEN lang = 'de' THEN false END AS linked_to_performance,
+  CASE WHEN lang IN ('en', 'es') THEN n_chars % 3 = 0 WHEN lang = 'de' THEN false END AS linked_to_firm_profit,
+  CASE WHEN lang IN ('en', 'es') THEN n_chars % 5 = 0 WHEN lang = 'de' THEN false END AS not_linked_to_performance FROM documents""")
 def statement_flags(v):
     f = filing_prose.statement_facts(_statement_docs(v), "doc_id", "html")
-    return f.select("doc_id", F.col("pay").isNotNull().alias("has_pay"), "pay.has_base_salary", "pay.has_equity", "pay.linked_to_assets", "soft.uses_commission_sharing", F.col("soft").isNotNull().alias("has_soft"))
+    return f.select("doc_id", F.col("pay").isNotNull().alias("has_pay"), "pay.*", "soft.*", F.col("soft").isNotNull().alias("has_soft"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN lang IN ('en', 'es') AND source < 'src3' THEN 'pay_linked_to_assets' END, CASE WHEN (lang IN ('en', 'es') AND n_chars <= 1000) OR lang = 'de' THEN 'no_equity_ownership' END,
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN lang IN ('en', 'es') AND n_chars % 5 = 0 THEN 'pay_not_linked_to_performance' END, CASE WHEN lang IN ('en', 'es') AND source < 'src3' AND n_chars % 5 <> 0 THEN 'pay_linked_to_assets' END, CASE WHEN (lang IN ('en', 'es') AND n_chars <= 1000) OR lang = 'de' THEN 'no_equity_ownership' END,
   CASE WHEN source > 'src15' THEN 'soft_dollar' END, CASE WHEN source > 'src15' AND n_chars > 800 THEN 'commission_sharing' END, CASE WHEN n_chars > 5000 THEN 'soft_dollar_subsidy' END], lambda x: x IS NOT NULL), '|') AS flags FROM documents""")
 def statement_conflicts(v):
     d = _statement_docs(v)
