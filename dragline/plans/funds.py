@@ -697,17 +697,20 @@ SELECT *, CASE WHEN facility_size > 0 THEN {R('max_outstanding / facility_size',
 SELECT s_suppkey AS series_id, CASE WHEN s_acctbal > 0 THEN s_acctbal * 1000 ELSE 0 END AS facility_size, CAST(max(c_acctbal) AS DOUBLE) * 900 AS max_outstanding, count(c_custkey) AS co_borrowers
 FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey GROUP BY 1, 2) q"""))
 def credit_utilisation(v):
+    return conflicts.credit_utilisation(_credit(v))
+
+
+def _credit(v):
     s = v.table("supplier")
     c = (
         v.table("customer").groupBy(F.col("c_nationkey").alias("s_nationkey"))
         .agg((F.max("c_acctbal") * 900).alias("max_outstanding"), F.count("*").alias("co_borrowers"))
     )
-    rows = s.join(c, "s_nationkey", "left").select(
+    return s.join(c, "s_nationkey", "left").select(
         F.col("s_suppkey").alias("series_id"),
         F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") * 1000).otherwise(0.0).alias("facility_size"), "max_outstanding",
         F.coalesce("co_borrowers", F.lit(0)).alias("co_borrowers"),
     )
-    return conflicts.credit_utilisation(rows)
 
 
 _FLAGS = "CASE WHEN has_soft_dollar THEN 'soft_dollar|' ELSE '' END || CASE WHEN affiliated_commissions > 0 THEN 'affiliated_broker|' ELSE '' END || CASE WHEN family < 'NATION_15' THEN 'affiliated_administrator|' ELSE '' END || CASE WHEN category = 'EUROPE' THEN 'affiliated_transfer_agent|' ELSE '' END || CASE WHEN gross > 400000 AND category = 'ASIA' THEN 'affiliated_lending_agent|' ELSE '' END || CASE WHEN gross > 400000 AND net > 0 THEN 'securities_lending_income|' ELSE '' END"
@@ -740,20 +743,24 @@ def provider_concentration(v):
     return conflicts.provider_concentration(rows)
 
 
+_LATEST = lambda c, n, name: f"{R(f'arg_max_null({c}, period)', n)} AS {name}"
 V_PEER = f"""
-v_peer AS (SELECT series_id, category, {R('max_by(soft_dollar_bps, period)')} AS soft_dollar_bps, {R('max_by(aff, period)', 4)} AS affiliated_pct
-  FROM (SELECT c.series_id, c.period, c.category, c.soft_dollar_bps, CASE WHEN commissions > 0 THEN affiliated_commissions / commissions * 100 END AS aff
+v_peer AS (SELECT series_id, category, {_LATEST('soft_dollar_bps', 2, 'soft_dollar_bps')}, {_LATEST('aff', 4, 'affiliated_pct')},
+    {_LATEST('principal_pct', 4, 'principal_pct')}, {_LATEST('lending_agent_pct', 4, 'lending_agent_pct')}
+  FROM (SELECT c.series_id, c.period, c.category, c.soft_dollar_bps, CASE WHEN commissions > 0 THEN affiliated_commissions / commissions * 100 END AS aff, principal_pct, lending_agent_pct
     FROM v_cost c LEFT JOIN v_ncen n ON n.series_id = c.series_id AND n.period = c.period) q GROUP BY 1, 2)"""
 
 
-def _peer(v):
+def _peer(v, cost=None):
     share = F.when(F.col("commissions") > 0, F.col("affiliated_commissions") / F.col("commissions") * 100)
-    return _cost(v, carry=("commissions", "affiliated_commissions")).groupBy("series_id", "category").agg(
-        rnd(F.max_by("soft_dollar_bps", "period")).alias("soft_dollar_bps"), rnd(F.max_by(share, "period"), 4).alias("affiliated_pct")
-    )
+    cost = _cost(v, carry=PEER_CENSUS) if cost is None else cost
+    latest = lambda c, n, name: rnd(F.max_by(c, "period"), n).alias(name)
+    return cost.groupBy("series_id", "category").agg(
+        latest("soft_dollar_bps", 2, "soft_dollar_bps"), latest(share, 4, "affiliated_pct"),
+        latest("principal_pct", 4, "principal_pct"), latest("lending_agent_pct", 4, "lending_agent_pct"))
 
 
-V_PEER = V_PEER.replace("max_by(soft_dollar_bps, period)", "arg_max_null(soft_dollar_bps, period)").replace("max_by(aff, period)", "arg_max_null(aff, period)")
+PEER_CENSUS = ("commissions", "affiliated_commissions", "principal_pct", "lending_agent_pct")
 
 
 @query(with_views(*COST_VIEWS, V_PEER, body=f"""
@@ -763,30 +770,49 @@ def peer_outliers(v):
     return ranking.peer_outliers(_peer(v))
 
 
-SCORE_DIMS = {k: A.SCORECARD_WEIGHTS[k] for k in ("soft_dollar_intensity", "affiliated_routing", "turnover_tax", "expense_ratio")}
+#: Where each dimension's measure stands; governance and proxy voting have no data.
+SCORE_SOURCE = {
+    "soft_dollar_intensity": "soft_dollar_bps", "affiliated_routing": "affiliated_pct", "principal_transactions": "principal_pct",
+    "lending_split": "lending_agent_pct", "credit_utilisation": "utilisation", "derivatives_complexity": "kinds",
+    "provider_concentration": "provider_pct", "turnover_tax": "prospectus_turnover", "expense_ratio": "er_bps",
+}
+SCORE_DIMS = {k: A.SCORECARD_WEIGHTS[k] for k in SCORE_SOURCE}
 _PCT = lambda c: (
     f"CASE WHEN {c} IS NOT NULL THEN coalesce(100.0::DOUBLE * (rank() OVER (PARTITION BY category, {c} IS NULL ORDER BY {c}) - 1)"
     f" / nullif(count({c}) OVER (PARTITION BY category) - 1, 0), 0) END")
-_NUM = "coalesce(soft_dollar_intensity * 15.0::DOUBLE, 0) + coalesce(affiliated_routing * 10.0::DOUBLE, 0) + coalesce(turnover_tax * 15.0::DOUBLE, 0) + coalesce(expense_ratio * 10.0::DOUBLE, 0)"
-_DEN = "CASE WHEN soft_dollar_intensity IS NULL THEN 0 ELSE 15 END + CASE WHEN affiliated_routing IS NULL THEN 0 ELSE 10 END + CASE WHEN turnover_tax IS NULL THEN 0 ELSE 15 END + CASE WHEN expense_ratio IS NULL THEN 0 ELSE 10 END"
-
-
-@query(with_views(*COST_VIEWS, V_PEER, body=f"""
+_NUM = " + ".join(f"coalesce({d} * {w}::DOUBLE, 0)" for d, w in SCORE_DIMS.items())
+_DEN = " + ".join(f"CASE WHEN {d} IS NULL THEN 0 ELSE {w} END" for d, w in SCORE_DIMS.items())
+V_MEASURES = """
+v_kinds AS (SELECT series_id, count(DISTINCT asset_category) FILTER (asset_category LIKE 'D%' AND asset_category <> 'DBT') AS kinds FROM v_holding GROUP BY 1),
+v_credit AS (SELECT s_suppkey AS series_id, CASE WHEN s_acctbal > 0 THEN CAST(max(c_acctbal) AS DOUBLE) * 900 / (s_acctbal * 1000) END AS utilisation
+  FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey GROUP BY s_suppkey, s_acctbal),
+v_provider AS (SELECT family, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM v_fund) AS provider_pct FROM v_fund GROUP BY 1),
+v_measures AS (SELECT * FROM v_peer JOIN (SELECT series_id, prospectus_turnover, family FROM v_fund) f USING (series_id) LEFT JOIN v_stated USING (series_id)
+  LEFT JOIN v_kinds USING (series_id) LEFT JOIN v_credit USING (series_id) LEFT JOIN v_provider USING (family))"""
+
+
+@query(with_views(*COST_VIEWS, V_PEER, V_MEASURES, body=f"""
 SELECT category, series_id, score, row_number() OVER w AS rank, count(*) OVER (PARTITION BY category) AS n,
   CASE WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.10 THEN 'A' WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.35 THEN 'B'
     WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.70 THEN 'C' WHEN row_number() OVER w / (count(*) OVER (PARTITION BY category))::DOUBLE <= 0.90 THEN 'D' ELSE 'F' END AS grade
 FROM (SELECT category, series_id, {R(f'({_NUM}) / nullif(CAST({_DEN} AS DOUBLE), 0)', 4)} AS score FROM (
-  SELECT series_id, category, {_PCT('soft_dollar_bps')} AS soft_dollar_intensity, {_PCT('affiliated_pct')} AS affiliated_routing, {_PCT('prospectus_turnover')} AS turnover_tax, {_PCT('er_bps')} AS expense_ratio
-  FROM v_peer JOIN (SELECT series_id, prospectus_turnover FROM v_fund) f USING (series_id) LEFT JOIN v_stated USING (series_id)) a) b
+  SELECT series_id, category, {', '.join(f'{_PCT(c)} AS {d}' for d, c in SCORE_SOURCE.items())} FROM v_measures) a) b
 WHERE score IS NOT NULL WINDOW w AS (PARTITION BY category ORDER BY score, series_id)"""))
 def peer_scorecard(v):
-    s = (
-        _peer(v).join(v.fund().select("series_id", "prospectus_turnover"), "series_id").join(_stated(v), "series_id", "left")
-        .select("series_id", "category", F.col("soft_dollar_bps").alias("soft_dollar_intensity"),
-                F.col("affiliated_pct").alias("affiliated_routing"), F.col("prospectus_turnover").alias("turnover_tax"),
-                F.col("er_bps").alias("expense_ratio"))
+    by_category = settle(_category_sums(v))
+    kinds = by_category.filter(holdings.is_derivative(F.col("asset_category"))).groupBy("series_id").agg(
+        F.countDistinct("asset_category").alias("kinds"))
+    fund = v.fund().select("series_id", "prospectus_turnover", "family")
+    n = v.n_funds
+    provider = fund.groupBy("family").agg((100.0 * F.count("*") / F.lit(n)).alias("provider_pct"))
+    measures = (
+        _peer(v, _cost(v, by_category, PEER_CENSUS)).join(fund, "series_id").join(_stated(v), "series_id", "left")
+        .join(kinds, "series_id", "left").fillna(0, ["kinds"])
+        .join(_credit(v).select("series_id", F.when(F.col("facility_size") > 0, F.col("max_outstanding") / F.col("facility_size")).alias("utilisation")), "series_id", "left")
+        .join(provider, "family", "left")
     )
-    return ranking.scorecard(s, SCORE_DIMS)
+    return ranking.scorecard(
+        measures.select("series_id", "category", *[F.col(c).alias(d) for d, c in SCORE_SOURCE.items()]), SCORE_DIMS)
 
 
 # -- fee history -------------------------------------------------------------------

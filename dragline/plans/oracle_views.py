@@ -50,11 +50,16 @@ v_ncen AS (
     CASE WHEN has_ncen THEN coalesce(affiliated_commissions, 0) END AS affiliated_commissions,
     CASE WHEN has_ncen THEN soft_dollar_flag END AS has_soft_dollar,
     CASE WHEN has_ncen AND soft_dollar_reported THEN commissions * CAST(0.2 AS DOUBLE) END AS soft_dollar_usd,
+    CASE WHEN has_ncen THEN CAST(100.0 AS DOUBLE) * principal / gross_value END AS principal_pct,
+    CASE WHEN has_ncen THEN CAST(100.0 AS DOUBLE) * agent / nullif(lending, 0) END AS lending_agent_pct,
     CAST(NULL AS DOUBLE) AS ncen_turnover, CASE WHEN has_ncen AND has_average_nav THEN gross_value END AS average_net_assets
   FROM (SELECT l_suppkey AS series_id, CAST(year(l_shipdate) AS INTEGER) AS period,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) / 100 AS commissions,
       CAST(sum(CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4')
         THEN CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) END) AS DOUBLE) / 100 AS affiliated_commissions,
+      coalesce(CAST(sum(CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4') AND l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS principal,
+      coalesce(CAST(sum(CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4') THEN CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) END) AS DOUBLE), 0) AS agent,
+      CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS lending,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gross_value
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) x JOIN v_fund USING (series_id))"""
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dragline.functions.expr import money
+from dragline.functions.expr import money, ratio
 
 #: Set only where the given tables are single row groups, which one task reads (bench); unset, scans are left as they are.
 INPUT_PARTITIONS = "spark.dragline.inputPartitions"
@@ -22,7 +22,7 @@ DERIVATIVE_BY_LINE = {1: "DE", 2: "DFE", 3: "DIR", 4: "DCR", 5: "DCO"}
 CATEGORY_BY_TYPE = {
     "STANDARD": "EC", "SMALL": "EP", "MEDIUM": "DBT", "LARGE": "ABS-MBS", "ECONOMY": "STIV",
 }
-CENSUS_SUMS = ("gross_usd", "commission_cents", "affiliated_cents")
+CENSUS_SUMS = ("gross_usd", "commission_cents", "affiliated_cents", "principal_usd", "lending_cents", "lending_agent_cents")
 AFFILIATED_BRANDS = ("Brand#1", "Brand#2", "Brand#3", "Brand#4")
 
 
@@ -117,6 +117,11 @@ class FundViews:
             (money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)")).alias("commission_cents"),
             F.when(F.col("p_brand").isin(*AFFILIATED_BRANDS), money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)"))
             .alias("affiliated_cents"),
+            # bought from an affiliate as principal, and what lending earned, in part for an affiliated agent
+            F.when(F.col("p_brand").isin(*AFFILIATED_BRANDS) & (F.col("l_returnflag") == "A"), money("l_extendedprice")).alias("principal_usd"),
+            (money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")).alias("lending_cents"),
+            F.when(F.col("p_brand").isin(*AFFILIATED_BRANDS), money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)"))
+            .alias("lending_agent_cents"),
             F.when(
                 derivative,
                 money("l_extendedprice") * (F.col("l_discount").cast("decimal(4,2)") - F.col("l_tax").cast("decimal(4,2)")),
@@ -149,6 +154,8 @@ class FundViews:
             "has_soft_dollar": F.col("soft_dollar_flag"),
             "soft_dollar_usd": F.when(F.col("soft_dollar_reported"), commissions * 0.2),
             "ncen_turnover": F.lit(None).cast("double"),
+            "principal_pct": ratio(100.0 * F.coalesce(F.col("principal_usd").cast("double"), F.lit(0.0)), F.col("gross_usd").cast("double")),
+            "lending_agent_pct": ratio(100.0 * F.coalesce(F.col("lending_agent_cents").cast("double"), F.lit(0.0)), F.col("lending_cents").cast("double")),
             "average_net_assets": F.when(F.col("has_average_nav"), F.col("gross_usd").cast("double")),
         }
         dropped = {*CENSUS_SUMS, "soft_dollar_flag", "soft_dollar_reported", "has_ncen", "has_average_nav"}
