@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dragline.llm import decontaminate, mixing, sharding, simhash, toxicity
+from dragline.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from dragline.llm.shared import documents, stored
 
 #: Shares of good and poor prose in the mixture.
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near copies the document with the smallest id stays."""
-    return simhash.one_of_each_group(docs)
+    """Operator 6 on shingles of five words, with checks: of each group of near copies the document with the smallest id stays."""
+    return near_copies.one_of_each_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
