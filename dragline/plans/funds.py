@@ -194,7 +194,7 @@ def asset_class_weights_reported(v):
     nav = rows.groupBy(*KEYS).agg(dbl(F.sum(F.col("value_usd") * F.col("n"))).alias("_sum")).join(
         v.fund().filter("has_nport").select("series_id", "nav_factor"), "series_id").select(
         *KEYS, (F.col("_sum") * F.col("nav_factor")).alias("net_assets"))
-    share = (100.0 * dbl("value_usd") / F.col("net_assets")).cast("decimal(28,8)") * F.col("n")
+    share = (100.0 * dbl("value_usd") / F.col("net_assets")).cast("decimal(18,8)") * F.col("n").cast("decimal(12,0)")
     return holdings.asset_class_weights(rows.join(nav, list(KEYS)).withColumn("pct_of_net_assets", share)).withColumn(
         "weight_pct", rnd("weight_pct", 3))
 
