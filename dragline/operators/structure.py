@@ -23,8 +23,9 @@ def fund_position_sums(kinds: DataFrame, header: DataFrame) -> DataFrame:
 
     ``kinds`` comes from ``holdings.position_kinds`` with the key ``child``.
     """
-    return classified(kinds, header).filter("is_fund").groupBy(*KEYS, "child", "long").agg(
+    sums = classified(kinds, header).filter("is_fund").groupBy(*KEYS, "child", "long").agg(
         F.sum("value").alias("value"), F.sum("positions").alias("positions"))
+    return sums.join(header.select(*KEYS), list(KEYS), "left_semi")  # without a filing nothing is known to be unresolved
 
 
 def _fund_share(value, net_assets):
