@@ -119,18 +119,22 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Col
 # -- tables in markup ----------------------------------------------------------
 
 
+# Bodies run from tag to tag with possessive quantifiers: one step a tag instead of one a character, and no stack.
+
+
 def tables(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<table\b.*?(?:</table>|$)"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(r"(?i)<table\b[^<]*+(?:<(?!/table>)[^<]*+)*+(?:</table>)?"), F.lit(0))
 
 
 def table_rows(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr>|</table>|$)"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(r"(?i)<tr\b[^<]*+(?:<(?!tr\b|/tr>|/table>)[^<]*+)*+"), F.lit(0))
 
 
 def row_cells(row: Column, *, heads: bool = True) -> Column:
     """Cell texts; tags inside a cell vanish together with the blanks around them."""
     kind = "[dh]" if heads else "d"
-    raw = F.regexp_extract_all(row, F.lit(rf"(?is)<t{kind}\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]>|</tr>|$)"), F.lit(1))
+    raw = F.regexp_extract_all(
+        row, F.lit(rf"(?i)<t{kind}\b[^>]*+>([^<]*+(?:<(?!t[dh]\b|/t[dh]>|/tr>)[^<]*+)*+)"), F.lit(1))
 
     def clean(c: Column) -> Column:
         c = F.regexp_replace(c, r"\s*<[^>]+>\s*", "")

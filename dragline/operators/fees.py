@@ -127,17 +127,22 @@ def _pairs(rows: Column, field, value) -> Column:
 def _class_column(rows: Column, ticker: Column) -> Column:
     """Column of the wanted share class: the last heading row above the first row of figures decides."""
     figures = F.array_position(F.transform(rows, lambda r: F.exists(r, lambda c: c.rlike(r"\d\s*%"))), F.lit(True))
-    above = F.when(figures > 0, figures - 1).otherwise(F.size(rows)).cast("int")
-    texts = F.transform(F.slice(rows, F.lit(1), above), lambda r: F.filter(r, lambda c: c != ""))
     joined = lambda r: F.lower(F.concat_ws(" ", r))
-    heads = F.filter(texts, lambda r: (F.size(r) >= 2) & ~joined(r).rlike("management|distribution|expense|fee"))
-    head = F.try_element_at(heads, F.lit(-1))
-    spot = lambda test: F.array_position(F.transform(head, test), F.lit(True)) - 1
-    by_ticker = spot(lambda c: F.contains(F.upper(c), F.upper(ticker)))
-    by_word = spot(lambda c: F.lower(c).rlike("|".join(CLASS_WORDS)))
-    return (
-        F.when(head.isNull(), 0).when(by_ticker >= 0, by_ticker).when(by_word >= 0, by_word).otherwise(0).cast("int")
-    )
+
+    def head_of(figures: Column) -> Column:
+        above = F.when(figures > 0, figures - 1).otherwise(F.size(rows)).cast("int")
+        texts = F.transform(F.slice(rows, F.lit(1), above), lambda r: F.filter(r, lambda c: c != ""))
+        heads = F.filter(texts, lambda r: (F.size(r) >= 2) & ~joined(r).rlike("management|distribution|expense|fee"))
+        return F.try_element_at(heads, F.lit(-1))
+
+    def place(head: Column) -> Column:
+        spot = lambda test: F.array_position(F.transform(head, test), F.lit(True)) - 1
+        at_least_0 = lambda at: F.when(at >= 0, at)
+        by_ticker = let(spot(lambda c: F.contains(F.upper(c), F.upper(ticker))), at_least_0)
+        by_word = let(spot(lambda c: F.lower(c).rlike("|".join(CLASS_WORDS))), at_least_0)
+        return F.coalesce(by_ticker, by_word, F.lit(0)).cast("int")
+
+    return let(let(figures, head_of), place)
 
 
 def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
@@ -147,18 +152,14 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
     The last row of a field wins.  Turnover and sales load are read from the text of the whole document.
     """
 
+    def around(parts: Column) -> Column:
+        before, behind = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        opened = F.regexp_extract(before, r"(?is)^.*(<table[^<]*+(?:<(?!/table>)[^<]*+)*+)\z", 1)
+        return F.concat(opened, F.regexp_extract(behind, r"(?i)^[^<]*+(?:<(?!/table>)[^<]*+)*+(?:</table>)?", 0))
 
-    def around(low: Column) -> Column:
-        at = F.coalesce(*[F.when(low.contains(a), F.instr(low, a)) for a in ANCHORS])
-        before = F.substring(low, F.lit(1), at - 1)
-        opened = F.substring_index(before, "<table", -1)
-        inside = before.contains("<table") & ~opened.contains("</table>")
-        start = F.when(inside, at - F.length(opened) - len("<table")).otherwise(at)
-        length = F.instr(F.substring(low, at, F.length(low)), "</table>")
-        end = F.when(length > 0, at + length + len("</table>")).otherwise(F.length(low) + 1)
-        return F.substring(F.col(html), start, end - start)
-
-    region = let(F.lower(F.col(html)), around)
+    # a blank in front, for no split comes before the first character
+    halves = [let(F.split(F.concat(F.lit(" "), F.col(html)), f"(?i)(?={a})", 2), lambda p: F.when(F.size(p) > 1, p)) for a in ANCHORS]
+    region = let(F.coalesce(*halves), around)
     cells = lambda x: F.transform(X.table_rows(x), lambda r: X.row_cells(r, heads=False))
     d = docs.select(
         key, F.col(ticker).alias("_ticker"), F.col(html).alias("_html"), F.coalesce(cells(region), F.array().cast("array<array<string>>")).alias("_near"),
@@ -171,17 +172,14 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
         split = ~first.rlike(r"^[\*†\(\d]")
         return F.coalesce(fee_field(first), F.when(split, fee_field(whole)))
 
-    def value(r: Column) -> Column:
-        joined = F.concat_ws(" ", F.filter(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda c: c != ""))
+    def value(joined: Column) -> Column:
         found = F.regexp_extract_all(joined, F.lit(_PCT), F.lit(1))
-        return F.when(
-            joined != "",
-            F.coalesce(F.get(found, F.col("_col")), F.get(found, F.lit(0))).try_cast("double"),
-        )
+        picked = let(found, lambda f: F.coalesce(F.get(f, F.col("_col")), F.get(f, F.lit(0))))
+        return F.when(joined != "", picked.try_cast("double"))
 
     def value_or_number(r: Column) -> Column:
         joined = F.concat_ws(" ", F.filter(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda c: c != ""))
-        return F.coalesce(value(r), percent_in(joined))
+        return let(joined, lambda j: F.coalesce(value(j), percent_in(j)))
 
     near = _pairs(F.filter(F.col("_near"), lambda r: F.size(r) > 0), label, value_or_number)
     wide = _pairs(
@@ -194,13 +192,11 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
         F.when(has(F.col("_near")), F.col("_near")).when(has(F.col("_wide")), F.col("_wide")).alias("_p"),
         F.when(has(F.col("_near")), "table").when(has(F.col("_wide")), "cells").alias("layout"),
     )
-    body = F.regexp_replace("_html", r"<[^>]+>", "")
-    some = F.col("_p").isNotNull()
-    return picked.select(
-        key, "layout", *_last_values(F.col("_p")),
-        F.when(some, _found(body, TURNOVER).cast("double")).alias("portfolio_turnover"),
-        F.when(some, _found(body, LOAD).cast("double")).alias("max_sales_load"),
-    )
+    first = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
+    facts = let(F.regexp_replace("_html", r"<[^>]+>", ""), lambda body: F.struct(
+        first(body, TURNOVER).alias("portfolio_turnover"), first(body, LOAD).alias("max_sales_load")))
+    return picked.withColumn("_facts", F.when(F.col("_p").isNotNull(), facts)).select(
+        key, "layout", *_last_values(F.col("_p")), "_facts.portfolio_turnover", "_facts.max_sales_load")
 
 
 def is_class_table_registrant(registrant: Column, class_names: Column) -> Column:

@@ -521,7 +521,7 @@ def _fee_docs(v: FundViews) -> DataFrame:
         ("Management Fees", "management_fee"), ("Distribution and/or Service (12b-1) Fees", "twelve_b1_fee"), ("Other&nbsp;Expenses", "other_expenses"),
         ("Acquired Fund Fees and Expenses", "acquired_fund_fees"), ("Total Annual Fund Operating Expenses", "total_annual_expenses"),
         ("<b>Total Annual Fund Operating Expenses After</b> Fee Waiver", "net_expenses"))) + ")"
-    src = v.fee_snapshot().withColumn("col", F.when(F.col("form_type") == "485APOS", 1).otherwise(0))
+    src = v.dealt(v.fee_snapshot()).withColumn("col", F.when(F.col("form_type") == "485APOS", 1).otherwise(0))
     for c in ("management_fee", "twelve_b1_fee", "other_expenses", "acquired_fund_fees", "total_annual_expenses", "net_expenses"):
         src = src.withColumn(c, F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c))))
     return src.selectExpr(
@@ -543,7 +543,7 @@ def fee_tables(v):
 
 def _class_docs(v):
     f2 = lambda c: f"format_string('%.2f', coalesce({c}, 0))"
-    return v.fee_snapshot().selectExpr(
+    return v.dealt(v.fee_snapshot()).selectExpr(
         "accession_no", "'Class R-6' as class_name",
         f"""if(management_fee is null, '<p>Share class: A R-6 </p><p>no fees are given</p>', concat('<p>Share class: A R-6 </p><p>Maximum sales charge 5.75 none</p>', repeat('<i>padding words here</i> ', 20), '<table><tr><td>Share class:&nbsp;</td><td>A</td><td>C</td><td>R-6</td></tr><tr><td>Management&nbsp;fees</td><td>0.11 0.12</td><td>', {f2('management_fee')},
           '</td></tr><tr><td>Distribution and/or service (12b-1) fees</td><td>0.24</td><td>1.00 ', if(twelve_b1_fee is null, 'none', {f2('twelve_b1_fee')}), '</td></tr><tr><td>Other expenses </td><td>0.10 0.10 ', {f2('other_expenses')}, '</td></tr><tr><td>Total annual fund operating expenses </td><td>0.61 1.31 ',
@@ -559,7 +559,7 @@ def class_table_fees(v):
 
 def _prose_docs(v):
     f2 = lambda c: f"format_string('%.2f', {c})"
-    return v.fee_snapshot().selectExpr(
+    return v.dealt(v.fee_snapshot()).selectExpr(
         "accession_no", "concat('Fidelity Series Growth ', class_id) as series_name",
         f"""concat('<p>Fund Summary Fund: Fidelity&#174; Series Other</p><p>Management fee 9.99 %</p><p>Total annual operating expenses 9.99 %</p><h1>Fund&nbsp;Summary</h1> <b>Fund:</b> Fidelity&#174; Series Growth ', class_id, '<p>', if(management_fee is null, 'no fees given', concat('Management fee ', {f2('management_fee')},
           ' % Distribution and/or Service (12b-1) fees ', if(twelve_b1_fee is null, 'None', {f2('twelve_b1_fee')}), ' Other expenses ', {f2('other_expenses')}, ' % Total annual operating expenses ', {f2('management_fee + coalesce(twelve_b1_fee, 0) + other_expenses')}, ' % ')),
