@@ -87,7 +87,7 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def from_first(text: Column, pattern: str) -> Column:
     """The text from the first match of ``pattern`` on; null when it does not occur."""
-    return first_match(text, rf"(?i)(?:{pattern})[\s\S]*", 0)
+    return first_match(text, rf"(?i)(?:{pattern})(?s:.*)", 0)
 
 
 def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Column:
@@ -105,9 +105,7 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Col
 
     def cut(r: Column) -> Column:
         def end(tail: Column) -> Column:
-            hits = [
-                F.when(tail.rlike(f"(?i){p}"), F.length(F.regexp_extract(tail, rf"(?i)^([\s\S]*?)(?:{p})", 1))) for p in ends
-            ]
+            hits = [let(F.split(tail, f"(?i){p}", 2), lambda s: F.when(F.size(s) > 1, F.length(F.get(s, F.lit(0))))) for p in ends]
             return F.substring(tail, F.lit(1), F.coalesce(*hits, F.length(tail)))
 
         rest, skip = r["rest"], r["skip"]

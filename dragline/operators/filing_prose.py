@@ -84,6 +84,13 @@ BOARD_ENDS = (r"(?:financial\s+statements|report\s+of\s+independent)", r"(?:prox
 BOUNDARY = r">[\s]*Statement\s+of\s+Additional\s+Information[\s]*<"
 BOUNDARY_PHRASE = r"This\s+Statement\s+of\s+Additional\s+Information"
 _NAME = r"[A-Z][A-Za-z0-9 &\.\-\/]{4,100}?Fund"
+# what must follow a name for its cue to match: the name alone is tried at every letter, so it is tried where this is found
+_BECOMES = r"\s+(?:will\s+be|is\s+being|shall\s+be)\s+(?:reorganized|acquired|merged)"
+_CALLED = r"\s*\(\s*(?:the\s+)?[\"“]?(?:{})\s+Fund"
+CUE_NEEDS = {
+    0: rf"(?i)Fund{_BECOMES}", 2: rf"(?i)Fund{_CALLED.format('Acquired|Target')}",
+    6: rf"(?i)Fund{_CALLED.format('Acquiring|Surviving|Successor')}",
+}
 TARGET_CUES = (
     rf"(?i)(?:the\s+)?({_NAME})\s+(?:will\s+be|is\s+being|shall\s+be)\s+(?:reorganized|acquired|merged)",
     rf"(?i)reorganization\s+of\s+(?:the\s+)?({_NAME})\b",
@@ -105,7 +112,7 @@ def after_boundary(html: Column) -> Column:
     else the introductory phrase, else everything."""
     middle = F.floor(F.length(html) / 2).cast("int")
     late = X.from_first(F.substring(html, middle + 2, F.length(html)), BOUNDARY)
-    last = X.first_match(html, rf"(?i)^[\s\S]*((?:{BOUNDARY})[\s\S]*)")
+    last = X.first_match(html, rf"(?i)^(?s:.*)((?:{BOUNDARY})(?s:.*))")
     return F.coalesce(late, last, X.from_first(html, BOUNDARY_PHRASE), html)
 
 
@@ -127,7 +134,17 @@ def _amount(c: Column, report: bool) -> Column:
         year_like = (v > 2019) & (v < 2031)
         return F.when(~year_like if report else ((v > 100) & ~year_like) | (v == 0), v)
 
-    return let(F.trim(F.translate(c, "$, ", "")).try_cast("double"), keep)
+    return let(_number(F.trim(F.translate(c, "$, ", ""))), keep)
+
+
+def _number(text: Column) -> Column:
+    """Text as a double, else null.  A cast that fails throws, which costs far more than a look: what begins with a letter
+    that begins no number, or has neither a digit nor an n (NaN, Infinity), is not cast."""
+    return F.when(text.rlike(r"(?s)^(?![A-HJ-MO-Za-hj-mo-z]).*[0-9nN]"), text.try_cast("double"))
+
+
+def _year(cell: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(cell, pattern, group), F.lit("")).cast("int")
 
 
 _PLACE = 1 << 20  # rows of a table, in the number that orders rows
@@ -148,7 +165,7 @@ def _year_columns(rows: Column, table: Column, report: bool) -> Column:
     first = F.array_position(F.transform(rows, lambda r: F.exists(r, lambda c: _amount(c, report).isNotNull())), F.lit(True))
     heads = F.slice(rows, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(rows)).cast("int"))
     years = F.sort_array(F.array_distinct(F.filter(
-        F.transform(F.flatten(heads), lambda c: F.regexp_extract(c, r"20\d{2}", 0).try_cast("int")), lambda y: y.isNotNull())), asc=False)
+        F.transform(F.flatten(heads), lambda c: _year(c, r"20\d{2}", 0)), lambda y: y.isNotNull())), asc=False)
 
     def paired(cells: Column, at: Column, years: Column) -> Column:
         name = F.coalesce(F.get(cells, F.lit(0)), F.lit(""))
@@ -172,17 +189,20 @@ def _broker_rows(rows: Column, table: Column) -> Column:
     def step(state: Column, cells: Column) -> Column:
         first = F.trim(F.get(cells, F.lit(0)))
         named = (F.length(first) > 5) & ~first.rlike(r"^[\d\$%,.\s\-]+$") & ~_has_any(first, BROKER_ROW_SKIP)
-        years = F.filter(F.transform(cells, lambda c: F.regexp_extract(F.trim(c), r"^(20\d{2})$", 1).try_cast("int")), lambda y: y.isNotNull())
+        years = F.filter(F.transform(cells, lambda c: _year(F.trim(c), r"^(20\d{2})$", 1)), lambda y: y.isNotNull())
         amounts = F.filter(F.transform(cells, lambda c, i: F.when(
-            F.trim(c) == "$", F.replace(F.get(cells, i + 1), F.lit(","), F.lit("")).try_cast("double"))), lambda v: v.isNotNull() & (v > 100))
+            F.trim(c) == "$", _number(F.replace(F.get(cells, i + 1), F.lit(","), F.lit(""))))), lambda v: v.isNotNull() & (v > 100))
         fund = F.when(F.coalesce(named, F.lit(False)), first).otherwise(state["fund"])
-        year = F.coalesce(F.get(years, F.size(years) - 1), state["year"])
-        new = F.when(fund.isNotNull() & year.isNotNull(), F.transform(amounts, lambda v: F.struct(
-            fund.alias("fund_name"), year.alias("year"), v.alias("amount"), state["at"].alias("at"))))
-        kept = F.size(cells) >= 3
-        return F.struct(
-            F.when(kept, fund).otherwise(state["fund"]).alias("fund"), F.when(kept, year).otherwise(state["year"]).alias("year"),
-            (state["at"] + 1).alias("at"), F.concat(state["found"], F.coalesce(F.when(kept, new), F.array().cast(_FOUND))).alias("found"))
+        year = F.coalesce(let(years, lambda ys: F.get(ys, F.size(ys) - 1)), state["year"])
+
+        def after(now: Column) -> Column:
+            new = F.when(now["fund"].isNotNull() & now["year"].isNotNull(), F.transform(amounts, lambda v: F.struct(
+                now["fund"].alias("fund_name"), now["year"].alias("year"), v.alias("amount"), state["at"].alias("at"))))
+            return F.struct(now["fund"].alias("fund"), now["year"].alias("year"), (state["at"] + 1).alias("at"),
+                            F.concat(state["found"], F.coalesce(new, F.array().cast(_FOUND))).alias("found"))
+
+        unchanged = F.struct(state["fund"].alias("fund"), state["year"].alias("year"), (state["at"] + 1).alias("at"), state["found"].alias("found"))
+        return F.when(F.size(cells) >= 3, let(F.struct(fund.alias("fund"), year.alias("year")), after)).otherwise(unchanged)
 
     start = F.struct(F.lit(None).cast("string").alias("fund"), F.lit(None).cast("int").alias("year"),
                      (table * _PLACE + 1).cast("bigint").alias("at"), F.array().cast(_FOUND).alias("found"))
@@ -196,9 +216,12 @@ def commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
     A document's tables are cut once, and both readings of them are arrays, so nothing is shuffled before the sums.
     """
     def chosen(tables: Column) -> Column:
-        wide = _joined(tables, lambda rows, n: _year_columns(rows, n, False))
-        enough = F.coalesce(F.array_max(F.transform(wide, lambda x: x["amount"])) >= 1000, F.lit(False))
-        return F.struct(enough.alias("wide"), F.when(enough, wide).otherwise(_joined(tables, _broker_rows)).alias("rows"))
+        def pick(wide: Column) -> Column:
+            enough = F.coalesce(F.array_max(F.transform(wide, lambda x: x["amount"])) >= 1000, F.lit(False))
+            return let(enough, lambda e: F.struct(
+                e.alias("wide"), F.when(e, wide).otherwise(_joined(tables, _broker_rows)).alias("rows")))
+
+        return let(_joined(tables, lambda rows, n: _year_columns(rows, n, False)), pick)
 
     part = X.section(after_boundary(F.col(html)), COMMISSION_STARTS, COMMISSION_ENDS)
     rows = docs.select(key, F.inline(F.array(let(_tables(part), chosen)))).select(key, "wide", F.inline("rows"))
@@ -314,8 +337,13 @@ def merger_facts(docs: DataFrame, key: str, html: str, company: str) -> DataFram
     """Names on both sides of a merger, its kind and a summary sentence, from the whole document."""
     d = docs.select(key, F.col(company).alias("_company"), F.col(html).isNotNull().alias("_body"),
                     X.plain_text(F.coalesce(F.col(html), F.lit("")), "merger").alias("_t"))
+
+    def hits(cue: str) -> Column:
+        found, need = F.regexp_extract_all("_t", F.lit(cue), F.lit(1)), CUE_NEEDS.get((*TARGET_CUES, *ACQUIRER_CUES).index(cue))
+        return F.when(F.col("_t").rlike(need), found).otherwise(F.array().cast("array<string>")) if need else found
+
     names = lambda cues: F.array_distinct(F.filter(F.transform(
-        F.concat(*[F.regexp_extract_all("_t", F.lit(c), F.lit(1)) for c in cues]), F.trim), lambda n: n != ""))
+        F.concat(*map(hits, cues)), F.trim), lambda n: n != ""))
     f = d.select(
         key, "_company", "_body", names(TARGET_CUES).alias("_targets"), names(ACQUIRER_CUES).alias("_acquirers"),
         F.trim(F.regexp_extract("_t", SNIPPET, 0)).alias("summary"),

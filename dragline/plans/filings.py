@@ -807,7 +807,7 @@ def turnover_history(v):
   CASE WHEN c_acctbal >= 0 AND c_acctbal < 7000 THEN c_mktsegment || ' Alpha ' || c_custkey || ' Fund' ELSE '' END AS targets, CASE WHEN c_acctbal >= 0 AND c_acctbal < 2500 THEN c_mktsegment || ' Beta Fund' WHEN c_acctbal >= 0 AND c_acctbal < 5000 THEN 'Global Beta Fund' ELSE '' END AS acquirers,
   CASE WHEN c_acctbal >= 7000 AND c_acctbal < 9000 THEN 'proposed reorganization is described in the enclosed papers for holders.' ELSE '' END AS summary FROM customer""")
 def merger_classification(v):
-    docs = v.table("customer").selectExpr(
+    docs = v.dealt(v.table("customer").select("c_custkey", "c_mktsegment", "c_acctbal")).selectExpr(
         "c_custkey as doc", "concat(' ', lower(c_mktsegment), ' Trust') as company",
         """case when c_acctbal < 0 then null else concat(repeat('<p>cover page;&nbsp;words</p>', 20), case
           when c_acctbal < 5000 then concat('<b>Notice:</b> ;the ', c_mktsegment, ' Alpha ', c_custkey, ' Fund will be reorganized into the ', if(c_acctbal < 2500, concat(c_mktsegment, ' Beta'), 'Global Beta'), ' Fund, a series of it; shares of the ', if(c_acctbal < 2500, concat(c_mktsegment, ' Beta'), 'Global Beta'), ' Fund will be issued')
@@ -835,7 +835,7 @@ def fee_parser_routing(v):
 
 def _report_docs(v):
     """A shareholder report for every customer: commissions, financial highlights, board approval; some lack a part."""
-    return v.table("customer").selectExpr(
+    return v.dealt(v.table("customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")).selectExpr(
         "c_custkey as doc",
         """concat('<p>letter</p>', if(c_acctbal < 0, '', concat('<p>Brokerage commissions paid by the funds</p><table><tr><td>Fund</td><td>2022</td><td>2021</td></tr><tr><td>Alpha ', c_custkey, '</td><td>$ ', format_number(c_custkey + 5000, 0), '</td><td>', c_nationkey + 1,
           '</td></tr><tr><td>Total</td><td>9</td><td>9</td></tr></table> Directed brokerage <table><tr><td>x</td><td>2019</td></tr><tr><td>Late</td><td>77</td></tr></table>')),
