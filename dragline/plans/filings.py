@@ -95,7 +95,8 @@ def holdings_form_headers(v):
 
 
 def _census_docs(v: FundViews) -> DataFrame:
-    return v.table("customer").selectExpr(
+    columns = ("c_custkey", "c_nationkey", "c_name", "c_mktsegment", "c_acctbal")
+    return v.dealt(v.table("customer").select(*columns)).selectExpr(
         "c_custkey as series_id", "c_nationkey as filer",
         """concat('<edgarSubmission xmlns="http://www.sec.gov/edgar/ncen"><headerData><reportCalendarOrQuarter>2024-06-30</reportCalendarOrQuarter></headerData><formData>',
             '<managementInvestmentQuestionSeriesInfo><managementInvestmentQuestion><mgmtInvFundName>', c_name, '</mgmtInvFundName>',

@@ -15,7 +15,7 @@ from dragline.sources.fund_views import FundViews
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("docs", ["_fee_docs", "_class_docs", "_prose_docs", "_report_docs"])
+@pytest.mark.parametrize("docs", ["_fee_docs", "_class_docs", "_prose_docs", "_report_docs", "_census_docs"])
 def test_documents_of_one_split_reach_all_tasks(spark, docs):
     made = getattr(filings, docs)(FundViews(spark, SMALL))
     sizes = [len(p) for p in made.select(F.lit(1)).rdd.glom().collect()]
