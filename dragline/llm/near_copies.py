@@ -2,9 +2,14 @@
 
 Candidates come from two places.  SimHash fingerprints of the shingles link by the pigeonring chains of ``simhash``; at a
 similarity of 0.8 fingerprints differ in about 10 of 64 bits, though, and no chain of segments that is selective enough
-for a join key reaches that far.  So minima of ``BANDS`` x ``ROWS`` permutations of the shingles add keys: documents that
-share the minima of a band meet, of a pair at 0.8 all but one in fifty.  A key's documents are compared with its least
-and its greatest member, never with each other, so a popular key costs two rows a document.
+for a join key reaches that far.  So a text's shingles (a set of n) are put into one order for all texts, rare ones first
+(counts of hashed shingles in a table of fixed size, then the hash), and each of the first n/5 + 1 is a key: two texts at
+0.8 or more share a key, whatever the order, and from the first key they share (places i and j) the sets have
+min(n - i, m - j) shingles in common at most.  No pair is left out.
+
+A key's texts are first compared with its least and its greatest member, which joins large groups of near copies at two
+rows a text.  Then every pair of a key's texts that still lie in different groups, and whose sizes and places allow the
+similarity, is compared; texts of popular keys are dealt out as pairs of parts of about ``PART``.
 
 Every candidate pair is checked on its whole shingle sets (40 bits a shingle); documents that are linked, however far,
 are a group, of which the row with the smallest id stays.
@@ -20,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dragline.llm.components import roots
+from dragline.llm.line_dedup import SLOTS, rarity, slot_counts
 from dragline.llm.shared import content_keys, giving_back, stored, unused
 from dragline.llm.simhash import links
 from dragline.llm.words import column_bytes, mixed, word_hashes
@@ -31,12 +37,12 @@ from dragline.scale import settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 5
+PART = 2048
 _SLICE = 1 << 22  # bytes of text at once
 _WIDTH = 5  # bytes of a shingle in a set
-_rng = np.random.default_rng(11)
-_XOR = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_TIMES = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_CUT = np.uint64(64 - 8 * _WIDTH)
+_SLOT = np.uint64(8 * _WIDTH - (SLOTS - 1).bit_length())  # a shingle's slot is the head of its bytes
+_DOC, _RANK = np.uint64(48), np.uint64(40)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,58 +82,112 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found, np.r_[0, np.cumsum(n)]
 
 
-def sketch(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash fingerprint and band keys (a row of BANDS) of each text."""
+def sketch(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """SimHash fingerprint of each text."""
     n = np.diff(begin)
     some = np.flatnonzero(n)
     at = begin[:-1][some]
     fp = np.zeros(len(n), np.uint64)
-    least = np.zeros((len(n), BANDS * ROWS), np.uint64)
     if len(some):
         for bit in range(64):
             ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), at)
             fp[some] |= (2 * ones > n[some]).astype(np.uint64) << np.uint64(bit)
-        with np.errstate(over="ignore"):
-            for r in range(BANDS * ROWS):
-                least[some, r] = np.minimum.reduceat((hashes ^ _XOR[r]) * _TIMES[r], at)
-    keys = np.empty((len(n), BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            key = np.full(len(n), band, np.uint64)
-            for r in range(ROWS):
-                key = mixed(key * _STEP + least[:, band * ROWS + r])
-            keys[:, band] = key
-    return fp, keys
+    return fp
+
+
+def prefixes(hashes: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The size of each text's set, the keys of its prefix in order, and where each text's keys begin."""
+    sizes, keys, posts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(begin) - 1, 1 << 16):  # a text's number has 16 bits
+        ends = begin[low : low + (1 << 16) + 1]
+        member = hashes[ends[0] : ends[-1]] >> _CUT
+        of = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
+        rank = classes[(member >> _SLOT).astype(np.int64)].astype(np.uint64)
+        all_ = np.sort((of << _DOC) | (rank << _RANK) | member)
+        all_ = all_[np.r_[True, all_[1:] != all_[:-1]]] if len(all_) else all_
+        of = (all_ >> _DOC).astype(np.int64)
+        size = np.bincount(of, minlength=len(ends) - 1)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        # n - ceil(0.8 n) + 1 shingles
+        taken = np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
+        keys.append((all_ & np.uint64((1 << 40) - 1))[place < taken[of]].astype(np.int64))
+        sizes.append(size)
+        posts.append(taken)
+    return np.concatenate(sizes), np.concatenate(keys), np.r_[0, np.cumsum(np.concatenate(posts))]
+
+
+def _shingle_slots(column: pa.Array) -> Iterator[np.ndarray]:
+    for part in _slices(pa.record_batch([column], names=["body"]), 0):
+        yield (shingles(part.column(0))[0] >> _CUT >> _SLOT).astype(np.int64)
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, a, b, t, fp, bands): a and b name a row by its content, t its text."""
+    """(id, a, b, t, fp, size, prefix): a and b name a row by its content, t its text."""
+    one, two = content_keys(key, text)
+    body = F.coalesce(F.col(text), F.lit(""))
+    counted = slot_counts(docs.select(body.cast("binary").alias("body")), _shingle_slots)
+    classes = docs.sparkSession.sparkContext.broadcast(rarity(counted))
 
     def run(batches):
         for batch in (part for whole in batches for part in _slices(whole, 4)):
-            fp, keys = sketch(*shingles(batch.column(4)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.record_batch([*batch.columns[:4], pa.array(fp.view(np.int64)), bands], names=["id", "a", "b", "t", "fp", "bands"])
+            hashes, begin = shingles(batch.column(4))
+            size, keys, posts = prefixes(hashes, begin, classes.value)
+            prefix = pa.ListArray.from_arrays(pa.array(posts, pa.int32()), pa.array(keys))
+            yield pa.record_batch(
+                [*batch.columns[:4], pa.array(sketch(hashes, begin).view(np.int64)), pa.array(size, pa.int64()), prefix],
+                names=["id", "a", "b", "t", "fp", "size", "prefix"])
 
-    one, two = content_keys(key, text)
-    body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), one.alias("a"), two.alias("b"), F.xxhash64(body, F.lit("copy")).alias("t"), body.cast("binary").alias("body"))
     kind = docs.schema[key].dataType.simpleString()
-    return stored(rows.mapInArrow(giving_back(run), f"id {kind}, a long, b long, t long, fp long, bands array<long>"), "sketches")
+    return stored(
+        rows.mapInArrow(giving_back(run), f"id {kind}, a long, b long, t long, fp long, size long, prefix array<long>"), "sketches")
+
+
+def _posted(sketched: DataFrame) -> DataFrame:
+    """(key, t, size, place, low, high) of each key that several texts post; low and high are its ends."""
+    post = F.struct("t", "size", "place")
+    of_key = Window.partitionBy("key")
+    rows = sketched.dropDuplicates(["t"]).select("t", "size", F.posexplode("prefix").alias("place", "key"))
+    ends = rows.withColumns({"low": F.min(post).over(of_key), "high": F.max(post).over(of_key)})
+    return stored(ends.filter("low.t < high.t"), "shingle-posts")
 
 
-def candidates(sketched: DataFrame) -> DataFrame:
-    """(u, v), u > v: pairs of texts to compare."""
-    keys = sketched.select("t", F.explode("bands").alias("key")).distinct()
-    ends = keys.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high")
-    banded = keys.join(ends, "key").select("t", F.explode(F.array("low", "high")).alias("o"))
-    fps = sketched.groupBy("fp").agg(F.min("t").alias("low"))
+def _may_link(a: Column, b: Column) -> Column:
+    """Whether sets can be similar enough that first share a key at these places (structs with size and place)."""
+    n, m = a["size"], b["size"]
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * F.least(n - a["place"], m - b["place"]) >= 4 * (n + m))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("t <> o").select(F.greatest("t", "o").alias("u"), F.least("t", "o").alias("v")).distinct()
+
+
+def candidates(sketched: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """(u, v), u > v: pairs of texts to compare first."""
+    posted = _posted(sketched) if posted is None else posted
+    ends = (
+        posted.withColumn("own", F.struct("size", "place")).withColumn("end", F.explode(F.array("low", "high")))
+        .filter(_may_link(F.col("own"), F.col("end"))).select("t", F.col("end.t").alias("o")))
+    fps = sketched.groupBy("fp").agg(F.min_by("t", "size").alias("low"))  # texts without words meet one of their own
     equal = sketched.select("t", "fp").distinct().join(fps, "fp").select("t", F.col("low").alias("o"))
     near = links(fps.select("fp"))
     a, b = (fps.select(F.col("fp").alias(c), F.col("low").alias(t)) for c, t in (("a", "t"), ("b", "o")))
     ring = near.join(a, "a").join(b, "b").select("t", "o")
-    every = banded.union(equal).union(ring).filter("t <> o")
-    return every.select(F.greatest("t", "o").alias("u"), F.least("t", "o").alias("v")).distinct()
+    return _ordered(ends.union(equal).union(ring))
+
+
+def between_groups(posted: DataFrame, joined: DataFrame) -> DataFrame:
+    """(u, v), u > v: all pairs of texts of different groups that share a key and may be similar enough."""
+    rows = posted.join(joined.withColumnRenamed("node", "t"), "t", "left").select(
+        "key", "t", F.struct("size", "place").alias("own"), F.coalesce("root", "t").alias("root"))
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter(
+        "low < high").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    dealt = settle(rows.join(split, "key").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = dealt.select("key", F.col("part").alias("i"), every.alias("j"), F.col("t").alias("u"), F.col("own").alias("x"), F.col("root").alias("ru"))
+    y = dealt.select("key", every.alias("i"), F.col("part").alias("j"), F.col("t").alias("v"), F.col("own").alias("y"), F.col("root").alias("rv"))
+    met = x.join(y, ["key", "i", "j"]).filter((F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & _may_link(F.col("x"), F.col("y")))
+    return met.select("u", "v").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -179,13 +239,22 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """The documents that stay: of each group of near copies the row with the smallest id, all columns."""
     a, b, place = (unused(docs, c) for c in ("key_a", "key_b", "place"))
     sketched = _sketched(docs, key, text)
+    posted = _posted(sketched)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")
     first = settle(sketched.groupBy("t").agg(F.min(order).alias("first")))
-    pairs = settle(candidates(sketched))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
-    wanted = first.join(ends, "t").select(F.col("first.a").alias("_a"), F.col("first.b").alias("_b"), F.col("t").alias("_t"))
     kept = docs.select(F.col(key).alias("id"), F.col(text).alias("body"))
-    joined = roots(linked(pairs, _sets(kept, wanted, "id", "body")))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
+        wanted = first.join(ends, "t").select(F.col("first.a").alias("_a"), F.col("first.b").alias("_b"), F.col("t").alias("_t"))
+        return settle(linked(pairs, _sets(kept, wanted, "id", "body")))
+
+    pairs = settle(candidates(sketched, posted))
+    edges = similar(pairs)
+    joined = roots(edges)
+    rest = settle(between_groups(posted, joined).join(pairs, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        joined = roots(edges.union(similar(rest)))
     stay = (
         first.join(joined, first["t"] == joined["node"], "left")
         .groupBy(F.coalesce("root", "t").alias("root")).agg(F.min("first").alias("first"))

@@ -99,3 +99,33 @@ def test_recall_and_no_clean_document_goes(spark, table):
     stay, want = set(kept(near_copies.one_of_each_group(table(rows)))), set(brute(rows))
     assert want <= stay  # whatever goes has a similar document
     assert len(stay - want) <= 0.02 * (len(rows) - len(want))
+
+
+def test_every_pair_at_the_bound_links(spark, table):
+    """Pairs just above and below 0.8, groups linked in chains only, and a popular passage: exactly the brute force's rows."""
+    rnd = random.Random(31)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    plate = [word() for _ in range(40)]
+    rows = []
+    for g in range(500):  # sets of 96 shingles that differ in 10 or 11 at one end: 86 / 106 and 85 / 107
+        base = [word() for _ in range(100)]
+        rows += [base, base[:-10 - g % 5 // 4] + [word() for _ in range(10 + g % 5 // 4)]]
+    for _ in range(3):  # each is similar to the next, not to the ends
+        walk = [word() for _ in range(400)]
+        rows += [walk[k * 10 : k * 10 + 110] for k in range(25)]
+    rows += [plate + [word() for _ in range(7)] for _ in range(120)]
+    rnd.shuffle(rows)
+    rows = list(enumerate(" ".join(r) for r in rows))
+    assert kept(near_copies.one_of_each_group(table(rows))) == brute(rows)
+
+
+def test_popular_keys_are_dealt_as_pairs_of_parts(spark, monkeypatch):
+    """All pairs of a key's texts in different groups come, once, whatever the number of parts."""
+    monkeypatch.setattr(near_copies, "PART", 3)
+    rows = [(7, t, 100 + t, 0) for t in range(20)] + [(8, t, 100, 15) for t in range(20)]
+    posted = spark.createDataFrame(rows, "key long, t long, size long, place long")
+    joined = spark.createDataFrame([(1, 0), (2, 0), (5, 4)], "node long, root long")
+    got = [(r.u, r.v) for r in near_copies.between_groups(posted, joined).collect()]
+    root = {1: 0, 2: 0, 5: 4}
+    want = {(u, v) for u in range(20) for v in range(u) if root.get(u, u) != root.get(v, v)}
+    assert len(got) == len(want) and set(got) == want
