@@ -13,8 +13,9 @@ counted exactly over the training documents; a piece of evidence gives the smoot
 documents (a training document's own label left out).  A logistic model maps a document's two strongest words and its
 number of words to a score.
 
-Learns only from training rows, at most about ``TRAIN_ROWS`` of the labelled ones (a documented sample by hash of the
-id; all of them where there are fewer), so labels are broadcast at a bounded size; the evidence kept is at most
+Learns from all labelled training rows.  Labels meet their documents in a join by hash; a bitmap of ``BITS`` bits, a
+fixed size, first tells most documents without a label, whose texts then stay where they are.  The logistic model's
+sums are added up by tasks in whole numbers, so no order of rows changes them.  The evidence kept is at most
 ``MOST_EVIDENCE``.  Every document is scored over its whole text.
 
 Defined cases: null and empty texts have no evidence and get the model's score for that; a null id counts as the empty
@@ -41,7 +42,7 @@ from dragline.scale import settle
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-TRAIN_ROWS = 100_000
+BITS = 1 << 24  # of the bitmap that tells documents that may have a label
 MOST_EVIDENCE = 1 << 18
 MIN_SUPPORT = 3  # toxic training documents that must share a piece of evidence
 PRIOR = 10.0  # documents' worth of the overall share in each smoothed share
@@ -58,6 +59,7 @@ _EDGE = "^"  # before the first and after the last letter
 _LONGEST = 60  # letters of a word worth remembering; longer ones are restored anew each time
 _RUN = re.compile(r"(.)\1\1+", re.DOTALL)
 _KEEP = 1 << 17  # restored words remembered by a worker
+_WHOLE = float(1 << 32)  # the sums of the logistic model are in these parts
 
 
 def in_held_out_fold(key: str) -> Column:
@@ -322,14 +324,24 @@ def _batches(batches):
             yield whole.slice(begin, 1024)
 
 
+def _may_be_labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` without most of those that have no label: by a bit for each label's hash, in pages of 2^15 bits."""
+    place = F.xxhash64("id").bitwiseAND(F.lit(BITS - 1)) + 1
+    pages = known.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    # at most BITS / 8 bytes of pages
+    return rows.withColumn("page", F.bitmap_bucket_number(place)).join(F.broadcast(pages), "page").filter(marked).select(*rows.columns)
+
+
 def _training(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(body, toxic): the training sample; ids and labels are broadcast, at most about TRAIN_ROWS of them."""
+    """(body, toxic): all training rows that have a label."""
     known = settle(
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_held_out_fold("doc_id"))
-        .groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    share = min(1.0, TRAIN_ROWS / max(known.count(), 1))
-    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return rows.filter(~F.col("held_out")).join(F.broadcast(sample), "id").select("body", "toxic")
+        .groupBy(F.col("doc_id").cast(rows.schema["id"].dataType).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    return _may_be_labelled(rows.filter(~F.col("held_out")), known).join(known, "id").select("body", "toxic")
 
 
 def _trigrams(training: DataFrame) -> dict[str, int]:
@@ -396,13 +408,13 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
         return Model({}, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1e-6)
     letters = _trigrams(training)
     shared_by = _counted(training.filter("toxic = 1"), letters, None).filter(F.col("n") >= MIN_SUPPORT)
-    top = shared_by.orderBy(F.desc("n"), "key").limit(MOST_EVIDENCE).collect()
-    keys = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    top = shared_by.orderBy(F.desc("n"), "key").limit(MOST_EVIDENCE).toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, toxic = keys[order], np.array([r[1] for r in top], np.int64)[order]
+    keys, toxic = keys[order], top["n"].to_numpy()[order]
     clean = np.zeros(len(keys), np.int64)
-    for key, n in _counted(training.filter("toxic = 0"), letters, keys).collect():  # at most MOST_EVIDENCE rows
-        clean[np.searchsorted(keys, np.int64(key).view(np.uint64))] = n
+    found = _counted(training.filter("toxic = 0"), letters, keys).toArrow()  # at most MOST_EVIDENCE rows
+    clean[np.searchsorted(keys, found["key"].to_numpy().view(np.uint64))] = found["n"].to_numpy()
     share = counts[1] / total
     model = Model(letters, keys, toxic, toxic + clean, min(max(share, 1e-6), 1 - 1e-6))
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -414,21 +426,35 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
             x = shared.value.strongest(*evidence(batch.column(0), restorer), batch.num_rows, y)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T[1:]), pa.array(y)], names=["a", "b", "c", "y"])
 
-    # at most about TRAIN_ROWS rows of four numbers
-    data = np.array(training.select("body", "toxic").mapInArrow(columns, "a double, b double, c double, y long").collect())
-    model.weights = _logistic(np.column_stack([np.ones(len(data)), data[:, :3]]), data[:, 3])
+    model.weights = _logistic(stored(
+        training.select("body", "toxic").mapInArrow(columns, "a double, b double, c double, y long"), "toxic-columns"))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton's method with a slight ridge; rows in any order give the same sums."""
-    order = np.lexsort(x.T)
-    x, y, w = x[order], y[order], np.zeros(x.shape[1])
+def _logistic(data: DataFrame) -> np.ndarray:
+    """Newton's method with a slight ridge over columns a, b, c and the label y."""
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches):
+            total = np.zeros(4 + 16, np.int64)
+            for batch in batches:
+                a, b, c, y = (batch.column(i).to_numpy().astype(float) for i in range(4))
+                x = np.column_stack([np.ones(len(a)), a, b, c])
+                p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
+                part = np.column_stack([x * (y - p)[:, None], ((x * (p * (1 - p))[:, None])[:, :, None] * x[:, None, :]).reshape(-1, 16)])
+                total += np.rint(part * _WHOLE).astype(np.int64).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(total)], names=["cell", "value"])
+
+        found = data.mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.sum(F.col("value").cast("decimal(38,0)"))).collect()
+        out = np.zeros(20)
+        for cell, value in found:
+            out[cell] = float(value) / _WHOLE
+        return out[:4], out[4:].reshape(4, 4)
+
+    w = np.zeros(4)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - 1e-3 * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        slope, bend = sums(w)
+        step = np.linalg.solve(bend + 1e-3 * np.eye(4), slope - 1e-3 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from awkward_rows import ROWS
+from pyspark.sql import functions as F
 
 from dragline.llm import toxicity
 from dragline.llm.words import SPACE, spans
@@ -85,3 +86,30 @@ def test_runs_hold_any_single_letter_or_sign():
     first, last = spans(data, np.zeros(0, np.int64), SPACE)
     low, high, _, begin, end = toxicity.marked_words(data, first, last)
     assert list(zip(begin.tolist(), end.tolist(), strict=True)) == [(1, 5), (6, 9)] and low[3] == high[3]
+
+
+def test_all_labelled_rows_are_learned_from(spark, table):
+    """Labels of any number, the bitmap of which is crowded, each meet their document, and no other row does."""
+    n = 160_000  # 120,000 of them are not held out
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    docs = spark.range(0, 2 * n, 2).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
+    got = toxicity._training(toxicity._rows(docs, "doc_id", "text", F.lit(0)), labels)
+    want = {(str(i).encode(), int(i % 3 == 0)) for i in range(0, n, 2) if zlib.crc32(str(i).encode()) % 4 != 2}
+    rows = [(bytes(r.body), r.toxic) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    all_ = [(str(i).encode(), int(i % 3 == 0)) for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    every = toxicity._training(toxicity._rows(labels.selectExpr("doc_id", "CAST(doc_id AS STRING) AS text"), "doc_id", "text", F.lit(0)), labels)
+    assert every.count() == len(all_)
+
+
+def test_weights_by_sums_of_tasks(spark):
+    """The distributed steps reach the maximum: the slope vanishes there."""
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(5000, 3))
+    y = (rnd.random(5000) < 1 / (1 + np.exp(-(x @ [1.5, -2.0, 0.5] - 1)))).astype(int)
+    data = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y long")
+    w = toxicity._logistic(data)
+    full = np.column_stack([np.ones(len(x)), x])
+    slope = full.T @ (y - 1 / (1 + np.exp(-full @ w))) - 1e-3 * w
+    assert np.abs(slope).max() < 1e-4
+    assert (toxicity._logistic(data.repartition(5)) == w).all()
