@@ -9,7 +9,9 @@ min(n - i, m - j) shingles in common at most.  No pair is left out.
 
 A key's texts are first compared with its least and its greatest member, which joins large groups of near copies at two
 rows a text.  Then every pair of a key's texts that still lie in different groups, and whose sizes and places allow the
-similarity, is compared; texts of popular keys are dealt out as pairs of parts of about ``PART``.
+similarity, is compared; texts of popular keys are dealt out as pairs of parts of about ``PART``.  There a bitmap comes
+before the sets: a text's shingles are dealt over ``BITS`` places, and a bit is one where their number is odd.  Bits that
+differ are no more than the shingles that only one of two texts has, so pairs with too many of them leave the join there.
 
 Every candidate pair is checked on its whole shingle sets (40 bits a shingle); documents that are linked, however far,
 are a group, of which the row with the smallest id stays.
@@ -38,10 +40,12 @@ from dragline.scale import settle
 SHINGLE = 5
 SIMILARITY = 0.8
 PART = 2048
+BITS = 512  # of a text's bitmap; tells pairs of up to about a thousand shingles apart
 _SLICE = 1 << 22  # bytes of text at once
 _WIDTH = 5  # bytes of a shingle in a set
 _CUT = np.uint64(64 - 8 * _WIDTH)
 _SLOT = np.uint64(8 * _WIDTH - (SLOTS - 1).bit_length())  # a shingle's slot is the head of its bytes
+_TEXTS = 1 << 12  # whose bitmaps are made at once
 _DOC, _RANK = np.uint64(48), np.uint64(40)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +99,10 @@ def sketch(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return fp
 
 
-def prefixes(hashes: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The size of each text's set, the keys of its prefix in order, and where each text's keys begin."""
+def prefixes(hashes: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The size of each text's set, the keys of its prefix in order, where each text's keys begin, and its bitmap."""
     sizes, keys, posts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    bitmaps = [np.zeros(0, np.int64)]
     for low in range(0, len(begin) - 1, 1 << 16):  # a text's number has 16 bits
         ends = begin[low : low + (1 << 16) + 1]
         member = hashes[ends[0] : ends[-1]] >> _CUT
@@ -113,7 +118,14 @@ def prefixes(hashes: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> tupl
         keys.append((all_ & np.uint64((1 << 40) - 1))[place < taken[of]].astype(np.int64))
         sizes.append(size)
         posts.append(taken)
-    return np.concatenate(sizes), np.concatenate(keys), np.r_[0, np.cumsum(np.concatenate(posts))]
+        edges = np.r_[0, np.cumsum(size)]
+        for first in range(0, len(size), _TEXTS):
+            last = min(first + _TEXTS, len(size))
+            cell = slice(edges[first], edges[last])
+            at = (of[cell] - first) * BITS + (all_[cell] & np.uint64(BITS - 1)).astype(np.int64)
+            odd = (np.bincount(at, minlength=(last - first) * BITS) & 1).astype(np.uint8)
+            bitmaps.append(np.packbits(odd, bitorder="little").view(np.int64))
+    return np.concatenate(sizes), np.concatenate(keys), np.r_[0, np.cumsum(np.concatenate(posts))], np.concatenate(bitmaps)
 
 
 def _shingle_slots(column: pa.Array) -> Iterator[np.ndarray]:
@@ -122,7 +134,7 @@ def _shingle_slots(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, a, b, t, fp, size, prefix): a and b name a row by its content, t its text."""
+    """(id, a, b, t, fp, size, prefix, bits): a and b name a row by its content, t its text."""
     one, two = content_keys(key, text)
     body = F.coalesce(F.col(text), F.lit(""))
     counted = slot_counts(docs.select(body.cast("binary").alias("body")), _shingle_slots)
@@ -131,16 +143,17 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for batch in (part for whole in batches for part in _slices(whole, 4)):
             hashes, begin = shingles(batch.column(4))
-            size, keys, posts = prefixes(hashes, begin, classes.value)
+            size, keys, posts, bitmaps = prefixes(hashes, begin, classes.value)
             prefix = pa.ListArray.from_arrays(pa.array(posts, pa.int32()), pa.array(keys))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (BITS // 64), pa.int32()), pa.array(bitmaps))
             yield pa.record_batch(
-                [*batch.columns[:4], pa.array(sketch(hashes, begin).view(np.int64)), pa.array(size, pa.int64()), prefix],
-                names=["id", "a", "b", "t", "fp", "size", "prefix"])
+                [*batch.columns[:4], pa.array(sketch(hashes, begin).view(np.int64)), pa.array(size, pa.int64()), prefix, bits],
+                names=["id", "a", "b", "t", "fp", "size", "prefix", "bits"])
 
     rows = docs.select(F.col(key).alias("id"), one.alias("a"), two.alias("b"), F.xxhash64(body, F.lit("copy")).alias("t"), body.cast("binary").alias("body"))
     kind = docs.schema[key].dataType.simpleString()
     return stored(
-        rows.mapInArrow(giving_back(run), f"id {kind}, a long, b long, t long, fp long, size long, prefix array<long>"), "sketches")
+        rows.mapInArrow(giving_back(run), f"id {kind}, a long, b long, t long, fp long, size long, prefix array<long>, bits array<long>"), "sketches")
 
 
 def _posted(sketched: DataFrame) -> DataFrame:
@@ -176,17 +189,31 @@ def candidates(sketched: DataFrame, posted: DataFrame | None = None) -> DataFram
     return _ordered(ends.union(equal).union(ring))
 
 
-def between_groups(posted: DataFrame, joined: DataFrame) -> DataFrame:
-    """(u, v), u > v: all pairs of texts of different groups that share a key and may be similar enough."""
+def _bits_allow(a: Column, b: Column) -> Column:
+    """Whether bitmaps differ in no more bits than similar sets may have shingles apart: a ninth of both sizes."""
+    apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
+    return 9 * apart <= a["size"] + b["size"]
+
+
+def between_groups(posted: DataFrame, joined: DataFrame, sketched: DataFrame | None = None) -> DataFrame:
+    """(u, v), u > v: all pairs of texts of different groups that share a key and may be similar enough.
+
+    ``sketched`` has the bitmaps of the texts; without it only sizes and places are looked at.
+    """
     rows = posted.join(joined.withColumnRenamed("node", "t"), "t", "left").select(
         "key", "t", F.struct("size", "place").alias("own"), F.coalesce("root", "t").alias("root"))
     split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter(
         "low < high").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    dealt = settle(rows.join(split, "key").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")))
+    meeting, may = rows.join(split, "key"), _may_link(F.col("x"), F.col("y"))
+    if sketched is not None:
+        bitmaps = sketched.select("t", "bits").dropDuplicates(["t"])
+        meeting = meeting.join(bitmaps, "t").withColumn("own", F.struct("own.*", "bits")).drop("bits")
+        may = may & _bits_allow(F.col("x"), F.col("y"))
+    dealt = settle(meeting.withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     x = dealt.select("key", F.col("part").alias("i"), every.alias("j"), F.col("t").alias("u"), F.col("own").alias("x"), F.col("root").alias("ru"))
     y = dealt.select("key", every.alias("i"), F.col("part").alias("j"), F.col("t").alias("v"), F.col("own").alias("y"), F.col("root").alias("rv"))
-    met = x.join(y, ["key", "i", "j"]).filter((F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & _may_link(F.col("x"), F.col("y")))
+    met = x.join(y, ["key", "i", "j"]).filter((F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & may)
     return met.select("u", "v").distinct()
 
 
@@ -252,7 +279,7 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     pairs = settle(candidates(sketched, posted))
     edges = similar(pairs)
     joined = roots(edges)
-    rest = settle(between_groups(posted, joined).join(pairs, ["u", "v"], "left_anti"))
+    rest = settle(between_groups(posted, joined, sketched).join(pairs, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         joined = roots(edges.union(similar(rest)))
     stay = (

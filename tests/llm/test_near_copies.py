@@ -129,3 +129,19 @@ def test_popular_keys_are_dealt_as_pairs_of_parts(spark, monkeypatch):
     root = {1: 0, 2: 0, 5: 4}
     want = {(u, v) for u in range(20) for v in range(u) if root.get(u, u) != root.get(v, v)}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_pairs_far_apart_do_not_leave_the_join_of_a_popular_passage(spark, table):
+    """Texts that share a passage only are told apart by bitmaps before their sets are fetched; no similar pair is."""
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    plate = [word() for _ in range(40)]
+    rows = [plate + [word() for _ in range(7)] for _ in range(120)]
+    rows += [rows[i][:-2] + [word() for _ in range(2)] for i in range(20)]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    sketched = near_copies._sketched(table(rows), "doc_id", "text")
+    name = {r.id: r.t for r in sketched.collect()}
+    apart = spark.createDataFrame([], "node long, root long")
+    found = {frozenset((r.u, r.v)) for r in near_copies.between_groups(near_copies._posted(sketched), apart, sketched).collect()}
+    want = {frozenset((name[i], name[j])) for i, j in similar_pairs([shingle_set(t) for _, t in rows])}
+    assert len(want) >= 20 and want <= found and len(found) <= 5 * len(want)
