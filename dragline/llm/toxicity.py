@@ -341,7 +341,8 @@ def _training(rows: DataFrame, labels: DataFrame) -> DataFrame:
     known = settle(
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_held_out_fold("doc_id"))
         .groupBy(F.col("doc_id").cast(rows.schema["id"].dataType).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    return _may_be_labelled(rows.filter(~F.col("held_out")), known).join(known, "id").select("body", "toxic")
+    # never as a broadcast, which few labels would be: shuffle and disk then grow with the input at every size
+    return _may_be_labelled(rows.filter(~F.col("held_out")), known).join(known.hint("merge"), "id").select("body", "toxic")
 
 
 def _trigrams(training: DataFrame) -> dict[str, int]:

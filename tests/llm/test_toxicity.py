@@ -113,3 +113,14 @@ def test_weights_by_sums_of_tasks(spark):
     slope = full.T @ (y - 1 / (1 + np.exp(-full @ w))) - 1e-3 * w
     assert np.abs(slope).max() < 1e-4
     assert (toxicity._logistic(data.repartition(5)) == w).all()
+
+
+def test_few_labels_meet_their_documents_as_many_do(spark, table):
+    """The join with labels never turns into a broadcast: its shuffle grows with the input from the smallest size on."""
+    rows = [(i, f"word{i} text") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)], "doc_id long, toxic int")
+    training = toxicity._training(toxicity._rows(table(rows), "doc_id", "text", F.lit(0)), labels)
+    assert training.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 400, 3))
+    training.collect()
+    plan = training._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # the pages of bits
