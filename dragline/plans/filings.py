@@ -61,7 +61,7 @@ def _holding_docs(v: FundViews) -> DataFrame:
 SELECT series_id, period, count(*) AS positions, CAST(sum(value_usd) AS DOUBLE) AS value_usd, count(*) FILTER (issuer_category <> 'RF') AS with_balance,
   min(cusip) AS first_cusip, max(isin) AS last_isin FROM v_holding WHERE linenumber NOT IN (6, 7) GROUP BY 1, 2"""))
 def holdings_xml(v):
-    h = XML.holdings_of(XML.parse_holdings_form(_holding_docs(v)))
+    h = XML.holdings_of(XML.parse_holdings_form(_holding_docs(v), columns=("value_usd", "balance", "cusip", "isin")))
     return h.groupBy("series_id", "period").agg(
         F.count("*").alias("positions"), dbl(F.sum(F.col("value_usd").cast("decimal(18,2)"))).alias("value_usd"),
         F.count("balance").alias("with_balance"), F.min("cusip").alias("first_cusip"), F.max("isin").alias("last_isin"),
@@ -73,7 +73,8 @@ SELECT series_id, period, instrument_type, counterparty_name, count(*) AS positi
   count(*) FILTER (asset_category <> 'DO') AS in_dollars, {R('CAST(sum(unrealized_usd) AS DOUBLE)')} AS unrealized_usd
 FROM v_holding WHERE linenumber NOT IN (6, 7) AND instrument_type IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def derivatives_xml(v):
-    h = XML.holdings_of(XML.parse_holdings_form(_holding_docs(v))).filter(F.col("instrument_type").isNotNull())
+    columns = ("instrument_type", "counterparty_name", "notional_usd", "unrealized_usd")
+    h = XML.holdings_of(XML.parse_holdings_form(_holding_docs(v), columns=columns)).filter(F.col("instrument_type").isNotNull())
     exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)"))
     return h.groupBy("series_id", "period", "instrument_type", "counterparty_name").agg(
         F.count("*").alias("positions"), rnd(F.coalesce(dbl(exact("notional_usd")), F.lit(0.0))).alias("notional_usd"),
@@ -85,7 +86,7 @@ def derivatives_xml(v):
 SELECT series_id, period, count(*) AS forms, CAST(sum(CAST(abs(value_usd) * 10 AS DECIMAL(18,2))) AS DOUBLE) AS net_assets, CAST(max(period || '-12-31') AS DATE) AS period_end
 FROM v_holding WHERE linenumber NOT IN (6, 7) GROUP BY 1, 2"""))
 def holdings_form_headers(v):
-    f = XML.parse_holdings_form(_holding_docs(v))
+    f = XML.parse_holdings_form(_holding_docs(v), columns=())
     return f.groupBy("series_id", "period").agg(
         F.count("*").alias("forms"), dbl(F.sum(F.col("net_assets").cast("decimal(18,2)"))).alias("net_assets"), F.max("period_end").alias("period_end")
     )

@@ -7,6 +7,8 @@ rows.  Only the elements named in the schemas are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,13 +41,21 @@ HOLDING = _struct(
     identifiers=_struct(isin=_struct(_value=_S)),
     derivativeInfo=_struct(**{i: _DERIV for i in INSTRUMENTS}),
 )
-HOLDINGS_FORM = _struct(
-    formData=_struct(
-        genInfo=_struct(**_strings("seriesId", "repPdDate", "repPdEnd")),
-        fundInfo=_struct(**_strings("netAssets")),
-        invstOrSecs=_struct(invstOrSec=T.ArrayType(HOLDING)),
-    )
-)
+#: Which elements of a position each column of ``holdings_of`` is read from; its name decides whether it counts at all.
+HOLDING_COLUMNS = {
+    "name": ("name",), "cusip": ("cusip",), "isin": ("identifiers",), "balance": ("balance",), "value_usd": ("valUSD",),
+    "pct_of_net_assets": ("pctVal",), "asset_category": ("assetCat",), "issuer_category": ("issuerCat",), "country": ("invCountry",),
+    **{c: ("assetCat", "derivativeInfo")
+       for c in ("instrument_type", "notional_usd", "counterparty_name", "counterparty_lei", "unrealized_usd")},
+}
+
+
+def holdings_form(columns: Iterable[str]) -> T.StructType:
+    """Schema of a form with the elements that ``columns`` need; the parser steps over all others, which costs far less."""
+    needed = {e for c in columns for e in ("name", *HOLDING_COLUMNS[c])}
+    positions = {"invstOrSecs": _struct(invstOrSec=T.ArrayType(T.StructType([f for f in HOLDING if f.name in needed])))} if needed else {}
+    return _struct(formData=_struct(
+        genInfo=_struct(**_strings("seriesId", "repPdDate", "repPdEnd")), fundInfo=_struct(**_strings("netAssets")), **positions))
 
 
 def text(c: Column) -> Column:
@@ -61,15 +71,19 @@ def yes(c: Column) -> Column:
     return F.coalesce(text(c) == "Y", F.lit(False))
 
 
-def parse_holdings_form(docs: DataFrame, xml: str = "xml") -> DataFrame:
+def parse_holdings_form(docs: DataFrame, xml: str = "xml", columns: Iterable[str] = tuple(HOLDING_COLUMNS)) -> DataFrame:
     """One row per readable document: keys of ``docs`` plus header fields and the raw positions.
 
+    ``columns`` names what ``holdings_of`` is to find in the positions; with none of them there are no positions.
+
     A document whose own series id differs from ``docs.series_id`` is dropped;
     one without a series id is taken at its word.  The document is parsed once,
     inside the generator, which leaves out what cannot be used; a filter on
     parsed fields would make Spark parse it again.
     """
-    body = F.from_xml(F.col(xml), HOLDINGS_FORM, {"mode": "PERMISSIVE"})
+    columns = tuple(columns)
+    attributes = {} if "isin" in columns else {"excludeAttribute": "true"}  # no other column is read from one
+    body = F.from_xml(F.col(xml), holdings_form(columns), {"mode": "PERMISSIVE", **attributes})
 
     def usable(f: Column) -> Column:
         gen = f["formData"]["genInfo"]
@@ -77,7 +91,7 @@ def parse_holdings_form(docs: DataFrame, xml: str = "xml") -> DataFrame:
         row = F.struct(
             F.coalesce(text(gen["repPdDate"]), text(gen["repPdEnd"])).try_cast("date").alias("period_end"),
             number(f["formData"]["fundInfo"]["netAssets"]).alias("net_assets"),
-            f["formData"]["invstOrSecs"]["invstOrSec"].alias("positions"),
+            *([f["formData"]["invstOrSecs"]["invstOrSec"].alias("positions")] if columns else []),
         )
         return F.when(f["formData"].isNotNull() & own.isin("", F.col("series_id").cast("string")), F.array(row))
 
@@ -85,22 +99,31 @@ def parse_holdings_form(docs: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def holdings_of(form: DataFrame) -> DataFrame:
-    """Positions as rows; nameless ones are left out; derivative fields only for derivatives.
+    """Positions as rows, with the columns whose elements were read; nameless ones are left out; derivative fields only
+    for derivatives.
 
     Every typed subtree has the same fields, so the first one present is picked
     once, as a struct, and read from there.
     """
     keys = [c for c in form.columns if c not in ("positions", "net_assets", "period_end")]
-    d = F.col("h.derivativeInfo")
+    read = set(form.schema["positions"].dataType.elementType.names)
     named = F.filter("positions", lambda p: F.trim(p["name"]) != "")
-    rows = form.select(*keys, F.explode(named).alias("h")).select(
-        *keys, "h", F.trim("h.name").alias("name"), text(F.col("h.assetCat")).alias("asset_category"),
-        F.coalesce(*[d[i] for i in INSTRUMENTS]).alias("s"),
-        F.coalesce(*[F.when(d[i].isNotNull(), F.lit(i)) for i in INSTRUMENTS]).alias("kind"),
-    )
-    deriv = is_derivative(F.col("asset_category"))
-    s = F.when(deriv, F.col("s"))
-    rows = rows.withColumn("s", s).withColumn("kind", F.when(deriv, F.col("kind")))
+    rows = form.select(*keys, F.explode(named).alias("h"))
+    h = F.col("h")
+    plain = {
+        "name": lambda: F.trim(h["name"]), "cusip": lambda: text(h["cusip"]),
+        "isin": lambda: F.nullif(h["identifiers"]["isin"]["_value"], F.lit("")),
+        "balance": lambda: number(h["balance"]), "value_usd": lambda: number(h["valUSD"]), "pct_of_net_assets": lambda: number(h["pctVal"]),
+        "asset_category": lambda: text(h["assetCat"]), "issuer_category": lambda: text(h["issuerCat"]), "country": lambda: text(h["invCountry"]),
+    }
+    plain = [make().alias(c) for c, make in plain.items() if read.issuperset(HOLDING_COLUMNS[c])]
+    if "derivativeInfo" not in read:
+        return rows.select(*keys, *plain)
+    d = h["derivativeInfo"]
+    deriv = is_derivative(text(h["assetCat"]))
+    rows = rows.select(
+        *keys, "h", F.when(deriv, F.coalesce(*[d[i] for i in INSTRUMENTS])).alias("s"),
+        F.when(deriv, F.coalesce(*[F.when(d[i].isNotNull(), F.lit(i)) for i in INSTRUMENTS])).alias("kind"))
     s, kind = F.col("s"), F.col("kind")
     party = lambda f: F.coalesce(
         F.trim(F.get(s["counterpartyInfo"], F.lit(0))[f]), F.trim(F.get(s["counterparties"], F.lit(0))[f]), F.trim(s[f])
@@ -109,12 +132,7 @@ def holdings_of(form: DataFrame) -> DataFrame:
         F.coalesce(F.trim(s["curCd"]), F.lit("")).isin("", "USD"), s["notionalAmt"]
     )
     return rows.select(
-        *keys, "name", text(F.col("h.cusip")).alias("cusip"),
-        F.nullif(F.col("h.identifiers.isin._value"), F.lit("")).alias("isin"),
-        number(F.col("h.balance")).alias("balance"), number(F.col("h.valUSD")).alias("value_usd"),
-        number(F.col("h.pctVal")).alias("pct_of_net_assets"), "asset_category",
-        text(F.col("h.issuerCat")).alias("issuer_category"), text(F.col("h.invCountry")).alias("country"),
-        kind.alias("instrument_type"), F.abs(number(face)).alias("notional_usd"),
+        *keys, *plain, kind.alias("instrument_type"), F.abs(number(face)).alias("notional_usd"),
         party("counterpartyName").alias("counterparty_name"), party("counterpartyLei").alias("counterparty_lei"),
         number(s["unrealizedAppr"]).alias("unrealized_usd"),
     )

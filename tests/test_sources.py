@@ -82,3 +82,21 @@ def test_snapshots_resume_and_force(spark, tmp_path):
     assert outcome(sinks.write_snapshots(d("A", "B"), root, "2026-Q3")) == {"A": "skipped", "B": "written"}
     assert outcome(sinks.write_snapshots(d("A"), root, "2026-Q3", force=True)) == {"A": "written"}
     assert outcome(sinks.write_snapshots(d("A"), root, "2026-Q4")) == {"A": "written"}
+
+
+def test_holdings_form_reads_only_what_is_asked_for(spark):
+    """Equal values with and without the other elements, for whole, bare, foreign, torn and odd documents."""
+    bare = f"<edgarSubmission {NS}><formData><invstOrSecs>{STOCK}</invstOrSecs></formData></edgarSubmission>"
+    odd = form("S1", "<invstOrSec><name lang='en'>A</name><identifiers>x<isin value='I1'/></identifiers><assetCat a='1'>DE</assetCat><derivativeInfo b='2'>y<optionSwaptionWarrantDeriv/></derivativeInfo></invstOrSec>")
+    texts = [form("S1", FORWARD + SWAP + STOCK), form("S9", STOCK), form("", STOCK), bare, odd, form("S1", FORWARD)[:-30], form("S1", "<invstOrSec><name>A</invstOrSec>"),
+             "<edgarSubmission><formData/></edgarSubmission>", "<edgarSubmission/>", "", "x"]
+    docs = spark.createDataFrame([("S1", i, x) for i, x in enumerate(texts)], "series_id string, n int, xml string")
+    whole = XML.parse_holdings_form(docs)
+    rows = lambda d: sorted(map(str, d.collect()))
+    header = XML.parse_holdings_form(docs, columns=())
+    assert header.columns == ["series_id", "n", "period_end", "net_assets"] and rows(header) == rows(whole.select(header.columns))
+    assert len(rows(header)) >= 4
+    full = XML.holdings_of(whole)
+    for some in (("value_usd", "balance", "cusip", "isin"), ("instrument_type", "counterparty_name", "notional_usd", "unrealized_usd"), ("country",)):
+        part = XML.holdings_of(XML.parse_holdings_form(docs, columns=some))
+        assert set(some) <= set(part.columns) < set(full.columns) and rows(part) == rows(full.select(part.columns)), some
