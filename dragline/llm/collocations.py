@@ -428,7 +428,8 @@ def _looked_up(rows: DataFrame, on: str, table: DataFrame, key: Column, values:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)))
     copies = table.select(key.alias(on), *[v.alias(k) for k, v in values.items()],
                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    return salted.join(copies, [on, "salt"]).drop("salt", on)
+    # always merged: the copies are not in Spark's estimate of the size, which would broadcast a table 16 times above it
+    return salted.join(copies.hint("merge"), [on, "salt"]).drop("salt", on)
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -455,7 +456,7 @@ def not_absorbed(candidates: DataFrame, phrases: DataFrame, absorbed: int = ABSO
         inside.append(F.when(_size() == size, F.array(*[_part(b, b + n) for n in range(2, size) for b in range(size - n + 1)])))
     longer = phrases.filter(F.col(KEY[2]) != 0).select("a", F.explode(F.coalesce(*inside)).alias("part"))
     most = longer.groupBy(*[F.col(f"part.{k}").alias(k) for k in KEY]).agg(F.max("a").alias("longest"))
-    joined = candidates.join(most, KEY, "left")
+    joined = candidates.join(most.hint("merge"), KEY, "left")  # parts are not in Spark's estimate of the size either
     return joined.filter(F.col("longest").isNull() | (100 * F.col("longest") < absorbed * F.col("a"))).drop("longest")
 
 

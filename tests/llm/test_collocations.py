@@ -128,3 +128,11 @@ def test_words_that_share_a_hash_are_noticed(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_Words", Few)
     t = collocations._texts(frame(spark, [("en", " ".join(f"w{i}" for i in range(600)))] * 3), "text", "lang")
     assert collocations._vocabulary(t, 1, 0).filter("torn").count()
+
+
+def test_tables_that_grow_behind_an_explode_are_not_broadcast(spark):
+    """The planner does not see the copies of a looked-up table, so its size estimate may not choose the join."""
+    phrases = spark.createDataFrame([(1, 0, 0, 0, 9), (2, 0, 0, 0, 8), (3, 0, 0, 0, 8), (1, 2, 0, 0, 7), (1, 2, 3, 0, 7)], "w0 long, w1 long, w2 long, w3 long, a long")
+    left = collocations.not_absorbed(collocations.scored(phrases), phrases)
+    assert [(x.w0, x.w1, x.w2) for x in left.collect()] == [(1, 2, 3)]
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
