@@ -336,6 +336,27 @@ class Codes:
         return np.stack([self.of_code[c] for c in codes], axis=1), b & 0xFFFFFFFF
 
 
+def _most_frequent(words: DataFrame, most: int) -> np.ndarray:
+    """Hashes of at most ``most`` of the most frequent words; of those at the last frequency that has room, as many as fit, chosen by hash.
+
+    No sort, of which every task would send its first rows to the driver: one row for each frequency (their number grows
+    with the root of all occurrences), then the hashes alone.
+    """
+    levels = words.groupBy("n").count().toArrow()
+    n, count = (levels[c].to_numpy() for c in ("n", "count"))
+    order = np.argsort(-n)
+    n, count = n[order], count[order]
+    whole = int(np.searchsorted(np.cumsum(count), most, side="right"))  # levels that fit as a whole
+    chosen = F.col("n") >= F.lit(int(n[whole - 1])) if whole else F.lit(False)
+    room = most - int(count[:whole].sum())
+    if whole < len(n) and room:
+        chosen = chosen | ((F.col("n") == int(n[whole])) & (F.pmod(F.xxhash64("h"), F.lit(int(count[whole]))) < room))
+    # where the choice by hash is a few too many, words of that level go
+    found = words.filter(chosen).select("h", "n").toArrow()
+    first = np.argsort(-found["n"].to_numpy(), kind="stable")[:most]
+    return found["h"].to_numpy()[first].view(np.uint64)
+
+
 _ROW = ["group", "a", "b", "wide"]
 
 
@@ -404,9 +425,9 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, budget: int = BUDGET,
             if not words.filter("torn").limit(1).count():
                 break
         bits = spark.sparkContext.broadcast(_bitmap(words))
-        coded = words.orderBy(F.col("n").desc(), "h").limit(codes).select("h").toPandas()["h"].to_numpy().astype(np.int64)
+        coded = _most_frequent(words, codes)
         groups, above = partition(texts, words, bits, seed, budget)
-        found = _subtrees(texts, bits, seed, groups, Codes(coded.view(np.uint64)), least)
+        found = _subtrees(texts, bits, seed, groups, Codes(coded), least)
         for counted in above:
             level = len(counted.columns) - 1
             found = found.union(counted.filter(F.col("n") >= least).select(*_padded([F.col(c) for c in KEY[:level]], F.col("n"))))

@@ -136,3 +136,14 @@ def test_tables_that_grow_behind_an_explode_are_not_broadcast(spark):
     left = collocations.not_absorbed(collocations.scored(phrases), phrases)
     assert [(x.w0, x.w1, x.w2) for x in left.collect()] == [(1, 2, 3)]
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_codes_go_to_the_most_frequent_words(spark):
+    words = spark.range(1000).selectExpr("id * 7919 as h", "if(id < 10, 500 + id, if(id < 300, 40, 30)) as n", "id as lang")
+    n_of = {r.h: r.n for r in words.collect()}
+    for most in (0, 1, 10, 15, 299, 300, 700, 1000, 5000):
+        found = collocations._most_frequent(words, most).view(np.int64).tolist()
+        assert len(found) == len(set(found)) <= most and (most not in (0, 1, 10, 300, 1000, 5000) or len(found) == min(most, 1000))
+        left_out = max((n_of[h] for h in set(n_of) - set(found)), default=0)
+        assert min((n_of[h] for h in found), default=1000) >= left_out
+    assert not len(collocations._most_frequent(words.filter("false"), 5))
