@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,21 +99,26 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Col
     the document; nothing is cut to a fixed length.  Null when nothing starts.
     """
 
-    def begin(t: Column) -> Column:
-        return F.coalesce(*[
-            let(from_first(t, p), lambda r, p=p: F.when(
-                r.isNotNull(), F.struct(r.alias("rest"), F.length(F.regexp_extract(r, rf"(?i)^(?:{p})", 0)).alias("skip"))))
-            for p in starts])
+    def cut(start: str):
+        def ended(rest: Column) -> Column:
+            # the start is taken as it was found (atomic), the end is the first behind it: one scan for each end pattern
+            hits = [F.nullif(F.regexp_extract(rest, rf"(?i)^((?>{start}){_until(end)})(?:{end})", 1), F.lit("")) for end in ends]
+            return F.when(rest.isNotNull(), F.coalesce(*hits, rest))
+
+        return ended  # of one argument: a second one, even with a default, would get the place in the array
 
-    def cut(r: Column) -> Column:
-        def end(tail: Column) -> Column:
-            hits = [let(F.split(tail, f"(?i){p}", 2), lambda s: F.when(F.size(s) > 1, F.length(F.get(s, F.lit(0))))) for p in ends]
-            return F.substring(tail, F.lit(1), F.coalesce(*hits, F.length(tail)))
+    return let(text, lambda t: F.coalesce(*[let(from_first(t, p), cut(p)) for p in starts]))
 
-        rest, skip = r["rest"], r["skip"]
-        return F.concat(F.substring(rest, F.lit(1), skip), let(F.substring(rest, skip + 1, F.length(rest)), end))
 
-    return let(let(text, begin), cut)
+def _until(end: str) -> str:
+    """A pattern for everything up to ``end``.  Where each of its alternatives begins with a letter, only places with such a letter
+    are tried; the rest is skipped in runs."""
+    alternatives = re.fullmatch(r"\(\?:([^()]*)\)", end)
+    begins = [re.match(r"[A-Za-z](?![?*{])", a) for a in (alternatives[1] if alternatives else end).split("|")]
+    if not all(begins):
+        return r"(?s:.*?)"
+    letters = "".join(sorted({c for b in begins for c in b[0].lower() + b[0].upper()}))
+    return rf"[^{letters}]*+(?:(?!{end})[{letters}][^{letters}]*+)*+"
 
 
 # -- tables in markup ----------------------------------------------------------
@@ -134,11 +141,12 @@ def row_cells(row: Column, *, heads: bool = True) -> Column:
     raw = F.regexp_extract_all(
         row, F.lit(rf"(?i)<t{kind}\b[^>]*+>([^<]*+(?:<(?!t[dh]\b|/t[dh]>|/tr>)[^<]*+)*+)"), F.lit(1))
 
-    def clean(c: Column) -> Column:
-        c = F.regexp_replace(c, r"\s*<[^>]+>\s*", "")
-        for e, ch in {"&nbsp;": " ", "&#160;": " ", "&amp;": "&", "&mdash;": "—", "&#8212;": "—"}.items():
+    def clean(cell: Column) -> Column:
+        c = F.regexp_replace(cell, r"\s*<[^>]+>\s*", "")
+        for e, ch in {"&nbsp;": " ", "&#160;": " ", "&amp;": "&", "&mdash;": "—", "&#8212;": "—", "\u00a0": " "}.items():
             c = F.replace(c, F.lit(e), F.lit(ch))
-        return strip(F.translate(c, "\u00a0", " "))
+        # most cells have nothing to clean
+        return F.when(cell.rlike(r"(?U)[<&\u00a0]|^\s|\s$"), strip(c)).otherwise(cell)
 
     return F.transform(raw, clean)
 

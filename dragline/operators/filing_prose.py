@@ -109,15 +109,22 @@ SNIPPET = r"(?i)(?:proposed reorganization|purpose of the reorganization|reorgan
 
 def after_boundary(html: Column) -> Column:
     """The statement part of a combined document: first header past the middle, else the last header,
-    else the introductory phrase, else everything."""
-    middle = F.floor(F.length(html) / 2).cast("int")
-    late = X.from_first(F.substring(html, middle + 2, F.length(html)), BOUNDARY)
-    last = X.first_match(html, rf"(?i)^(?s:.*)((?:{BOUNDARY})(?s:.*))")
-    return F.coalesce(late, last, X.from_first(html, BOUNDARY_PHRASE), html)
+    else the introductory phrase, else everything.
+
+    Where the document has one header, as most have, that is the answer, and the rest is scanned for a second one only."""
+    def of_several() -> Column:
+        middle = F.floor(F.length(html) / 2).cast("int")
+        late = X.from_first(F.substring(html, middle + 2, F.length(html)), BOUNDARY)
+        return F.coalesce(late, X.first_match(html, rf"(?i)^(?s:.*)((?:{BOUNDARY})(?s:.*))"))
+
+    return let(X.from_first(html, BOUNDARY), lambda first: F.when(
+        first.isNull(), F.coalesce(X.from_first(html, BOUNDARY_PHRASE), html)).when(
+        ~F.substring(first, F.lit(2), F.length(first)).rlike(f"(?i){BOUNDARY}"), first).otherwise(of_several()))
 
 
 def _has_any(text: Column, words: tuple[str, ...]) -> Column:
-    return F.lower(text).rlike("|".join(w.replace("(", r"\(").replace(")", r"\)") for w in words))
+    """Whether the text in small letters holds one of the words; the Kelvin sign is the one other character that becomes a letter of theirs."""
+    return text.rlike("(?i)" + "|".join(w.replace("(", r"\(").replace(")", r"\)").replace("k", "[k\u212a]") for w in words))
 
 
 def _tables(part: Column) -> Column:
@@ -134,13 +141,15 @@ def _amount(c: Column, report: bool) -> Column:
         year_like = (v > 2019) & (v < 2031)
         return F.when(~year_like if report else ((v > 100) & ~year_like) | (v == 0), v)
 
-    return let(_number(F.trim(F.translate(c, "$, ", ""))), keep)
+    for mark in "$, ":
+        c = F.replace(c, F.lit(mark), F.lit(""))
+    return let(_number(c), keep)
 
 
 def _number(text: Column) -> Column:
-    """Text as a double, else null.  A cast that fails throws, which costs far more than a look: what begins with a letter
-    that begins no number, or has neither a digit nor an n (NaN, Infinity), is not cast."""
-    return F.when(text.rlike(r"(?s)^(?![A-HJ-MO-Za-hj-mo-z]).*[0-9nN]"), text.try_cast("double"))
+    """Text as a double, else null.  A cast that fails throws, which costs far more than a look: what does not begin like a
+    number, infinity or NaN is not cast."""
+    return F.when(text.rlike(r"(?i)^[\x00-\x20]*+[+-]?+(?:\.?[0-9]|inf|nan)"), text.try_cast("double"))
 
 
 def _year(cell: Column, pattern: str, group: int) -> Column:
@@ -162,23 +171,30 @@ def _year_columns(rows: Column, table: Column, report: bool) -> Column:
     each row in order.
     """
     skip = REPORT_SKIP if report else COMMISSION_SKIP
-    first = F.array_position(F.transform(rows, lambda r: F.exists(r, lambda c: _amount(c, report).isNotNull())), F.lit(True))
-    heads = F.slice(rows, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(rows)).cast("int"))
-    years = F.sort_array(F.array_distinct(F.filter(
-        F.transform(F.flatten(heads), lambda c: _year(c, r"20\d{2}", 0)), lambda y: y.isNotNull())), asc=False)
 
-    def paired(cells: Column, at: Column, years: Column) -> Column:
+    def years(amounts: Column) -> Column:
+        first = F.array_position(F.transform(amounts, lambda r: F.exists(r, lambda v: v.isNotNull())), F.lit(True))
+        heads = let(first, lambda f: F.slice(rows, F.lit(1), F.when(f > 0, f - 1).otherwise(F.size(rows)).cast("int")))
+        return F.sort_array(F.array_distinct(F.filter(
+            F.transform(F.flatten(heads), lambda c: _year(c, r"20\d{2}", 0)), lambda y: y.isNotNull())), asc=False)
+
+    def paired(cells: Column, at: Column, years: Column, all_amounts: Column) -> Column:
         name = F.coalesce(F.get(cells, F.lit(0)), F.lit(""))
-        amounts = F.filter(F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: _amount(c, report)),
-                           lambda v: v.isNotNull())
+        own = F.get(all_amounts, at)
+        amounts = F.filter(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda v: v.isNotNull())
         named = (name != "") & ~name.rlike(r"^[\$\d,\.\s]+$") & ~_has_any(name, skip)
         pairs = let(amounts, lambda a: F.transform(
             F.slice(years, F.lit(1), F.least(F.size(years), F.size(a))), lambda y, i: F.struct(
                 name.alias("fund_name"), y.alias("year"), F.get(a, i).alias("amount"), (table * _PLACE + at).cast("bigint").alias("at"))))
-        return F.when(named, pairs)
+        # names, the dearer test, only of rows that have something to pair
+        return F.when((F.size(amounts) > 0) & named, pairs)
+
+    def of(amounts: Column) -> Column:
+        return let(years(amounts), lambda ys: F.when(F.size(ys) > 0, F.flatten(F.filter(
+            F.transform(rows, lambda cells, at: paired(cells, at, ys, amounts)), lambda x: x.isNotNull()))).otherwise(F.array().cast(_FOUND)))
 
-    return let(years, lambda ys: F.flatten(F.filter(
-        F.transform(rows, lambda cells, at: paired(cells, at, ys)), lambda x: x.isNotNull())))
+    # the amount of each cell, once
+    return let(F.transform(rows, lambda r: F.transform(r, lambda c: _amount(c, report))), of)
 
 
 def _broker_rows(rows: Column, table: Column) -> Column:
@@ -210,10 +226,11 @@ def _broker_rows(rows: Column, table: Column) -> Column:
     return F.aggregate(below, start, step, lambda s: s["found"])
 
 
-def commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
+def commissions(docs: DataFrame, key: str, html: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Year-column tables; where they give nothing, or nothing of 1,000 dollars, broker rows instead.
 
     A document's tables are cut once, and both readings of them are arrays, so nothing is shuffled before the sums.
+    ``also`` are columns that depend on the key and are carried along.
     """
     def chosen(tables: Column) -> Column:
         def pick(wide: Column) -> Column:
@@ -224,10 +241,10 @@ def commissions(docs: DataFrame, key: str, html: str) -> DataFrame:
         return let(_joined(tables, lambda rows, n: _year_columns(rows, n, False)), pick)
 
     part = X.section(after_boundary(F.col(html)), COMMISSION_STARTS, COMMISSION_ENDS)
-    rows = docs.select(key, F.inline(F.array(let(_tables(part), chosen)))).select(key, "wide", F.inline("rows"))
-    sums = rows.groupBy(key, "fund_name", "year").agg(
+    rows = docs.select(key, *also, F.inline(F.array(let(_tables(part), chosen)))).select(key, *also, "wide", F.inline("rows"))
+    sums = rows.groupBy(key, *also, "fund_name", "year").agg(
         F.max("wide").alias("_wide"), F.max_by("amount", "at").alias("_last"), F.sum(F.col("amount").cast("decimal(28,2)")).cast("double").alias("_sum"))
-    return sums.select(key, "fund_name", "year", F.when(F.col("_wide"), F.col("_last")).otherwise(F.col("_sum")).alias("amount"))
+    return sums.select(key, *also, "fund_name", "year", F.when(F.col("_wide"), F.col("_last")).otherwise(F.col("_sum")).alias("amount"))
 
 
 def report_commissions(docs: DataFrame, key: str, html: str) -> DataFrame:

@@ -774,9 +774,11 @@ def _commission_docs(v):
     """A statement per (fund, order, line): a year-column table, or one row per broker."""
     # parsing is heavy for the bytes it reads: keep all shuffle partitions busy
     n, keys = int(v.spark.conf.get("spark.sql.shuffle.partitions")), ("l_suppkey", "l_orderkey", "l_linenumber")
-    li = v.table("lineitem").select(*keys).repartition(n, *keys).groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber")).agg(F.count("*").alias("copies"))
+    # dealt by the key of a document, so that its sums need no further shuffle
+    doc = F.struct(*[F.col(k).alias(a) for k, a in zip(keys, ("series_id", "orderkey", "linenumber"), strict=True)]).alias("doc")
+    li = v.table("lineitem").select(doc).repartition(n, "doc").groupBy("doc").agg(F.count("*").alias("copies")).select("doc", "copies", "doc.*")
     return li.selectExpr(
-        "struct(series_id, orderkey, linenumber) as doc", "copies",
+        "doc", "copies",
         """concat('<p>intro</p>>Statement of Additional Information< The aggregate brokerage commissions paid are as follows ', if(linenumber <= 4,
           concat('<table><tr><td>Fund(s)</td><td>FY 2022</td><td>FY 2023</td></tr><tr><td>Series <b>P', series_id, '</b></td><td>$</td><td>', format_number(orderkey + 5000, 0), '</td><td>$ ', linenumber * 1000, '.50</td></tr><tr><td>Total</td><td>9</td><td>9999</td></tr></table>'),
           concat('<table><tr><td>Fund</td><td>Year</td><td>Name</td><td></td><td>Paid</td></tr><tr><td>Series P', series_id, '</td><td>2023</td><td>B1</td><td>$</td><td>', format_number(orderkey + 200, 0), '</td></tr><tr><td></td><td></td><td>B2</td><td>$</td><td>300</td></tr><tr><td></td><td>2022</td><td>B1</td><td>$</td><td>50</td></tr><tr><td></td><td></td><td>B3</td><td>$</td><td>700</td></tr></table>')),
@@ -789,8 +791,7 @@ SELECT fund_name, year, count(*) AS rows, CAST(sum(CAST(amount AS DECIMAL(28,2))
   SELECT 'SeriesP' || series_id AS fund_name, 2023 AS year, orderkey + 5000.0 AS amount FROM v_holding WHERE linenumber <= 4 UNION ALL SELECT 'SeriesP' || series_id, 2022, linenumber * 1000 + 0.5 FROM v_holding WHERE linenumber <= 4
   UNION ALL SELECT 'Series P' || series_id, 2023, orderkey + 500 FROM v_holding WHERE linenumber > 4 UNION ALL SELECT 'Series P' || series_id, 2022, 700 FROM v_holding WHERE linenumber > 4) q GROUP BY 1, 2"""))
 def statement_commissions(v):
-    docs = _commission_docs(v)
-    c = filing_prose.commissions(docs, "doc", "html").join(docs.select("doc", "copies"), "doc")
+    c = filing_prose.commissions(_commission_docs(v), "doc", "html", also=("copies",))
     return c.groupBy("fund_name", "year").agg(F.sum("copies").alias("rows"), dbl(F.sum(F.col("amount").cast("decimal(28,2)") * F.col("copies"))).alias("amount"))
 
 

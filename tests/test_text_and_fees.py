@@ -135,3 +135,20 @@ def test_merger_names_all_funds(spark):
     html = "".join(f"; the {k} Income Fund will be reorganized into the Big Growth Fund, a series. " for k in ("Alpha", "Beta", "Gamma", "Delta", "Omega"))
     r = filing_prose.merger_facts(spark.createDataFrame([(1, html, "Alpha Trust")], "id int, html string, company string"), "id", "html", "company").first()
     assert len(r["targets"]) == 5
+
+
+def test_a_section_ends_behind_its_start(one):
+    """An end that lies within the match of the start is none; of several ends the first pattern that occurs wins."""
+    t = F.lit("x Start end of heading: one\nEND two stop three")
+    assert one(X.section(t, (r"start.*?heading",), ("stop", "end"))) == "Start end of heading: one\nEND two "
+    assert one(X.section(t, (r"start.*?heading",), ("end", "stop"))) == "Start end of heading: one\n"
+    for end in ("s?top", "(?:halt|(?:st|x)op)", "[s]top", "s*top"):
+        assert one(X.section(t, ("start",), (end,))) == "Start end of heading: one\nEND two " + ("s" if end == "x" else "")
+
+
+def test_a_statement_has_its_amounts_without_a_join_or_a_second_shuffle(spark):
+    from dragline.plans import registry
+
+    df = registry.QUERIES["statement_commissions"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
