@@ -236,27 +236,34 @@ def class_table_fees(docs: DataFrame, key: str, html: str, class_name: str) -> D
     text = X.plain_text(F.col(html), "class_table")
     blocks = F.filter(
         F.split(text, r"(?=Share class:\s)"), lambda b: b.startswith("Share class:")
-        & F.regexp_extract(b, r"(?s)^(.*?)(?:\d+\.\d+|$)", 1).contains("Management fees"),
+        & F.regexp_extract(b, r"^[^0-9]*+(?:[0-9]++(?!\.[0-9])[^0-9]*+)*+", 0).contains("Management fees"),
     )
-    d = docs.select(key, label.alias("_label"), F.posexplode(blocks).alias("block", "b")).withColumn(
-        "labels", F.filter(F.split(F.regexp_extract("b", r"Share class:\s+(.+?)\s+Management fees", 1), r"\s+"), lambda x: x != "")
-    )
-    at = F.array_position("labels", F.col("_label"))
-
-    def row(pattern: str, after: bool) -> Column:
-        # a gross row is not a net row: "after fee waiver" must not follow it
-        guard = "" if after else r"(?!after fee waiver)"
-        rest = F.regexp_extract("b", pattern + guard + r"([\s\S]*)", 1)
-        tokens = F.slice(F.regexp_extract_all(rest, F.lit(r"(\d+\.\d+|none)"), F.lit(1)), 1, F.size("labels"))
-        token = F.get(tokens, (at - 1).cast("int"))
-        return F.when(F.size(tokens) >= F.size("labels"), F.when(token == "none", 0.0).otherwise(token.try_cast("double")))
-
-    rows = d.filter(at > 0).select(
-        key, "block", F.col("_label").alias("class_label"), F.size("labels").alias("n_classes"),
-        *[row(p, f == "net_expenses").alias(f) for f, p in CLASS_ROWS.items()],
-    ).filter(F.col("total_annual_expenses").isNotNull())
-    cols = [c for c in rows.columns if c not in (key, "block")]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*cols), "block").alias("f")).select(key, "f.*")
+
+    def facts(b: Column, wanted: Column) -> Column:
+        """What a block says of the wanted class; each pattern is looked for once a block."""
+        labels = F.filter(F.split(F.regexp_extract(b, r"Share class:\s+(.+?)\s+Management fees", 1), r"\s+"), lambda x: x != "")
+
+        def row(pattern: str, after: bool, place: Column) -> Column:
+            # a gross row is not a net row: "after fee waiver" must not follow it
+            guard = "" if after else r"(?!after fee waiver)"
+            rest = F.regexp_extract(b, pattern + guard + r"((?s:.*))", 1)
+
+            def read(tokens: Column) -> Column:
+                token = F.get(tokens, (place["at"] - 1).cast("int"))
+                return F.when(F.size(tokens) >= place["n"], F.when(token == "none", 0.0).otherwise(token.try_cast("double")))
+
+            return let(F.regexp_extract_all(rest, F.lit(r"(\d+\.\d+|none)"), F.lit(1)), read)
+
+        def of(place: Column) -> Column:
+            values = {f: row(p, f == "net_expenses", place) for f, p in CLASS_ROWS.items()}
+            return F.when(place["at"] > 0, F.struct(wanted.alias("class_label"), place["n"].alias("n_classes"), *[x.alias(f) for f, x in values.items()]))
+
+        return let(let(labels, lambda x: F.struct(F.array_position(x, wanted).alias("at"), F.size(x).alias("n"))), of)
+
+    # blocks are read inside the array, so that nothing of them is evaluated again behind it
+    read = lambda wanted: F.transform(blocks, lambda b, i: F.struct(i.alias("block"), facts(b, wanted).alias("f")))
+    rows = docs.select(key, F.inline(F.filter(let(label, read), lambda r: r["f"]["total_annual_expenses"].isNotNull())))
+    return rows.groupBy(key).agg(F.min_by("f", "block").alias("f")).select(key, "f.*")
 
 
 def prose_fees(docs: DataFrame, key: str, html: str, series_name: str) -> DataFrame:

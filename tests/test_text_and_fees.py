@@ -152,3 +152,13 @@ def test_a_statement_has_its_amounts_without_a_join_or_a_second_shuffle(spark):
     df = registry.QUERIES["statement_commissions"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_each_row_of_a_class_block_is_read_once(spark):
+    page = "<p>Share class: A C R-6 </p><p>Management fees 0.10 0.20 {} Total annual fund operating expenses 1.10 1.20 {}</p>"
+    docs = spark.createDataFrame([(1, "Share class: R-6 9.99 Management fees 1.11 " + page.format("none", "0.45"), "Class R-6"), (2, page.format("0.30", ""), "R-6"),
+                                  (3, page.format("0.30", "7.5"), "class F")], "k int, html string, cls string")
+    out = fees.class_table_fees(docs, "k", "html", "cls")
+    assert [(r.k, r.class_label, r.n_classes, r.management_fee, r.total_annual_expenses, r.net_expenses) for r in out.collect()] == [(1, "R-6", 3, 0.0, 0.45, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|none)") == len(fees.CLASS_ROWS) and plan.count("Share class:\\s+(") == 1
