@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dragline.functions.expr import let
+from dragline.functions.expr import if_any, let
 
 # fixed values ---------------------------------------------------------------
 WORD = r"(?U)\b[a-zA-Z]+\b"
@@ -102,7 +102,7 @@ def section(text: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Col
     def cut(start: str):
         def ended(rest: Column) -> Column:
             # the start is taken as it was found (atomic), the end is the first behind it: one scan for each end pattern
-            hits = [F.nullif(F.regexp_extract(rest, rf"(?i)^((?>{start}){_until(end)})(?:{end})", 1), F.lit("")) for end in ends]
+            hits = [if_any(F.regexp_extract(rest, rf"(?i)^((?>{start}){_until(end)})(?:{end})", 1)) for end in ends]
             return F.when(rest.isNotNull(), F.coalesce(*hits, rest))
 
         return ended  # of one argument: a second one, even with a default, would get the place in the array
@@ -125,21 +125,22 @@ def _until(end: str) -> str:
 
 
 # Bodies run from tag to tag with possessive quantifiers: one step a tag instead of one a character, and no stack.
+# The case is ignored behind the "<" only, as a search for one plain character is the fastest.
 
 
 def tables(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?i)<table\b[^<]*+(?:<(?!/table>)[^<]*+)*+(?:</table>)?"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(r"<(?i)table\b[^<]*+(?:<(?!/table>)[^<]*+)*+(?:</table>)?"), F.lit(0))
 
 
 def table_rows(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?i)<tr\b[^<]*+(?:<(?!tr\b|/tr>|/table>)[^<]*+)*+"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(r"<(?i)tr\b[^<]*+(?:<(?!tr\b|/tr>|/table>)[^<]*+)*+"), F.lit(0))
 
 
 def row_cells(row: Column, *, heads: bool = True) -> Column:
     """Cell texts; tags inside a cell vanish together with the blanks around them."""
     kind = "[dh]" if heads else "d"
     raw = F.regexp_extract_all(
-        row, F.lit(rf"(?i)<t{kind}\b[^>]*+>([^<]*+(?:<(?!t[dh]\b|/t[dh]>|/tr>)[^<]*+)*+)"), F.lit(1))
+        row, F.lit(rf"<(?i)t{kind}\b[^>]*+>([^<]*+(?:<(?!t[dh]\b|/t[dh]>|/tr>)[^<]*+)*+)"), F.lit(1))
 
     def clean(cell: Column) -> Column:
         c = F.regexp_replace(cell, r"\s*<[^>]+>\s*", "")

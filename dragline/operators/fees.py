@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dragline.functions import text as X
-from dragline.functions.expr import let, rnd
+from dragline.functions.expr import if_any, let, rnd
 from dragline.operators.history import synthetic_total
 
 # fixed values ---------------------------------------------------------------
@@ -108,7 +108,7 @@ def fee_field(label: Column) -> Column:
             out = out.when(low.contains(words), field)
         return out
 
-    return let(F.lower(X.squeeze(F.translate(label, "\u00a0", " "))), named)
+    return let(F.lower(X.squeeze(F.replace(label, F.lit("\u00a0"), F.lit(" ")))), named)
 
 
 def _last_values(pairs: Column) -> list[Column]:
@@ -118,10 +118,8 @@ def _last_values(pairs: Column) -> list[Column]:
 
 
 def _pairs(rows: Column, field, value) -> Column:
-    return F.filter(
-        F.transform(rows, lambda r: F.struct(field(r).alias("field"), value(r).alias("value"))),
-        lambda p: p["field"].isNotNull() & p["value"].isNotNull(),
-    )
+    pair = lambda r: let(field(r), lambda f: F.struct(f.alias("field"), F.when(f.isNotNull(), value(r)).alias("value")))
+    return F.filter(F.transform(rows, pair), lambda p: p["field"].isNotNull() & p["value"].isNotNull())
 
 
 def _class_column(rows: Column, ticker: Column) -> Column:
@@ -152,19 +150,18 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
     The last row of a field wins.  Turnover and sales load are read from the text of the whole document.
     """
 
-    def around(parts: Column) -> Column:
-        before, behind = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-        opened = F.regexp_extract(before, r"(?is)^.*(<table[^<]*+(?:<(?!/table>)[^<]*+)*+)\z", 1)
+    def around(page: Column, behind: Column) -> Column:
+        # the last table of what stands before, if nothing closes it; what is behind runs to the end, so it occurs once
+        before = F.call_function("substring_index", page, behind, F.lit(1))
+        opened = F.regexp_extract(before, r"<(?i)table[^<]*+(?:<(?!/table>|table)[^<]*+)*+\z", 0)
         return F.concat(opened, F.regexp_extract(behind, r"(?i)^[^<]*+(?:<(?!/table>)[^<]*+)*+(?:</table>)?", 0))
 
-    # a blank in front, for no split comes before the first character
-    halves = [let(F.split(F.concat(F.lit(" "), F.col(html)), f"(?i)(?={a})", 2), lambda p: F.when(F.size(p) > 1, p)) for a in ANCHORS]
-    region = let(F.coalesce(*halves), around)
+    def region(page: Column) -> Column:
+        # small letters first, in which a plain search finds out that a heading is not there
+        behind = lambda low: F.coalesce(*[F.when(low.contains(a), X.from_first(page, a)) for a in ANCHORS])
+        return let(let(F.lower(page), behind), lambda b: F.when(b.isNotNull(), around(page, b)))
+
     cells = lambda x: F.transform(X.table_rows(x), lambda r: X.row_cells(r, heads=False))
-    d = docs.select(
-        key, F.col(ticker).alias("_ticker"), F.col(html).alias("_html"), F.coalesce(cells(region), F.array().cast("array<array<string>>")).alias("_near"),
-        cells(F.col(html)).alias("_all"),
-    ).withColumn("_col", _class_column(F.col("_near"), F.col("_ticker")))
 
     def label(r: Column) -> Column:
         first = F.get(r, F.lit(0))
@@ -172,31 +169,40 @@ def table_fees(docs: DataFrame, key: str, html: str, ticker: str) -> DataFrame:
         split = ~first.rlike(r"^[\*†\(\d]")
         return F.coalesce(fee_field(first), F.when(split, fee_field(whole)))
 
-    def value(joined: Column) -> Column:
+    def value(joined: Column, place: Column) -> Column:
         found = F.regexp_extract_all(joined, F.lit(_PCT), F.lit(1))
-        picked = let(found, lambda f: F.coalesce(F.get(f, F.col("_col")), F.get(f, F.lit(0))))
+        picked = let(found, lambda f: F.coalesce(F.get(f, place), F.get(f, F.lit(0))))
         return F.when(joined != "", picked.try_cast("double"))
 
-    def value_or_number(r: Column) -> Column:
+    def value_or_number(r: Column, place: Column) -> Column:
         joined = F.concat_ws(" ", F.filter(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda c: c != ""))
-        return let(joined, lambda j: F.coalesce(value(j), percent_in(j)))
+        return let(joined, lambda j: F.coalesce(value(j, place), percent_in(j)))
+
+    def near(rows: Column) -> Column:
+        full = F.filter(rows, lambda r: F.size(r) > 0)
+        return let(_class_column(rows, F.col(ticker)), lambda place: _pairs(full, label, lambda r: value_or_number(r, place)))
+
+    def wide(page: Column) -> Column:
+        return _pairs(
+            F.filter(cells(page), lambda r: F.size(r) >= 2), lambda r: fee_field(F.get(r, F.lit(0))),
+            lambda r: percent_in(F.get(r, F.lit(1))),
+        )
 
-    near = _pairs(F.filter(F.col("_near"), lambda r: F.size(r) > 0), label, value_or_number)
-    wide = _pairs(
-        F.filter(F.col("_all"), lambda r: F.size(r) >= 2), lambda r: fee_field(F.get(r, F.lit(0))),
-        lambda r: percent_in(F.get(r, F.lit(1))),
-    )
     has = lambda p: F.exists(p, lambda x: x["field"].isin("management_fee", "total_annual_expenses"))
-    picked = d.select(key, "_html", near.alias("_near"), wide.alias("_wide")).select(
-        key, "_html",
-        F.when(has(F.col("_near")), F.col("_near")).when(has(F.col("_wide")), F.col("_wide")).alias("_p"),
-        F.when(has(F.col("_near")), "table").when(has(F.col("_wide")), "cells").alias("layout"),
-    )
-    first = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
-    facts = let(F.regexp_replace("_html", r"<[^>]+>", ""), lambda body: F.struct(
-        first(body, TURNOVER).alias("portfolio_turnover"), first(body, LOAD).alias("max_sales_load")))
-    return picked.withColumn("_facts", F.when(F.col("_p").isNotNull(), facts)).select(
-        key, "layout", *_last_values(F.col("_p")), "_facts.portfolio_turnover", "_facts.max_sales_load")
+    first = lambda text, pattern: if_any(F.regexp_extract(text, pattern, 1)).cast("double")
+
+    def read(page: Column, pairs: Column, layout: str) -> Column:
+        # tags that follow each other go at once
+        facts = lambda body: F.struct(
+            F.lit(layout).alias("layout"), *_last_values(pairs), first(body, "(?=[PpTt])" + TURNOVER).alias("portfolio_turnover"),
+            first(body, "(?=[Mm])" + LOAD).alias("max_sales_load"))
+        return F.when(has(pairs), let(F.regexp_replace(page, r"(?:<[^>]++>)++", ""), facts))
+
+    # each reading is made once, and the cells of the whole document only where its region gives nothing
+    page = F.col(html)
+    of_near = let(let(region(page), cells), lambda rows: F.when(rows.isNotNull(), let(near(rows), lambda p: read(page, p, "table"))))
+    of_wide = let(wide(page), lambda p: read(page, p, "cells"))
+    return docs.select(key, F.inline(F.array(F.coalesce(of_near, of_wide))))
 
 
 def is_class_table_registrant(registrant: Column, class_names: Column) -> Column:

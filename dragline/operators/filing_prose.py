@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dragline.functions import text as X
-from dragline.functions.expr import let
+from dragline.functions.expr import if_any, let
 
 # fixed values ---------------------------------------------------------------
 COMMISSION_STARTS = (
@@ -153,7 +153,7 @@ def _number(text: Column) -> Column:
 
 
 def _year(cell: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(cell, pattern, group), F.lit("")).cast("int")
+    return if_any(F.regexp_extract(cell, pattern, group)).cast("int")
 
 
 _PLACE = 1 << 20  # rows of a table, in the number that orders rows

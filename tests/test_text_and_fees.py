@@ -162,3 +162,18 @@ def test_each_row_of_a_class_block_is_read_once(spark):
     assert [(r.k, r.class_label, r.n_classes, r.management_fee, r.total_annual_expenses, r.net_expenses) for r in out.collect()] == [(1, "R-6", 3, 0.0, 0.45, None)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("|none)") == len(fees.CLASS_ROWS) and plan.count("Share class:\\s+(") == 1
+
+
+def test_a_fee_page_is_read_once(spark):
+    """Cells, labels and figures are evaluated once for each of the two readings, and so are texts that may be empty."""
+    row = "<tr><td>{}</td><td>{}</td><td>9 %</td></tr>"
+    page = "<table><tr><td>x</td></tr></table><TABLE class=a><td>Annual Fund Operating Expenses</td>" + row.format("Management&nbsp;Fees", "0.5 %") + "</table>" + row.format("Other expenses", "7%")
+    docs = spark.createDataFrame([(1, page + "portfolio <b></b><i>turnover</i> was 12 %", "TA"), (2, row.format("Total annual operating", "1.5%") + "maximum sales charge 3.5%", None),
+                                  (3, "fee table <p>nothing</p>", ""), (4, None, "T")], "k int, html string, ticker string")
+    out = fees.table_fees(docs, "k", "html", "ticker")
+    assert sorted((r.k, r.layout, r.management_fee, r.other_expenses, r.total_annual_expenses, r.portfolio_turnover, r.max_sales_load) for r in out.collect()) == [
+        (1, "table", 0.5, None, None, 12.0, None), (2, "cells", None, None, 1.5, None, 3.5), (3, None, None, None, None, None, None), (4, None, None, None, None, None, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(fees.NET_LABEL) == 3 and plan.count("maximum\\s+") == 2
+    # the cells of the whole page are made inside the second reading, not beside the first as a column of their own
+    assert plan.count("Generate") == 1 and plan.count("Project") <= 1
